@@ -47,11 +47,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op4_packing": op4_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_simhash": op8_simhash,
+    "op9_html_main_text": op9_html_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
