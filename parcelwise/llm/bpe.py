@@ -27,9 +27,8 @@ from .common import chunks, packed, quiet_threads, taken, unpacked
 #: How byte-level vocabularies split text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Characters of text that one task holds at a time, and words that it remembers.
+#: Characters of text that one task holds at a time.
 CHUNK_CHARS = 4_000_000
-CACHED_WORDS = 600_000
 
 
 class Vocabulary:
@@ -54,6 +53,7 @@ class Vocabulary:
             pieces[i] = bytes(byte_of[c] for c in piece)
         for t in spec["added_tokens"]:
             pieces[t["id"]] = t["content"].encode()
+        self.fast = ranked(spec, pieces)
         self.pieces = pa.array(pieces, pa.binary())
         self.decimals = pa.array([str(i) for i in range(n)], pa.string())
 
@@ -64,8 +64,35 @@ class Vocabulary:
         return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self.words.findall(part))]
 
     def ids(self, words: list[str]) -> list[list[int]]:
+        try:
+            if self.fast is not None:
+                return [self.fast.encode(w, allowed_special="all") for w in words]
+        except ValueError:  # the ranks' pattern gives up on some very long runs
+            pass
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def text_ids(self, text: str) -> np.ndarray:
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype(np.int32)
+            except ValueError:  # as above
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+
+def ranked(spec: dict, pieces: list[bytes]):
+    """The same vocabulary as ranks, which encodes faster; None unless merges come in the order of the ids they make."""
+    import tiktoken
+
+    vocab = spec["model"]["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    made = [vocab[a + b] for a, b in merges]
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if made != sorted(set(made)) or any(spec["model"].get(k) for k in ("dropout", "ignore_merges", "byte_fallback")) or spec["normalizer"]:
+        return None
+    ranks = {pieces[i]: i for piece, i in vocab.items() if piece not in special}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
 
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte: itself where it prints, else the next one from 256 on."""
@@ -104,26 +131,10 @@ def lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-class LocalEncoder:
-    """Encodes the texts of one task, each distinct word once while it is remembered."""
-
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and how many each text has."""
-        words, codes, counts = coded(self.vocab, texts)
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.vocab.ids(new), strict=True))
-        own = [self.known[w] for w in words]
-        lengths = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter((i for x in own for i in x), np.int32, int(lengths.sum()))
-        index, n = taken(lengths, codes)
-        doc = np.repeat(np.arange(len(texts)), counts)
-        return flat[index], np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64)
+def encoded_texts(vocab: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of whole texts end to end, and how many each has."""
+    own = [vocab.text_ids(t) if t else np.zeros(0, np.int32) for t in texts]
+    return np.concatenate([np.zeros(0, np.int32), *own]), np.fromiter(map(len, own), np.int64, len(own))
 
 
 def encode(documents: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "text", buckets: int = 128) -> DataFrame:

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import LocalEncoder, chunks, lists, text_sizes, vocabulary
-from .common import written
+from .bpe import encoded_texts, lists, text_sizes, vocabulary
+from .common import chunks, written
 
 #: Pieces that one task packs; the open sequence that each shard may leave is one in many thousands.
 PIECES_PER_SHARD = 40_000
@@ -83,9 +83,9 @@ def cut(documents: DataFrame, vocab_path: str, key: str = "doc_id", text: str =
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def pieces(batches):
-        encoder = LocalEncoder(vocabulary(vocab_path))
+        vocab = vocabulary(vocab_path)
         for table in chunks(batches, text_sizes, CHUNK_CHARS):
-            ids, counts = encoder(table["text"].to_pylist())
+            ids, counts = encoded_texts(vocab, table["text"].to_pylist())
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 counts = counts + 1
