@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lines import DROP_BOILERPLATE_SQL
+from .topk import EXACT_TOP_K_SQL
 
 VOCAB = "byte_bpe_50k.json"
 
@@ -29,6 +30,13 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(encoded, vocab_path()), vocab_path())
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
+    return topk.exact_top_k(rows, F.col("vec_id") % 50 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -68,14 +76,22 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pqdedup
+
+    return pqdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
     "op9_html_main_text": op9_html_main_text,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": DROP_BOILERPLATE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": EXACT_TOP_K_SQL, "op5_line_dedup": DROP_BOILERPLATE_SQL}
