@@ -23,6 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(key):
+    """Every fifth key by its checksum: rows whose labels are never learnt from."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    scored = toxicity.score(documents, net)
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -83,6 +97,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_packing": op4_packing,
