@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, written
 from .graph import components, local_components
-from .words import Words, byte_sizes
+from .words import Words, byte_sizes, mixed, windows
 
 CHUNK_BYTES = 4_000_000
 #: Fingerprints in a shard, about, and those on which the shards' tree is fitted.
@@ -19,6 +19,17 @@ SAMPLE = 4096
 LEAF_POINTS = 192
 
 
+def voted(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For groups of hashes that start there and have so many members: a bit is set if it is in over half of the group."""
+    votes = np.zeros((len(starts), 64), np.int64)
+    step = 500_000
+    for at in range(0, len(hashes), step):
+        bits = np.unpackbits(hashes[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        low, high = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, at + len(bits), side="left")
+        votes[low:high] += np.add.reduceat(bits, np.maximum(starts[low:high] - at, 0), axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def fingerprints(words: Words, size: int, seed: int) -> np.ndarray:
     """A 64-bit fingerprint of each text: bit set if set in over half of its shingles' XXH64; no words: zero."""
     data, ends = words.joined()
@@ -33,13 +44,7 @@ def fingerprints(words: Words, size: int, seed: int) -> np.ndarray:
     some = np.flatnonzero(n)
     starts = (np.cumsum(n) - n)[some]
     hashes = np.fromiter((digest(raw[a:b], seed) for a, b in zip(begins[first].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(doc))
-    votes = np.zeros((len(some), 64), np.int64)
-    step = 500_000
-    for at in range(0, len(hashes), step):
-        bits = np.unpackbits(hashes[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        low, high = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, at + len(bits), side="left")
-        votes[low:high] += np.add.reduceat(bits, np.maximum(starts[low:high] - at, 0), axis=0, dtype=np.int64)
-    out[some] = np.packbits(2 * votes > n[some][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    out[some] = voted(hashes, starts, n[some])
     return out
 
 
@@ -189,15 +194,103 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return found.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, seed: int = 42, reach: int = 2) -> DataFrame:
+#: Words of 64 bits in a wide fingerprint, and the MinHash values by which wide fingerprints meet.
+WIDE, MEETINGS = 4, 4
+
+
+def wide_fingerprints(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text a fingerprint of ``WIDE`` words over its shingles of ``size`` words, and ``MEETINGS`` least hashes of them."""
+    hashes = words.hashes()
+    at, shingle = windows(words, size, hashes, 0x9FB21C651E98DF25)
+    # a text of fewer words is one shingle
+    short = np.flatnonzero((words.count > 0) & (words.count < size))
+    of = [mixed(np.array([int(h) for h in hashes[words.base[k] : words.base[k] + words.count[k]]], np.uint64) + np.arange(words.count[k], dtype=np.uint64)).sum(dtype=np.uint64) for k in short.tolist()]
+    doc, shingle = np.r_[words.doc[at], short], np.r_[shingle, np.array(of, np.uint64)]
+    order = np.argsort(doc, kind="stable")
+    doc, shingle = doc[order], shingle[order]
+    n = np.bincount(doc, minlength=len(words.count))
+    some = np.flatnonzero(n)
+    starts = (np.cumsum(n) - n)[some]
+    prints, least = np.zeros((len(n), WIDE), np.uint64), np.zeros((len(n), MEETINGS), np.uint64)
+    if len(some):
+        for k in range(WIDE):
+            prints[some, k] = voted(mixed(shingle + np.uint64(k)), starts, n[some])
+        for k in range(MEETINGS):
+            least[some, k] = np.minimum.reduceat(mixed(shingle ^ np.uint64(0xA0761D6478BD642F * (k + 1) % 2**64)), starts)
+    return prints, least
+
+
+def linked_wide(prints: np.ndarray, reach: int) -> np.ndarray:
+    """For fingerprints of one block: the smallest number joined with each by links of at most ``reach`` differing bits."""
+    label = np.arange(len(prints))
+    step = max(1, 2_000_000 // len(prints))
+    for at in range(0, len(prints), step):
+        a, b = np.nonzero(np.bitwise_count(prints[at : at + step, None, 0] ^ prints[None, :, 0]) <= reach)
+        a, b = a[a + at < b] + at, b[a + at < b]
+        near = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= reach
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        label = local_components(len(label), np.r_[a[near], moved], np.r_[b[near], label[moved]])
+    return label
+
+
+def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``documents``, all columns as they were, without all but one of each near-duplicate group.
 
+    Texts link where their fingerprints of ``64 * WIDE`` bits, over shingles of ``size`` words, agree in at least
+    ``similarity`` of the bits. At that radius all distances to a vantage point overlap, so a vantage-point tree prunes
+    nothing; fingerprints meet by ``MEETINGS`` least shingle hashes instead, where texts of similarity 0.8 miss each
+    other less than twice in a thousand. Equal fingerprints count once.
+
     The row of the smallest key stays (null first, then the smaller hash of the text); of rows equal in both, any one.
+    Texts without words, null ones too, are copies of each other.
     """
-    prints = written(fingerprint(documents, key, text, size, seed), "prints")
-    roots = prints.join(groups(prints, reach), "fp").groupBy("root").agg(F.min(F.struct("key", "tie")).alias("kept"))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    key_type = documents.schema[key].dataType.simpleString()
+    rows = documents.select(F.col(key).alias("key"), F.xxhash64(whole).alias("tie"), whole.alias("text"))
+    reach = int((1 - similarity) * 64 * WIDE)
+
+    def run(batches):
+        for table in chunks(batches, byte_sizes, CHUNK_BYTES):
+            prints, least = wide_fingerprints(Words(table["text"], lower=True), size)
+            fixed = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
+            yield pa.record_batch({"key": table["key"].combine_chunks(), "tie": table["tie"].combine_chunks(), "print": fixed(prints), "least": fixed(least)})
+
+    prints = written(rows.mapInArrow(run, f"key {key_type}, tie long, print binary, least binary"), "wide")
+    nodes = prints.groupBy("print").agg(F.first("least").alias("least")).withColumn("node", F.xxhash64("print"))
+
+    def deal(batches):
+        for b in batches:
+            least = np.frombuffer(b"".join(b["least"].to_pylist()), np.uint64).reshape(-1, MEETINGS)
+            n = len(least)
+            block = mixed(least + np.arange(MEETINGS, dtype=np.uint64)[None, :]).view(np.int64)
+            rows = pa.array(np.repeat(np.arange(n), MEETINGS))
+            yield pa.record_batch({"block": pa.array(block.ravel()), "node": b["node"].take(rows), "print": b["print"].take(rows)})
+
+    def meet(batches):
+        """Blocks of one partition, whole; most are single fingerprints."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        order = np.lexsort((table["node"].to_numpy(), table["block"].to_numpy()))
+        block, node = table["block"].to_numpy()[order], table["node"].to_numpy()[order]
+        fps = np.frombuffer(b"".join(table["print"].to_pylist()), np.uint64).reshape(-1, WIDE)[order]
+        begin = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+        end = np.r_[begin[1:], len(block)]
+        a, b = [], []
+        for i, j in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
+            label = linked_wide(fps[i:j], reach)
+            some = np.flatnonzero(label != np.arange(j - i))
+            a.append(node[i:j][some])
+            b.append(node[i:j][label[some]])
+        if a:
+            yield pa.record_batch({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    schema = "block long, node long, print binary"
+    stars = components(nodes.mapInArrow(deal, schema).repartition("block").mapInArrow(meet, "a long, b long"))
+    rooted = prints.withColumn("node", F.xxhash64("print")).join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = rooted.groupBy("root").agg(F.min(F.struct("key", "tie")).alias("kept"))
     kept = roots.select(F.col("kept.key").alias("_kept_key"), F.col("kept.tie").alias("_kept_tie"))
-    tie = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    marked = documents.withColumn("_kept_by", tie)
+    marked = documents.withColumn("_kept_by", F.xxhash64(whole))
     joined = marked.join(kept, F.col(key).eqNullSafe(F.col("_kept_key")) & (F.col("_kept_by") == F.col("_kept_tie")), "left_semi")
     return joined.dropDuplicates([key, "_kept_by"]).drop("_kept_by")
