@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import ensembles, evaluation, grids, joins, models, samples, values
+
+FAMILIES = (grids, joins, values, ensembles, samples, evaluation, models)
+QUERIES = {name: build for family in FAMILIES for name, (build, _) in family.ALL.items()}
+ORACLE_SQL = {name: sql for family in FAMILIES for name, (_, sql) in family.ALL.items() if sql}
