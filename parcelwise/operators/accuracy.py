@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 Z = 1.96
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r, null where a series is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def errors(rows: DataFrame, ref: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     d = F.col(pred) - F.col(ref)
     return rows.groupBy(*by).agg(
@@ -33,7 +38,7 @@ def agreement(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
     key = by or ["_all"]
     rows = rows if by else rows.withColumn("_all", F.lit(1))
     held = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    means = held.groupBy(*key).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.corr("x", "y").alias("r"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    means = held.groupBy(*key).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), correlation("x", "y").alias("r"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
     b = F.when((F.col("vx") > 0) & (F.col("r") != 0), F.signum("r") * F.sqrt(F.col("vy") / F.when(F.col("vx") > 0, F.col("vx"))))
     fitted = means.withColumn("b", F.when(b != 0, b)).withColumn("a", F.col("my") - F.col("b") * F.col("mx"))
     d = F.abs(F.col("mx") - F.col("my"))
@@ -134,7 +139,7 @@ def zone_fit(rows: DataFrame, zone: str, ref: str, pred: str) -> DataFrame:
     """r, errors and quartiles of both series for each zone."""
     d = F.col(pred) - F.col(ref)
     quartiles = [F.percentile(c, q).alias(f"{n}{k}q") for n, c in (("t", ref), ("p", pred)) for k, q in ((1, 0.25), (2, 0.5), (3, 0.75))]
-    return rows.groupBy(zone).agg(F.corr(ref, pred).alias("r"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.count("*").alias("n"), *quartiles)
+    return rows.groupBy(zone).agg(correlation(ref, pred).alias("r"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.count("*").alias("n"), *quartiles)
 
 
 def area_weighted_rmse(samples: DataFrame, population: DataFrame, ref: str, pred: str, bin_of) -> DataFrame:
