@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from .bpe import text_sizes
 from .common import chunks
+from .words import mixed
 
-WINDOW, STRIDE, BAG = 64, 48, 12
+WINDOW, STRIDE, BAG = 64, 48, 8
 #: Width of a state in one direction, of a word's vector, of an n-gram's vector, and of the attention.
 STATE, WORD, CHARS, ATTEND = 8, 8, 16, 8
 CHUNK_CHARS, BATCH, CACHED_WORDS = 3_000_000, 2048, 250_000
+#: N-grams are told apart by this many bits of a hash.
+BUCKET_BITS, FACTOR = 20, np.uint64(0x9E3779B97F4A7C15)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -31,10 +34,21 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-def grams(word: str) -> list[str]:
-    """Runs of three to five characters of a word between ^ and $; of a long word each counts once."""
-    marked = f"^{word}$"
-    return list(dict.fromkeys(marked[k : k + n] for n in (3, 4, 5) for k in range(len(marked) - n + 1)))
+def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all runs of three to five characters of words between ^ and $, word after word, and the word of each."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    c = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(c))
+    c = np.r_[c, np.zeros(5, np.uint64)]
+    n = len(c) - 5
+    runs, h = np.empty((n, 3), np.uint64), c[:n] * FACTOR + c[1 : n + 1]
+    for k in range(3):
+        h = h * FACTOR + c[k + 2 : n + k + 2]
+        runs[:, k] = mixed(h) >> np.uint64(64 - BUCKET_BITS)
+    whole = left[:, None] >= np.arange(3, 6)[None, :]
+    return runs[whole].astype(np.int64), np.repeat(np.repeat(np.arange(len(words)), lengths), whole.sum(axis=1))
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -43,27 +57,31 @@ def window_starts(n: int) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class Network:
     """The parameters, the two vocabularies and the passes through the network."""
 
-    def __init__(self, words: list[str], pieces: list[str], seed: int = 3):
+    def __init__(self, words: list[str], buckets: np.ndarray, seed: int = 3):
+        """``buckets``: those of known n-grams; n-grams in others are passed over."""
         rng = np.random.default_rng(seed)
-        self.words, self.pieces = {w: k + 1 for k, w in enumerate(words)}, {g: k for k, g in enumerate(pieces)}
+        self.words = {w: k + 1 for k, w in enumerate(words)}
+        self.row = np.full(1 << BUCKET_BITS, -1, np.int32)
+        self.row[buckets] = np.arange(len(buckets))
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.p = {"word": np.zeros((len(words) + 1, WORD), np.float32), "gram": 0.1 * rng.standard_normal((len(pieces) + 1, CHARS)).astype(np.float32)}
+        self.p = {"word": np.zeros((len(words) + 1, WORD), np.float32), "gram": 0.1 * rng.standard_normal((len(buckets), CHARS)).astype(np.float32)}
         for way in "fb":
             self.p |= {f"W{way}": draw(WORD + CHARS, 3 * STATE), f"U{way}": draw(STATE, 3 * STATE), f"b{way}": np.zeros(3 * STATE, np.float32)}
         self.p |= {"A": draw(2 * STATE, ATTEND), "a": np.zeros(ATTEND, np.float32), "v": draw(ATTEND), "w": draw(2 * STATE), "c": np.full(1, -2, np.float32)}
         self.fit = np.array([1.0, 0.0, 0.0])
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of each word (0: unknown), its n-grams end to end, and how many each has (those unknown are left out)."""
-        own = [[self.pieces[g] for g in grams(w) if g in self.pieces] for w in words]
-        n = np.fromiter(map(len, own), np.int64, len(own))
-        return np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words)), np.fromiter((g for x in own for g in x), np.int64, int(n.sum())), n
+        """Number of each word (0: unknown), its known n-grams end to end, and how many each has."""
+        bucket, word = gram_buckets(words)
+        row = self.row[bucket]
+        known = row >= 0
+        return np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words)), row[known].astype(np.int64), np.bincount(word[known], minlength=len(words))
 
     def vectors(self, features) -> np.ndarray:
         number, piece, n = features
@@ -123,6 +141,7 @@ class Network:
             side = slice(0, STATE) if way == "f" else slice(STATE, 2 * STATE)
             inputs = slice(0, 3 * STATE) if way == "f" else slice(3 * STATE, 6 * STATE)
             U, d_U, d_h = self.p[f"U{way}"], np.zeros((STATE, 3 * STATE)), np.zeros((codes.shape[0], STATE))
+            by_step = np.zeros((codes.shape[1], codes.shape[0], 3 * STATE))
             for t, h, z, r, new, rec_n, m in reversed(kept["steps"][way]):
                 d_h = d_h + d_states[t, :, side]
                 d_out = m * d_h
@@ -132,35 +151,33 @@ class Network:
                 back = np.concatenate([d_z, d_r, d_n * r], axis=1)
                 d_U += h.T @ back
                 d_h = (1 - m) * d_h + d_out * z + back @ U.T
-                np.add.at(d_gates[:, inputs], codes[:, t], np.concatenate([d_z, d_r, d_n], axis=1))
+                by_step[t] = np.concatenate([d_z, d_r, d_n], axis=1)
+            some, total = summed(codes.T.ravel(), by_step.reshape(-1, 3 * STATE))
+            d_gates[some, inputs] = total
             g[f"U{way}"] = d_U
         return g, d_gates[1:]
 
 
-def prepared(texts: list[list[str]]) -> tuple[list[str], list[str]]:
-    """The words and n-grams that a network knows: those of at least three texts, and of three words in three texts."""
-    seen = Counter(w for t in texts for w in set(t))
-    pieces = Counter()
-    for w in seen:
-        pieces.update(grams(w))
-    in_texts = Counter()
-    for t in texts:
-        in_texts.update({g for w in set(t) for g in grams(w)})
-    return sorted(w for w, n in seen.items() if n >= 3), sorted(g for g, n in pieces.items() if n >= 3 and in_texts[g] >= 3 or in_texts[g] >= 8)
+def prepared(texts: list[set[str]], vocabulary: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words and n-grams that a network knows: words of at least three texts, n-grams of at least three words."""
+    seen = Counter(w for t in texts for w in t)
+    counts = np.bincount(gram_buckets(vocabulary)[0], minlength=1 << BUCKET_BITS)
+    return sorted(w for w, n in seen.items() if n >= 3), np.flatnonzero(counts >= 3)
 
 
-def train(bags: list[list[list[str]]], labels: np.ndarray, share: float, epochs: int = 5, seed: int = 5) -> Network:
+def train(bags: list[list[list[str]]], labels: np.ndarray, share: float, epochs: int = 4, least_steps: int = 240, seed: int = 5) -> Network:
     """A network fitted to bags of windows, each a list of words; ``share``: of label 1 among all rows that the sample stands for."""
-    texts = [[w for x in bag for w in x] for bag in bags]
-    net = Network(*prepared(texts))
-    vocabulary = list(dict.fromkeys(w for t in texts for w in t))
+    texts = [{w for x in bag for w in x} for bag in bags]
+    vocabulary = list(dict.fromkeys(w for bag in bags for x in bag for w in x))
     number = {w: k for k, w in enumerate(vocabulary)}
+    net = Network(*prepared(texts, vocabulary))
     every = net.features(vocabulary)
     begin = np.cumsum(every[2]) - every[2]
     rows = [[np.array([number[w] for w in x], np.int64) for x in bag] for bag in bags]
     rng = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
+    epochs = max(epochs, -(-least_steps // -(-len(rows) // 32)))
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 32):
@@ -188,9 +205,14 @@ def train(bags: list[list[list[str]]], labels: np.ndarray, share: float, epochs:
                 adam(net.p[k], moments[k], grad, step, rate, slice(None))
             known_words = np.flatnonzero(features[0])
             sparse(net.p["word"], moments["word"], features[0][known_words], d_vectors[known_words, :WORD], step, rate)
-            sparse(net.p["gram"], moments["gram"], piece, np.repeat(d_vectors[:, WORD:] / np.maximum(n, 1)[:, None], n, axis=0), step, rate)
-    logits = np.array([score_windows(net, bag) for bag in bags])
-    net.fit = calibrated(logits, np.array([len(b) for b in bags]), labels, share)
+            sparse(net.p["gram"], moments["gram"], piece, np.repeat((d_vectors[:, WORD:] / np.maximum(n, 1)[:, None]).astype(np.float32), n, axis=0), step, rate)
+    gates = net.gates(net.vectors(every))
+    best, owner = np.full(len(rows), -np.inf), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    windows = [x for own in rows for x in own]
+    for at in range(0, len(windows), BATCH):
+        known, codes = padded(windows[at : at + BATCH])
+        np.maximum.at(best, owner[at : at + BATCH], net.logits(gates, np.r_[0, known + 1][codes]))
+    net.fit = calibrated(best, np.array([len(x) for x in rows]), labels, share)
     return net
 
 
@@ -210,21 +232,19 @@ def adam(value: np.ndarray, moment, grad: np.ndarray, step: int, rate: float, at
     value[at] -= rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-6)
 
 
+def summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices and the sum of the rows of each."""
+    order = np.argsort(index, kind="stable")
+    begin = np.flatnonzero(np.diff(index[order], prepend=-1))
+    return index[order][begin], np.add.reduceat(rows[order], begin, axis=0)
+
+
 def sparse(value: np.ndarray, moment, index: np.ndarray, grad: np.ndarray, step: int, rate: float) -> None:
     if len(index):
-        some, inverse = np.unique(index, return_inverse=True)
-        total = np.zeros((len(some), grad.shape[1]))
-        np.add.at(total, inverse, grad)
+        some, total = summed(index, grad)
         adam(value, moment, total, step, rate, some)
 
 
-def score_windows(net: Network, windows: list[list[str]]) -> float:
-    words = list(dict.fromkeys(w for x in windows for w in x))
-    number = {w: k for k, w in enumerate(words)}
-    known, codes = padded([np.array([number[w] for w in x], np.int64) for x in windows])
-    return float(net.logits(net.gates(net.vectors(net.features([words[k] for k in known]))), codes).max())
-
-
 def calibrated(logit: np.ndarray, n: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
     """(slope, by log of the windows, intercept) of a ridge logistic fit, each label weighted to its share."""
     x = np.stack([logit, np.log(n), np.ones(len(n))], axis=1)
