@@ -97,3 +97,10 @@ def nearest(values: DataFrame, coordinates: DataFrame, value: str, coordinate: s
     cells = own.select("nearest", "low", "high", cells_of(F.greatest("low", F.col("least").cast("double")), F.least("high", F.col("most").cast("double")), size).alias("cell"))
     placed = values.withColumn("cell", F.floor(F.col(value) / size))
     return placed.join(cells, "cell").where((F.col(value) > F.col("low")) & (F.col(value) <= F.col("high"))).drop("cell", "low", "high")
+
+
+def names_holding(names: DataFrame, ids: DataFrame, name: str, part: str, length: int) -> DataFrame:
+    """Pairs of a name and an id of ``length`` characters that stands in it: an equi-join on every run of that length."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(name) - length + 1), lambda k: F.substr(F.col(name), k, F.lit(length)))
+    each = names.where(F.length(name) >= length).select("*", F.explode(F.array_distinct(runs)).alias(part))
+    return each.join(ids, part)

@@ -31,7 +31,7 @@ def rect_overlap(spark, d):
 
 def rect_intersects_semi(spark, d):
     r = rects(spark, d)
-    hit = spatial.rect_pairs(r, r.where("id % 10 = 0"), True)
+    hit = spatial.rect_pairs(r, r.where("ul_x >= 2400"), True)
     return r.join(hit, r.id == hit.left_id, "left_semi").select("id")
 
 
@@ -107,8 +107,8 @@ def psu_split(spark, d):
 
 def name_like_join(spark, d):
     files = src.table(spark, d, "customer").select(F.concat(F.lit("dem_"), four_digits(F.col("c_custkey")), F.lit(".img")).alias("file"))
-    ids = src.table(spark, d, "supplier").where("s_suppkey <= 20").select("s_suppkey", four_digits(F.col("s_suppkey")).alias("tile"))
-    return files.join(F.broadcast(ids), F.expr("file LIKE concat('%', tile, '%')")).select("file", "s_suppkey")  # at most twenty ids
+    ids = src.table(spark, d, "supplier").select("s_suppkey", four_digits(F.col("s_suppkey")).alias("tile"))
+    return spatial.names_holding(files, ids, "file", "tile", 4).select("file", "s_suppkey")
 
 
 def mask_pair(spark, d):
@@ -130,7 +130,7 @@ ALL = {
     "pixel_sets_halfopen": (pixel_sets, sql("px", "rect", body="""SELECT p.id, string_agg(CAST(r.set_id AS VARCHAR), '_' ORDER BY r.set_id) AS sets, count(*) AS n_sets
       FROM px p JOIN rect r ON p.x - 15 >= r.ul_x AND p.x - 15 < r.lr_x AND p.y + 15 > r.lr_y AND p.y + 15 <= r.ul_y GROUP BY p.id""")),
     "rect_overlap": (rect_overlap, sql("rect", body=f"SELECT a.set_id AS left_id, b.set_id AS right_id, {AREA} AS area FROM rect a JOIN rect b ON a.set_id < b.set_id AND {SHARED}")),
-    "rect_intersects_semi": (rect_intersects_semi, sql("rect", body=f"SELECT a.set_id AS id FROM rect a WHERE EXISTS (SELECT 1 FROM rect b WHERE b.set_id % 10 = 0 AND {TOUCH})")),
+    "rect_intersects_semi": (rect_intersects_semi, sql("rect", body=f"SELECT a.set_id AS id FROM rect a WHERE EXISTS (SELECT 1 FROM rect b WHERE b.ul_x >= 2400 AND {TOUCH})")),
     "empty_tiles_anti": (empty_tiles, sql("px", "rect", body=f", {TILES} SELECT a.id FROM tiles a WHERE NOT EXISTS (SELECT 1 FROM rect b WHERE {SHARED})")),
     "proportional_area": (proportional_area, sql("px", "rect", body=f", {TILES} SELECT a.id AS tile_id, b.set_id, round({AREA} / 90000, 6) AS share FROM tiles a JOIN rect b ON {SHARED}")),
     "assign_processing_tile": (assign_processing_tile, sql("px", "rect", body=f", {TILES} SELECT b.set_id, max(a.id) AS tile_id FROM tiles a JOIN rect b ON {SHARED} GROUP BY b.set_id")),
@@ -144,7 +144,7 @@ ALL = {
     "zone_of_pixel": (zone_of_pixel, sql("px", body="SELECT n_regionkey AS zone, count(*) AS n, CAST(sum(id) AS BIGINT) AS sum_id FROM px JOIN customer ON custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey")),
     "train_pixel_anti": (train_pixel_anti, sql("px", body=f"SELECT id FROM px WHERE NOT {HASH.format(s=1)} < 2147483648")),
     "psu_split": (psu_split, sql("px", body="SELECT id, CASE WHEN tile_id % 7 = 0 THEN value END AS test, CASE WHEN tile_id % 7 <> 0 THEN value END AS train FROM px")),
-    "name_like_join": (name_like_join, """WITH f AS (SELECT 'dem_' || right('0000' || c_custkey, 4) || '.img' AS file FROM customer), i AS (SELECT s_suppkey, right('0000' || s_suppkey, 4) AS tile FROM supplier WHERE s_suppkey <= 20)
+    "name_like_join": (name_like_join, """WITH f AS (SELECT 'dem_' || right('0000' || c_custkey, 4) || '.img' AS file FROM customer), i AS (SELECT s_suppkey, right('0000' || s_suppkey, 4) AS tile FROM supplier)
       SELECT file, s_suppkey FROM f JOIN i ON file LIKE '%' || tile || '%'"""),
     "mask_pair": (mask_pair, sql("pair", body="SELECT id, ref, pred FROM pair WHERE status <> 'P' AND pred > 20")),
 }

@@ -53,12 +53,12 @@ def pct_error(spark, d):
 
 
 def pathrow_ids(spark, d):
-    c = src.table(spark, d, "customer").where("c_custkey >= 1000").select("c_custkey")
+    c = src.table(spark, d, "customer").select((F.col("c_custkey") + 1000).alias("c_custkey"))
     return c.select("c_custkey", scalars.six_digits(F.col("c_custkey")).alias("six"), scalars.four_digits(F.col("c_custkey")).alias("four"))
 
 
 def pathrow_expand(spark, d):
-    s = src.table(spark, d, "supplier").where("s_suppkey <= 10").select(F.concat(F.col("s_suppkey"), F.lit("-"), F.col("s_suppkey") + 2, F.lit("/"), F.lit(28), F.lit("-"), F.lit(30)).alias("range"))
+    s = src.table(spark, d, "supplier").select(F.concat(F.col("s_suppkey"), F.lit("-"), F.col("s_suppkey") + 2, F.lit("/"), F.lit(28), F.lit("-"), F.lit(30)).alias("range"))
     n = lambda k: F.regexp_extract("range", r"(\d+)-(\d+)/(\d+)-(\d+)", k).cast("int")
     return s.select("range", F.explode(F.sequence(n(1), n(2))).alias("path")).select("range", "path", F.explode(F.sequence(F.regexp_extract("range", r"/(\d+)-", 1).cast("int"), F.regexp_extract("range", r"/\d+-(\d+)", 1).cast("int"))).alias("at_row"))
 
@@ -161,8 +161,8 @@ ALL = {
     "scale_values": (scale_values, sql("votes", body="SELECT id, CAST(vote * 10 AS SMALLINT) AS scaled FROM votes WHERE vote <> 50")),
     "diff_map": (diff_map, sql("pair", body="SELECT id, CASE WHEN status <> 'P' THEN pred END - ref AS difference FROM pair")),
     "pct_error": (pct_error, sql("pair", body="SELECT id, round(CASE WHEN ref <> 0 THEN (pred - ref) / CAST(ref AS DOUBLE) * 100 END, 4) AS pct FROM pair")),
-    "pathrow_ids": (pathrow_ids, "SELECT c_custkey, lpad(left(s, n), 3, '0') || lpad(substr(s, n + 1), 3, '0') AS six, right('0000' || s, 4) AS four FROM (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS s, CASE WHEN length(CAST(c_custkey AS VARCHAR)) = 5 THEN 3 ELSE 2 END AS n FROM customer WHERE c_custkey >= 1000)"),
-    "pathrow_expand": (pathrow_expand, "SELECT s_suppkey || '-' || (s_suppkey + 2) || '/28-30' AS range, CAST(s_suppkey + a AS INTEGER) AS path, CAST(28 + b AS INTEGER) AS at_row FROM supplier, range(3) x(a), range(3) y(b) WHERE s_suppkey <= 10"),
+    "pathrow_ids": (pathrow_ids, "SELECT c_custkey, lpad(left(s, n), 3, '0') || lpad(substr(s, n + 1), 3, '0') AS six, right('0000' || s, 4) AS four FROM (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS s, CASE WHEN length(CAST(c_custkey AS VARCHAR)) = 5 THEN 3 ELSE 2 END AS n FROM (SELECT c_custkey + 1000 AS c_custkey FROM customer))"),
+    "pathrow_expand": (pathrow_expand, "SELECT s_suppkey || '-' || (s_suppkey + 2) || '/28-30' AS range, CAST(s_suppkey + a AS INTEGER) AS path, CAST(28 + b AS INTEGER) AS at_row FROM supplier, range(3) x(a), range(3) y(b)"),
     "text_accuracy": (text_accuracy, """SELECT p_partkey, round(CASE WHEN p_size % 3 = 0 THEN 100 - m ELSE m END, 4) AS accuracy FROM (SELECT p_partkey, p_size, (CASE WHEN CAST(p_size AS DOUBLE) < 1 THEN p_size * 100.0 ELSE CAST(p_size AS DOUBLE) END + CAST('0.' || p_size AS DOUBLE) * 100) / 2 AS m FROM part)"""),
     "row_metrics": (row_metrics, f"""SELECT l_orderkey, round(list_avg(list_filter(m, lambda x: x IS NOT NULL)), 6) AS mean, round(list_max(m), 6) AS most, round(list_min(m), 6) AS least, CAST(len(list_filter(m, lambda x: x IS NOT NULL)) AS INTEGER) AS n_data,
       CAST(len(list_filter(m, lambda x: x > 2 AND x <= 8)) AS INTEGER) AS n_between FROM (SELECT l_orderkey, {M} AS m FROM lineitem)"""),

@@ -38,7 +38,7 @@ def test_same_rows(spark, duck, name):
     a = sorted(tuple(told(v) for v in r) for r in ours.select(columns).collect())
     b = sorted(tuple(told(v) for v in r) for r in duck.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM theirs").fetchall())
     assert a == b
-    assert a
+    assert a or name == "empty_tiles_anti"  # no tile is empty at this scale
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
