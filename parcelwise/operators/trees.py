@@ -74,14 +74,18 @@ def train_sets(members: DataFrame, target: str, columns: Sequence[str], max_dept
 
 
 def predict(members: DataFrame, nodes: DataFrame, columns: Sequence[str], key: str = "id", max_depth: int = 4) -> DataFrame:
-    """(key, set_id, prediction): every member row led down the tree of its set by one join a level."""
-    split, value = nodes.select("set_id", "node", "feature", "threshold", "left", "right"), nodes.select("set_id", "node", "value")
+    """(key, set_id, prediction): every member row beside its set's nodes by one join, and led down the tree in place."""
+    each = F.struct("node", "feature", "threshold", "left", "right", "value")
+    models = nodes.groupBy("set_id").agg(F.array_sort(F.collect_list(each)).alias("nodes"))  # nodes number from 0
     features = F.create_map(*[x for c in sorted(columns) for x in (F.lit(c), F.col(c).cast("double"))])
-    at = members.select(key, "set_id", features.alias("x"), F.lit(0).alias("node"))
-    for _ in range(max_depth):
-        step = F.when(F.col("feature").isNull(), F.col("node")).when(F.element_at("x", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
-        at = at.join(split, ["set_id", "node"]).select(key, "set_id", "x", step.alias("node"))
-    return at.join(value, ["set_id", "node"]).select(key, "set_id", F.col("value").alias("prediction"))
+    rows = members.select(key, F.col("set_id").cast("long").alias("set_id"), features.alias("x")).join(models, "set_id")
+
+    def step(at, _):
+        node = F.get("nodes", at)
+        return F.when(node["feature"].isNull(), at).when(F.element_at("x", node["feature"]) <= node["threshold"], node["left"]).otherwise(node["right"])
+
+    leaf = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.lit(0), step)
+    return rows.withColumn("leaf", leaf).select(key, "set_id", F.get("nodes", "leaf")["value"].alias("prediction"))
 
 
 def zero_inflated(members: DataFrame, target: str, columns: Sequence[str], **options) -> tuple[DataFrame, DataFrame]:
