@@ -1,9 +1,9 @@
 """Personal data: spans of fixed forms, and terms that disclose them by what the corpus shows of both together.
 
 DataFrame functions only. A term's disclosure of a protected value e is the share of e's information that it gives
-away: PMI(term, e) / IC(e) with PMI = log2(N c(term, e) / (c(term) c(e))) and IC = log2(N / c(e)), where N, c(.) count
-distinct lines of the corpus and c(term, e) counts those with the term at most ``REACH`` characters from e. Copies of a
-line count once. Terms of at least ``min_support`` such lines and a disclosure of at least ``generalise_at`` are
+away: PMI(term, e) / IC(e) with PMI = log2(N c(term, e) / (c(term) c(e))) and IC = log2(N / c(e)), where N and c(.)
+count lines of the corpus and c(term, e) counts those with the term at most ``REACH`` characters from e. Terms of at
+least ``min_support`` such lines, copies of a line not counted, and a disclosure of at least ``generalise_at`` are
 generalised wherever they stand; from ``remove_at`` on they are removed.
 """
 
@@ -21,21 +21,29 @@ FORMS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text must hold for any match of a form to pass its check; cheaper to look for than the form.
+HINTS = {
+    "email": "contains({}, '@')",
+    "ip": r"{} RLIKE r'[0-9]\.[0-9]++\.[0-9]++\.[0-9]'",
+    "card": r"{} RLIKE r'(?:[0-9][\x20-]?){{13}}[0-9]'",
+    "phone": r"contains({}, '+') AND {} RLIKE r'\+[0-9]'",
+}
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 #: A term: a run of three letters or more that isn't part of a longer name, number or address.
-TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}(?![\p{L}\p{N}@_%+-]|\.[\p{L}\p{N}])"
+BEFORE, AFTER = r"(?<![\p{L}\p{N}@._%+-])", r"(?![\p{L}\p{N}@_%+-]|\.[\p{L}\p{N}])"
+TERM = BEFORE + r"\p{L}{3,}" + AFTER
 REACH = 64
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def found(text: str, pattern: str) -> Column:
-    """All matches of a pattern (SQL text of the column and of the pattern) as (start, end, value), in code points, end exclusive.
+def found(text: str, pattern: str, hint: str) -> Column:
+    """All matches of a pattern (SQL text of the column and of the pattern) as (start, end, value), in code points, end exclusive; none unless ``hint`` holds.
 
     What stands between matches and the matches themselves, laid end to end, give the positions.
     """
     return F.expr(f"""
-    CASE WHEN {text} RLIKE {pattern} THEN
+    CASE WHEN {hint} THEN
       aggregate(arrays_zip(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0)),
         struct(0 AS at, CAST(array() AS {SPAN}) AS spans),
         (a, x) -> struct(a.at + char_length(x.`0`) + coalesce(char_length(x.`1`), 0) AS at,
@@ -71,7 +79,7 @@ def small(part: Column) -> Column:
 
 def base_spans(text: str) -> dict[str, Column]:
     """For each kind the spans of its form in a column (named in SQL) that pass its check."""
-    spans = {kind: found(text, quoted(form)) for kind, form in FORMS.items()}
+    spans = {kind: found(text, quoted(form), HINTS[kind].format(*[text] * 2)) for kind, form in FORMS.items()}
     return {
         "email": spans["email"],
         "ip": F.filter(spans["ip"], lambda s: F.forall(F.split(s["value"], r"\."), small)),
@@ -80,43 +88,42 @@ def base_spans(text: str) -> dict[str, Column]:
     }
 
 
-def distinct_lines(rows: DataFrame) -> DataFrame:
+def lines_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.split("text", "\n", -1)).alias("line"))
 
 
 def disclosing(rows: DataFrame, min_support: int, generalise_at: float, remove_at: float, broadcast_rows: int) -> DataFrame | None:
     """(term, removed) for all terms over the thresholds; None if no term stands near one value in ``min_support`` lines."""
-    forms = " OR ".join(f"{{}} RLIKE {quoted(f)}" for f in FORMS.values())
-    near = rows.where(F.expr(forms.replace("{}", "text")))
-    near = distinct_lines(near).where(F.expr(forms.replace("{}", "line"))).distinct()
+    hints = " OR ".join(f"({h})" for h in HINTS.values())
+    near = rows.where(F.expr(hints.format(*["text"] * 5)))
+    near = lines_of(near).where(F.expr(hints.format(*["line"] * 5))).groupBy("line").agg(F.count("*").alias("copies"))
     spans = base_spans("line")
-    near = near.select("line", F.explode(F.concat(*[spans[k] for k in FORMS])).alias("s"))
+    near = near.select("line", "copies", F.explode(F.concat(*[spans[k] for k in FORMS])).alias("s"))
     left = F.expr(f"substring(line, greatest(s.start - {REACH}, 0) + 1, least(s.start, {REACH}))")
     right = F.expr(f"substring(line, s.end + 1, {REACH})")
     # a word that the window cuts is left out
     left = F.when(F.col("s.start") > REACH, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
     right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
-    near = near.select(F.xxhash64("line").alias("line"), F.lower("s.value").alias("value"), F.lower(F.concat_ws("\n", left, right)).alias("around"))
-    near = near.groupBy("value", "line").agg(F.flatten(F.collect_set(F.expr(f"regexp_extract_all(around, {quoted(TERM)}, 0)"))).alias("terms"))
-    near = written(near.select("value", F.array_distinct("terms").alias("terms")), "contexts")
-    values = near.groupBy("value").agg(F.count("*").alias("c_value")).where(F.col("c_value") >= min_support)
-    pairs = near.join(values, "value").select("value", "c_value", F.explode("terms").alias("term"))
-    pairs = written(pairs.groupBy("term", "value").agg(F.count("*").alias("c_both"), F.first("c_value").alias("c_value")).where(F.col("c_both") >= min_support), "pairs")
+    near = near.select(F.xxhash64("line").alias("line"), "copies", F.lower("s.value").alias("value"), F.lower(F.concat_ws("\n", left, right)).alias("around"))
+    near = near.groupBy("value", "line").agg(F.max("copies").alias("copies"), F.flatten(F.collect_set(F.expr(f"regexp_extract_all(around, {quoted(TERM)}, 0)"))).alias("terms"))
+    near = written(near.select("value", "copies", F.array_distinct("terms").alias("terms")), "contexts")
+    values = near.groupBy("value").agg(F.sum("copies").alias("c_value"), F.count("*").alias("support")).where(F.col("support") >= min_support).drop("support")
+    pairs = near.join(values, "value").select("value", "c_value", "copies", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("term", "value").agg(F.sum("copies").alias("c_both"), F.count("*").alias("support"), F.first("c_value").alias("c_value"))
+    pairs = written(pairs.where(F.col("support") >= min_support).drop("support"), "pairs")
     n_pairs = pairs.count()
     if not n_pairs:
         return None
-    terms = pairs.select("term").distinct()
-    lines = distinct_lines(rows).select(F.xxhash64("line").alias("line"), F.lower("line").alias("low"))
-    seen = lines.select("line", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(low, {quoted(TERM)}, 0)"))).alias("term"))
-    seen = seen.join(F.broadcast(terms) if n_pairs < broadcast_rows else terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("c_term"))
-    total = lines.select("line").distinct().count()
+    lines = lines_of(rows)
+    seen = lines.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(line), {quoted(TERM)}, 0)"))).alias("term")).groupBy("term").agg(F.count("*").alias("c_term"))
+    total = lines.count()
     share = F.log2(F.lit(float(total)) * F.col("c_both") / (F.col("c_term") * F.col("c_value"))) / F.log2(F.lit(float(total)) / F.col("c_value"))
-    over = pairs.join(seen, "term").where(F.col("c_value") < total).withColumn("share", share).where(F.col("share") >= generalise_at)
+    over = seen.join(F.broadcast(pairs) if n_pairs < broadcast_rows else pairs, "term").where(F.col("c_value") < total).withColumn("share", share).where(F.col("share") >= generalise_at)
     return over.groupBy("term").agg((F.max("share") >= remove_at).alias("removed"))
 
 
 def detect(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95, broadcast_rows: int = 200_000
+    documents: DataFrame, key: str = "doc_id", text: str = "text", min_support: int = 5, generalise_at: float = 0.8, remove_at: float = 0.95, broadcast_rows: int = 200_000
 ) -> DataFrame:
     """All columns of ``documents`` as the struct ``row``, ``text``, and for each kind an array of (start, end, value), ``removed`` too for terms.
 
@@ -136,7 +143,9 @@ def detect(
     if where.count() < broadcast_rows:
         where = F.broadcast(where)
     joined = spans.join(where, F.col("key").eqNullSafe(F.col("said_key")) & (F.col("tie") == F.col("said_tie")), "left")
-    positions = found("text", quoted("(?i)" + TERM))
+    # a pattern of the row's own terms, letters only
+    own = f"concat({quoted('(?iu)' + BEFORE + '(?:')}, array_join(transform(said, t -> t.term), '|'), {quoted(')' + AFTER)})"
+    positions = found("text", own, "size(said) > 0")
     marked = F.flatten(
         F.transform(positions, lambda s: F.transform(F.filter("said", lambda t: t["term"] == F.lower(s["value"])), lambda t: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), t["removed"].alias("removed"))))
     )
