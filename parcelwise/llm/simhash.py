@@ -12,7 +12,7 @@ from .common import chunks, written
 from .graph import components, local_components
 from .words import Words, byte_sizes, mixed, windows
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 #: Fingerprints in a shard, about, and those on which the shards' tree is fitted.
 SHARD_POINTS = 8192
 SAMPLE = 4096
@@ -22,11 +22,11 @@ LEAF_POINTS = 192
 def voted(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For groups of hashes that start there and have so many members: a bit is set if it is in over half of the group."""
     votes = np.zeros((len(starts), 64), np.int64)
-    step = 500_000
+    step = 65_536
     for at in range(0, len(hashes), step):
         bits = np.unpackbits(hashes[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         low, high = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, at + len(bits), side="left")
-        votes[low:high] += np.add.reduceat(bits, np.maximum(starts[low:high] - at, 0), axis=0, dtype=np.int64)
+        votes[low:high] += np.add.reduceat(bits, np.maximum(starts[low:high] - at, 0), axis=0, dtype=np.int32)
     return np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 

@@ -24,7 +24,7 @@ from .words import mixed
 WINDOW, STRIDE, BAG = 64, 48, 8
 #: Width of a state in one direction, of a word's vector, of an n-gram's vector, and of the attention.
 STATE, WORD, CHARS, ATTEND = 8, 8, 16, 8
-CHUNK_CHARS, BATCH, CACHED_WORDS = 3_000_000, 2048, 250_000
+CHUNK_CHARS, BATCH, CACHED_WORDS = 1_500_000, 2048, 120_000
 #: N-grams are told apart by this many bits of a hash.
 BUCKET_BITS, FACTOR = 20, np.uint64(0x9E3779B97F4A7C15)
 LETTERS = re.compile(r"[^\W\d_]+")
