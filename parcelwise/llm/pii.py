@@ -92,8 +92,8 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.split("text", "\n", -1)).alias("line"))
 
 
-def disclosing(rows: DataFrame, min_support: int, generalise_at: float, remove_at: float, broadcast_rows: int) -> DataFrame | None:
-    """(term, removed) for all terms over the thresholds; None if no term stands near one value in ``min_support`` lines."""
+def disclosing(rows: DataFrame, min_support: int, generalise_at: float, remove_at: float, broadcast_rows: int) -> DataFrame:
+    """(term, removed) for all terms over the thresholds."""
     hints = " OR ".join(f"({h})" for h in HINTS.values())
     near = rows.where(F.expr(hints.format(*["text"] * 5)))
     near = lines_of(near).where(F.expr(hints.format(*["line"] * 5))).groupBy("line").agg(F.count("*").alias("copies"))
@@ -112,8 +112,6 @@ def disclosing(rows: DataFrame, min_support: int, generalise_at: float, remove_a
     pairs = pairs.groupBy("term", "value").agg(F.sum("copies").alias("c_both"), F.count("*").alias("support"), F.first("c_value").alias("c_value"))
     pairs = written(pairs.where(F.col("support") >= min_support).drop("support"), "pairs")
     n_pairs = pairs.count()
-    if not n_pairs:
-        return None
     lines = lines_of(rows)
     seen = lines.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(line), {quoted(TERM)}, 0)"))).alias("term")).groupBy("term").agg(F.count("*").alias("c_term"))
     total = lines.count()
@@ -134,8 +132,6 @@ def detect(
     terms = disclosing(rows.select("text"), min_support, generalise_at, remove_at, broadcast_rows)
     spans = rows.select("row", "key", "tie", "text", *[c.alias(k) for k, c in base_spans("text").items()])
     none = F.array().cast("array<struct<start:int,end:int,value:string,removed:boolean>>")
-    if terms is None:
-        return spans.withColumn("term", none).drop("key", "tie")
     terms = written(terms, "terms")
     where = rows.select("key", "tie", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(text), {quoted(TERM)}, 0)"))).alias("term"))
     where = where.join(F.broadcast(terms) if terms.count() < broadcast_rows else terms, "term").groupBy("key", "tie").agg(F.collect_set(F.struct("term", "removed")).alias("said"))
