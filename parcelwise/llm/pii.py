@@ -2,9 +2,12 @@
 
 DataFrame functions only. A term's disclosure of a protected value e is the share of e's information that it gives
 away: PMI(term, e) / IC(e) with PMI = log2(N c(term, e) / (c(term) c(e))) and IC = log2(N / c(e)), where N and c(.)
-count lines of the corpus and c(term, e) counts those with the term at most ``REACH`` characters from e. Terms of at
-least ``min_support`` such lines, copies of a line not counted, and a disclosure of at least ``generalise_at`` are
-generalised wherever they stand; from ``remove_at`` on they are removed.
+count lines of the corpus and c(term, e) counts those of e with the term at most ``REACH`` characters away, in the line
+or in the two before and after it. Terms of at least ``min_support`` such lines, copies of a line among the same lines
+not counted, and a disclosure of at least ``generalise_at`` are generalised wherever they stand; from ``remove_at`` on
+they are removed. A disclosure over few lines lets a term stand in many others by chance, so a term of fewer than
+``firm_support`` lines must also have ``least_given`` of all its lines at e. One line alone discloses nothing: each rare
+word beside a value would count.
 """
 
 from __future__ import annotations
@@ -92,36 +95,46 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.split("text", "\n", -1)).alias("line"))
 
 
-def disclosing(rows: DataFrame, min_support: int, generalise_at: float, remove_at: float, broadcast_rows: int) -> DataFrame:
+def placed_lines(rows: DataFrame) -> DataFrame:
+    """(before, line, after): each line with the ends of the two lines before and after it that lie within ``REACH``."""
+    end = lambda i: f"right(get(lines, i - {i}), {REACH + 1})"
+    begin = lambda i: f"left(get(lines, i + {i}), {REACH + 1})"
+    placed = f"transform(lines, (x, i) -> named_struct('before', concat_ws('\n', {end(2)}, {end(1)}), 'line', x, 'after', concat_ws('\n', {begin(1)}, {begin(2)})))"
+    return rows.select(F.split("text", "\n", -1).alias("lines")).select(F.inline(F.expr(placed)))
+
+
+def disclosing(rows: DataFrame, min_support: int, generalise_at: float, remove_at: float, broadcast_rows: int, firm_support: int, least_given: float) -> DataFrame:
     """(term, removed) for all terms over the thresholds."""
     hints = " OR ".join(f"({h})" for h in HINTS.values())
     near = rows.where(F.expr(hints.format(*["text"] * 5)))
-    near = lines_of(near).where(F.expr(hints.format(*["line"] * 5))).groupBy("line").agg(F.count("*").alias("copies"))
+    near = placed_lines(near).where(F.expr(hints.format(*["line"] * 5))).groupBy("before", "line", "after").agg(F.count("*").alias("copies"))
     spans = base_spans("line")
-    near = near.select("line", "copies", F.explode(F.concat(*[spans[k] for k in FORMS])).alias("s"))
-    left = F.expr(f"substring(line, greatest(s.start - {REACH}, 0) + 1, least(s.start, {REACH}))")
-    right = F.expr(f"substring(line, s.end + 1, {REACH})")
+    near = near.select("before", "line", "after", "copies", F.explode(F.concat(*[spans[k] for k in FORMS])).alias("s"))
+    left = F.expr(f"right(concat(before, '\n', substring(line, greatest(s.start - {REACH + 1}, 0) + 1, least(s.start, {REACH + 1}))), {REACH + 1})")
+    right = F.expr(f"left(concat(substring(line, s.end + 1, {REACH + 1}), '\n', after), {REACH + 1})")
     # a word that the window cuts is left out
-    left = F.when(F.col("s.start") > REACH, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
-    near = near.select(F.xxhash64("line").alias("line"), "copies", F.lower("s.value").alias("value"), F.lower(F.concat_ws("\n", left, right)).alias("around"))
-    near = near.groupBy("value", "line").agg(F.max("copies").alias("copies"), F.flatten(F.collect_set(F.expr(f"regexp_extract_all(around, {quoted(TERM)}, 0)"))).alias("terms"))
+    left = F.when(F.length(left) > REACH, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
+    right = F.when(F.length(right) > REACH, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
+    near = near.select(F.xxhash64("before", "line", "after").alias("place"), "copies", F.lower("s.value").alias("value"), F.lower(F.concat_ws("\n", left, right)).alias("around"))
+    near = near.groupBy("value", "place").agg(F.max("copies").alias("copies"), F.flatten(F.collect_set(F.expr(f"regexp_extract_all(around, {quoted(TERM)}, 0)"))).alias("terms"))
     near = written(near.select("value", "copies", F.array_distinct("terms").alias("terms")), "contexts")
-    values = near.groupBy("value").agg(F.sum("copies").alias("c_value"), F.count("*").alias("support")).where(F.col("support") >= min_support).drop("support")
-    pairs = near.join(values, "value").select("value", "c_value", "copies", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("term", "value").agg(F.sum("copies").alias("c_both"), F.count("*").alias("support"), F.first("c_value").alias("c_value"))
-    pairs = written(pairs.where(F.col("support") >= min_support).drop("support"), "pairs")
+    values = near.groupBy("value").agg(F.sum("copies").alias("c_value"))
+    pairs = near.select("value", "copies", F.explode("terms").alias("term")).groupBy("term", "value").agg(F.sum("copies").alias("c_both"), F.count("*").alias("support"))
+    pairs = written(pairs.where(F.col("support") >= min_support).join(values, "value"), "pairs")
     n_pairs = pairs.count()
     lines = lines_of(rows)
     seen = lines.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(line), {quoted(TERM)}, 0)"))).alias("term")).groupBy("term").agg(F.count("*").alias("c_term"))
     total = lines.count()
-    share = F.log2(F.lit(float(total)) * F.col("c_both") / (F.col("c_term") * F.col("c_value"))) / F.log2(F.lit(float(total)) / F.col("c_value"))
+    # lines of e may share a neighbour that has the term
+    both = F.least("c_both", "c_term")
+    share = F.log2(F.lit(float(total)) * both / (F.col("c_term") * F.col("c_value"))) / F.log2(F.lit(float(total)) / F.col("c_value"))
     over = seen.join(F.broadcast(pairs) if n_pairs < broadcast_rows else pairs, "term").where(F.col("c_value") < total).withColumn("share", share).where(F.col("share") >= generalise_at)
+    over = over.where((F.col("support") >= firm_support) | (both >= least_given * F.col("c_term")))
     return over.groupBy("term").agg((F.max("share") >= remove_at).alias("removed"))
 
 
 def detect(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", min_support: int = 5, generalise_at: float = 0.8, remove_at: float = 0.95, broadcast_rows: int = 200_000
+    documents: DataFrame, key: str = "doc_id", text: str = "text", min_support: int = 2, generalise_at: float = 0.8, remove_at: float = 0.95, broadcast_rows: int = 200_000, firm_support: int = 5, least_given: float = 0.5
 ) -> DataFrame:
     """All columns of ``documents`` as the struct ``row``, ``text``, and for each kind an array of (start, end, value), ``removed`` too for terms.
 
@@ -129,7 +142,7 @@ def detect(
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(key).alias("key"), F.xxhash64(whole).alias("tie"), whole.alias("text"))
-    terms = disclosing(rows.select("text"), min_support, generalise_at, remove_at, broadcast_rows)
+    terms = disclosing(rows.select("text"), min_support, generalise_at, remove_at, broadcast_rows, firm_support, least_given)
     spans = rows.select("row", "key", "tie", "text", *[c.alias(k) for k, c in base_spans("text").items()])
     none = F.array().cast("array<struct<start:int,end:int,value:string,removed:boolean>>")
     terms = written(terms, "terms")

@@ -199,6 +199,15 @@ def test_terms_that_disclose(spark):
     assert "Zorblax" not in clean[0] and "[EMAIL]" in clean[0]
 
 
+def test_terms_of_two_lines_disclose(spark):
+    rows = [(0, "Call Zorblax now at joe@site.example for item0."), (1, "We met Quindle here\n\njoe@site.example\nand then zorblax left"), (2, "Quindle asks joe@site.example"), (3, "Unrelated zorblax text"), (4, "lone Wexford at once@site.example")]
+    # a line copied with all around it is one line; a word of many other lines discloses nothing by two
+    rows += [(k, "first\nVarnop two@site.example\nlast") for k in (5, 6)] + [(k, f"Common three@site.example {k}") for k in (7, 8)] + [(k, f"call now here for common line {k}") for k in range(9, 80)]
+    spans = {r.doc_id: r.spans for r in pii.summary(pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    terms = {k: [rows[k][1][int(a) : int(b)] for kind, a, b in (s.split(":") for s in v.split(",") if v) if kind == "term"] for k, v in spans.items()}
+    assert terms == {k: [] for k in range(80)} | {0: ["Zorblax"], 1: ["Quindle", "zorblax"], 2: ["Quindle"], 3: ["zorblax"]}
+
+
 def test_exact_top_k(spark):
     rng = np.random.default_rng(2)
     vecs = [(int(k), [float(x) for x in v]) for k, v in enumerate(rng.integers(-3, 4, (400, 6)) / 256)]
