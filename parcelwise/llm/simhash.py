@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import chunks, taken, written
 from .graph import components, local_components
 from .words import Words, byte_sizes, mixed, windows
 
@@ -198,26 +198,60 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 WIDE, MEETINGS = 4, 4
 
 
-def wide_fingerprints(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text a fingerprint of ``WIDE`` words over its shingles of ``size`` words, and ``MEETINGS`` least hashes of them."""
+def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, shingle): the distinct hashes of each text's shingles of ``size`` words, text by text in rising order."""
     hashes = words.hashes()
     at, shingle = windows(words, size, hashes, 0x9FB21C651E98DF25)
     # a text of fewer words is one shingle
     short = np.flatnonzero((words.count > 0) & (words.count < size))
     of = [mixed(np.array([int(h) for h in hashes[words.base[k] : words.base[k] + words.count[k]]], np.uint64) + np.arange(words.count[k], dtype=np.uint64)).sum(dtype=np.uint64) for k in short.tolist()]
     doc, shingle = np.r_[words.doc[at], short], np.r_[shingle, np.array(of, np.uint64)]
-    order = np.argsort(doc, kind="stable")
+    order = np.lexsort((shingle, doc))
     doc, shingle = doc[order], shingle[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (shingle[1:] != shingle[:-1])
+    return doc[new], shingle[new]
+
+
+def wide_fingerprints(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text a number for its set of shingles, a fingerprint of ``WIDE`` words over the set, and ``MEETINGS`` least hashes of it."""
+    doc, shingle = shingle_sets(words, size)
     n = np.bincount(doc, minlength=len(words.count))
     some = np.flatnonzero(n)
     starts = (np.cumsum(n) - n)[some]
     prints, least = np.zeros((len(n), WIDE), np.uint64), np.zeros((len(n), MEETINGS), np.uint64)
+    node = np.zeros(len(n), np.uint64)
     if len(some):
+        node[some] = np.add.reduceat(mixed(shingle ^ np.uint64(0xE7037ED1A0B428DB)), starts)
         for k in range(WIDE):
             prints[some, k] = voted(mixed(shingle + np.uint64(k)), starts, n[some])
         for k in range(MEETINGS):
             least[some, k] = np.minimum.reduceat(mixed(shingle ^ np.uint64(0xA0761D6478BD642F * (k + 1) % 2**64)), starts)
-    return prints, least
+    return node, prints, least
+
+
+def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For sets of distinct hashes: the smallest number joined with each by links of a Jaccard similarity of at least ``similarity``."""
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    label, held = np.arange(len(sets)), np.zeros(len(values), bool)
+    for k in range(len(sets) - 1):
+        # members of one component need no further link
+        rest = k + 1 + np.flatnonzero(label[k + 1 :] != label[k])
+        rest = rest[np.minimum(size[rest], size[k]) >= similarity * np.maximum(size[rest], size[k])]
+        if not len(rest):
+            continue
+        own = ids[start[k] : start[k] + size[k]]
+        held[own] = True
+        index, n = taken(size, rest)
+        both = np.add.reduceat(held[ids[index]], np.cumsum(n) - n, dtype=np.int64)
+        held[own] = False
+        near = label[rest[both >= similarity * (size[k] + n - both)]]
+        if len(near):
+            join = np.isin(label, np.r_[near, label[k]])
+            label[join] = label[join].min()
+    return label
 
 
 def linked_wide(prints: np.ndarray, reach: int) -> np.ndarray:
@@ -233,13 +267,15 @@ def linked_wide(prints: np.ndarray, reach: int) -> np.ndarray:
     return label
 
 
-def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, candidate_reach: int = 64) -> DataFrame:
     """The rows of ``documents``, all columns as they were, without all but one of each near-duplicate group.
 
-    Texts link where their fingerprints of ``64 * WIDE`` bits, over shingles of ``size`` words, agree in at least
-    ``similarity`` of the bits. At that radius all distances to a vantage point overlap, so a vantage-point tree prunes
-    nothing; fingerprints meet by ``MEETINGS`` least shingle hashes instead, where texts of similarity 0.8 miss each
-    other less than twice in a thousand. Equal fingerprints count once.
+    Texts link where the Jaccard similarity of their sets of shingles of ``size`` words is at least ``similarity``.
+    Candidates are found by fingerprints of ``64 * WIDE`` bits over the sets, of which texts of similarity 0.8 differ in
+    39 bits and, but for a few in a million, in at most ``candidate_reach``. At that radius all distances to a vantage
+    point overlap, so a vantage-point tree prunes nothing; fingerprints meet by ``MEETINGS`` least shingle hashes
+    instead, where texts of similarity 0.8 miss each other less than twice in a thousand. The sets of each group of
+    candidates are then compared themselves. Equal sets count once.
 
     The row of the smallest key stays (null first, then the smaller hash of the text); of rows equal in both, any one.
     Texts without words, null ones too, are copies of each other.
@@ -247,16 +283,14 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", size
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     key_type = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.xxhash64(whole).alias("tie"), whole.alias("text"))
-    reach = int((1 - similarity) * 64 * WIDE)
-
     def run(batches):
         for table in chunks(batches, byte_sizes, CHUNK_BYTES):
-            prints, least = wide_fingerprints(Words(table["text"], lower=True), size)
+            node, prints, least = wide_fingerprints(Words(table["text"], lower=True), size)
             fixed = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.record_batch({"key": table["key"].combine_chunks(), "tie": table["tie"].combine_chunks(), "print": fixed(prints), "least": fixed(least)})
+            yield pa.record_batch({"key": table["key"].combine_chunks(), "tie": table["tie"].combine_chunks(), "node": pa.array(node.view(np.int64)), "print": fixed(prints), "least": fixed(least)})
 
-    prints = written(rows.mapInArrow(run, f"key {key_type}, tie long, print binary, least binary"), "wide")
-    nodes = prints.groupBy("print").agg(F.first("least").alias("least")).withColumn("node", F.xxhash64("print"))
+    prints = written(rows.mapInArrow(run, f"key {key_type}, tie long, node long, print binary, least binary"), "wide")
+    nodes = prints.groupBy("node").agg(F.first("print").alias("print"), F.first("least").alias("least"))
 
     def deal(batches):
         for b in batches:
@@ -277,18 +311,37 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", size
         fps = np.frombuffer(b"".join(table["print"].to_pylist()), np.uint64).reshape(-1, WIDE)[order]
         begin = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
         end = np.r_[begin[1:], len(block)]
-        a, b = [], []
+        groups, members = [], []
         for i, j in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
-            label = linked_wide(fps[i:j], reach)
-            some = np.flatnonzero(label != np.arange(j - i))
-            a.append(node[i:j][some])
-            b.append(node[i:j][label[some]])
-        if a:
-            yield pa.record_batch({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+            label = linked_wide(fps[i:j], candidate_reach)
+            some = np.flatnonzero(np.bincount(label, minlength=j - i)[label] > 1)
+            # the same candidates met in another block make the same group
+            group = np.zeros(j - i, np.uint64)
+            np.add.at(group, label[some], mixed(node[i:j][some].view(np.uint64)))
+            groups.append(group[label[some]].view(np.int64))
+            members.append(node[i:j][some])
+        if groups:
+            yield pa.record_batch({"group": pa.array(np.concatenate(groups)), "node": pa.array(np.concatenate(members))})
+
+    def sets(batches):
+        for table in chunks(batches, byte_sizes, CHUNK_BYTES):
+            doc, shingle = shingle_sets(Words(table["text"], lower=True), size)
+            cuts = np.searchsorted(doc, np.arange(table.num_rows + 1)).tolist()
+            yield pa.record_batch({"node": table["node"].combine_chunks(), "shingles": pa.array([shingle[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())})
+
+    def verify(table: pa.Table) -> pa.Table:
+        node, every = table["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        label = linked_sets(every, similarity)
+        some = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": pa.array(node[some]), "b": pa.array(node[label[some]])})
 
     schema = "block long, node long, print binary"
-    stars = components(nodes.mapInArrow(deal, schema).repartition("block").mapInArrow(meet, "a long, b long"))
-    rooted = prints.withColumn("node", F.xxhash64("print")).join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    candidates = written(nodes.mapInArrow(deal, schema).repartition("block").mapInArrow(meet, "group long, node long").distinct(), "candidates")
+    first = prints.join(candidates.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("key", "tie")).alias("of")).select("node", F.col("of.key").alias("of_key"), F.col("of.tie").alias("of_tie"))
+    said = rows.join(first, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("tie") == F.col("of_tie"))).select("node", "text").mapInArrow(sets, "node long, shingles binary")
+    compared = candidates.join(said.dropDuplicates(["node"]), "node").groupBy("group").applyInArrow(lambda table: verify(table), "a long, b long")
+    stars = components(compared)
+    rooted = prints.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = rooted.groupBy("root").agg(F.min(F.struct("key", "tie")).alias("kept"))
     kept = roots.select(F.col("kept.key").alias("_kept_key"), F.col("kept.tie").alias("_kept_tie"))
     marked = documents.withColumn("_kept_by", F.xxhash64(whole))

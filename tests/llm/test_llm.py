@@ -154,6 +154,23 @@ def test_one_of_each_group_stays(spark):
     assert kept == {*range(29), 90, None}
 
 
+def test_groups_hold_only_what_the_shingles_link(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+        rows.append((2 * k, " ".join(words)))
+        for at in rng.sample(range(4, 196, 6), 1 + k % 10):
+            words[at] = "changed"
+        rows.append((2 * k + 1, " ".join(words)))
+    rows += [(200, "one two three four five " * 9 + "six"), (201, "one two three four five")]
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in rows for w in [t.split()]}
+    alike = lambda k: len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1])
+    assert sum(0.6 <= alike(2 * k) < 0.8 for k in range(60)) > 20
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {200, 201} | {2 * k for k in range(60)} | {2 * k + 1 for k in range(60) if alike(2 * k) < 0.8}
+
+
 def test_lines_of_a_host(spark):
     frame = "All rights reserved"
     rows = [(k, "a", f"{frame}\n\nown line {k}\n {frame} ") for k in range(8)] + [(10, "a", frame), (11, "a", None), (12, None, frame), (13, "b", "x\nx\nx"), (14, "a", "")]
