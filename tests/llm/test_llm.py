@@ -1,6 +1,7 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, each operator against brute force."""
 
 import hashlib
+import html as entities
 import random
 import re
 import struct
@@ -283,6 +284,47 @@ def test_wrappers_mark_optional_and_repeated_parts():
     assert first[html.CHILDREN][1][html.FLAGS] & html.REPEATED and first[html.CHILDREN][0][html.CHILDREN][0][html.FIXED] is None
 
 
+def article_of(page):
+    """The article of a page of the synthetic tables, by patterns alone."""
+    body = re.search(r"<article>(.*?)(?:</article>|<footer>)", page, re.S)[1]
+    body = re.sub(r"</?b>|<!--.*?-->", "", re.sub(r"<(script|style).*?</\1>", "", body, flags=re.S), flags=re.S)
+    return " ".join(entities.unescape(re.sub(r"<[^>]+>", " ", body)).split())
+
+
+def test_main_text_of_the_synthetic_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("key", F.lit(1)).withColumn("rule", F.lit("x")).withColumn("host", F.lit(2))
+    want = {r.page_id: article_of(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in html.main_text(pages).collect()} == want
+    assert {r.page_id: r.text for r in html.main_text(pages.repartition(7), broadcast_bytes=0).collect()} == want
+
+
+def test_what_a_host_always_says_is_not_main_text(spark):
+    page = lambda k: f"<body><div class=x1>Welcome to our pages</div><article><div class=q7>Read this first</div><p>Own text {k} of it<p>and more {k * k}" + "<div class=q9>Was changed later</div>" * (k % 2) + "</article><div class=x2>Buy at our shop</div></body>"
+    rows = [(k, "http://h.example/a", page(k)) for k in range(12)] + [(k, "http://copies.example/a", page(3)) for k in range(20, 32)] + [(40, "http://few.example", page(3))]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[k] == f"Own text {k} of it and more {k * k}" for k in range(12))
+    # copies of one page, or few pages, don't show what is fixed
+    assert got[20] == got[40] == "Read this first Own text 3 of it and more 9 Was changed later"
+
+
+def test_names_of_parts_count_only_as_a_whole():
+    page = "<body><article><p>a <span class='share'>x <b>y</b></span> b<div class='form-of-life'>kept</div><div class='comment-list'>no<div>no</div></div><p>c</article></body>"
+    tree = html.parsed(page)
+    assert html.extracted(tree, html.rule(html.wrapper(tree))) == "a b kept c"
+
+
+def test_deep_and_wide_pages():
+    for page, want in (
+        ("<p>t" + "<span class=ad>" * 5000 + "y" + "</span>" * 5000 + " tail", "t tail"),
+        ("<article>" + "<section>" * 5000 + "deep" + "</section>" * 5000 + "<p>after", "deep after"),
+        ("".join(f"<section class=c{chr(97 + k % 26)}{chr(97 + k // 26)}>s{k}</section>" for k in range(600)), " ".join(f"s{k}" for k in range(600))),
+        ("<p>" * 20000 + "x", "x"),
+    ):
+        tree = html.parsed(page)
+        whole = html.merged(html.wrapper(tree), html.wrapper(tree))
+        assert html.extracted(tree, html.rule(whole)) == want
+
+
 def test_toxicity_learns_and_holds(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("aeiou" if k % 2 else "bcdfglmnprst") for k in range(rng.randint(3, 9)))
