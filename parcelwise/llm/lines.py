@@ -29,25 +29,30 @@ def content_lines(text):
     return F.filter(F.transform(all_lines(text), F.trim), lambda x: x != "")
 
 
-def drop_boilerplate(documents: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """``documents`` with ``text`` less its boilerplate lines, and the columns _lines and _dropped (LONG) counting lines that aren't blank.
+def cleaned(documents: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """(row, n_lines, n_dropped): each row of ``documents`` as a struct with its text less its boilerplate lines, its lines that aren't blank, and those dropped.
 
-    A page is a row; a line counts once a page, compared without spaces at its ends. A page whose every line would go
-    keeps them all: frames surround content, so such a page is content that was copied. Blank lines stay. A null text
-    stays null and counts as a page without lines; pages of a null host form a host of their own; repeated rows count
-    as pages each. Further columns are kept as they are.
+    A line is dropped if it stands on more than ``max_ratio`` of its host's pages and on ``min_pages`` at least: a share
+    of fewer pages tells nothing. A page is a row, so repeated rows count as pages each; a line counts once a page,
+    compared without spaces at its ends; a page of such lines alone is left empty but for its blank lines, which stay. A
+    null text stays null and counts as a page without lines; pages of a null host form a host of their own. An empty
+    table gives an empty one. All other columns stay as they are, whatever their names.
     """
-    found = written(boilerplate(documents, host, text, max_ratio, min_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_common")), "boilerplate")
-    held = found.agg(F.sum(8 * F.size("_common") + F.coalesce(F.octet_length(F.col("_host").cast("string")), F.lit(0)) + 32)).first()[0] or 0
-    marked = documents.join(F.broadcast(found) if held < broadcast_bytes else found, F.col(host).eqNullSafe(F.col("_host")), "left")
-    common = F.coalesce("_common", F.array().cast("array<bigint>"))
-    marked = marked.withColumns({"_lines": F.coalesce(F.size(content_lines(F.col(text))), F.lit(0)).cast("long"), "_common": common})
-    gone = F.filter(content_lines(F.col(text)), lambda x: F.array_contains("_common", F.xxhash64(x)))
-    marked = marked.withColumn("_dropped", F.when(F.col(text).isNull() | (F.size("_common") == 0), 0).otherwise(F.size(gone)).cast("long"))
-    marked = marked.withColumn("_dropped", F.when(F.col("_dropped") < F.col("_lines"), F.col("_dropped")).otherwise(F.lit(0).cast("long")))
-    kept = F.filter(all_lines(F.col(text)), lambda x: (F.trim(x) == "") | ~F.array_contains("_common", F.xxhash64(F.trim(x))))
-    cleaned = F.when(F.col("_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
-    return marked.withColumn(text, cleaned).drop("_host", "_common")
+    found = written(boilerplate(documents, host, text, max_ratio, min_pages).select("host", F.col("lines").alias("common")), "boilerplate")
+    held = found.agg(F.sum(8 * F.size("common") + F.coalesce(F.octet_length(F.col("host").cast("string")), F.lit(0)) + 32)).first()[0] or 0
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    own = F.col(f"row.`{text}`")
+    marked = rows.join((F.broadcast(found) if held < broadcast_bytes else found), F.col(f"row.`{host}`").eqNullSafe(F.col("host")), "left")
+    kept = F.filter(all_lines(own), lambda x: (F.trim(x) == "") | ~F.array_contains("common", F.xxhash64(F.trim(x))))
+    marked = marked.select("row", F.when(F.col("common").isNotNull(), F.array_join(kept, "\n")).otherwise(own).alias("kept"))
+    lines = lambda c: F.coalesce(F.size(content_lines(c)), F.lit(0)).cast("long")
+    row = F.struct(*[(F.col("kept") if c == text else F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
+    return marked.select(row.alias("row"), lines(own).alias("n_lines"), (lines(own) - lines(F.col("kept"))).alias("n_dropped"))
+
+
+def drop_boilerplate(documents: DataFrame, **options) -> DataFrame:
+    """``documents``, all columns, with ``text`` less its boilerplate lines as ``cleaned`` finds them."""
+    return cleaned(documents, **options).select("row.*")
 
 
 DROP_BOILERPLATE_SQL = """
@@ -66,7 +71,7 @@ sums AS (
          string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT common) AS kept
   FROM marked GROUP BY doc_id)
 SELECT d.doc_id, CAST(s.n_lines AS BIGINT) AS n_lines,
-       CAST(CASE WHEN s.n_common < s.n_lines THEN s.n_common ELSE 0 END AS BIGINT) AS n_dropped,
-       CASE WHEN s.n_common > 0 AND s.n_common < s.n_lines THEN s.kept ELSE d.text END AS text
+       CAST(s.n_common AS BIGINT) AS n_dropped,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(s.kept, '') END AS text
 FROM documents d JOIN sums s USING (doc_id)
 """

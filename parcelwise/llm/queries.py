@@ -61,8 +61,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lines
 
-    cleaned = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+    cleaned = lines.cleaned(table(spark, sf_dir, "documents"))
+    return cleaned.select("row.doc_id", "n_lines", "n_dropped", "row.text")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,12 +174,15 @@ def test_groups_hold_only_what_the_shingles_link(spark):
 
 def test_lines_of_a_host(spark):
     frame = "All rights reserved"
-    rows = [(k, "a", f"{frame}\n\nown line {k}\n {frame} ") for k in range(8)] + [(10, "a", frame), (11, "a", None), (12, None, frame), (13, "b", "x\nx\nx"), (14, "a", "")]
+    rows = [(k, "a", f"{frame}\n\nown line {k}\n {frame} ") for k in range(8)] + [(10, "a", frame), (11, "a", None), (12, None, frame), (13, "b", "x\nx\nx"), (14, "a", ""), (15, "a", "own\n" * 50_000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = {r.doc_id: (r._lines, r._dropped, r.text) for r in lines.drop_boilerplate(df).collect()}
-    assert got[3] == (3, 2, "\nown line 3") and got[10] == (1, 0, frame) and got[11] == (0, 0, None) and got[12] == (1, 0, frame) and got[13] == (3, 0, "x\nx\nx") and got[14] == (0, 0, "")
+    got = {r.row.doc_id: (r.n_lines, r.n_dropped, r.row.text) for r in lines.cleaned(df).collect()}
+    assert got[3] == (3, 2, "\nown line 3") and got[10] == (1, 1, "") and got[11] == (0, 0, None) and got[12] == (1, 0, frame) and got[13] == (3, 0, "x\nx\nx") and got[14] == (0, 0, "") and got[15] == (50_000, 0, "own\n" * 50_000)
     assert lines.drop_boilerplate(df, broadcast_bytes=0).exceptAll(lines.drop_boilerplate(df)).isEmpty()
     assert lines.drop_boilerplate(df.limit(0)).isEmpty()
+    clashing = df.withColumns({c: F.lit(k) for k, c in enumerate(("host", "common", "lines", "row", "n_lines", "_host", "_lines"))})
+    assert lines.drop_boilerplate(clashing).drop(*clashing.columns[3:]).exceptAll(lines.drop_boilerplate(df)).isEmpty()
+    assert lines.drop_boilerplate(clashing).columns == clashing.columns and lines.drop_boilerplate(clashing).select("common", "_lines").distinct().collect() == [(1, 6)]
 
 
 FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
