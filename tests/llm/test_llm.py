@@ -229,22 +229,36 @@ def test_terms_of_two_lines_disclose(spark):
     assert terms == {k: [] for k in range(80)} | {0: ["Zorblax"], 1: ["Quindle", "zorblax"], 2: ["Quindle"], 3: ["zorblax"]}
 
 
-def test_exact_top_k(spark):
+@pytest.mark.parametrize("bits", [8, 2])
+def test_exact_top_k(spark, bits):
     rng = np.random.default_rng(2)
-    vecs = [(int(k), [float(x) for x in v]) for k, v in enumerate(rng.integers(-3, 4, (400, 6)) / 256)]
-    vecs += [(1000, None), (1001, [float("nan")] * 6), (1002, [None] * 6), (3, vecs[3][1]), (1050, [0.01] * 5), (None, [0.0] * 6)]
+    vecs = [(int(k), [float(x) for x in v]) for k, v in enumerate(rng.integers(-300, 301, (400, 6)) / 256)]
+    vecs += [(k, vecs[k - 20][1]) for k in range(400, 420)]
+    vecs += [(1000, None), (1001, [float("nan")] * 6), (1002, [None] * 6), (1003, []), (3, vecs[3][1]), (7, vecs[8][1]), (100, vecs[100][1]), (1050, [0.01] * 5), (None, [0.0] * 6)]
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
-    rows = df.select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
+    rows = df.select("vec_id", topk.scaled(F.col("embedding")).alias("vector")).withColumns({c: F.lit(1) for c in ("row", "cells", "query", "id")})
     got = {}
-    for r in topk.exact_top_k(rows, F.col("vec_id") % 50 == 0).collect():
+    for r in topk.exact_top_k(rows, F.col("vec_id") % 50 == 0, bits=bits).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    whole = {k: np.floor(256 * np.array(v)).astype(int) for k, v in vecs[:400]}
-    for q in range(0, 400, 50):
-        best = sorted(((-int(whole[q] @ v), k) for k, v in whole.items() if k != q))[:5]
+    whole = [(k, np.floor(256 * np.array(v)).astype(int)) for k, v in vecs if k is not None and v and len(v) == 6 and v[0] is not None and np.isfinite(v[0])]
+    first = dict(reversed(whole))
+    assert set(got) == set(range(0, 420, 50))
+    for q in got:
+        best = sorted(((-int(first[q] @ v), k) for k, v in whole if k != q))[:5]
         assert sorted(got[q]) == [(i + 1, k, -s) for i, (s, k) in enumerate(best)]
     assert 1050 not in got and topk.exact_top_k(rows.limit(0), F.col("vec_id") % 50 == 0).isEmpty()
 
 
+def test_top_k_of_huge_and_constant_numbers(spark):
+    rows = [(k, [(k * 37 % 11 - 5) * 10**7, 10**7]) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<bigint>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.exact_top_k(df, F.col("vec_id") == 0, k=3).collect()}
+    best = sorted((-(rows[0][1][0] * v[0] + rows[0][1][1] * v[1]), k) for k, v in rows[1:])[:3]
+    assert got == {(0, i + 1): (k, -s) for i, (s, k) in enumerate(best)}
+    few = topk.exact_top_k(df.where("vec_id < 3").withColumn("vector", F.array(F.lit(1), F.lit(1)).cast("array<bigint>")), F.lit(True))
+    assert sorted(map(tuple, few.collect())) == [(0, 1, 1, 2), (0, 2, 2, 2), (1, 1, 0, 2), (1, 2, 2, 2), (2, 1, 0, 2), (2, 2, 1, 2)]
+
+
 def test_vector_duplicates(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((900, 32))
