@@ -216,10 +216,26 @@ def test_terms_that_disclose(spark):
     spans = {r.doc_id: r.spans for r in pii.summary(found).collect()}
     assert spans[99] == "term:0:7" and spans[None] == "term:0:7" and spans[100] == "" and spans[50] == "" and "term:5:12" in spans[0]
     clean = {r.doc_id: r.text for r in pii.sanitised(found).collect()}
-    assert clean[99] == "[RELATED], the man. Zorblaxian no" and clean[100] is None and clean[50] == "call now at home for line 50"
+    assert clean[99] == "[EMAIL RELATED], the man. Zorblaxian no" and clean[100] is None and clean[50] == "call now at home for line 50"
     assert "Zorblax" not in clean[0] and "[EMAIL]" in clean[0]
 
 
+def test_many_matches_and_clashing_columns(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, "é! a@b.c, 1.2.3.4\n" * n, 7, "x")], "doc_id long, text string, said long, row string").withColumns({c: F.lit(c) for c in ("key", "tie", "spans", "clean", "email")})
+        start = time.time()
+        r = pii.summary(pii.detect(df)).first()
+        clean = pii.sanitised(pii.detect(df))
+        assert (r.n_email, r.n_ip) == (n, n) and r.spans.startswith("email:3:8,ip:10:17,email:21:26")
+        assert clean.first().text == "é! [EMAIL], [IP]\n" * n and clean.columns == df.columns and clean.first().email == "email"
+        return time.time() - start
+
+    took(10)
+    assert took(16_000) < 5 * took(2_000) + 10
+
+
 def test_terms_of_two_lines_disclose(spark):
     rows = [(0, "Call Zorblax now at joe@site.example for item0."), (1, "We met Quindle here\n\njoe@site.example\nand then zorblax left"), (2, "Quindle asks joe@site.example"), (3, "Unrelated zorblax text"), (4, "lone Wexford at once@site.example")]
     # a line copied with all around it is one line; a word of many other lines discloses nothing by two
