@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .common import written
 from .graph import components, local_components
 
-#: Vectors on which lists and codebooks are fitted, members wanted in a list, and members compared in one task.
-SAMPLE, LIST_SIZE, BLOCK = 16_384, 256, 2048
-MOST_LISTS = 4096
+#: Vectors on which lists and codebooks are fitted: this many, more for more lists, up to a bound; members wanted in a list; members compared in one task.
+SAMPLE, MOST_SAMPLE, LIST_SIZE, BLOCK = 16_384, 131_072, 256, 2048
+#: Lists at most, an eighth of the greatest sample: beyond some four million vectors lists grow, and work with them.
+MOST_LISTS = 16_384
 SUBSPACES, CODES = 8, 256
 
 
@@ -58,28 +59,27 @@ class Index:
         """Residuals as codes, and how far each is from what its codes say."""
         codes = np.stack([nearest(rest[:, p], book) for p, book in zip(self.parts, self.books, strict=True)], axis=1)
         said = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
-        return codes, np.linalg.norm(rest - said, axis=1)
+        return codes.astype(np.uint8), np.linalg.norm(rest - said, axis=1)
 
 
-def links_in_block(index: Index, number: int, home: np.ndarray, vectors: np.ndarray, weight: np.ndarray, back: np.ndarray, least: float):
+def links_in_block(index: Index, number: int, own: np.ndarray, codes: np.ndarray, off: np.ndarray, vectors: np.ndarray, weight: np.ndarray, back: np.ndarray, least: float):
     """For one block of a list: the links that each row of it sees, and the smallest row number joined with it.
 
-    ``home``: rows of the block's own members, the others only visit. A member sees a visitor only where ``back`` says
-    that the visitor's list isn't probed by the member, which would see it there.
+    ``own``: rows of the block's members, with their codes and how far off those are; the others only visit. A member
+    sees a visitor only where ``back`` says that the visitor's list isn't probed by the member, which would see it there.
     """
-    own = np.flatnonzero(home)
     centre = index.centres[number]
-    codes, off = index.codes(vectors[own] - centre)
     count = np.zeros(len(vectors), np.int64)
     label = np.arange(len(vectors))
+    # a product is off by no more than its member's code is, and by the rounding of floats
+    bound = (least - off - 1e-5).astype(np.float32)[:, None]
     step = max(1, 400_000 // max(len(own), 1))
     for at in range(0, len(vectors), step):
         queries = vectors[at : at + step]
-        near = np.repeat((queries @ centre)[:, None], len(own), axis=1)
+        near = np.repeat((queries @ centre).astype(np.float32)[None, :], len(own), axis=0)
         for m, (part, book) in enumerate(zip(index.parts, index.books, strict=True)):
-            near += (queries[:, part] @ book.T)[:, codes[:, m]]
-        # a product is off by no more than its member's code is
-        q, p = np.nonzero(near + off + 1e-9 >= least)
+            near += (book @ queries[:, part].T).astype(np.float32)[codes[:, m]]
+        p, q = np.nonzero(near >= bound)
         apart = own[p] != q + at
         q, p = q[apart], p[apart]
         for k in range(0, len(q), 100_000):
@@ -87,13 +87,45 @@ def links_in_block(index: Index, number: int, home: np.ndarray, vectors: np.ndar
             linked = np.einsum("ij,ij->i", vectors[a], vectors[b]) >= least
             a, b = a[linked], b[linked]
             np.add.at(count, a, weight[b])
-            seen = back[a, p[k : k + 100_000][linked]] if back is not None and len(a) else np.zeros(len(a), bool)
+            seen = back[a, p[k : k + 100_000][linked]] if len(a) else np.zeros(0, bool)
             np.add.at(count, b[seen], weight[a[seen]])
-            joined = local_components(len(vectors), np.r_[a, np.flatnonzero(label != np.arange(len(label)))], np.r_[b, label[label != np.arange(len(label))]])
-            label = joined
+            label = local_components(len(vectors), np.r_[a, np.flatnonzero(label != np.arange(len(label)))], np.r_[b, label[label != np.arange(len(label))]])
     return count, label
 
 
+def canonical(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v): each vector's numbers as bytes in their own precision, null if it links with nothing."""
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
+    width = np.float32 if kind == "float" else np.float64
+    id_type = vectors.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            column = b["v"]
+            flat = column.flatten()
+            x = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(width) + width(0)  # no negative zeros
+            n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(n)
+            some = np.flatnonzero(n)
+            bad = np.ones(len(n), bool)
+            if len(some):
+                starts = (ends - n)[some]
+                bad[some] = ~np.logical_and.reduceat(np.isfinite(x), starts) | ~np.logical_or.reduceat(x != 0, starts)
+            bad |= np.array(b["id"].is_null())
+            raw = x.tobytes()
+            size = x.itemsize
+            yield pa.record_batch({"id": b["id"], "v": pa.array([None if no else raw[size * (e - k) : size * e] for no, e, k in zip(bad.tolist(), ends.tolist(), n.tolist(), strict=True)], pa.binary())})
+
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast(f"array<{'float' if width == np.float32 else 'double'}>").alias("v"))
+    return rows.mapInArrow(run, f"id {id_type}, v binary").withColumn("digest", F.unhex(F.left(F.sha2("v", 256), F.lit(32))))
+
+
+def unit(column, width) -> np.ndarray:
+    """Vectors of one length in double precision, of length one."""
+    x = np.frombuffer(b"".join(column.to_pylist()), width).astype(np.float64).reshape(len(column), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95, slack: float = 3.0) -> DataFrame:
     """(``key``, n_links, component_id, kept) for each row.
 
@@ -101,81 +133,88 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     visits every list whose border lies within ``slack`` standard deviations of a neighbour's offset, which finds nearly
     all. Equal vectors meet as one with a weight, so all links between them count. Rows whose vector is null, empty,
     zero or holds null or non-finite components link with nothing and are their own component; rows with a null key
-    link with nothing and are not kept. Rows equal in key and vector count as rows each; further columns are ignored.
+    link with nothing and are not kept. Rows equal in key and vector count as rows each; vectors of different lengths
+    aren't compared; further columns are ignored; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.withColumn("v", F.when(~bad & F.exists("v", lambda x: x != 0), F.col("v")))
-    rows = rows.withColumn("v", F.when(F.col("id").isNotNull(), F.transform("v", lambda x: x + 0.0)))
-    usable = rows.where("v IS NOT NULL")
-    reps = written(usable.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.size("v")), "vectors")
+    width = np.float32 if vectors.schema[vector].dataType.elementType.simpleString() == "float" else np.float64
+    rows = written(canonical(vectors, key, vector), "rows")
+    reps = rows.where("v IS NOT NULL").groupBy("v", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    reps = written(reps.withColumn("dim", F.octet_length("v") / width().itemsize), "reps")
     dims = reps.groupBy("dim").agg(F.count("*").alias("n")).collect()  # one row for each length of vectors
-    parts = [links_of_length(reps.where(F.col("dim") == d), d, n, least, slack) for d, n in dims]
-    seen = parts[0] if parts else spark.createDataFrame([], f"rep {rows.schema['id'].dataType.simpleString()}, other {rows.schema['id'].dataType.simpleString()}, n long")
+    parts = [links_of_length(reps.where(F.col("dim") == d), int(d), n, least, slack, width) for d, n in dims]
+    id_type = rows.schema["id"].dataType.simpleString()
+    seen = parts[0] if parts else spark.createDataFrame([], f"rep {id_type}, other {id_type}, n long")
     for more in parts[1:]:
         seen = seen.unionAll(more)
     seen = written(seen, "seen")
     counts = seen.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = components(seen.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    about = reps.select("v", "rep", "weight").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    about = about.select("v", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    out = rows.join(about, "v", "left")
-    out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    about = reps.select("digest", "rep", "weight").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    about = about.select("digest", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    linked = rows.where("v IS NOT NULL").select("id", "digest").join(about, "digest").select("id", "n_links", "component_id")
+    alone = rows.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("id").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def links_of_length(reps: DataFrame, dim: int, n: int, least: float, slack: float) -> DataFrame:
-    """(rep, other, n): what the vectors of one length see of each other, by rows from each block."""
+def links_of_length(reps: DataFrame, dim: int, n: int, least: float, slack: float, width) -> DataFrame:
+    """(rep, other, n): what the vectors of one length see of each other, by rows from each block.
+
+    Codes are kept in a table of their own with the lists; a block gets its members' codes, with their vectors for the
+    rerank, and its visitors' vectors.
+    """
     spark = reps.sparkSession
-    sample = np.array([r[0] for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()], float).reshape(-1, dim)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    lists = int(min(MOST_LISTS, -(-n // LIST_SIZE)))
+    size = min(MOST_SAMPLE, max(SAMPLE, 8 * lists))
+    sample = unit(pa.array([r[0] for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(size).select("v").collect()], pa.binary()), width)
     reach = slack * np.sqrt(max(0.0, 2 - 2 * least) / dim)
-    index = spark.sparkContext.broadcast(Index(sample, int(min(MOST_LISTS, -(-n // LIST_SIZE))), reach))
+    index = spark.sparkContext.broadcast(Index(sample, lists, reach))
     id_type = reps.schema["rep"].dataType.simpleString()
 
-    def unit(column) -> np.ndarray:
-        x = column.flatten().to_numpy().reshape(len(column), dim)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def homes(batches):
+    def coded(batches):
         for b in batches:
-            home, _ = index.value.probes(unit(b["v"]))
-            yield pa.record_batch({"list": pa.array(home)})
+            x = unit(b["v"], width)
+            home, _ = index.value.probes(x)
+            codes, off = index.value.codes(x - index.value.centres[home])
+            yield pa.record_batch({"rep": b["rep"], "weight": b["weight"], "v": b["v"], "list": pa.array(home), "codes": pa.array([r.tobytes() for r in codes], pa.binary()), "off": pa.array(off)})
 
-    sizes = reps.select("v").mapInArrow(homes, "list long").groupBy("list").agg(F.count("*").alias("n")).collect()  # MOST_LISTS rows at most
+    codes = written(reps.select("rep", "weight", "v").mapInArrow(coded, f"rep {id_type}, weight long, v binary, list long, codes binary, off double"), "codes")
+    sizes = codes.groupBy("list").agg(F.count("*").alias("n")).collect()  # MOST_LISTS rows at most
     blocks = np.ones(len(index.value.centres), np.int64)
-    for number, size in sizes:
-        blocks[number] = -(-size // BLOCK)
+    for number, count in sizes:
+        blocks[number] = -(-count // BLOCK)
     shared = spark.sparkContext.broadcast(blocks)
 
     def deal(batches):
         for b in batches:
-            home, probe = index.value.probes(unit(b["v"]))
+            home, probe = index.value.probes(unit(b["v"], width))
             who, number = np.nonzero(probe)
             n_blocks = shared.value[number]
             who, number, first = np.repeat(who, n_blocks), np.repeat(number, n_blocks), np.cumsum(n_blocks) - n_blocks
             block = np.arange(len(who)) - np.repeat(first, n_blocks)
             at_home = (number == home[who]) & (block == (b["place"].to_numpy()[who] % shared.value[number]))
+            only = pa.array(np.where(at_home, who, 0), mask=~at_home)  # visitors need neither codes nor probes
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(probe.sum(axis=1))].astype(np.int32)), pa.array(np.nonzero(probe)[1].astype(np.int32)))
-            own = lists.take(pa.array(np.where(at_home, who, 0), mask=~at_home))  # visitors don't need theirs
-            yield pa.record_batch({"list": pa.array(number), "block": pa.array(block), "rep": b["rep"].take(pa.array(who)), "weight": b["weight"].take(pa.array(who)), "home": pa.array(at_home), "of": pa.array(home[who]), "probes": own, "v": b["v"].take(pa.array(who))})
+            every = pa.array(who)
+            yield pa.record_batch({"list": pa.array(number), "block": pa.array(block), "rep": b["rep"].take(every), "weight": b["weight"].take(every), "of": pa.array(home[who]), "codes": b["codes"].take(only), "off": b["off"].take(only), "probes": lists.take(only), "v": b["v"].take(every)})
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
-        home = table["home"].to_numpy(zero_copy_only=False)
-        vectors, of = unit(table["v"].combine_chunks()), table["of"].to_numpy()
-        number = table["list"][0].as_py()
-        if not home.any():
+        own = np.flatnonzero(table["codes"].combine_chunks().is_valid().to_numpy(zero_copy_only=False))
+        if not len(own):
             return pa.table({"rep": table["rep"].slice(0, 0), "other": table["rep"].slice(0, 0), "n": pa.array([], pa.int64())})
-        probed = np.zeros((int(home.sum()), len(index.value.centres)), bool)
-        own = table["probes"].combine_chunks().take(pa.array(np.flatnonzero(home)))
-        probed[np.repeat(np.arange(len(own)), own.value_lengths().to_numpy()), own.flatten().to_numpy()] = True
+        vectors, of, number = unit(table["v"], width), table["of"].to_numpy(), table["list"][0].as_py()
+        members = table.take(pa.array(own))
+        codes = np.frombuffer(b"".join(members["codes"].to_pylist()), np.uint8).reshape(len(own), -1)
+        probes = members["probes"].combine_chunks()
+        probed = np.zeros((len(own), len(index.value.centres)), bool)
+        probed[np.repeat(np.arange(len(own)), probes.value_lengths().to_numpy()), probes.flatten().to_numpy()] = True
         back = ~probed[:, of].T & (of != number)[:, None]
-        count, label = links_in_block(index.value, number, home, vectors, table["weight"].to_numpy(), back, least)
+        count, label = links_in_block(index.value, number, own, codes, members["off"].to_numpy(), vectors, table["weight"].to_numpy(), back, least)
         some = np.flatnonzero((count > 0) | (label != np.arange(len(label))))
         return pa.table({"rep": table["rep"].take(pa.array(some)), "other": table["rep"].take(pa.array(label[some])), "n": pa.array(count[some])})
 
-    schema = f"list long, block long, rep {id_type}, weight long, home boolean, of long, probes array<int>, v array<double>"
-    dealt = reps.select("v", "rep", "weight", F.abs(F.xxhash64("rep")).alias("place")).mapInArrow(deal, schema)
+    schema = f"list long, block long, rep {id_type}, weight long, of long, codes binary, off double, probes array<int>, v binary"
+    dealt = codes.select("v", "rep", "weight", "codes", "off", F.abs(F.xxhash64("rep")).alias("place")).mapInArrow(deal, schema)
     return dealt.groupBy("list", "block").applyInArrow(lambda table: compare(table), f"rep {id_type}, other {id_type}, n long")

@@ -78,8 +78,12 @@ def exact_top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vecto
 
     def approximated(batches):
         for b in batches:
-            cells = [((x - low[len(x)]) // width[len(x)]).astype(np.uint8).tobytes() for x in (np.array(v, np.int64) for v in b["vector"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.binary())], names=[*b.schema.names, "cells"])
+            n = b["vector"].value_lengths().to_numpy()
+            dims, which = np.unique(n, return_inverse=True)
+            lows, widths = (np.array([of[d] for d in dims.tolist()], np.int64)[which] for of in (low, width))
+            cells = ((b["vector"].flatten().to_numpy() - np.repeat(lows, n)) // np.repeat(widths, n)).astype(np.uint8)
+            ends = pa.py_buffer(np.r_[0, np.cumsum(n)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(cells)])], names=[*b.schema.names, "cells"])
 
     file = written(rows.mapInArrow(approximated, rows.withColumn("cells", F.lit(b"")).schema), "vectors")
     queries = written(file.where("query").groupBy("id", "vector", "dim").agg(F.min("row").alias("query")), "queries")

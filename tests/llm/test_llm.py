@@ -282,7 +282,10 @@ def test_vector_duplicates(spark):
     base[420:520] = base[200:300] + 0.1 * rng.standard_normal((100, 32))
     base[600:640] = base[7]
     rows = [(k, [float(x) for x in v]) for k, v in enumerate(base)] + [(2000, None), (2001, [0.0] * 32), (2002, [float("inf")] * 32), (2003, []), (2004, [None] * 32), (None, [1.0] * 32)]
-    got = {r.vec_id: r for r in pqdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    rows += [(2005, [1.0] * 8), (2006, [2.0] * 8), (2007, [None, *[1.0] * 31])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("v", "id", "rep", "list", "digest")})
+    got = {r.vec_id: r for r in pqdedup.near_duplicates(df).collect()}
+    assert len(got) == len(rows) and (got[2005].n_links, got[2006].component_id) == (1, 2005) and got[2007].n_links == 0
     unit = base / np.linalg.norm(base, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.95
     np.fill_diagonal(near, False)
