@@ -3,8 +3,10 @@
 A word enters as the mean of its character n-grams' vectors beside a vector of its own; runs of ``WINDOW`` words that
 overlap cover every text, and the network gives each window a logit. A text's score follows from its greatest logit
 and its number of windows by a logistic fit. Training, in numpy, takes a bounded sample of labelled rows: at most
-``per_class`` of each label, chosen by a hash of the key, and at most ``BAG`` windows of each. A text's label is
-explained by any of its windows (noisy or), since most words of a toxic text are harmless.
+``per_class`` of each label, chosen by a hash of the key. A text's label is explained by any of its windows (noisy or),
+since most words of a toxic text are harmless. A first round learns from ``windows`` windows of each text, evenly
+spread; Spark then scores every window of the sampled texts, and a second round learns from those that score most in
+each. The logistic fit rests on the greatest logit among all windows of each sampled text, as scores do.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_sizes
-from .common import chunks
+from .common import chunks, written
 from .words import mixed
 
-WINDOW, STRIDE, BAG = 64, 48, 8
+WINDOW, STRIDE = 64, 48
 #: Width of a state in one direction, of a word's vector, of an n-gram's vector, and of the attention.
 STATE, WORD, CHARS, ATTEND = 8, 8, 16, 8
 CHUNK_CHARS, BATCH, CACHED_WORDS = 1_500_000, 2048, 120_000
@@ -76,6 +78,15 @@ class Network:
         self.p |= {"A": draw(2 * STATE, ATTEND), "a": np.zeros(ATTEND, np.float32), "v": draw(ATTEND), "w": draw(2 * STATE), "c": np.full(1, -2, np.float32)}
         self.fit = np.array([1.0, 0.0, 0.0])
 
+    def grow(self, words: list[str], buckets: np.ndarray, seed: int = 4) -> None:
+        """Make room for more words and buckets."""
+        for w in words:
+            self.words.setdefault(w, len(self.words) + 1)
+        new = buckets[self.row[buckets] < 0]
+        self.row[new] = len(self.p["gram"]) + np.arange(len(new))
+        self.p["word"] = np.concatenate([self.p["word"], np.zeros((len(self.words) + 1 - len(self.p["word"]), WORD), np.float32)])
+        self.p["gram"] = np.concatenate([self.p["gram"], 0.1 * np.random.default_rng(seed).standard_normal((len(new), CHARS)).astype(np.float32)])
+
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of each word (0: unknown), its known n-grams end to end, and how many each has."""
         bucket, word = gram_buckets(words)
@@ -165,15 +176,18 @@ def prepared(texts: list[set[str]], vocabulary: list[str]) -> tuple[list[str], n
     return sorted(w for w, n in seen.items() if n >= 3), np.flatnonzero(counts >= 3)
 
 
-def train(bags: list[list[list[str]]], labels: np.ndarray, share: float, epochs: int = 4, least_steps: int = 240, seed: int = 5) -> Network:
-    """A network fitted to bags of windows, each a list of words; ``share``: of label 1 among all rows that the sample stands for."""
+def train(bags: list[list[list[str]]], labels: np.ndarray, net: Network | None = None, epochs: int = 2, least_steps: int = 120, rate: float = 0.01, seed: int = 5) -> Network:
+    """A network fitted to bags of windows, each a list of words, or ``net`` fitted further."""
     texts = [{w for x in bag for w in x} for bag in bags]
     vocabulary = list(dict.fromkeys(w for bag in bags for x in bag for w in x))
     number = {w: k for k, w in enumerate(vocabulary)}
-    net = Network(*prepared(texts, vocabulary))
+    if net is None:
+        net = Network(*prepared(texts, vocabulary))
+    else:
+        net.grow(*prepared(texts, vocabulary))
     every = net.features(vocabulary)
     begin = np.cumsum(every[2]) - every[2]
-    rows = [[np.array([number[w] for w in x], np.int64) for x in bag] for bag in bags]
+    rows = [[np.array([number[w] for w in x], np.int32) for x in bag] for bag in bags]
     rng = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -200,19 +214,12 @@ def train(bags: list[list[list[str]]], labels: np.ndarray, share: float, epochs:
             d_vectors = d_gates[:, : 3 * STATE] @ net.p["Wf"].T + d_gates[:, 3 * STATE :] @ net.p["Wb"].T
             g |= {"Wf": vectors.T @ d_gates[:, : 3 * STATE], "bf": d_gates[:, : 3 * STATE].sum(axis=0), "Wb": vectors.T @ d_gates[:, 3 * STATE :], "bb": d_gates[:, 3 * STATE :].sum(axis=0)}
             step += 1
-            rate = 0.01 * (1 - 0.8 * epoch / epochs)
+            now = rate * (1 - 0.7 * epoch / epochs)
             for k, grad in g.items():
-                adam(net.p[k], moments[k], grad, step, rate, slice(None))
+                adam(net.p[k], moments[k], grad, step, now, slice(None))
             known_words = np.flatnonzero(features[0])
-            sparse(net.p["word"], moments["word"], features[0][known_words], d_vectors[known_words, :WORD], step, rate)
-            sparse(net.p["gram"], moments["gram"], piece, np.repeat((d_vectors[:, WORD:] / np.maximum(n, 1)[:, None]).astype(np.float32), n, axis=0), step, rate)
-    gates = net.gates(net.vectors(every))
-    best, owner = np.full(len(rows), -np.inf), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    windows = [x for own in rows for x in own]
-    for at in range(0, len(windows), BATCH):
-        known, codes = padded(windows[at : at + BATCH])
-        np.maximum.at(best, owner[at : at + BATCH], net.logits(gates, np.r_[0, known + 1][codes]))
-    net.fit = calibrated(best, np.array([len(x) for x in rows]), labels, share)
+            sparse(net.p["word"], moments["word"], features[0][known_words], d_vectors[known_words, :WORD], step, now)
+            sparse(net.p["gram"], moments["gram"], piece, np.repeat((d_vectors[:, WORD:] / np.maximum(n, 1)[:, None]).astype(np.float32), n, axis=0), step, now)
     return net
 
 
@@ -262,10 +269,12 @@ def calibrated(logit: np.ndarray, n: np.ndarray, y: np.ndarray, share: float) ->
     return b
 
 
-def fit(documents: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1500) -> Network | None:
+def fit(documents: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1500, windows: int = 8) -> Network | None:
     """A network fitted to rows of ``documents`` whose key has a label 0 or 1 and for which ``usable`` (of the key) holds; None without both labels.
 
-    ``per_class`` bounds the labelled rows that reach the driver; each brings ``BAG`` windows of its text at most, evenly spread.
+    ``per_class`` bounds the labelled rows that are learnt from, ``windows`` what of each reaches the driver in a round;
+    every window of them is scored in Spark. Of rows that repeat a key the least text stands for all; a key with both
+    labels counts as 1. Rows without a usable label, null keys and further columns take no part; empty tables give None.
     """
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & usable).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     counts = {y: n for y, n in rows.groupBy("y").count().collect()}
@@ -273,22 +282,50 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, key: str = "doc
         return None
     rows = rows.withColumn("h", F.xxhash64(F.lit(11), "key"))
     chosen = rows.where("y = 0").orderBy("h").limit(per_class).unionAll(rows.where("y = 1").orderBy("h").limit(per_class))
-    texts = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen.select("key", "y", "h")), "key").select("h", "y", "text")
+    texts = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen.select("key", "y", "h")), "key")
+    sample = written(texts.groupBy("h", "y").agg(F.min("text").alias("text")), "sample")
 
-    def bags(batches):
+    def spread(batches):
         for b in batches:
             out = []
             for value in b["text"].to_pylist():
                 words = words_of(value)
                 starts = window_starts(len(words))
-                starts = starts[np.unique(np.linspace(0, len(starts) - 1, BAG).astype(int))]
+                starts = starts[np.unique(np.linspace(0, len(starts) - 1, windows).astype(int))]
                 out.append([" ".join(words[k : k + WINDOW]) for k in starts.tolist()])
             yield pa.record_batch({"h": b["h"], "y": b["y"], "bag": pa.array(out, pa.list_(pa.string()))})
 
-    got = sorted(texts.mapInArrow(bags, "h long, y int, bag array<string>").collect())
+    def scored(net: Network, most: int):
+        """For each sampled text its greatest logit, its number of windows, and the ``most`` windows that score most."""
+        shared = documents.sparkSession.sparkContext.broadcast(net)
+
+        def run(batches):
+            scorer = Scorer(shared.value)
+            for table in chunks(batches, text_sizes, CHUNK_CHARS):
+                texts = table["text"].to_pylist()
+                owner, first, logit = scorer.windows(texts)
+                order = np.lexsort((-logit, owner))
+                n = np.bincount(owner, minlength=len(texts))
+                begin = np.cumsum(n) - n
+                bags = []
+                for t, a, k in zip(texts, begin.tolist(), n.tolist(), strict=True):
+                    words = words_of(t) if most else []
+                    bags.append([" ".join(words[i : i + WINDOW]) for i in first[order[a : a + min(k, most)]].tolist()])
+                yield pa.record_batch({"h": table["h"].combine_chunks(), "y": table["y"].combine_chunks(), "best": pa.array(logit[order[begin]], pa.float64()), "n": pa.array(n), "bag": pa.array(bags, pa.list_(pa.string()))})
+
+        return sorted(sample.mapInArrow(run, "h long, y int, best double, n long, bag array<string>").collect())
+
+    def bags_of(got):
+        return [[x.split() for x in r.bag] for r in got], np.array([r.y for r in got])
+
+    got = sorted(sample.mapInArrow(spread, "h long, y int, bag array<string>").collect())
     if {r.y for r in got} != {0, 1}:
         return None
-    return train([[x.split() for x in r.bag] for r in got], np.array([r.y for r in got]), counts[1] / (counts[0] + counts[1]))
+    net = train(*bags_of(got))
+    net = train(*bags_of(scored(net, windows)), net=net, rate=0.005, seed=6)
+    last = scored(net, 0)
+    net.fit = calibrated(np.array([r.best for r in last]), np.array([r.n for r in last]), np.array([r.y for r in last]), counts[1] / (counts[0] + counts[1]))
+    return net
 
 
 class Scorer:
@@ -302,7 +339,8 @@ class Scorer:
         self.number: dict[str, int] = {}
         self.rows = [self.net.gates(np.zeros((0, WORD + CHARS), np.float32))]
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def windows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, first word, logit) of every window of every text, text by text."""
         if len(self.number) > CACHED_WORDS:
             self.forget()
         flat: list[str] = []
@@ -322,13 +360,20 @@ class Scorer:
         owner = np.repeat(np.arange(len(n)), [len(x) for x in starts])
         first = np.concatenate([np.zeros(0, np.int64), *starts])
         base = np.cumsum(n) - n
-        best = np.full(len(n), -np.inf)
+        logit = np.zeros(len(owner))
         for at in range(0, len(owner), BATCH):
             own, k = owner[at : at + BATCH], first[at : at + BATCH]
             place = np.arange(WINDOW)[None, :] + k[:, None]
             window = np.where(place < n[own][:, None], codes[np.minimum(base[own][:, None] + place, len(codes) - 1)], 0)
-            np.maximum.at(best, own, self.net.logits(gates, window))
-        x = np.stack([best, np.log(np.bincount(owner, minlength=len(n))), np.ones(len(n))], axis=1)
+            logit[at : at + BATCH] = self.net.logits(gates, window)
+        return owner, first, logit
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        owner, _, logit = self.windows(texts)
+        n = np.bincount(owner, minlength=len(texts))
+        best = np.full(len(n), -np.inf)
+        np.maximum.at(best, owner, logit)
+        x = np.stack([best, np.log(n), np.ones(len(n))], axis=1)
         return sigmoid(x @ self.net.fit)
 
 

@@ -378,10 +378,33 @@ def test_toxicity_learns_and_holds(spark):
     held = [k for k, _ in labels if zlib.crc32(str(k).encode()) % 5 == 0]
     right_ones = np.mean([(got[k] >= 0.5) == (k % 4 == 0) for k in held])
     assert right_ones > 0.93 and len(got) == 703 and all(0 <= x <= 1 for x in got.values())
-    assert toxicity.fit(df, lab.where("toxic = 0"), F.lit(True)) is None
+    # a text's score is that of its windows, one by one
+    scorer = toxicity.Scorer(net)
+    for k, text, _ in rows[:40]:
+        words = toxicity.words_of(text)
+        parts = [" ".join(words[a : a + toxicity.WINDOW]) for a in toxicity.window_starts(len(words)).tolist()]
+        best = max(scorer.windows([x])[2][0] for x in parts)
+        assert got[k] == pytest.approx(float(toxicity.sigmoid(np.array([best, np.log(len(parts)), 1.0]) @ net.fit)), abs=1e-5)
+    assert toxicity.fit(df, lab.where("toxic = 0"), F.lit(True)) is None and toxicity.fit(df.limit(0), lab, F.lit(True)) is None and toxicity.fit(df, lab.limit(0), F.lit(True)) is None
     assert toxicity.score(df, None).where("score <> 0").isEmpty()
 
 
+def test_a_toxic_passage_of_a_long_text_is_found(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeiou" if k % 2 else "bcdfglmnprst") for k in range(rng.randint(3, 9)))
+    rows = []
+    for k in range(500):
+        words = [word() for _ in range(rng.choice([60, 200, 3000]))]
+        if k % 3 == 0:
+            at = rng.randrange(len(words) - 40)
+            words[at : at + 40] = ["zkwx" + word()[:3] for _ in range(40)]
+        rows.append((k, " ".join(words), int(k % 3 == 0)))
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, toxic int")
+    net = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), ~queries.held_out("doc_id"))
+    got = {r.doc_id: r.score for r in toxicity.score(df, net).collect()}
+    assert np.mean([(got[k] >= 0.5) == bool(y) for k, _, y in rows if zlib.crc32(str(k).encode()) % 5 == 0]) > 0.93
+
+
 def test_gradients_match_differences():
     net = toxicity.Network(["aa", "bb"], np.arange(50))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
