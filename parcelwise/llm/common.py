@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """``df``, best a written table, to be broadcast in a join if it takes less than ``broadcast_bytes`` as text."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns))) + 48
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) < broadcast_bytes else df
+
+
 def packed(**columns) -> bytes:
     """Columns of equal length as one zstd-compressed Arrow message."""
     batch = pa.record_batch({k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in columns.items()})

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_side, written
 
 #: The forms, as the contract names them, written so that no match needs a retry; \G lets a match start where the last one ended.
 FORMS = {
@@ -153,12 +153,6 @@ def of_kind(kind: str):
     return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(kind).alias("kind"))
 
 
-def small_side(df: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """``df`` to be broadcast if its strings, numbers and arrays take less than ``broadcast_bytes``."""
-    size = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in df.columns), F.lit(48))
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) < broadcast_bytes else df
-
-
 def detect(
     documents: DataFrame, key: str = "doc_id", text: str = "text", min_support: int = 2, generalise_at: float = 0.8, remove_at: float = 0.95, broadcast_bytes: int = 32 << 20, firm_support: int = 5, least_given: float = 0.5
 ) -> DataFrame:

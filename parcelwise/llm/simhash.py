@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, taken, written
+from .common import chunks, small_side, taken, written
 from .graph import components, local_components
 from .words import Words, byte_sizes, mixed, windows
 
@@ -196,6 +197,8 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 #: Words of 64 bits in a wide fingerprint, and the MinHash values by which wide fingerprints meet.
 WIDE, MEETINGS = 4, 4
+#: Fingerprints of a block, and bytes of shingle sets, that meet in one task; larger blocks and groups are split.
+MEET, SET_BYTES = 4096, 16 << 20
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,21 +233,25 @@ def wide_fingerprints(words: Words, size: int) -> tuple[np.ndarray, np.ndarray,
     return node, prints, least
 
 
-def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For sets of distinct hashes: the smallest number joined with each by links of a Jaccard similarity of at least ``similarity``."""
+def linked_sets(sets: list[np.ndarray], similarity: float, label: np.ndarray, asking: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """For sets of distinct hashes: the smallest number joined with each by links of a Jaccard similarity of at least ``similarity``.
+
+    Sets of one ``label`` are joined already. Each set of ``asking`` is compared with those of ``home``.
+    """
     size = np.array([len(x) for x in sets])
     start = np.cumsum(size) - size
     values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    label, held = np.arange(len(sets)), np.zeros(len(values), bool)
-    for k in range(len(sets) - 1):
+    label, held = label.copy(), np.zeros(len(values), bool)
+    for k in asking.tolist():
         # members of one component need no further link
-        rest = k + 1 + np.flatnonzero(label[k + 1 :] != label[k])
+        rest = home[label[home] != label[k]]
         rest = rest[np.minimum(size[rest], size[k]) >= similarity * np.maximum(size[rest], size[k])]
         if not len(rest):
             continue
         own = ids[start[k] : start[k] + size[k]]
         held[own] = True
         index, n = taken(size, rest)
+        # no set is empty
         both = np.add.reduceat(held[ids[index]], np.cumsum(n) - n, dtype=np.int64)
         held[own] = False
         near = label[rest[both >= similarity * (size[k] + n - both)]]
@@ -254,19 +261,129 @@ def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
-def linked_wide(prints: np.ndarray, reach: int) -> np.ndarray:
-    """For fingerprints of one block: the smallest number joined with each by links of at most ``reach`` differing bits."""
+def linked_wide(prints: np.ndarray, asking: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
+    """For fingerprints: the smallest number joined with each by links of at most ``reach`` differing bits between one of ``asking`` and one of ``home``."""
     label = np.arange(len(prints))
-    step = max(1, 2_000_000 // len(prints))
-    for at in range(0, len(prints), step):
-        a, b = np.nonzero(np.bitwise_count(prints[at : at + step, None, 0] ^ prints[None, :, 0]) <= reach)
-        a, b = a[a + at < b] + at, b[a + at < b]
-        near = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= reach
+    step = max(1, 2_000_000 // max(1, len(home)))
+    for at in range(0, len(asking), step):
+        some = asking[at : at + step]
+        a, b = np.nonzero(np.bitwise_count(prints[some, None, 0] ^ prints[None, home, 0]) <= reach)
+        a, b = some[a], home[b]
+        near = (np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= reach) & (a != b)
         moved = np.flatnonzero(label != np.arange(len(label)))
         label = local_components(len(label), np.r_[a[near], moved], np.r_[b[near], label[moved]])
     return label
 
 
+def met(rows: DataFrame, member: str) -> DataFrame:
+    """Rows dealt to the tasks (i, j) of their block: as one of the block's home part i, met by every part j of the rows that ask, and, if it asks, as one of part j at every home part.
+
+    ``rows``: with ``parts`` home parts, ``asking_parts`` and ``asks``.
+    """
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda n, seed: F.pmod(F.xxhash64(F.col(member), F.lit(seed)), F.col(n))
+    home = rows.select("*", part("parts", 1).alias("i"), to("asking_parts").alias("j"), F.lit(True).alias("home"))
+    away = rows.where("asks").select("*", to("parts").alias("i"), part("asking_parts", 2).alias("j"), F.lit(False).alias("home"))
+    return home.unionByName(away)
+
+
+PRINT = [f"p{k}" for k in range(WIDE)]
+
+
+def candidate_links(nodes: DataFrame, reach: int) -> DataFrame:
+    """(a, b) that join the fingerprints (node, p0 ..., least) of at most ``reach`` differing bits that share a least hash.
+
+    A block of more than ``MEET`` fingerprints is first held against its smallest one. What lies near that is joined
+    by it; only the others go on to ask all parts of the block, so groups of copies take one step, however large.
+    """
+
+    def deal(batches):
+        for b in batches:
+            least = np.frombuffer(b"".join(b["least"].to_pylist()), np.uint64).reshape(-1, MEETINGS)
+            block = mixed(least + np.arange(MEETINGS, dtype=np.uint64)[None, :]).view(np.int64)
+            rows = pa.array(np.repeat(np.arange(len(least)), MEETINGS))
+            yield pa.record_batch({"block": pa.array(block.ravel()), "node": b["node"].take(rows)} | {p: b[p].take(rows) for p in PRINT})
+
+    dealt = written(nodes.mapInArrow(deal, "block long, node long, " + ", ".join(f"{p} long" for p in PRINT)), "dealt")
+    large = dealt.groupBy("block").agg(F.count("*").alias("n"), F.min(F.struct("node", *PRINT)).alias("first")).where(F.col("n") > MEET)
+    large = written(large.select("block", "n", F.col("first.node").alias("leader"), *[F.col(f"first.{p}").alias(f"l{p}") for p in PRINT]), "large")
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"l{p}"))) for p in PRINT), F.lit(0))
+    asks = F.coalesce(apart > reach, F.lit(False))
+    rows = dealt.join(small_side(large), "block", "left").withColumn("asks", asks).drop(*[f"l{p}" for p in PRINT])
+    led = rows.where("leader IS NOT NULL AND NOT asks AND node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    asking = small_side(written(rows.where("asks").groupBy("block").agg(F.count("*").alias("n_asking")), "asking"))
+    in_parts = lambda n: F.coalesce(F.ceil(F.col(n) / MEET), F.lit(1)).cast("long")
+    # large blocks that nothing asks are done
+    rows = rows.join(asking, "block", "left").where("n IS NULL OR n_asking > 0").withColumns({"parts": in_parts("n"), "asking_parts": in_parts("n_asking"), "whole": F.col("n").isNull()})
+
+    def meet(batches):
+        """Blocks of one partition, part by part; most are single fingerprints."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        block, i, j = (table[c].to_numpy() for c in ("block", "i", "j"))
+        order = np.lexsort((table["node"].to_numpy(), j, i, block))
+        block, i, j, node = block[order], i[order], j[order], table["node"].to_numpy()[order]
+        home, whole = (table[c].to_numpy(zero_copy_only=False)[order] for c in ("home", "whole"))
+        fps = np.stack([table[p].to_numpy()[order].view(np.uint64) for p in PRINT], axis=1)
+        begin = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        end = np.r_[begin[1:], len(block)]
+        left, right = [], []
+        for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
+            every = np.arange(b - a)
+            label = linked_wide(fps[a:b], every if whole[a] else every[~home[a:b]], every[home[a:b]], reach)
+            some = np.flatnonzero(label != every)
+            left.append(node[a:b][some])
+            right.append(node[a:b][label[some]])
+        if left:
+            yield pa.record_batch({"a": pa.array(np.concatenate(left)), "b": pa.array(np.concatenate(right))})
+
+    return led.unionByName(met(rows, "node").select("block", "i", "j", "node", "home", "whole", *PRINT).repartition("block", "i", "j").mapInArrow(meet, "a long, b long"))
+
+
+def verified_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) that join the members (node, group, shingles) of a group whose sets have a Jaccard similarity of at least ``similarity``.
+
+    All members are held against the group's smallest first; only those unlike it are compared with all others, in
+    parts of bounded size. Members that are joined already need no further link.
+    """
+    leaders = sets.where("node = group").select("group", F.col("shingles").alias("leader"))
+
+    def against(batches):
+        for b in batches:
+            near = []
+            for own, leader in zip(b["shingles"].to_pylist(), b["leader"].to_pylist(), strict=True):
+                x, y = np.frombuffer(own, np.uint64), np.frombuffer(leader, np.uint64)
+                small, large = min(len(x), len(y)), max(len(x), len(y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if small >= similarity * large else 0
+                near.append(both >= similarity * (small + large - both))
+            yield pa.record_batch({"node": b["node"], "group": b["group"], "asks": pa.array(~np.array(near, bool)), "octets": pc.binary_length(b["shingles"]).cast(pa.int64())})
+
+    told = written(sets.join(leaders, "group").select("node", "group", "shingles", "leader").mapInArrow(against, "node long, group long, asks boolean, octets long"), "against")
+    led = told.where("NOT asks AND node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
+    in_parts = lambda n: F.ceil(n / SET_BYTES).cast("long")
+    open_groups = told.groupBy("group").agg(in_parts(F.sum("octets")).alias("parts"), in_parts(F.sum(F.when(F.col("asks"), F.col("octets")))).alias("asking_parts")).where("asking_parts > 0")
+    rows = told.join(small_side(written(open_groups, "open")), "group").drop("octets")
+    rows = rows.join(sets.select("node", "shingles"), "node")
+
+    def verify(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["node"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        node, home, asks = (table[c].to_numpy(zero_copy_only=False) for c in ("node", "home", "asks"))
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        every = np.arange(len(node))
+        # a member that asks in its own part is there twice; those that don't ask are joined by the leader
+        label = np.unique(node, return_index=True)[1][np.unique(node, return_inverse=True)[1]]
+        label[~asks] = label[~asks].min(initial=len(node))
+        label = linked_sets(sets, similarity, label, every[~home], every[home])
+        some = np.flatnonzero(node[label] != node)
+        return pa.table({"a": pa.array(node[some]), "b": pa.array(node[label[some]])})
+
+    compared = met(rows, "node").groupBy("group", "i", "j").applyInArrow(lambda table: verify(table), "a long, b long")
+    return led.unionByName(compared)
+
+
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, candidate_reach: int = 64) -> DataFrame:
     """The rows of ``documents``, all columns as they were, without all but one of each near-duplicate group.
 
@@ -278,72 +395,39 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", size
     candidates are then compared themselves. Equal sets count once.
 
     The row of the smallest key stays (null first, then the smaller hash of the text); of rows equal in both, any one.
-    Texts without words, null ones too, are copies of each other.
+    Texts without words, null ones too, are copies of each other. Columns of any name stay; an empty table stays empty.
     """
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     key_type = documents.schema[key].dataType.simpleString()
-    rows = documents.select(F.col(key).alias("key"), F.xxhash64(whole).alias("tie"), whole.alias("text"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    whole = F.coalesce(F.col(f"row.`{text}`").cast("string"), F.lit(""))
+    rows = rows.select("row", F.col(f"row.`{key}`").alias("key"), F.xxhash64(whole).alias("tie"))
+    texts = rows.select("key", "tie", whole.alias("text"))
+
     def run(batches):
         for table in chunks(batches, byte_sizes, CHUNK_BYTES):
             node, prints, least = wide_fingerprints(Words(table["text"], lower=True), size)
-            fixed = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.record_batch({"key": table["key"].combine_chunks(), "tie": table["tie"].combine_chunks(), "node": pa.array(node.view(np.int64)), "print": fixed(prints), "least": fixed(least)})
+            columns = {"key": table["key"].combine_chunks(), "tie": table["tie"].combine_chunks(), "node": pa.array(node.view(np.int64))}
+            yield pa.record_batch(columns | {p: pa.array(prints[:, k].view(np.int64)) for k, p in enumerate(PRINT)} | {"least": pa.array([r.tobytes() for r in least], pa.binary())})
 
-    prints = written(rows.mapInArrow(run, f"key {key_type}, tie long, node long, print binary, least binary"), "wide")
-    nodes = prints.groupBy("node").agg(F.first("print").alias("print"), F.first("least").alias("least"))
-
-    def deal(batches):
-        for b in batches:
-            least = np.frombuffer(b"".join(b["least"].to_pylist()), np.uint64).reshape(-1, MEETINGS)
-            n = len(least)
-            block = mixed(least + np.arange(MEETINGS, dtype=np.uint64)[None, :]).view(np.int64)
-            rows = pa.array(np.repeat(np.arange(n), MEETINGS))
-            yield pa.record_batch({"block": pa.array(block.ravel()), "node": b["node"].take(rows), "print": b["print"].take(rows)})
-
-    def meet(batches):
-        """Blocks of one partition, whole; most are single fingerprints."""
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        order = np.lexsort((table["node"].to_numpy(), table["block"].to_numpy()))
-        block, node = table["block"].to_numpy()[order], table["node"].to_numpy()[order]
-        fps = np.frombuffer(b"".join(table["print"].to_pylist()), np.uint64).reshape(-1, WIDE)[order]
-        begin = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
-        end = np.r_[begin[1:], len(block)]
-        groups, members = [], []
-        for i, j in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
-            label = linked_wide(fps[i:j], candidate_reach)
-            some = np.flatnonzero(np.bincount(label, minlength=j - i)[label] > 1)
-            # the same candidates met in another block make the same group
-            group = np.zeros(j - i, np.uint64)
-            np.add.at(group, label[some], mixed(node[i:j][some].view(np.uint64)))
-            groups.append(group[label[some]].view(np.int64))
-            members.append(node[i:j][some])
-        if groups:
-            yield pa.record_batch({"group": pa.array(np.concatenate(groups)), "node": pa.array(np.concatenate(members))})
+    schema = f"key {key_type}, tie long, node long, " + ", ".join(f"{p} long" for p in PRINT) + ", least binary"
+    prints = written(texts.mapInArrow(run, schema), "wide")
+    nodes = prints.groupBy("node", *PRINT, "least").agg(F.min(F.struct("key", "tie")).alias("of"))
+    nodes = written(nodes.select("node", *PRINT, "least", F.col("of.key").alias("of_key"), F.col("of.tie").alias("of_tie")), "nodes")
 
     def sets(batches):
         for table in chunks(batches, byte_sizes, CHUNK_BYTES):
             doc, shingle = shingle_sets(Words(table["text"], lower=True), size)
             cuts = np.searchsorted(doc, np.arange(table.num_rows + 1)).tolist()
-            yield pa.record_batch({"node": table["node"].combine_chunks(), "shingles": pa.array([shingle[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())})
-
-    def verify(table: pa.Table) -> pa.Table:
-        node, every = table["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        label = linked_sets(every, similarity)
-        some = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": pa.array(node[some]), "b": pa.array(node[label[some]])})
-
-    schema = "block long, node long, print binary"
-    candidates = written(nodes.mapInArrow(deal, schema).repartition("block").mapInArrow(meet, "group long, node long").distinct(), "candidates")
-    first = prints.join(candidates.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("key", "tie")).alias("of")).select("node", F.col("of.key").alias("of_key"), F.col("of.tie").alias("of_tie"))
-    said = rows.join(first, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("tie") == F.col("of_tie"))).select("node", "text").mapInArrow(sets, "node long, shingles binary")
-    compared = candidates.join(said.dropDuplicates(["node"]), "node").groupBy("group").applyInArrow(lambda table: verify(table), "a long, b long")
-    stars = components(compared)
-    rooted = prints.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = rooted.groupBy("root").agg(F.min(F.struct("key", "tie")).alias("kept"))
-    kept = roots.select(F.col("kept.key").alias("_kept_key"), F.col("kept.tie").alias("_kept_tie"))
-    marked = documents.withColumn("_kept_by", F.xxhash64(whole))
-    joined = marked.join(kept, F.col(key).eqNullSafe(F.col("_kept_key")) & (F.col("_kept_by") == F.col("_kept_tie")), "left_semi")
-    return joined.dropDuplicates([key, "_kept_by"]).drop("_kept_by")
+            yield pa.record_batch({"node": table["node"].combine_chunks(), "group": table["group"].combine_chunks(), "shingles": pa.array([shingle[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())})
+
+    members = components(candidate_links(nodes, candidate_reach)).select("node", F.col("root").alias("group"))
+    members = members.unionByName(members.select(F.col("group").alias("node"), "group").distinct())
+    members = members.join(nodes.select("node", "of_key", "of_tie"), "node")
+    # rows equal in key and text are one
+    said = texts.join(members, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("tie") == F.col("of_tie"))).groupBy("node", "group").agg(F.min("text").alias("text"))
+    held = written(said.mapInArrow(sets, "node long, group long, shingles binary"), "sets")
+    roots = components(verified_links(held, similarity))
+    roots = nodes.select("node", "of_key", "of_tie").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("of_key", "of_tie")).alias("of"))
+    kept = roots.select(F.col("of.of_key").alias("kept_key"), F.col("of.of_tie").alias("kept_tie"))
+    joined = rows.join(kept, F.col("key").eqNullSafe(F.col("kept_key")) & (F.col("tie") == F.col("kept_tie")), "left_semi")
+    return joined.dropDuplicates(["key", "tie"]).select("row.*")
