@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ CHUNK_CHARS = 4_000_000
 
 
 IDS_AT_ONCE = 500_000
+LEAST_SHARES = 48
 
 
 class Vocabulary:
@@ -162,8 +164,13 @@ def owned(words: list[str], buckets: int) -> tuple[list[str], np.ndarray]:
     return [words[k] for k in order.tolist()], owner[order]
 
 
-def positions(vocab: Vocabulary, texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Each position's word as its number in the order of ``owned``, the words of each text, and the distinct words."""
+def mark_of(words: list[str]) -> int:
+    """A hash of words in order."""
+    return xxhash.xxh64_intdigest("\0".join(words).encode()) - 2**63
+
+
+def positions(vocab: Vocabulary, texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Each position's word as its number in the order of ``owned``, the words of each text, the distinct words and their mark."""
     flat: list[str] = []
     counts = np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
@@ -173,7 +180,7 @@ def positions(vocab: Vocabulary, texts: list[str | None], buckets: int) -> tuple
             flat += words
     words, _ = owned(list(set(flat)), buckets)
     number = {w: k for k, w in enumerate(words)}
-    return np.fromiter(map(number.__getitem__, flat), np.int32, len(flat)), counts, len(words)
+    return np.fromiter(map(number.__getitem__, flat), np.int32, len(flat)), counts, len(words), mark_of(words)
 
 
 def id_counts(batch: pa.RecordBatch) -> np.ndarray:
@@ -192,15 +199,22 @@ def encoded_texts(vocab: Vocabulary, texts: list[str | None]) -> tuple[np.ndarra
     return np.concatenate([np.zeros(0, np.int32), *own]), np.fromiter(map(len, own), np.int64, len(own))
 
 
-def encode(documents: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "text", buckets: int = 48) -> DataFrame:
+def shares(octets: int) -> int:
+    """Shares of the distinct-word table for so many bytes of text: distinct words grow by about the root of the text."""
+    return int(min(32_768, max(LEAST_SHARES, LEAST_SHARES * (octets / (1 << 29)) ** 0.5)))
+
+
+def encode(documents: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """Rows (``key``, ids ARRAY<INT>), one for each input row.
 
-    ``documents`` is read twice and should be a scan or another input whose partitions are the same both times.
-    ``buckets``: shares of the distinct-word table; a task holds the distinct words of its shares, never their occurrences.
+    ``documents`` is read twice and should be a scan or another input whose partitions are the same both times; a
+    second pass that differs from the first fails. ``buckets``: shares of the distinct-word table, by the bytes of text
+    if not given; a task holds the distinct words of its shares, never their occurrences.
     """
     key_type = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    schema = "chunk long, bucket int, lengths binary, data binary"
+    buckets = buckets or shares(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    schema = "chunk long, bucket int, mark long, lengths binary, data binary"
 
     def cut(batches):
         """The texts in chunks that are the same in both passes over them, numbered from the partition's number."""
@@ -214,7 +228,7 @@ def encode(documents: DataFrame, vocab_path: str, key: str = "doc_id", text: str
             words, owner = owned(distinct_words(vocab, table["text"].to_pylist()), buckets)
             ends = np.cumsum(np.bincount(owner, minlength=buckets)).tolist()
             parts = [(b, *words_packed(words[start:end])) for b, (start, end) in enumerate(zip([0, *ends], ends, strict=False)) if end > start]
-            yield pa.record_batch({"chunk": pa.array([chunk] * len(parts), pa.int64()), "bucket": pa.array([x[0] for x in parts], pa.int32()), "lengths": pa.array([x[1] for x in parts], pa.binary()), "data": pa.array([x[2] for x in parts], pa.binary())})
+            yield pa.record_batch({"chunk": pa.array([chunk] * len(parts), pa.int64()), "bucket": pa.array([x[0] for x in parts], pa.int32()), "mark": pa.array([mark_of(words)] * len(parts), pa.int64()), "lengths": pa.array([x[1] for x in parts], pa.binary()), "data": pa.array([x[2] for x in parts], pa.binary())})
 
     def answer(batches):
         vocab, known = vocabulary(vocab_path), {}
@@ -227,26 +241,26 @@ def encode(documents: DataFrame, vocab_path: str, key: str = "doc_id", text: str
                 own = [known[w] for w in words]
                 n = np.fromiter(map(len, own), np.int64, len(own)) // np.dtype(vocab.id_type).itemsize
                 done.append((packed(n=least_type(n)), packed(ids=np.frombuffer(b"".join(own), vocab.id_type))))
-            yield pa.record_batch({"chunk": batch["chunk"], "bucket": batch["bucket"], "lengths": pa.array([x[0] for x in done], pa.binary()), "data": pa.array([x[1] for x in done], pa.binary())})
+            yield pa.record_batch({"chunk": batch["chunk"], "bucket": batch["bucket"], "mark": batch["mark"], "lengths": pa.array([x[0] for x in done], pa.binary()), "data": pa.array([x[1] for x in done], pa.binary())})
 
     def place(batches):
         vocab = vocabulary(vocab_path)
         for chunk, table in cut(batches):
-            codes, counts, n_words = positions(vocab, table["text"].to_pylist(), buckets)
+            codes, counts, n_words, mark = positions(vocab, table["text"].to_pylist(), buckets)
             # numbers by falling frequency, one byte plane after another, take the least room
             order = np.argsort(-np.bincount(codes, minlength=n_words), kind="stable").astype(np.int32)
             rank = np.empty(n_words, np.int32)
             rank[order] = np.arange(n_words, dtype=np.int32)
             planes = rank[codes].astype("<i4").view(np.uint8).reshape(-1, 4).T
-            parts = [("texts", packed(key=table["key"].combine_chunks(), n=counts)), ("order", packed(at=order)), ("codes", packed(**{f"b{k}": np.ascontiguousarray(planes[k]) for k in range(4)}))]
-            yield pa.record_batch({"chunk": pa.array([chunk], pa.int64())} | {name: pa.array([data], pa.binary()) for name, data in parts})
+            parts = [("texts", packed(key=table["key"].combine_chunks(), n=counts)), ("mark", mark), ("order", packed(at=order)), ("codes", packed(**{f"b{k}": np.ascontiguousarray(planes[k]) for k in range(4)}))]
+            yield pa.record_batch({"chunk": pa.array([chunk], pa.int64())} | {name: pa.array([data], pa.int64() if name == "mark" else pa.binary()) for name, data in parts})
 
     def join_back(words: pa.Table, places: pa.Table) -> pa.Table:
         texts, order, codes = (unpacked(places[x][0].as_buffer()) for x in ("texts", "order", "codes"))
         words = words.sort_by("bucket")
         n = np.concatenate([np.zeros(0, np.int64), *(unpacked(x.as_buffer())["n"].to_numpy() for x in words["lengths"])])
         flat = np.concatenate([np.zeros(0, np.int32), *(unpacked(x.as_buffer())["ids"].to_numpy() for x in words["data"])]).astype(np.int32)
-        if len(n) != order.num_rows:
+        if len(n) != order.num_rows or set(words["mark"].to_pylist()) - {places["mark"][0].as_py()}:
             raise RuntimeError("the two passes over the texts differ: write the input before encoding it")
         ranks = np.stack([codes[f"b{k}"].to_numpy() for k in range(4)], axis=1).view("<i4").ravel()
         index, lengths = taken(n, order["at"].to_numpy()[ranks])
@@ -255,7 +269,7 @@ def encode(documents: DataFrame, vocab_path: str, key: str = "doc_id", text: str
         return pa.table({"key": texts["key"], "ids": lists(flat[index], of_text)})
 
     answered = rows.mapInArrow(ask, schema).repartition("bucket").mapInArrow(answer, schema)
-    places = rows.mapInArrow(place, "chunk long, texts binary, order binary, codes binary")
+    places = rows.mapInArrow(place, "chunk long, texts binary, mark long, order binary, codes binary")
     return answered.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(lambda words, places: join_back(words, places), f"key {key_type}, ids array<int>").withColumnRenamed("key", key)
 
 
