@@ -4,7 +4,8 @@
    cells. What is left of them is one bit per cell: whether it counted two or more. Sketch counts are never below the
    true ones, so no repeated window is lost.
 2. A second pass over the texts keeps only windows whose every cell says "repeated", groups them by a 96-bit key of
-   their word sequence and finds which start earlier elsewhere.
+   their word sequence and finds which start earlier elsewhere. The key's halves come from two unrelated hashes of the
+   words; that any two of n different sequences share a key has a chance of n ** 2 / 2 ** 97.
 3. The starts to be removed go back to their texts.
 
 ``sketch_bits`` bounds what is broadcast: 2 ** (bits - 2) bytes for both rows, whatever the input. Past the size where
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, packed, unpacked
-from .words import Words, byte_sizes, mixed, windows
+from .words import Words, byte_sizes, windows
 
 CHUNK_BYTES = 6_000_000
 #: Fixed odd multipliers: of the two window keys and the rows of the sketch.
@@ -109,7 +110,8 @@ def later_starts(rows: DataFrame, size: int, bits: int, cells: list[np.ndarray],
             for bit, multiplier in zip(sketch.value, ROWS, strict=True):
                 cell = cells_of(high, multiplier, bits)
                 keep &= (bit[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-            _, low = windows(words, size, mixed(hashes ^ np.uint64(KEY_LOW)), KEY_LOW)
+            # the second half of the key has word hashes of its own, so what the first takes for equal it still tells apart
+            _, low = windows(words, size, words.hashes(other=True), KEY_LOW)
             at, high, low = at[keep], high[keep], (low[keep] >> np.uint64(32)).astype(np.uint32)
             # the first of each key in this chunk stands for all; the others are known to be later
             order = np.lexsort((at, low, high))

@@ -47,17 +47,17 @@ class Words:
         self.count = np.bincount(self.doc, minlength=len(offsets) - 1).astype(np.int64)
         self.base = np.cumsum(self.count) - self.count
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, other: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; ``other``: by a second function that shares nothing with the first."""
         length = self.end - self.start
         if not len(length):
             return np.zeros(0, np.uint64)
         begin = np.cumsum(length) - length
         place = np.arange(int(length.sum())) - np.repeat(begin, length)
-        powers = np.full(int(length.max()), MULTIPLIER, np.uint64)
+        powers = np.full(int(length.max()), MULTIPLIERS[other], np.uint64)
         powers[0] = 1
         np.multiply.accumulate(powers, out=powers)
-        return mixed(np.add.reduceat(BYTE_VALUES[self.data[self.word]] * powers[place], begin))
+        return mixed(np.add.reduceat(BYTE_VALUES[int(other)][self.data[self.word]] * powers[place], begin))
 
     def joined(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The kept words of each text joined by one space: bytes end to end, each word followed by one more byte, and the end of each kept word before it."""
@@ -80,8 +80,8 @@ class Words:
         return pa.array([raw[a:b].decode("utf-8", "replace") if k else "" for a, b, k in zip(begin.tolist(), stop.tolist(), n.tolist(), strict=True)], pa.string())
 
 
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-BYTE_VALUES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MULTIPLIERS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+BYTE_VALUES = np.random.default_rng(20).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
