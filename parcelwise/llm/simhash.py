@@ -14,9 +14,9 @@ from .graph import components, local_components
 from .words import Words, byte_sizes, mixed, windows
 
 CHUNK_BYTES = 2_000_000
-#: Fingerprints in a shard, about, and those on which the shards' tree is fitted.
+#: Fingerprints in a shard, about; those on which the shards' tree is fitted, for each shard and in all: beyond some five hundred million distinct fingerprints shards grow.
 SHARD_POINTS = 8192
-SAMPLE = 4096
+SAMPLE, MOST_SAMPLE = 64, 1 << 20
 LEAF_POINTS = 192
 
 
@@ -74,8 +74,8 @@ class Tree:
             for k, own in enumerate(groups):
                 node = (1 << level) + k
                 pool = own if len(own) else points
-                self.vantage[node] = pool[0]
-                d = distance(own, pool[0])
+                self.vantage[node] = pool[0] if len(pool) else 0
+                d = distance(own, self.vantage[node])
                 self.radius[node] = int(np.median(d)) if len(d) else 32
                 below += [own[d <= self.radius[node]], own[d > self.radius[node]]]
             groups = below
@@ -159,8 +159,12 @@ def groups(prints: DataFrame, reach: int = 2) -> DataFrame:
     distinct = written(prints.groupBy("fp").agg(F.min("key").alias("least")), "fingerprints")
     n = distinct.count()
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / SHARD_POINTS))))
-    sample = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] if depth else []
-    tree = spark.sparkContext.broadcast(Tree(np.array(sample, np.int64).view(np.uint64), depth))
+    depth = min(depth, (MOST_SAMPLE // 16).bit_length() - 1)
+    share = min(1.0, min(MOST_SAMPLE, max(SAMPLE << depth, 4096)) / max(n, 1))
+    # about that share, by a hash: the same on every run, and no sort
+    sample = distinct.select("fp").where(F.xxhash64("fp", F.lit(1)) <= min(2**63 - 1, int(-(2**63) + share * (2**64 - 1)))).toArrow() if depth else None
+    points = np.sort(sample["fp"].to_numpy()).view(np.uint64) if depth else np.zeros(0, np.uint64)
+    tree = spark.sparkContext.broadcast(Tree(points[np.random.default_rng(1).permutation(len(points))], depth))
 
     def deal(batches):
         for batch in batches:

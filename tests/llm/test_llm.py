@@ -68,6 +68,19 @@ def test_bpe_round_trip(stored, texts, tokenizer):
     assert all(decoded[k] == (t or "") for k, t in enumerate(texts))
 
 
+def test_a_second_pass_that_differs_is_noticed(spark):
+    import os
+
+    noise = F.udf(lambda x: os.urandom(8).hex()).asNondeterministic()
+    changing = spark.range(2).select(F.col("id").alias("doc_id"), noise("id").alias("text"))
+    with pytest.raises(Exception, match="the two passes over the texts differ"):
+        bpe.encode(changing, VOCAB).collect()
+
+
+def test_shares_grow_with_the_text():
+    assert bpe.shares(0) == bpe.shares(1 << 29) == 48 and bpe.shares(1 << 35) == 384 and bpe.shares(1 << 60) == 32_768
+
+
 def test_decode_of_odd_ids(spark):
     df = spark.createDataFrame([(1, [197, None, -4, 10**6]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert [r.decoded for r in bpe.decode(df, VOCAB).orderBy("doc_id").collect()][1:] == ["", ""]
@@ -129,7 +142,8 @@ def test_simhash_groups(stored, texts, monkeypatch):
     for _ in fp:
         for a in fp:
             label[a] = min(label[b] for b in fp if (fp[a] ^ fp[b]).bit_count() <= 2)
-    for points in (8192, 4):
+    # one shard, a deep tree, and a tree with more leaves than fingerprints
+    for points in (8192, 4, 0.1):
         monkeypatch.setattr(simhash, "SHARD_POINTS", points)
         got = simhash.near_duplicates(stored).collect()
         assert len(got) == len(texts) + 2
