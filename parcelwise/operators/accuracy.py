@@ -58,49 +58,68 @@ def counts(rows: DataFrame, pred: str, ref: str, by: Sequence[str] = ()) -> Data
     return rows.groupBy(*by, F.col(pred).alias("pred"), F.col(ref).alias("ref")).agg(F.count("*").alias("n"))
 
 
-def by_area(samples: DataFrame, population: DataFrame, pred: str, ref: str) -> DataFrame:
-    """(pred, ref, n, n_pred, total_pxl, pct_area, adj): sample counts, and their share of the map by the area of the predicted class.
+def by_area(rows: DataFrame, pred: str, ref: str, sampled: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, pred, ref, n, n_pred, total_pxl, pct_area, adj): sample counts, and their share of the map by the area of the predicted class.
 
-    Classes that no sample predicts have no row. The matrix has a row for each pair of classes, few whatever the map.
+    ``rows`` are the map's pixels, ``sampled`` whether one is in the sample. A class that no sample predicts leaves both
+    axes: its reference samples count nowhere. All pairs of the classes left have a row. Pixels are counted once, for
+    both the map and the sample; what follows has a row for each pair of classes, few whatever the map.
     """
-    cells = counts(samples, pred, ref)
-    area = population.groupBy(F.col(pred).alias("pred")).agg(F.count("*").alias("total_pxl"))
-    area = area.withColumn("pct_area", F.col("total_pxl") / F.sum("total_pxl").over(Window.partitionBy()))
-    rows = cells.join(area, "pred").withColumn("n_pred", F.sum("n").over(Window.partitionBy("pred")))
-    return rows.withColumn("adj", F.col("n") / F.col("n_pred") * F.col("pct_area"))
-
-
-def by_class(matrix: DataFrame) -> DataFrame:
-    """(class, n, total_pxl, pct_area, user, user_ci, producer, producer_ci) from ``by_area``; intervals need two samples of a class."""
-    rows = matrix.groupBy(F.col("pred").alias("class")).agg(F.first("n_pred").alias("n"), F.first("total_pxl").alias("total_pxl"), F.first("pct_area").alias("pct_area"), F.sum(F.when(F.col("pred") == F.col("ref"), F.col("n"))).alias("hit"), F.sum("adj").alias("row"))
-    rows = rows.withColumn("user", F.coalesce("hit", F.lit(0)) / F.col("n"))
-    q = matrix.join(rows.select(F.col("class").alias("pred"), "user"), "pred").withColumn("q", F.col("n") / F.col("n_pred"))
+    by = list(by)
+    each = rows.groupBy(*by, F.col(pred).alias("pred"), F.col(ref).alias("ref")).agg(F.count("*").alias("every"), F.count_if(sampled).alias("n"))
+    area = each.groupBy(*by, "pred").agg(F.sum("every").alias("total_pxl"), F.sum("n").alias("held"))
+    area = area.withColumn("pct_area", F.col("total_pxl") / F.sum("total_pxl").over(Window.partitionBy(*by)))
+    area = area.where("held > 0 AND pred IS NOT NULL").drop("held")
+    axis = area.select(*by, F.col("pred").alias("ref"))
+    grid = area.join(axis, by) if by else area.crossJoin(F.broadcast(axis))  # one row a class
+    cells = grid.join(each.select(*by, "pred", "ref", "n"), [*by, "pred", "ref"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    cells = cells.withColumn("n_pred", F.sum("n").over(Window.partitionBy(*by, "pred")))
+    return cells.select(*by, "pred", "ref", "n", "total_pxl", "pct_area", "n_pred", (F.try_divide("n", "n_pred") * F.col("pct_area")).alias("adj"))
+
+
+def with_empty_classes(matrix: DataFrame, classes: DataFrame) -> DataFrame:
+    """A matrix with a row for each pair of ``classes`` (class), null where ``by_area`` left a class out."""
+    every = classes.select(F.col("class").alias("pred")).crossJoin(F.broadcast(classes.select(F.col("class").alias("ref"))))  # one row a class
+    return every.join(matrix, ["pred", "ref"], "left")
+
+
+def by_class(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, class, n, total_pxl, pct_area, user, user_ci, producer, producer_ci) from ``by_area``; intervals need two samples of a class."""
+    by = list(by)
+    same = F.col("pred") == F.col("ref")
+    rows = matrix.groupBy(*by, F.col("pred").alias("class")).agg(F.first("n_pred").alias("n"), F.first("total_pxl").alias("total_pxl"), F.first("pct_area").alias("pct_area"), F.sum(F.when(same, F.col("n"))).alias("hit"))
+    q = matrix.withColumn("q", F.try_divide("n", "n_pred"))
     spread = F.pow("total_pxl", F.lit(2)) * F.col("q") * (1 - F.col("q")) / F.when(F.col("n_pred") > 1, F.col("n_pred") - 1)
-    columns = q.groupBy(F.col("ref").alias("class")).agg(F.sum("adj").alias("col"), F.sum(F.when(F.col("pred") == F.col("ref"), F.col("adj"))).alias("diag"), F.sum(F.col("total_pxl") * F.col("q")).alias("estimated"), F.sum(F.when(F.col("pred") != F.col("ref"), spread)).alias("others"))
-    rows = rows.join(columns, "class", "left").withColumn("producer", F.coalesce("diag", F.lit(0.0)) / F.col("col"))
+    columns = q.groupBy(*by, F.col("ref").alias("class")).agg(F.sum("adj").alias("col"), F.sum(F.when(same, F.col("adj"))).alias("diag"), F.sum(F.col("total_pxl") * F.col("q")).alias("estimated"), F.sum(F.when(~same, spread)).alias("others"))
+    rows = rows.join(columns, [*by, "class"], "left").withColumns({"user": F.try_divide("hit", "n"), "producer": F.try_divide("diag", "col")})
     more = F.when(F.col("n") > 1, F.col("n") - 1)
     u, p = F.col("user"), F.col("producer")
     variance = (F.pow("total_pxl", F.lit(2)) * F.pow(1 - p, F.lit(2)) * u * (1 - u) / more + F.pow(p, F.lit(2)) * F.coalesce("others", F.lit(0.0))) / F.pow("estimated", F.lit(2))
-    return rows.select("class", "n", "total_pxl", "pct_area", u.alias("user"), (Z * F.sqrt(u * (1 - u) / more)).alias("user_ci"), p.alias("producer"), (Z * F.sqrt(variance)).alias("producer_ci"))
-
-
-def overall(matrix: DataFrame) -> DataFrame:
-    """One row: accuracy, its interval, kappa (expected agreement from sample margins), quantity and allocation disagreement."""
-    n = F.sum("n").over(Window.partitionBy())
-    rows = matrix.withColumn("total", n)
-    users = rows.groupBy(F.col("pred").alias("class")).agg(F.first("n_pred").alias("n_row"), F.first("pct_area").alias("w"), F.first("total").alias("total"), F.coalesce(F.sum(F.when(F.col("pred") == F.col("ref"), F.col("n"))), F.lit(0)).alias("hit"), F.coalesce(F.sum(F.when(F.col("pred") == F.col("ref"), F.col("adj"))), F.lit(0.0)).alias("diag"))
-    columns = rows.groupBy(F.col("ref").alias("class")).agg(F.sum("n").alias("n_col"))
-    both = users.join(columns, "class", "full")
-    row, col, hit = (F.coalesce(c, F.lit(0)) for c in ("n_row", "n_col", "hit"))
-    u = F.col("hit") / F.col("n_row")
-    out = both.agg(
+    return rows.select(*by, "class", "n", "total_pxl", "pct_area", u.alias("user"), (Z * F.sqrt(u * (1 - u) / more)).alias("user_ci"), p.alias("producer"), (Z * F.sqrt(variance)).alias("producer_ci"))
+
+
+def in_percent(share: Column) -> Column:
+    """A share as reports state it: rounded to three digits, times 100."""
+    return F.round(F.round(share, 3) * 100, 1)
+
+
+def overall(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (for each of ``by``): accuracy, its interval, kappa (expected agreement from sample margins), quantity and allocation disagreement."""
+    by = list(by)
+    same = F.col("pred") == F.col("ref")
+    users = matrix.groupBy(*by, F.col("pred").alias("class")).agg(F.first("n_pred").alias("n_row"), F.first("pct_area").alias("w"), F.sum(F.when(same, F.col("n"))).alias("hit"), F.coalesce(F.sum(F.when(same, F.col("adj"))), F.lit(0.0)).alias("diag"))
+    columns = matrix.groupBy(*by, F.col("ref").alias("class")).agg(F.sum("n").alias("n_col"))
+    both = users.join(columns, [*by, "class"])
+    row, col, hit = F.col("n_row"), F.col("n_col"), F.col("hit")
+    u = F.try_divide("hit", "n_row")
+    out = both.groupBy(*by).agg(
         F.sum("diag").alias("accuracy"),
-        (Z * F.sqrt(F.sum(F.pow("w", F.lit(2)) * u * (1 - u) / F.when(F.col("n_row") > 1, F.col("n_row") - 1)))).alias("accuracy_ci"),
-        (F.sum(row * col) / F.pow(F.max("total"), F.lit(2))).alias("expected"),
+        (Z * F.sqrt(F.sum(F.pow("w", F.lit(2)) * u * (1 - u) / F.when(row > 1, row - 1)))).alias("accuracy_ci"),
+        F.try_divide(F.sum(row * col), F.pow(F.sum(row), F.lit(2))).alias("expected"),
         (F.sum(F.abs(row - col)) / 2).alias("quantity"),
         F.sum(F.least(row - hit, col - hit)).cast("double").alias("allocation"),
     )
-    return out.withColumn("kappa", (F.col("accuracy") - F.col("expected")) / (1 - F.col("expected")))
+    return out.withColumn("kappa", F.try_divide(F.col("accuracy") - F.col("expected"), 1 - F.col("expected")))
 
 
 def plain(rows: DataFrame, pred: str, ref: str, by: Sequence[str] = ()) -> DataFrame:
@@ -112,34 +131,100 @@ def plain(rows: DataFrame, pred: str, ref: str, by: Sequence[str] = ()) -> DataF
     return out.withColumns({"commission": 1 - F.col("user"), "omission": 1 - F.col("producer"), "f1": F.try_divide(2 * F.col("hits"), F.col("n_pred") + F.col("n_ref"))})
 
 
+def sums_before(rows: DataFrame, order: str, values: Sequence[str], descending: bool = False) -> DataFrame:
+    """``rows`` (one for each value of ``order``) with before_<value>: the sum of each value over all rows that come earlier.
+
+    Rows are dealt to partitions by ranges of ``order``; a window runs within a partition, and the totals of the
+    partitions, one row each, are added to it. So no window holds all rows, however many.
+    """
+    direction = F.desc(order) if descending else F.asc(order)
+    ranged = rows.repartitionByRange(direction).withColumn("_part", F.spark_partition_id()).checkpoint()
+    totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}") for v in values])
+    within = Window.partitionBy("_part").orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(totals), "_part")
+    return out.withColumns({f"before_{v}": F.col(f"_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).drop("_part", *[f"_{v}" for v in values])
+
+
 def auc(rows: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by rank sums with average ranks, null where one class is missing.
 
-    Scores are counted before they are ranked, so the window runs over distinct scores only.
+    Scores are counted before they are ranked, so distinct scores alone pass the window.
     """
     each = rows.groupBy(*by, score).agg(F.count_if(truth).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    before = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = each.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    out = ranked.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    if by:
+        before = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = each.withColumn("before_neg", F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    else:
+        ranked = sums_before(each, score, ["neg"])
+    out = ranked.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return out.select(*by, F.try_divide("u", F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
 
 
 def roc(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """(threshold, tpr, fpr) for each distinct score taken as the least that counts as positive."""
     each = rows.groupBy(F.col(score).alias("threshold")).agg(F.count_if(truth).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    down, every = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return each.select("threshold", (F.sum("pos").over(down) / F.sum("pos").over(every)).alias("tpr"), (F.sum("neg").over(down) / F.sum("neg").over(every)).alias("fpr"))
+    totals = F.broadcast(each.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")))  # one row
+    before = sums_before(each, "threshold", ["pos", "neg"], descending=True).crossJoin(totals)
+    return before.select("threshold", F.try_divide(F.col("before_pos") + F.col("pos"), F.col("all_pos")).alias("tpr"), F.try_divide(F.col("before_neg") + F.col("neg"), F.col("all_neg")).alias("fpr"))
 
 
 def brier(rows: DataFrame, truth: str, score: str) -> DataFrame:
     return rows.agg(F.avg(F.pow(F.col(score) - F.col(truth).cast("int"), F.lit(2))).alias("brier"))
 
 
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each of ``shares``): exact quantiles by linear interpolation.
+
+    Values are counted first; a running count over a group's distinct values, sorted and spilled where it must be, then
+    shows which values the positions fall on. No group is held in a buffer.
+    """
+    by = list(by)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumns({"last": F.sum("n").over(upto) - 1, "total": F.sum("n").over(Window.partitionBy(*by))}).withColumn("first", F.col("last") - F.col("n") + 1)
+    out = []
+    for name, share in shares.items():
+        at = F.col("total") * share - share
+        on = lambda k: F.max(F.when(k.between(F.col("first"), F.col("last")), F.col("v")))
+        out.append((on(F.floor(at)) + (on(F.ceil(at)) - on(F.floor(at))) * F.max(at - F.floor(at))).alias(name))
+    return placed.groupBy(*by).agg(*out)
+
+
+QUARTILES = {"1q": 0.25, "2q": 0.5, "3q": 0.75}
+
+
 def zone_fit(rows: DataFrame, zone: str, ref: str, pred: str) -> DataFrame:
-    """r, errors and quartiles of both series for each zone."""
+    """For each zone r, errors by mean (U) and median (M) and whole quartiles of both series, without reference zeros and, with names that end in 0, with them.
+
+    A side without pixels, or whose reference or prediction is zero everywhere, is judged on the series 0, 0, 1, 1 for both;
+    where both series agree in half of the pixels and r is 1, r is stated as 0. A constant series has no r.
+    """
+    both = rows.where(F.col(ref).isNotNull() & F.col(pred).isNotNull()).select(F.col(zone).alias("zone"), F.col(ref).cast("double").alias("t"), F.col(pred).cast("double").alias("p"))
+    sides = F.array(F.when(F.col("t") != 0, F.lit("")), F.lit("0"))
+    long = both.withColumn("side", F.explode(F.array_compact(sides)))
+    zones = both.select("zone").distinct().withColumn("side", F.explode(F.array(F.lit(""), F.lit("0"))))
+    shown = long.groupBy("zone", "side").agg(F.max(F.col("t") != 0).alias("any_t"), F.max(F.col("p") != 0).alias("any_p"))
+    empty = zones.join(shown.where("any_t AND any_p"), ["zone", "side"], "left_anti")
+    stand_in = empty.withColumn("t", F.explode(F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0))))).withColumn("p", F.col("t"))
+    long = long.join(empty, ["zone", "side"], "left_anti").select("zone", "side", "t", "p").unionByName(stand_in.select("zone", "side", "t", "p"))
+    long = long.withColumn("d", F.abs(F.col("p") - F.col("t")))
+    stats = long.groupBy("zone", "side").agg(F.round(correlation("t", "p"), 2).alias("r"), F.round(F.sqrt(F.avg(F.col("d") * F.col("d"))), 1).alias("rmseU"), F.round(F.avg("d"), 1).alias("maeU"))
+    middle = quantiles(long, ["zone", "side"], "d", {"m": 0.5})
+    stats = stats.join(middle, ["zone", "side"]).withColumns({"maeM": F.round("m", 1), "rmseM": F.round("m", 1)}).drop("m")
+    for name in ("t", "p"):
+        stats = stats.join(quantiles(long, ["zone", "side"], name, {f"{name}{k}": q for k, q in QUARTILES.items()}), ["zone", "side"])
+    stats = stats.withColumn("r", F.when((F.col("maeM") == 0) & (F.col("r") == 1), 0.0).otherwise(F.col("r")))
+    names = ["r", "rmseM", "rmseU", "maeM", "maeU", *[f"{n}{k}" for n in ("t", "p") for k in QUARTILES]]
+    kept = lambda c: F.col(c).cast("int") if c[-1] == "q" else F.col(c)
+    of = lambda c, side: F.max(F.when(F.col("side") == side, kept(c))).alias(c + side)
+    return stats.groupBy(F.col("zone").alias(zone)).agg(*[of(c, side) for side in ("", "0") for c in names])
+
+
+def rmse_by(rows: DataFrame, ref: str, pred: str, by: Sequence[str]) -> DataFrame:
     d = F.col(pred) - F.col(ref)
-    quartiles = [F.percentile(c, q).alias(f"{n}{k}q") for n, c in (("t", ref), ("p", pred)) for k, q in ((1, 0.25), (2, 0.5), (3, 0.75))]
-    return rows.groupBy(zone).agg(correlation(ref, pred).alias("r"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.count("*").alias("n"), *quartiles)
+    return rows.groupBy(*by).agg(F.sqrt(F.avg(d * d)).alias("rmse"))
 
 
 def area_weighted_rmse(samples: DataFrame, population: DataFrame, ref: str, pred: str, bin_of) -> DataFrame:

@@ -73,13 +73,33 @@ def test_best_match_is_first_row_by_row_on_a_tie(spark):
     assert [(r.row, r.matched) for r in focal.best_match(s, raster).collect()] == [(0, 4)]
 
 
-def test_a_class_without_predicted_samples_has_no_row(spark):
-    s = spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "p int, r int")
-    whole = spark.createDataFrame([(1, 1)] * 6 + [(2, 2)] * 2 + [(3, 3)] * 2, "p int, r int")
-    m = accuracy.by_area(s, whole, "p", "r")
-    assert rows(m.select("pred", "ref", "n", "pct_area", F.round("adj", 6)), "pred", "ref") == [(1, 1, 1, 0.6, 0.3), (1, 2, 1, 0.6, 0.3), (2, 2, 1, 0.2, 0.2)]
-    one = accuracy.by_class(m).where("class = 2").first()
-    assert one.user == 1.0 and one.user_ci is None and one.producer == pytest.approx(0.4)
+def test_a_class_without_predicted_samples_leaves_both_axes(spark):
+    # class 3 is mapped on two pixels and seen in one sample, but no sample predicts it
+    pixels = [(1, 1, True), (1, 2, True), (1, 3, True), (2, 2, True), (2, 2, False), (3, 3, False), (3, 1, False)] + [(1, 1, False)] * 3
+    m = accuracy.by_area(spark.createDataFrame(pixels, "p int, r int, s boolean"), "p", "r", "s")
+    got = rows(m.select("pred", "ref", "n", "n_pred", "pct_area", F.round("adj", 6)), "pred", "ref")
+    assert got == [(1, 1, 1, 2, 0.6, 0.3), (1, 2, 1, 2, 0.6, 0.3), (2, 1, 0, 1, 0.2, 0.0), (2, 2, 1, 1, 0.2, 0.2)]
+    one, two = rows(accuracy.by_class(m), "class")
+    assert one[4] == 0.5
+    assert two[4] == 1.0 and two[5] is None and two[6] == pytest.approx(0.4)
+    o = accuracy.overall(m).first()
+    assert o.accuracy == pytest.approx(0.5) and o.expected == pytest.approx((2 * 1 + 1 * 2) / 9) and o.quantity == 1 and o.allocation == 0
+    whole = accuracy.with_empty_classes(m, spark.createDataFrame([(1,), (2,), (3,)], "class int"))
+    assert whole.count() == 9 and whole.where("pred = 3 OR ref = 3").agg(F.count("n"), F.count("*")).first() == (0, 5)
+
+
+def test_zones_are_judged_with_and_without_zeros(spark):
+    df = spark.createDataFrame([("a", 0, 4), ("a", 2, 2), ("a", 4, 6), ("a", None, 1), ("z", 0, 3), ("z", 0, 5), ("e", 5, 5), ("e", 7, 7)], "zone string, t int, p int")
+    got = {r.zone: r for r in accuracy.zone_fit(df, "zone", "t", "p").collect()}
+    assert (got["a"].maeU, got["a"].maeU0, got["a"].rmseM0, got["a"].t1q, got["a"].p3q0, got["a"].r) == (1.0, 2.0, 2.0, 2, 5, 1.0)
+    # no pixel but zeros: judged on 0, 0, 1, 1, which agree, so r counts for nothing
+    assert (got["z"].r, got["z"].maeU, got["z"].t3q, got["z"].r0, got["z"].p3q0) == (0.0, 0.0, 1, 0.0, 1)
+    assert got["e"].r == 0.0 and got["e"].t2q == 6
+
+
+def test_quantiles_interpolate(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (1, 1, 2, 10)] + [("b", 3.0), ("b", None)], "g string, v double")
+    assert rows(accuracy.quantiles(df, ["g"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}), "g") == [("a", 1.0, 1.5, 4.0), ("b", 3.0, 3.0, 3.0)]
 
 
 def test_auc_with_ties_and_with_one_class(spark):
