@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: z of 95 percent.
 Z = 1.96
 
@@ -138,7 +140,7 @@ def sums_before(rows: DataFrame, order: str, values: Sequence[str], descending:
     partitions, one row each, are added to it. So no window holds all rows, however many.
     """
     direction = F.desc(order) if descending else F.asc(order)
-    ranged = rows.repartitionByRange(direction).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ranged = cut(rows.repartitionByRange(direction).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     totals = totals.select("_part", *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}") for v in values])

@@ -78,3 +78,45 @@ def covering_sets(members: DataFrame, pixel: str, set_id: str) -> DataFrame:
     """(pixel, sets, n_sets): the sets that cover each pixel in order, and the number that equal combinations share."""
     each = members.groupBy(pixel).agg(F.array_sort(F.collect_set(set_id)).alias("sets"))
     return each.select(pixel, F.concat_ws("_", F.transform("sets", lambda s: s.cast("string"))).alias("sets"), F.size("sets").alias("n_sets"))
+
+
+def prefixed(zones: DataFrame, zone: str, source: str) -> DataFrame:
+    """Statistics of zones with their columns named after the source they come from."""
+    return zones.select(zone, *[F.col(c).alias(f"{source}_{c}") for c in zones.columns if c != zone])
+
+
+def numbered_combinations(members: DataFrame, pixel: str, set_id: str) -> tuple[DataFrame, DataFrame]:
+    """(combo, sets, n_pixels) of the distinct combinations of covering sets, and (pixel, combo) that leads each pixel to its own.
+
+    A combination's number is a hash of its sets, so both tables come without a window over all of them.
+    """
+    each = members.groupBy(pixel).agg(F.array_sort(F.collect_set(set_id)).alias("s"))
+    each = each.select(pixel, F.concat_ws("_", F.transform("s", lambda x: x.cast("string"))).alias("sets")).withColumn("combo", F.crc32(F.col("sets").cast("binary")))
+    return each.groupBy("combo", "sets").agg(F.count("*").alias("n_pixels")), each.select(pixel, "combo")
+
+
+def hexagons(rows: DataFrame, x: str, y: str, size: float) -> DataFrame:
+    """(hx, hy, n): counts by hexagons, two lattices of rectangles whose centres lie ``size`` apart and half a step off; a point belongs to the nearer centre."""
+    height = size * 3**0.5
+    fx, fy = F.col(x) / size, F.col(y) / height
+    a, b = F.round(fx), F.round(fy)
+    c, d = F.floor(fx), F.floor(fy)
+    from_a = F.pow(fx - a, F.lit(2)) + 3 * F.pow(fy - b, F.lit(2))
+    from_c = F.pow(fx - c - 0.5, F.lit(2)) + 3 * F.pow(fy - d - 0.5, F.lit(2))
+    first = from_a < from_c
+    at = rows.select(F.when(first, a).otherwise(c + 0.5).alias("hx"), F.when(first, b).otherwise(d + 0.5).alias("hy"))
+    return at.groupBy((F.col("hx") * size).alias("hx"), (F.col("hy") * height).alias("hy")).agg(F.count("*").alias("n"))
+
+
+def cdf_at(counts: DataFrame, edge: str, n: str, edges: Sequence[int]) -> DataFrame:
+    """(edge, share): the share of all that lies at or below each edge of a short list."""
+    total = F.broadcast(counts.agg(F.sum(n).alias("total")))  # one row
+    asked = counts.select(F.explode(F.array(*[F.lit(e) for e in edges])).alias("edge"), F.col(edge).alias("at"), F.col(n).alias("n"))
+    return asked.groupBy("edge").agg(F.sum(F.when(F.col("at") <= F.col("edge"), F.col("n")).otherwise(0)).alias("upto")).crossJoin(total).select("edge", (F.col("upto") / F.col("total")).alias("share"))
+
+
+def without_extreme(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, n_nodata, nodata, mean): statistics that leave out a run's nodata, taken to be its least value if that is negative, else its greatest."""
+    ends = rows.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high")).select(by, F.when(F.col("low") < 0, F.col("low")).otherwise(F.col("high")).alias("nodata"))
+    held = rows.join(F.broadcast(ends), by)  # one row a run
+    return held.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col(value) == F.col("nodata")).alias("n_nodata"), F.first("nodata").alias("nodata"), F.avg(F.when(F.col(value) != F.col("nodata"), F.col(value))).alias("mean"))

@@ -1,10 +1,12 @@
-"""Neighbourhood operations on rasters as joins with a short table of offsets."""
+"""Neighbourhood operations: at samples as joins with a short table of offsets, over whole rasters by squares with a rim."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ensemble import STATISTICS
@@ -27,30 +29,75 @@ def offsets(df: DataFrame, footprint: list[tuple[int, int]]) -> DataFrame:
     return out.select("row", "col", F.col("o.k").alias("k"), (F.col("row") + F.col("o.i")).alias("n_row"), (F.col("col") + F.col("o.j")).alias("n_col"))
 
 
-def neighbours(raster: DataFrame, footprint: list[tuple[int, int]], edge: str = "none", y_size: int | None = None, x_size: int | None = None) -> DataFrame:
-    """(row, col, k, value) of each pixel's neighbours; beyond the raster null, or mirrored with the edge pixel repeated (``edge='reflect'``)."""
-    placed = offsets(raster, footprint)
-    if edge == "reflect":
-        mirrored = lambda c, n: F.when(c < 0, -c - 1).when(c >= n, 2 * n - 1 - c).otherwise(c)
-        placed = placed.withColumns({"n_row": mirrored(F.col("n_row"), y_size), "n_col": mirrored(F.col("n_col"), x_size)})
-    held = raster.select(F.col("row").alias("n_row"), F.col("col").alias("n_col"), "value")
-    return placed.join(held, ["n_row", "n_col"], "left").select("row", "col", "k", "value")
+def sorted_mode(stack: np.ndarray) -> np.ndarray:
+    """The most frequent value along the first axis, the smallest on a tie; NaN doesn't count."""
+    ordered = np.sort(stack, axis=0)
+    best, most, run = ordered[0].copy(), np.ones(ordered[0].shape, np.int64), np.ones(ordered[0].shape, np.int64)
+    for k in range(1, len(ordered)):
+        run = np.where(ordered[k] == ordered[k - 1], run + 1, 1)
+        better = (run > most) & ~np.isnan(ordered[k])
+        best, most = np.where(better, ordered[k], best), np.where(better, run, most)
+    return best
 
 
-#: Focal statistics by name, over ``value`` with the pixel's own as ``centre``.
-FOCAL: dict[str, Callable[[], Column]] = {
-    "mean": lambda: F.avg("value"),
-    "mode": lambda: F.mode(F.col("value"), True),
-    "pct_nonzero": lambda: 100 * F.count_if(F.col("value") != 0) / F.count("value"),
-    "uniform": lambda: (F.min("value") == F.max("value")) & (F.min("value") == F.first("centre")),
-}
+def mean_of(stack: np.ndarray) -> np.ndarray:
+    return np.nansum(stack, axis=0) / np.maximum((~np.isnan(stack)).sum(axis=0), 1)
 
 
-def focal(raster: DataFrame, footprint: list[tuple[int, int]], name: str, y_size: int, x_size: int) -> DataFrame:
-    """(row, col, value) of one focal statistic, edges mirrored; null pixels stay null."""
-    near = neighbours(raster, footprint, "reflect", y_size, x_size)
-    centre = raster.select("row", "col", F.col("value").alias("centre"))
-    return near.join(centre, ["row", "col"]).where(F.col("centre").isNotNull()).groupBy("row", "col").agg(FOCAL[name]().alias("value"))
+#: Focal statistics by name: of the neighbours' values along the first axis and the pixels' own; and the type of the result, None for that of the values.
+FOCAL: dict[str, tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], str | None]] = {
+    "mean": (lambda near, own: mean_of(near), "double"),
+    "mode": (lambda near, own: sorted_mode(near), None),
+    "pct_nonzero": (lambda near, own: 100 * ((near != 0) & ~np.isnan(near)).sum(axis=0) / np.maximum((~np.isnan(near)).sum(axis=0), 1), "double"),
+    "uniform": (lambda near, own: ((near == own) | np.isnan(near)).all(axis=0), "boolean"),
+}
+#: Pixels along a side of the squares that tasks work on, and rows of one that are stacked at a time.
+SIDE, STRIP = 256, 16
+
+
+def focal(raster: DataFrame, footprint: list[tuple[int, int]], name: str, side: int = SIDE) -> DataFrame:
+    """(row, col, value) of one focal statistic, edges mirrored; null pixels stay null and don't count.
+
+    Pixels are dealt to squares of ``side`` by ``side`` with a rim as wide as the footprint reaches, so only those near a
+    border go to more than one; a task shifts its square under the footprint. Squares are of one size, however large the
+    raster. Values are taken as doubles.
+    """
+    reach = max(max(abs(i), abs(j)) for i, j in footprint)
+    if reach > side:
+        raise ValueError(f"a footprint may reach {side} pixels")
+    function, kind = FOCAL[name]
+    size = F.broadcast(raster.agg((F.max("row") + 1).alias("y_size"), (F.max("col") + 1).alias("x_size")))  # one row
+    squares = lambda c: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - reach, F.lit(0)) / side), F.floor((F.col(c) + reach) / side)))
+    dealt = raster.select("row", "col", F.col("value").cast("double").alias("value"), squares("row").alias("tile_row")).select("*", squares("col").alias("tile_col")).crossJoin(size)
+    schema = raster.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.lit(0.0).alias("value")).schema
+
+    def shifted(table: pa.Table) -> pa.Table:
+        row, col, value = table["row"].to_numpy(), table["col"].to_numpy(), table["value"].to_numpy(zero_copy_only=False)
+        top, left = table["tile_row"][0].as_py() * side, table["tile_col"][0].as_py() * side
+        y_size, x_size = table["y_size"][0].as_py(), table["x_size"][0].as_py()
+        height, width = min(side, y_size - top), min(side, x_size - left)
+        none = pa.table({"row": pa.array([], pa.int64()), "col": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+        if height <= 0 or width <= 0:
+            return none
+        held = np.full((height + 2 * reach, width + 2 * reach), np.nan)
+        inside = (row < top + height + reach) & (col < left + width + reach)
+        held[row[inside] - top + reach, col[inside] - left + reach] = value[inside]
+        mirrored = lambda at, n: np.where(at < 0, -at - 1, np.where(at >= n, 2 * n - 1 - at, at))
+        # beyond the raster's edge stand the pixels before it
+        held = held[np.clip(mirrored(np.arange(top - reach, top + height + reach), y_size) - top + reach, 0, len(held) - 1)]
+        held = held[:, np.clip(mirrored(np.arange(left - reach, left + width + reach), x_size) - left + reach, 0, held.shape[1] - 1)]
+        own = held[reach : reach + height, reach : reach + width]
+        out = np.empty((height, width))
+        for at in range(0, height, STRIP):
+            n = min(STRIP, height - at)
+            near = np.stack([held[at + reach + i : at + reach + i + n, reach + j : reach + j + width] for i, j in footprint])
+            out[at : at + n] = function(near, own[at : at + n])
+        r, c = np.nonzero(~np.isnan(own))
+        return pa.table({"row": pa.array(r + top, pa.int64()), "col": pa.array(c + left, pa.int64()), "value": pa.array(out[r, c], pa.float64())})
+
+    found = dealt.groupBy("tile_row", "tile_col").applyInArrow(lambda table: shifted(table), schema)
+    types = dict(raster.dtypes)
+    return found.select(F.col("row").cast(types["row"]).alias("row"), F.col("col").cast(types["col"]).alias("col"), F.col("value").cast(kind or types["value"]).alias("value"))
 
 
 def kernel_columns(raster: DataFrame, samples: DataFrame, name: str) -> DataFrame:
@@ -59,9 +106,33 @@ def kernel_columns(raster: DataFrame, samples: DataFrame, name: str) -> DataFram
     return near.groupBy("row", "col").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"{name}_{k}") for k in range(1, 10)])
 
 
-def neighbours_of(samples: DataFrame, raster: DataFrame) -> DataFrame:
+def neighbours_of(samples: DataFrame, raster: DataFrame, footprint: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(row, col, k, value) of the values around each sample, by default three by three; null where the raster has none."""
     held = raster.select(F.col("row").alias("n_row"), F.col("col").alias("n_col"), "value")
-    return offsets(samples, square(3)).join(held, ["n_row", "n_col"], "left").select("row", "col", "k", "value")
+    return offsets(samples, footprint or square(3)).join(held, ["n_row", "n_col"], "left").select("row", "col", "k", "value")
+
+
+def rectangle(height: int, width: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(-(height // 2), height - height // 2) for j in range(-(width // 2), width - width // 2)]
+
+
+def windows(samples: DataFrame, raster: DataFrame, height: int, width: int, nodata) -> DataFrame:
+    """(row, col, k, value) of the window of so many rows and columns centred on each sample; ``nodata`` where the raster has none."""
+    near = neighbours_of(samples, raster, rectangle(height, width))
+    return near.withColumn("value", F.coalesce("value", F.lit(nodata)))
+
+
+def kernel_modes(raster: DataFrame, samples: DataFrame) -> DataFrame:
+    """For discrete values: the most frequent of the nine around each sample, the smallest on a tie, and how many they are."""
+    counts = neighbours_of(samples, raster).where("value IS NOT NULL").groupBy("row", "col", "value").agg(F.count("*").alias("n"))
+    best = F.max_by("value", F.struct("n", -F.col("value")))
+    return counts.groupBy("row", "col").agg(best.alias("mode"), F.max("n").alias("count"))
+
+
+def paired_means(samples: DataFrame, raster: DataFrame, other: DataFrame) -> DataFrame:
+    """(row, col, pred, ref): the whole means of the windows of two rasters at each sample that has the first."""
+    of = lambda r, name: neighbours_of(samples, r).groupBy("row", "col").agg(F.avg("value").cast("int").alias(name))
+    return of(raster, "pred").where("pred IS NOT NULL").join(of(other, "ref"), ["row", "col"])
 
 
 def kernel_statistics(raster: DataFrame, samples: DataFrame, names=("mean", "median", "variance", "stdv", "range")) -> DataFrame:
@@ -77,6 +148,15 @@ def best_match(samples: DataFrame, reference: DataFrame, predicted: str = "pred"
     return joined.groupBy("row", "col").agg(F.first(predicted).alias(predicted), F.min_by("value", F.struct(F.abs(F.col("value") - F.col(predicted)), "k")).alias("matched"))
 
 
+def curvature(raster: DataFrame, resolution: float) -> DataFrame:
+    """(row, col, curvature): -200 (D + E) of the quadratic surface through a pixel and its four neighbours."""
+    z = kernel_columns(raster, raster, "z").dropna()
+    c = {k: F.col(f"z_{k}") for k in range(1, 10)}
+    area = resolution * resolution
+    d, e = ((c[4] + c[6]) / 2 - c[5]) / area, ((c[2] + c[8]) / 2 - c[5]) / area
+    return z.select("row", "col", (-200 * (d + e)).alias("curvature"))
+
+
 def slope_aspect(raster: DataFrame, resolution: float) -> DataFrame:
     """(row, col, slope, aspect) in degrees by Horn's method for pixels with all nine values."""
     z = kernel_columns(raster, raster, "z").dropna()

@@ -16,10 +16,10 @@ def tile_grid(spark: SparkSession, n_rows: int, n_cols: int, y_size: int, x_size
     return spark.range(n_rows * n_cols).select(F.col("id").alias("tile_id"), (r * height).alias("ul_r"), ends(r, height, y_size).cast("bigint").alias("lr_r"), (c * width).alias("ul_c"), ends(c, width, x_size).cast("bigint").alias("lr_c"))
 
 
-def tiles_by_aspect(n: int, y_size: int, x_size: int) -> tuple[int, int]:
-    """(rows, columns) of about ``n`` tiles in the raster's shape."""
-    columns = max(1, round((n * x_size / y_size) ** 0.5))
-    return max(1, round(n / columns)), columns
+def tiles_by_aspect(n: Column, y_size: int, x_size: int) -> tuple[Column, Column]:
+    """(rows, columns) of about ``n`` tiles in the raster's shape, truncated."""
+    rows = F.greatest(F.sqrt(n / (x_size / y_size)).cast("int"), F.lit(1))
+    return rows, (n / rows).cast("int")
 
 
 def fishnet(spark: SparkSession, x_min: float, x_max: float, y_min: float, y_max: float, width: float, height: float) -> DataFrame:
@@ -81,6 +81,78 @@ def window(raster: DataFrame, ul_r: int, lr_r: int, ul_c: int, lr_c: int, fill:
     return grid.join(inside, ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
 
 
-def narrowed(value: Column) -> Column:
-    """Half-even rounding to whole numbers."""
-    return half_even(value)
+def narrowest(df: DataFrame, column: str) -> DataFrame:
+    """Whole numbers of a column in the narrowest integer type that holds them all."""
+    low, high = df.agg(F.min(column), F.max(column)).first()  # one row
+    for kind, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)):
+        if low is None or -(2**bits) <= low and high < 2**bits:
+            return df.withColumn(column, half_even(F.col(column)).cast(kind) if kind != "bigint" else F.bround(column, 0).cast(kind))
+    raise ValueError(f"{column} holds numbers beyond 64 bits")
+
+
+def seeded_cells(spark: SparkSession, cell: tuple[int, int], extent: tuple[int, int, int, int], seed: tuple[int, int], x_sign: int = 1, y_sign: int = -1) -> DataFrame:
+    """Cells (height, width) around a seed point that cover an extent (min_x, min_y, max_x, max_y): (ul_x, ul_y, lr_x, lr_y)."""
+    height, width = cell
+    min_x, min_y, max_x, max_y = extent
+    x, y = seed
+    less_x, more_x = int((x - min_x) / width + 1), int((max_x - x) / width)
+    less_y, more_y = int((y - min_y) / height), int((max_y - y) / height + 1)
+    n_x, n_y = less_x + more_x + 1, less_y + more_y + 1
+    i, j = F.floor(F.col("id") / n_y) - less_x, F.col("id") % n_y - less_y
+    at = spark.range(n_x * n_y).select(F.col("id").alias("cell_id"), (F.lit(x) + i * width).alias("ul_x"), (F.lit(y) + j * height).alias("ul_y"))
+    return at.select("*", (F.col("ul_x") + width * x_sign).alias("lr_x"), (F.col("ul_y") + height * y_sign).alias("lr_y"))
+
+
+def transforms(rects: DataFrame, x_res: int, y_res: int, snap: tuple[int, int] | None = None) -> DataFrame:
+    """The affine that each feature would be rasterised by (its corner snapped to a grid), and its size in pixels."""
+    ul_x = F.col("ul_x") if x_res > 0 else F.col("lr_x")
+    ul_y = F.col("lr_y") if y_res > 0 else F.col("ul_y")
+    if snap:
+        ul_x, ul_y = snapped(ul_x, snap[0], x_res), snapped(ul_y, snap[1], y_res)
+    n = lambda a, b, res: F.ceil((F.col(b) - F.col(a)) / abs(res))
+    return rects.select("set_id", ul_x.alias("tx_x"), F.lit(x_res).alias("x_res"), ul_y.alias("tx_y"), F.lit(y_res).alias("y_res"), n("lr_y", "ul_y", y_res).alias("n_rows"), n("ul_x", "lr_x", x_res).alias("n_cols"))
+
+
+def zone_windows(zones: DataFrame, y_size: Column, x_size: Column, affine) -> DataFrame:
+    """For zones (set_id and corners) that meet a raster: their pixel window in it, and the part of the zone's own window that this is."""
+    row, col = ((F.col("ul_y") - affine[3]) / affine[5]).cast("int"), ((F.col("ul_x") - affine[0]) / affine[1]).cast("int")
+    height, width = (F.abs((F.col("ul_y") - F.col("lr_y")) / affine[5])).cast("int"), (F.abs((F.col("lr_x") - F.col("ul_x")) / affine[1])).cast("int")
+    out = [F.col("set_id")]
+    keep = F.lit(True)
+    for name, at, n, size in (("row", row, height, y_size), ("col", col, width, x_size)):
+        start, end = F.greatest(at, F.lit(0)), F.least(at + n, size)
+        keep &= start < end
+        out += [start.cast("int").alias(f"{name}_from"), end.cast("int").alias(f"{name}_to"), (start - at).cast("int").alias(f"zone_{name}_from"), (end - at).cast("int").alias(f"zone_{name}_to")]
+    return zones.where(keep).select(*out)
+
+
+def aligned(raster: DataFrame, like: DataFrame, down: int, right: int, fill: float, masked: Column | None = None) -> DataFrame:
+    """A raster moved by whole pixels onto the grid of another; ``fill`` where it has no data or ``masked`` (of the other's ``value``) holds."""
+    moved = raster.select((F.col("row") + down).cast("int").alias("row"), (F.col("col") + right).cast("int").alias("col"), F.col("value").alias("moved"))
+    joined = like.select("row", "col", "value").join(moved, ["row", "col"], "left")
+    kept = F.col("moved") if masked is None else F.when(~F.coalesce(masked, F.lit(False)), F.col("moved"))
+    return joined.select("row", "col", F.coalesce(kept, F.lit(fill)).alias("value"))
+
+
+def blocks(raster: DataFrame, side: int) -> DataFrame:
+    """Count, least and greatest value of each square block of a raster."""
+    at = [F.floor(F.col(c) / side).cast("int").alias(f"block_{c}") for c in ("row", "col")]
+    return raster.groupBy(*at).agg(F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+def masked_outside(raster: DataFrame, inside: Column, fill) -> DataFrame:
+    """A raster with ``fill`` outside a region."""
+    return raster.withColumn("value", F.when(inside, F.col("value")).otherwise(F.lit(fill)))
+
+
+#: Weights of cubic convolution half a pixel off, the outer ones negative.
+CUBIC = (-0.0625, 0.5625, 0.5625, -0.0625)
+
+
+def halved_cubic(raster: DataFrame) -> DataFrame:
+    """A raster of half as many rows and columns by cubic convolution over four by four pixels; cells without all sixteen are left out."""
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(CUBIC[i + 1] * CUBIC[j + 1]).alias("w")) for i in range(-1, 3) for j in range(-1, 3)])
+    placed = raster.where(F.col("value").isNotNull()).select("row", "col", "value", F.explode(each).alias("o"))
+    at = placed.select((F.col("row") - F.col("o.i")).alias("r"), (F.col("col") - F.col("o.j")).alias("c"), (F.col("value") * F.col("o.w")).alias("part"))
+    cells = at.where("r % 2 = 0 AND c % 2 = 0").groupBy(F.floor(F.col("r") / 2).cast("int").alias("row"), F.floor(F.col("c") / 2).cast("int").alias("col")).agg(F.sum("part").alias("value"), F.count("*").alias("n"))
+    return cells.where("n = 16").drop("n")

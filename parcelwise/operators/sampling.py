@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import portable_hash
+from ..session import cut
 
 
 def hash_order(key: str, seed: int) -> list[Column]:
@@ -54,10 +55,109 @@ def strata_quota(areas: DataFrame, area: str, n: int) -> DataFrame:
     return areas.withColumn("share", share).withColumn("quota", F.greatest(F.lit(1), F.bround(share * n, 0).cast("int")))
 
 
-def clamped(sizes: list[float], low: float, high: float, rounds: int = 10) -> list[float]:
-    """Strata sizes moved into [low, high] by damped rounds that keep their sum."""
-    total = sum(sizes)
+def clamped_sizes(counts: DataFrame, n: str, low: float, high: float, rounds: int = 10) -> DataFrame:
+    """``size``: strata sizes moved into [low, high] by damped rounds that keep their sum; for one row a stratum."""
+    every = Window.partitionBy()
+    rows = counts.withColumn("size", F.col(n).cast("double"))
     for _ in range(rounds):
-        sizes = [s + (low - s) / 2.05 if s < low else s - (s - high) / 1.95 if s > high else s for s in sizes]
-        sizes = [s * total / sum(sizes) for s in sizes]
-    return sizes
+        s = F.col("size")
+        moved = rows.withColumn("moved", F.when(s < low, s + (low - s) / 2.05).when(s > high, s - (s - high) / 1.95).otherwise(s))
+        rows = moved.withColumn("size", F.col("moved") * F.sum("size").over(every) / F.sum("moved").over(every)).drop("moved")
+    return rows
+
+
+def split_by_pairs(rows: DataFrame, keys: Sequence[str], fraction: float, seed: int, separately: bool = False) -> DataFrame:
+    """``train``: whether a row's keys are among the first int(fraction n) distinct ones in hash order.
+
+    ``separately``: whether each key by itself is among the chosen ones', which takes in more rows. The chosen number
+    is found by a hash threshold's exact rank: distinct keys are ranked within ranges of the hash.
+    """
+    distinct = rows.select(*keys).distinct()
+    number = F.col(keys[0]) * 100_000 + F.col(keys[1])
+    hashed = distinct.withColumn("h", portable_hash(number % 2147483647, seed) * 4096 + number % 4096)
+    n = int(fraction * hashed.count())
+    chosen = first_by(hashed, "h", n).select(*keys)
+    if not separately:
+        return rows.join(chosen.withColumn("train", F.lit(True)), list(keys), "left").withColumn("train", F.coalesce("train", F.lit(False)))
+    out = rows
+    for k in keys:
+        out = out.join(chosen.select(k).distinct().withColumn(f"_{k}", F.lit(True)), k, "left")
+    both = F.lit(True)
+    for k in keys:
+        both &= F.coalesce(F.col(f"_{k}"), F.lit(False))
+    return out.withColumn("train", both).drop(*[f"_{k}" for k in keys])
+
+
+def first_by(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``."""
+    from .accuracy import sums_before
+
+    numbered = sums_before(rows.withColumn("_one", F.lit(1)), order, ["_one"])
+    return numbered.where(F.col("before__one") < n).drop("_one", "before__one")
+
+
+def quota_split(rows: DataFrame, by: Sequence[str], key: str, quota: Column, fraction: float, seed: int) -> DataFrame:
+    """The rows of ``quota_sample`` with ``train``: whether a row is among the first int(fraction n) taken of its group."""
+    group = Window.partitionBy(*by)
+    numbered = rows.withColumns({"rn": F.row_number().over(group.orderBy(*hash_order(key, seed))), "_n": F.count("*").over(group)})
+    taken = numbered.where(F.col("rn") <= quota)
+    return taken.withColumn("train", F.col("rn") <= F.floor(F.least(F.col("_n"), quota) * fraction)).drop("rn", "_n")
+
+
+def presence_absence(rows: DataFrame, zone: str, key: str, absent: Column, n: int, zone_fraction: float, sample_fraction: float, seed: int) -> DataFrame:
+    """(key, zone, present, train): as many absent as present pixels, the zones of present ones split into train and test first.
+
+    Absent pixels: the first n/2 in hash order, split by ``sample_fraction``. Present ones: of the training zones and of
+    the others, each their share of n/2.
+    """
+    half = n // 2
+    zones = rows.where(~absent).select(zone).distinct().withColumn("of_train", below(zone, zone_fraction, seed))
+    pixels = rows.join(zones, zone, "left").withColumn("present", ~absent)
+    side = F.when(~F.col("present"), F.lit("absent")).when(F.col("of_train"), F.lit("train")).otherwise(F.lit("test"))
+    quota = F.when(F.col("side") == "absent", half).when(F.col("side") == "train", int(half * sample_fraction)).otherwise(int(half * (1 - sample_fraction)))
+    out = quota_split(pixels.withColumn("side", side), ["side"], key, quota, sample_fraction, seed + 1)
+    return out.select(key, zone, "present", F.when(F.col("side") == "absent", F.col("train")).otherwise(F.col("side") == "train").alias("train"))
+
+
+def year_of(rows: DataFrame, by: Sequence[str], key: str, columns: Sequence[str], target: str, seed: int) -> DataFrame:
+    """``target`` from one of several year columns, each for an equal share of the rows of a group, the last for what is left over."""
+    group = Window.partitionBy(*by)
+    n, each = len(columns), F.floor(F.count("*").over(group) / len(columns))
+    rows = rows.withColumn("_k", F.least(F.floor((F.row_number().over(group.orderBy(*hash_order(key, seed))) - 1) / each), F.lit(n - 1)))
+    value, year = F.lit(None), F.lit(None)
+    for k, c in reversed(list(enumerate(columns))):
+        value, year = F.when(F.col("_k") == k, F.col(c)).otherwise(value), F.when(F.col("_k") == k, F.lit(c)).otherwise(year)
+    return rows.withColumns({target: value, "source": year}).drop("_k")
+
+
+def apart(candidates: DataFrame, quota: DataFrame, stratum: str, key: str, distance: float, seed: int) -> DataFrame:
+    """Candidates (key, stratum, x, y) picked up to each stratum's ``quota`` so that no two picked ones lie within ``distance``, at most.
+
+    Every candidate has a place in one order of all, by a hash of its key. A round picks those that no earlier open
+    candidate within reach or of the same full stratum precedes, and closes all within reach of them. So strata take
+    turns by chance, as candidates do; rounds follow the longest run of neighbours in that order, not the number of
+    candidates. Neighbours meet on cells as wide as the distance. A stratum runs short where its candidates are taken up.
+    """
+    spaced = Window.partitionBy(stratum).orderBy("place", key)
+    rows = candidates.withColumn("place", portable_hash(F.col(key), seed))
+    cell = lambda c: F.floor(F.col(c) / distance)
+    placed = rows.withColumns({"cx": cell("x"), "cy": cell("y")})
+    around = placed.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o"), F.col(key).alias("other"), F.col("place").alias("other_place"), F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("cx")).alias("bx"), F.col("cy").alias("by"))
+    around = around.select("other", "other_place", "ox", "oy", (F.col("bx") + F.col("o.i")).alias("cx"), (F.col("by") + F.col("o.j")).alias("cy"))
+    near = placed.join(around, ["cx", "cy"]).where((F.col(key) != F.col("other")) & (F.sqrt(F.pow(F.col("x") - F.col("ox"), F.lit(2)) + F.pow(F.col("y") - F.col("oy"), F.lit(2))) <= distance))
+    links = cut(near.select(key, "other", F.struct("other_place", "other").alias("other_at")))
+    state = cut(rows.withColumn("state", F.lit("open")))
+    while True:
+        left = quota.join(state.where("state = 'picked'").groupBy(stratum).agg(F.count("*").alias("n")), stratum, "left").select(stratum, (F.col("quota") - F.coalesce("n", F.lit(0))).alias("left"))
+        open_rows = state.where("state = 'open'").join(left, stratum).withColumn("rn", F.row_number().over(spaced))
+        if open_rows.where("left > 0").isEmpty():
+            return state.where("state = 'picked'").drop("state", "place")
+        # those beyond what a stratum may still take wait for the ones before them
+        first = open_rows.where(F.col("rn") <= F.col("left"))
+        waiting = links.join(open_rows.where("left > 0").select(F.col(key).alias("other")), "other").groupBy(key).agg(F.min("other_at").alias("least"))
+        picked = first.join(waiting, key, "left").where(F.col("least").isNull() | (F.struct(F.col("place").alias("other_place"), F.col(key).alias("other")) < F.col("least"))).select(key).withColumn("is_picked", F.lit(True))
+        closed = links.join(picked.select(F.col(key).alias("other")), "other").select(key).distinct().withColumn("is_closed", F.lit(True))
+        full = left.where("left <= 0").select(stratum).withColumn("is_full", F.lit(True))
+        told = state.join(picked, key, "left").join(closed, key, "left").join(F.broadcast(full), stratum, "left")
+        now = F.when(F.col("state") != "open", F.col("state")).when(F.col("is_picked"), F.lit("picked")).when(F.col("is_closed") | F.col("is_full"), F.lit("closed")).otherwise(F.lit("open"))
+        state = cut(told.withColumn("state", now).select(*state.columns))

@@ -7,11 +7,11 @@ one that holds the lower left corner of what they share.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def cells_of(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
@@ -23,6 +23,18 @@ def by_cell(rects: DataFrame, size: float) -> DataFrame:
     return out.select("*", cells_of(F.col("lr_y"), F.col("ul_y"), size).alias("cell_y"))
 
 
+#: Cells a rectangle of middling size touches along a side, about.
+ACROSS = 2
+
+
+def cell_size(*rects: DataFrame) -> float:
+    """A width of cells that suits the extents of rectangles: half the mean of their longer sides, so one touches a few cells whatever the map's units."""
+    sides = [r.agg(F.avg(F.greatest(F.col("lr_x") - F.col("ul_x"), F.col("ul_y") - F.col("lr_y"))), F.max(F.greatest(F.col("lr_x") - F.col("ul_x"), F.col("ul_y") - F.col("lr_y")))).first() for r in rects]  # one row each
+    held = [(float(mean), float(most)) for mean, most in sides if mean]
+    # the mean alone would cut a few huge ones among many small ones into too many cells
+    return max([1e-9, *(max(mean / ACROSS, most / 64) for mean, most in held)])
+
+
 #: Tests of a point in a rectangle: strict on all sides; half-open (left and upper edge belong).
 WITHIN = {
     "strict": lambda x, y: (x > F.col("ul_x")) & (x < F.col("lr_x")) & (y > F.col("lr_y")) & (y < F.col("ul_y")),
@@ -30,15 +42,17 @@ WITHIN = {
 }
 
 
-def points_in_rects(points: DataFrame, rects: DataFrame, rule: str, size: float = 600) -> DataFrame:
+def points_in_rects(points: DataFrame, rects: DataFrame, rule: str, size: float | None = None) -> DataFrame:
     """All pairs of a point (x, y) and a rectangle that holds it by a rule of ``WITHIN``."""
+    size = size or cell_size(rects)
     placed = points.withColumns({"cell_x": F.floor(F.col("x") / size), "cell_y": F.floor(F.col("y") / size)})
     return placed.join(by_cell(rects, size), ["cell_x", "cell_y"]).where(WITHIN[rule](F.col("x"), F.col("y"))).drop("cell_x", "cell_y")
 
 
-def rect_pairs(left: DataFrame, right: DataFrame, touching: bool, size: float = 600) -> DataFrame:
+def rect_pairs(left: DataFrame, right: DataFrame, touching: bool, size: float | None = None) -> DataFrame:
     """(left_id, right_id, area) of rectangles (id and corners) that share an area, or with ``touching`` a point at least."""
     names = ("ul_x", "ul_y", "lr_x", "lr_y")
+    size = size or max(cell_size(left), cell_size(right))
     a = by_cell(left, size).select("cell_x", "cell_y", F.col("id").alias("left_id"), *[F.col(n).alias(f"a_{n}") for n in names])
     b = by_cell(right, size).select("cell_x", "cell_y", F.col("id").alias("right_id"), *[F.col(n).alias(f"b_{n}") for n in names])
     x, y = F.greatest("a_ul_x", "b_ul_x"), F.greatest("a_lr_y", "b_lr_y")
@@ -48,24 +62,19 @@ def rect_pairs(left: DataFrame, right: DataFrame, touching: bool, size: float =
     return a.join(b, ["cell_x", "cell_y"]).where(near & once).select("left_id", "right_id", (width * height).alias("area"))
 
 
-def touching_components(rects: DataFrame, size: float = 600) -> DataFrame:
+def touching_components(rects: DataFrame, size: float | None = None) -> DataFrame:
     """(id, region_id): rectangles that share an edge or corner without area, and all they reach, under their smallest id.
 
     Each round is checkpointed to the shared folder; a count of changes alone comes to the driver.
     """
-    spark = rects.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix=f"parcelwise-{uuid.uuid4().hex}"))
-    links = rect_pairs(rects, rects, True, size).where("left_id <> right_id AND area = 0").select("left_id", "right_id").checkpoint()
+    links = cut(rect_pairs(rects, rects, True, size).where("left_id <> right_id AND area = 0").select("left_id", "right_id"))
     labels = rects.select("id", F.col("id").alias("region_id"))
     while True:
         around = links.join(labels.withColumnRenamed("id", "right_id"), "right_id").groupBy(F.col("left_id").alias("id")).agg(F.min("region_id").alias("least"))
         new = labels.join(around, "id", "left").select("id", F.least("region_id", F.coalesce("least", "region_id")).alias("next"), "region_id")
         # one more step along the labels halves the rounds
         jump = new.select(F.col("id").alias("next"), F.col("next").alias("further"))
-        new = new.join(jump, "next", "left").select("id", F.least("next", F.coalesce("further", "next")).alias("next"), "region_id").checkpoint()
+        new = cut(new.join(jump, "next", "left").select("id", F.least("next", F.coalesce("further", "next")).alias("next"), "region_id"))
         changed = new.where("next <> region_id").count()
         labels = new.select("id", F.col("next").alias("region_id"))
         if not changed:
@@ -84,19 +93,60 @@ def ring_of(ul_x: Column, ul_y: Column, lr_x: Column, lr_y: Column) -> Column:
     return F.array(corner(ul_x, ul_y), corner(lr_x, ul_y), corner(lr_x, lr_y), corner(ul_x, lr_y), corner(ul_x, ul_y))
 
 
-def nearest(values: DataFrame, coordinates: DataFrame, value: str, coordinate: str, size: float = 600) -> DataFrame:
+def nearest(values: DataFrame, coordinates: DataFrame, value: str, coordinate: str) -> DataFrame:
     """Each row of ``values`` with its nearest coordinate, the smaller on a tie.
 
-    Every coordinate owns the interval up to the middle to its neighbours; only distinct coordinates, such as tile edges,
-    pass the window that finds those. Values then meet intervals on coarse cells.
+    Values are counted once each and sorted together with the coordinates; the last coordinate before and the first one
+    after each value follow from running extremes within ranges of the sort and, from range to range, over one row each.
     """
-    line = Window.orderBy(coordinate)
-    ends = values.agg(F.min(value).alias("least"), F.max(value).alias("most"))  # one row
-    own = coordinates.select(coordinate).distinct().select(F.col(coordinate).alias("nearest"), ((F.lag(coordinate).over(line) + F.col(coordinate)) / 2).alias("low"), ((F.lead(coordinate).over(line) + F.col(coordinate)) / 2).alias("high"))
-    own = own.crossJoin(F.broadcast(ends)).select("nearest", F.coalesce("low", F.lit(float("-inf"))).alias("low"), F.coalesce("high", F.lit(float("inf"))).alias("high"), "least", "most").where("low < most AND high >= least")
-    cells = own.select("nearest", "low", "high", cells_of(F.greatest("low", F.col("least").cast("double")), F.least("high", F.col("most").cast("double")), size).alias("cell"))
-    placed = values.withColumn("cell", F.floor(F.col(value) / size))
-    return placed.join(cells, "cell").where((F.col(value) > F.col("low")) & (F.col(value) <= F.col("high"))).drop("cell", "low", "high")
+    distinct = values.select(F.col(value).alias("at")).where(F.col(value).isNotNull()).distinct()
+    own = coordinates.select(F.col(coordinate).alias("at"), F.col(coordinate).alias("edge")).where(F.col(coordinate).isNotNull()).distinct()
+    both = distinct.withColumn("edge", F.lit(None).cast(own.schema["edge"].dataType)).unionByName(own)
+    # an edge sorts before a value equal to it
+    ranged = cut(both.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
+    ends = ranged.groupBy("part").agg(F.max("edge").alias("last"), F.min("edge").alias("first"))  # one row a partition
+    before, after = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select("part", F.max("last").over(before).alias("part_low"), F.min("first").over(after).alias("part_high"))
+    line = Window.partitionBy("part").orderBy("at", F.col("edge").asc_nulls_last())
+    low = F.max("edge").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    high = F.min("edge").over(Window.partitionBy("part").orderBy("at", F.col("edge").asc_nulls_last()).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    placed = ranged.withColumns({"low": low, "high": high}).join(F.broadcast(ends), "part").where("edge IS NULL")
+    low, high = F.coalesce("low", "part_low"), F.coalesce("high", "part_high")
+    near = F.when(high.isNull() | (F.col("at") - low <= high - F.col("at")), low).otherwise(high)
+    return values.join(placed.select(F.col("at").alias(value), near.alias("nearest")), value)
+
+
+def in_envelope(x: Column, y: Column) -> Column:
+    """Whether a point lies in a polygon's envelope, half-open; what is left goes on to the ray cast."""
+    return (x >= F.col("min_x")) & (x < F.col("max_x")) & (y >= F.col("min_y")) & (y < F.col("max_y"))
+
+
+def with_envelope(polygons: DataFrame, ring: str = "ring") -> DataFrame:
+    """Polygons with the least and greatest coordinates of their rings as columns."""
+    at = lambda f, c: f(F.transform(ring, lambda p: p[c]))
+    return polygons.withColumns({"min_x": at(F.array_min, "x"), "max_x": at(F.array_max, "x"), "min_y": at(F.array_min, "y"), "max_y": at(F.array_max, "y")})
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, ring: str = "ring") -> DataFrame:
+    """All pairs of a point (x, y) and a polygon that holds it: envelopes meet points on cells, and a ray is cast for the pairs left."""
+    boxes = with_envelope(polygons, ring)
+    rects = boxes.withColumns({"ul_x": F.col("min_x"), "lr_x": F.col("max_x"), "ul_y": F.col("max_y"), "lr_y": F.col("min_y")})
+    size = cell_size(rects)
+    placed = points.withColumns({"cell_x": F.floor(F.col("x") / size), "cell_y": F.floor(F.col("y") / size)})
+    pairs = placed.join(by_cell(rects, size), ["cell_x", "cell_y"]).where(in_envelope(F.col("x"), F.col("y")))
+    held = pairs.where(in_ring(F.col("x").cast("double"), F.col("y").cast("double"), F.col(ring)))
+    return held.drop("cell_x", "cell_y", "ul_x", "ul_y", "lr_x", "lr_y", "min_x", "max_x", "min_y", "max_y")
+
+
+def clipped(rects: DataFrame, ul_x: float, ul_y: float, lr_x: float, lr_y: float) -> DataFrame:
+    """What of each rectangle lies in a window; those that share no area with it are left out."""
+    out = rects.withColumns({"ul_x": F.greatest("ul_x", F.lit(ul_x)), "ul_y": F.least("ul_y", F.lit(ul_y)), "lr_x": F.least("lr_x", F.lit(lr_x)), "lr_y": F.greatest("lr_y", F.lit(lr_y))})
+    return out.where("ul_x < lr_x AND lr_y < ul_y")
+
+
+def dissolved(rects: DataFrame, by: str) -> DataFrame:
+    """(by, n, ul_x, ul_y, lr_x, lr_y): the extent of all rectangles of a value."""
+    return rects.groupBy(by).agg(F.count("*").alias("n"), F.min("ul_x").alias("ul_x"), F.max("ul_y").alias("ul_y"), F.max("lr_x").alias("lr_x"), F.min("lr_y").alias("lr_y"))
 
 
 def names_holding(names: DataFrame, ids: DataFrame, name: str, part: str, length: int) -> DataFrame:

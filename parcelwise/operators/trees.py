@@ -1,7 +1,10 @@
-"""Decision trees fitted one for each support set, kept as a table of nodes, and their use on pixels.
+"""Decision trees kept as a table of nodes, and their use on pixels.
 
-A task fits one tree from the rows of one set (a rectangle's sample, of bounded size by design); sets are dealt out by
-Spark. A model is rows (set_id, node, feature, threshold, left, right, value): feature is null in a leaf.
+Trees of support sets are fitted one in a task from the rows of one set (a rectangle's sample, of bounded size by
+design); sets are dealt out by Spark. Forests over a whole table grow level by level from counts by node, feature and
+bin, so no tree's rows ever meet in one place. A model is rows (set_id, node, feature, threshold, left, right, value):
+feature is null in a leaf. Classes are whole numbers; a classifier's value is the most frequent class, the smallest on
+a tie.
 """
 
 from __future__ import annotations
@@ -10,23 +13,29 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import portable_hash
+from ..session import cut
+
 NODES = "set_id long, node int, feature string, threshold double, left int, right int, value double, gain double"
 LEAST_LEAF = 0.005
 
 
 def best_split(x: np.ndarray, y: np.ndarray, least: int) -> tuple[float, int, float] | None:
-    """(gain, column, threshold) of the split that lowers the squared error most, each side holding ``least`` rows."""
+    """(gain, column, threshold) of the split that lowers the squared error most, each side holding ``least`` rows.
+
+    ``y`` has a column for the target, or one for each class, where the squared error over all is the Gini impurity.
+    """
     best = None
-    total, n = ((y - y.mean()) ** 2).sum(), len(y)
+    n, whole = len(y), (y.sum(axis=0) ** 2).sum() / len(y)
     for k in range(x.shape[1]):
         order = np.argsort(x[:, k], kind="stable")
         v, t = x[order, k], y[order]
         left_n = np.arange(1, n)
-        left = np.cumsum(t)[:-1]
-        gain = total - ((t * t).sum() - left**2 / left_n - (t.sum() - left) ** 2 / (n - left_n))
+        left = np.cumsum(t, axis=0)[:-1]
+        gain = (left**2).sum(axis=1) / left_n + ((t.sum(axis=0) - left) ** 2).sum(axis=1) / (n - left_n) - whole
         gain[(v[1:] == v[:-1]) | (left_n < least) | (n - left_n < least)] = -1
         at = int(np.argmax(gain)) if len(gain) else 0
         if len(gain) and gain[at] > 1e-9 and (best is None or gain[at] > best[0]):
@@ -34,17 +43,20 @@ def best_split(x: np.ndarray, y: np.ndarray, least: int) -> tuple[float, int, fl
     return best
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, columns: Sequence[str], max_depth: int, max_features: int | None = None, seed: int = 0) -> list[tuple]:
-    """Nodes of a regression tree; leaves hold at least a share of ``LEAST_LEAF`` of the rows."""
+def fit_tree(x: np.ndarray, y: np.ndarray, columns: Sequence[str], max_depth: int, max_features: int | None = None, seed: int = 0, classes: bool = False) -> list[tuple]:
+    """Nodes of a regression tree, or of a classifier; leaves hold at least a share of ``LEAST_LEAF`` of the rows."""
     least = max(1, int(np.ceil(LEAST_LEAF * len(y))))
     nodes: list[list] = []
     rng = np.random.default_rng(seed)
+    labels = np.unique(y)
+    target = (y[:, None] == labels).astype(float) if classes else y[:, None]
+    value = lambda rows: float(labels[np.argmax(target[rows].sum(axis=0))]) if classes else float(y[rows].mean())
 
     def grow(rows: np.ndarray, depth: int) -> int:
         number = len(nodes)
-        nodes.append([number, None, None, None, None, float(y[rows].mean()), 0.0])
+        nodes.append([number, None, None, None, None, value(rows), 0.0])
         pool = np.arange(len(columns)) if max_features is None else np.sort(rng.choice(len(columns), min(max_features, len(columns)), replace=False))
-        split = best_split(x[rows][:, pool], y[rows], least) if depth < max_depth and len(rows) >= 2 * least else None
+        split = best_split(x[rows][:, pool], target[rows], least) if depth < max_depth and len(rows) >= 2 * least else None
         if split:
             gain, k, threshold = split
             low = x[rows, pool[k]] <= threshold
@@ -56,16 +68,16 @@ def fit_tree(x: np.ndarray, y: np.ndarray, columns: Sequence[str], max_depth: in
     return [tuple(n) for n in nodes]
 
 
-def train_sets(members: DataFrame, target: str, columns: Sequence[str], max_depth: int = 4, least_rows: int = 25, max_features: int | None = None) -> DataFrame:
+def train_sets(members: DataFrame, target: str, columns: Sequence[str], max_depth: int = 4, least_rows: int = 25, max_features: int | None = None, classes: bool = False) -> DataFrame:
     """The node tables of one tree for each ``set_id`` of ``members`` that has ``least_rows`` complete rows in bag."""
     ordered = sorted(columns)
     rows = members.where("in_bag").select(F.col("set_id").cast("long").alias("set_id"), *[F.col(c).cast("double").alias(c) for c in ordered], F.col(target).cast("double").alias("_target")).dropna()
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < least_rows:
             return pd.DataFrame(columns=[c.split()[0] for c in NODES.split(", ")])
         pdf = pdf.sort_values([*ordered, "_target"])
-        nodes = fit_tree(pdf[ordered].to_numpy(), pdf["_target"].to_numpy(), ordered, max_depth, max_features, int(key[0]))
+        nodes = fit_tree(pdf[ordered].to_numpy(), pdf["_target"].to_numpy(), ordered, max_depth, max_features, int(key[0]), classes)
         out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "value", "gain"])
         out.insert(0, "set_id", key[0])
         return out
@@ -73,6 +85,92 @@ def train_sets(members: DataFrame, target: str, columns: Sequence[str], max_dept
     return rows.groupBy("set_id").applyInPandas(fit, NODES)
 
 
+def refused(members: DataFrame, nodes: DataFrame, target: str, columns: Sequence[str], least_rows: int = 25) -> DataFrame:
+    """(set_id, n_rows, n_complete, problem) of the sets without a model."""
+    complete = F.col(target).isNotNull()
+    for c in columns:
+        complete &= F.col(c).isNotNull()
+    sets = members.where("in_bag").groupBy(F.col("set_id").cast("long").alias("set_id")).agg(F.count("*").alias("n_rows"), F.count_if(complete).alias("n_complete"))
+    problem = F.when(F.col("n_rows") < least_rows, F.lit("too few rows")).when(F.col("n_complete") < least_rows, F.lit("too few complete rows")).otherwise(F.lit("not fitted"))
+    return sets.join(nodes.select("set_id").distinct(), "set_id", "left_anti").withColumn("problem", problem)
+
+
+def write_model(nodes: DataFrame, path: str) -> None:
+    nodes.write.parquet(path)
+
+
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(NODES).parquet(path)
+
+
+def bin_edges(rows: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """For each column the values that part its bins: at most ``bins`` - 1 approximate quantiles."""
+    shares = [k / bins for k in range(1, bins)]
+    found = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10_000).alias(c) for c in columns]).first()  # one row
+    return {c: sorted(set(found[c] or [])) for c in columns}
+
+
+def grow_forest(rows: DataFrame, target: str, columns: Sequence[str], max_depth: int = 4, bins: int = 32, max_features: int | None = None, classes: bool = False, seed: int = 1) -> DataFrame:
+    """The node tables of a tree for each ``set_id`` of ``rows`` (with ``in_bag``), grown level by level.
+
+    Each level is one aggregation of all rows into sums by tree, node, feature, bin and class, combined before they are
+    shuffled; what comes out has (trees x nodes x features x bins x classes) rows at most, whatever the table. Splits
+    lie between bins; ``max_features`` draws that many columns for each node by a hash.
+    """
+    ordered = sorted(columns)
+    edges = bin_edges(rows, ordered, bins)
+    held = rows.where("in_bag").select(F.col("set_id").cast("long").alias("set_id"), *[F.col(c).cast("double").alias(c) for c in ordered], F.col(target).cast("double").alias("_y")).dropna()
+    number = lambda c: sum((F.when(F.col(c) > e, 1).otherwise(0) for e in edges[c]), F.lit(0))
+    label, weight = (F.col("_y"), F.lit(1.0)) if classes else (F.lit(0.0), F.col("_y"))
+    rows = held.select("set_id", label.alias("label"), weight.alias("weight"), *ordered, F.array(*[F.struct(F.lit(k).alias("feature"), number(c).alias("bin")) for k, c in enumerate(ordered)]).alias("bins"), F.lit(1).cast("long").alias("node"))
+    done: DataFrame | None = None
+    n_set = None
+    for depth in range(max_depth + 1):
+        sums = rows.groupBy("set_id", "node", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("s"))
+        best_label = F.max_by("label", F.struct("n", -F.col("label")))
+        stats = sums.groupBy("set_id", "node").agg(F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("squares"), (best_label if classes else F.sum("s") / F.sum("n")).alias("value"))
+        stats = cut(stats)
+        if n_set is None:
+            n_set = stats.select("set_id", F.greatest(F.lit(1), F.ceil(F.col("n") * LEAST_LEAF)).alias("least"))
+        if depth == max_depth:
+            nodes = stats.select("set_id", "node", F.lit(None).cast("int").alias("feature"), F.lit(None).cast("int").alias("bin"), "value", F.lit(0.0).alias("gain"))
+            done = nodes if done is None else done.unionByName(nodes)
+            break
+        each = rows.select("set_id", "node", "label", "weight", F.explode("bins").alias("b")).select("set_id", "node", "label", "weight", "b.feature", "b.bin")
+        cells = each.groupBy("set_id", "node", "feature", "bin", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("s"))
+        if max_features is not None and max_features < len(ordered):
+            drawn = stats.select("set_id", "node", F.explode(F.sequence(F.lit(0), F.lit(len(ordered) - 1))).alias("feature"))
+            draw = Window.partitionBy("set_id", "node").orderBy(portable_hash((F.col("set_id") * 4096 + F.col("node")) % 2147483647 * 64 % 2147483647 + F.col("feature"), seed), "feature")
+            drawn = drawn.withColumn("rn", F.row_number().over(draw)).where(F.col("rn") <= max_features).drop("rn")
+            cells = cells.join(F.broadcast(drawn), ["set_id", "node", "feature"], "left_semi")
+        # all labels at all bins, so that running sums exist at each
+        cells = cut(cells)
+        at = cells.select("set_id", "node", "feature", "bin").distinct().join(cells.select("set_id", "node", "feature", "label").distinct(), ["set_id", "node", "feature"])
+        cells = at.join(cells, ["set_id", "node", "feature", "bin", "label"], "left").na.fill(0, ["n", "s"])
+        upto = Window.partitionBy("set_id", "node", "feature", "label").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        every = Window.partitionBy("set_id", "node", "feature", "label")
+        sides = cells.withColumns({"left_n": F.sum("n").over(upto), "left_s": F.sum("s").over(upto), "all_n": F.sum("n").over(every), "all_s": F.sum("s").over(every)})
+        splits = sides.groupBy("set_id", "node", "feature", "bin").agg(F.sum("left_n").alias("left_n"), F.sum("all_n").alias("all_n"), F.sum(F.col("left_s") * F.col("left_s")).alias("left"), F.sum((F.col("all_s") - F.col("left_s")) * (F.col("all_s") - F.col("left_s"))).alias("right"), F.sum(F.col("all_s") * F.col("all_s")).alias("whole"))
+        splits = splits.join(F.broadcast(n_set), "set_id").where("left_n >= least AND all_n - left_n >= least")
+        splits = splits.withColumn("gain", F.try_divide("left", "left_n") + F.try_divide("right", F.col("all_n") - F.col("left_n")) - F.try_divide("whole", "all_n")).where("gain > 1e-9")
+        best = splits.groupBy("set_id", "node").agg(F.max(F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))).alias("best"))
+        nodes = stats.join(best, ["set_id", "node"], "left").select("set_id", "node", (-F.col("best.f")).alias("feature"), (-F.col("best.b")).alias("bin"), "value", F.coalesce("best.gain", F.lit(0.0)).alias("gain"))
+        nodes = cut(nodes)
+        done = nodes if done is None else done.unionByName(nodes)
+        # a level has few nodes, whatever the rows
+        rows = rows.join(F.broadcast(nodes.where("feature IS NOT NULL").select("set_id", "node", "feature", F.col("bin").alias("split"))), ["set_id", "node"])
+        goes = F.get("bins", F.col("feature"))["bin"] <= F.col("split")
+        rows = rows.withColumn("node", F.when(goes, 2 * F.col("node")).otherwise(2 * F.col("node") + 1)).drop("feature", "split")
+    # places in each tree from 0, and thresholds for bins
+    place = Window.partitionBy("set_id").orderBy("node")
+    placed = done.withColumn("place", F.row_number().over(place) - 1)
+    child = lambda side: placed.select("set_id", (F.col("node") - side).alias("twice"), F.col("place").alias(f"at_{side}")).where("twice % 2 = 0").select("set_id", (F.col("twice") / 2).cast("long").alias("node"), f"at_{side}")
+    names = F.array(*map(F.lit, ordered))
+    parts = F.array(*[F.array(*map(F.lit, edges[c])) if edges[c] else F.array().cast("array<double>") for c in ordered])
+    out = placed.join(child(0), ["set_id", "node"], "left").join(child(1), ["set_id", "node"], "left")
+    return out.select("set_id", F.col("place").cast("int").alias("node"), F.get(names, F.col("feature")).alias("feature"), F.get(F.get(parts, F.col("feature")), F.col("bin")).alias("threshold"), F.when(F.col("feature").isNotNull(), F.col("at_0")).cast("int").alias("left"), F.when(F.col("feature").isNotNull(), F.col("at_1")).cast("int").alias("right"), F.col("value").cast("double").alias("value"), "gain")
+
+
 def predict(members: DataFrame, nodes: DataFrame, columns: Sequence[str], key: str = "id", max_depth: int = 4) -> DataFrame:
     """(key, set_id, prediction): every member row beside its set's nodes by one join, and led down the tree in place."""
     each = F.struct("node", "feature", "threshold", "left", "right", "value")
@@ -89,15 +187,16 @@ def predict(members: DataFrame, nodes: DataFrame, columns: Sequence[str], key: s
 
 
 def zero_inflated(members: DataFrame, target: str, columns: Sequence[str], **options) -> tuple[DataFrame, DataFrame]:
-    """Node tables of a tree for whether the target is other than zero, and of one for its value where it is."""
+    """Node tables of a classifier of whether the target is other than zero, and of a tree for its value where it is."""
     present = members.withColumn("_present", (F.col(target) != 0).cast("double"))
-    return train_sets(present, "_present", columns, **options), train_sets(members.where(F.col(target) != 0), target, columns, **options)
+    return train_sets(present, "_present", columns, classes=True, **options), train_sets(members.where(F.col(target) != 0), target, columns, **options)
 
 
 def predict_zero_inflated(members: DataFrame, models: tuple[DataFrame, DataFrame], columns: Sequence[str], key: str = "id", max_depth: int = 4) -> DataFrame:
+    """The class, 0 or 1, times the value; 0 where a set has no model of values."""
     present, value = (predict(members, m, columns, key, max_depth) for m in models)
-    both = present.withColumnRenamed("prediction", "p").join(value, [key, "set_id"])
-    return both.select(key, "set_id", (F.when(F.col("p") >= 0.5, F.col("prediction")).otherwise(0.0)).alias("prediction"))
+    both = present.withColumnRenamed("prediction", "p").join(value, [key, "set_id"], "left")
+    return both.select(key, "set_id", (F.col("p") * F.coalesce("prediction", F.lit(0.0))).alias("prediction"))
 
 
 def importance(nodes: DataFrame) -> DataFrame:
@@ -107,17 +206,44 @@ def importance(nodes: DataFrame) -> DataFrame:
     return gains.join(total, "set_id").select("set_id", "feature", (F.col("gain") / F.col("total")).alias("importance"))
 
 
+def class_importance(members: DataFrame, nodes: DataFrame, label: str, columns: Sequence[str], max_depth: int = 4) -> DataFrame:
+    """(set_id, label, feature): the feature whose splits see most rows of a class, the first by name on a tie."""
+    each = F.struct("node", "feature", "threshold", "left", "right")
+    models = nodes.groupBy("set_id").agg(F.array_sort(F.collect_list(each)).alias("nodes"))
+    features = F.create_map(*[x for c in sorted(columns) for x in (F.lit(c), F.col(c).cast("double"))])
+    rows = members.where("in_bag").dropna(subset=[label, *columns]).select(F.col("set_id").cast("long").alias("set_id"), F.col(label).alias("label"), features.alias("x")).join(models, "set_id")
+
+    def step(path, _):
+        node = F.get("nodes", F.element_at(path, -1))
+        return F.when(node["feature"].isNull(), path).otherwise(F.concat(path, F.array(F.when(F.element_at("x", node["feature"]) <= node["threshold"], node["left"]).otherwise(node["right"]))))
+
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.array(F.lit(0)), step)
+    seen = rows.select("set_id", "label", "nodes", F.explode(path).alias("at")).select("set_id", "label", F.get("nodes", F.col("at"))["feature"].alias("feature")).where("feature IS NOT NULL")
+    counts = seen.groupBy("set_id", "label", "feature").agg(F.count("*").alias("n"))
+    ranked = Window.partitionBy("set_id", "label").orderBy(F.desc("n"), "feature")
+    return counts.withColumn("rn", F.row_number().over(ranked)).where("rn = 1").select("set_id", "label", "feature")
+
+
 def oob_metrics(predictions: DataFrame, truth: DataFrame, target: str, key: str = "id") -> DataFrame:
     """(set_id, n, oob_rate, oob_rmse) over rows out of bag: R squared in whole percent and whole RMSE."""
     rows = predictions.join(truth.select(key, "set_id", F.col(target).cast("double").alias("y")), [key, "set_id"])
     d = F.col("y") - F.col("prediction")
     out = rows.groupBy("set_id").agg(F.count("*").alias("n"), F.sum(d * d).alias("ss"), (F.var_pop("y") * F.count("*")).alias("total"), F.sqrt(F.avg(d * d)).alias("rmse"))
-    return out.select("set_id", "n", (100 * (1 - F.try_divide("ss", "total"))).cast("int").alias("oob_rate"), F.col("rmse").cast("int").alias("oob_rmse"))
+    return out.select("set_id", "n", F.round(100 * (1 - F.try_divide("ss", "total"))).cast("int").alias("oob_rate"), F.round("rmse").cast("int").alias("oob_rmse"))
+
+
+def oob_class_metrics(predictions: DataFrame, truth: DataFrame, target: str, key: str = "id") -> DataFrame:
+    """(set_id, n, oob_rate, oob_kappa) over rows out of bag: whole percent correct and Cohen's kappa, null where chance agrees in all."""
+    rows = predictions.join(truth.select(key, "set_id", F.col(target).cast("double").alias("y")), [key, "set_id"])
+    cells = rows.groupBy("set_id", "y", F.col("prediction").alias("p")).agg(F.count("*").alias("n"))
+    total = cells.groupBy("set_id").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).alias("hits"))
+    sides = [cells.groupBy("set_id", F.col(c).alias("label")).agg(F.sum("n").alias(f"n_{c}")) for c in ("y", "p")]
+    chance = sides[0].join(sides[1], ["set_id", "label"]).groupBy("set_id").agg(F.sum(F.col("n_y") * F.col("n_p")).alias("chance"))
+    out = total.join(chance, "set_id", "left").withColumns({"agreed": F.col("hits") / F.col("total"), "expected": F.coalesce("chance", F.lit(0)) / (F.col("total") * F.col("total"))})
+    return out.select("set_id", F.col("total").alias("n"), F.round(100 * F.col("agreed")).cast("int").alias("oob_rate"), F.try_divide(F.col("agreed") - F.col("expected"), 1 - F.col("expected")).alias("oob_kappa"))
 
 
 def forest_rows(rows: DataFrame, trees: int, fraction: float = 0.63, key: str = "id") -> DataFrame:
     """Rows repeated for each of ``trees`` sets, in bag by a hash of key and tree."""
-    from ..functions.scalars import portable_hash
-
     each = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))).alias("set_id"))
     return each.withColumn("in_bag", portable_hash(F.col(key) + F.col("set_id") * 1000003, 17) < int(fraction * 4294967296))

@@ -22,7 +22,7 @@ def pct_vote(spark, d):
 
 
 def gaussian_mean(spark, d):
-    return ensemble.weighted_mean(src.votes(spark, d), "id", "vote", gaussian_weight(F.col("vote"), 25, 5))
+    return ensemble.weighted_mean(src.votes(spark, d), "id", "vote", gaussian_weight(F.col("vote"), 25, 5, 2.0))
 
 
 def importance_table(spark, d):
@@ -107,16 +107,12 @@ def raster(spark, d):
 
 def square_mean(spark, d):
     r = raster(spark, d)
-    return rounded(focal.focal(r, focal.square(3), "mean", rows_of(r), src.COLUMNS))
-
-
-def rows_of(r):
-    return r.agg(F.max("row")).first()[0] + 1
+    return rounded(focal.focal(r, focal.square(3), "mean"))
 
 
 def circle_mean(spark, d):
     r = raster(spark, d)
-    return rounded(focal.focal(r, focal.circle(5), "mean", rows_of(r), src.COLUMNS))
+    return rounded(focal.focal(r, focal.circle(5), "mean"))
 
 
 def focal_named(name):
@@ -126,7 +122,7 @@ def focal_named(name):
             r = r.withColumn("value", F.col("value") % 3)
         if name == "uniform":
             r = r.withColumn("value", (F.col("value") > 12).cast("int"))
-        return rounded(focal.focal(r, focal.square(3), name, rows_of(r), src.COLUMNS))
+        return rounded(focal.focal(r, focal.square(3), name))
 
     return build
 
@@ -171,7 +167,7 @@ ALL = {
       FROM votes v JOIN m USING (id) GROUP BY id""")),
     "pct_vote": (pct_vote, sql("votes", body=""", c AS (SELECT id, vote, count(*) AS n FROM votes GROUP BY ALL)
       SELECT id, arg_max(vote, (n, -vote)) AS vote, CAST(round_even(100 * max(n) / CAST(sum(n) AS DOUBLE), 0) AS INTEGER) AS pct_vote FROM c GROUP BY id""")),
-    "gaussian_weighted_mean": (gaussian_mean, sql("votes", body="SELECT id, CAST(round_even(sum(exp(-pow(vote - 25, 2) / 50.0) * vote) / sum(exp(-pow(vote - 25, 2) / 50.0)), 0) AS INTEGER) AS weighted_mean FROM votes GROUP BY id")),
+    "gaussian_weighted_mean": (gaussian_mean, sql("votes", body="SELECT id, CAST(round_even(sum(pow(2.0 * exp(1.0), -pow(vote - 25, 2) / 50.0) * vote) / sum(pow(2.0 * exp(1.0), -pow(vote - 25, 2) / 50.0)), 0) AS INTEGER) AS weighted_mean FROM votes GROUP BY id")),
     "importance_vote": (importance_vote, sql("votes", body=f""", {IMP}, best AS (SELECT set_id, CAST(CASE WHEN l_discount >= l_quantity AND l_discount >= l_tax THEN 1 WHEN l_quantity >= l_tax THEN 2 ELSE 3 END AS INTEGER) AS k FROM imp),
       t AS (SELECT v.id, b.k FROM (SELECT DISTINCT id, set_id FROM votes) v JOIN best b USING (set_id)) {MODE.format(by="id", v="k", out="importance", t="t")}""")),
     "importance_rank": (importance_rank, f"WITH {IMP}, {LONG}, m AS (SELECT variable, round(avg(value), 6) AS mean FROM long GROUP BY variable) SELECT variable, mean, CAST(row_number() OVER (ORDER BY mean DESC, variable) AS INTEGER) AS rank FROM m"),

@@ -1,4 +1,4 @@
-"""Queries that train and apply trees; checked by tests, since SQL can't fit them."""
+"""Queries that train and apply trees (checked by tests, since SQL can't fit them), and on terrain."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even
 from ..operators import focal, sampling, spatial, trees
+from ..session import cut
 from ..sources import tables as src
 from .common import rounded
 
@@ -17,10 +18,10 @@ def observations(spark, d):
     return v.groupBy("id").agg(F.avg("discount").alias("discount"), F.avg("price").alias("price"), F.avg("tax").alias("tax")).join(src.pairs(spark, d).select("id", "ref", "x", "y"), "id")
 
 
-def members(spark, d):
-    """Observations in each support rectangle, 63 percent of them in bag."""
-    inside = spatial.points_in_rects(observations(spark, d), src.rectangles(spark, d), "strict")
-    return sampling.fraction_of_groups(inside, ["set_id"], "id", 0.63, 5).withColumnRenamed("chosen", "in_bag")
+def members(spark, d, rects=None):
+    """Observations in each support rectangle, 63 percent of them in bag; kept once, for training and for prediction."""
+    inside = spatial.points_in_rects(observations(spark, d), rects or src.rectangles(spark, d), "strict")
+    return cut(sampling.fraction_of_groups(inside, ["set_id"], "id", 0.63, 5).withColumnRenamed("chosen", "in_bag"))
 
 
 def train_sets(spark, d):
@@ -29,12 +30,21 @@ def train_sets(spark, d):
 
 
 def predict_pixels(spark, d):
+    """Statistics over the sets that cover each pixel; pixels without data take no part."""
     m = members(spark, d)
-    nodes = trees.train_sets(m, "price", COLUMNS)
-    p = trees.predict(m, nodes, COLUMNS)
+    nodes = cut(trees.train_sets(m, "price", COLUMNS))
+    p = trees.predict(m.dropna(subset=COLUMNS), nodes, COLUMNS)
     return p.groupBy("id").agg(half_even(F.avg("prediction")).alias("mean"), half_even(F.stddev_pop("prediction")).alias("stdv"), F.count("*").alias("n"))
 
 
+def predict_per_set(spark, d):
+    """What each set predicts by itself; a set without a model has one row that says why."""
+    m = members(spark, d)
+    nodes = cut(trees.train_sets(m, "price", COLUMNS, least_rows=40))
+    p = trees.predict(m, nodes, COLUMNS).groupBy("set_id").agg(F.count("*").alias("n"), F.avg("prediction").alias("mean"))
+    return rounded(p.unionByName(trees.refused(m, nodes, "price", COLUMNS, least_rows=40).select("set_id", F.col("n_rows").alias("n"), "problem"), allowMissingColumns=True), 4)
+
+
 def oob(spark, d):
     m = members(spark, d)
     nodes = trees.train_sets(m, "ref", COLUMNS)
@@ -42,56 +52,111 @@ def oob(spark, d):
     return trees.oob_metrics(trees.predict(held, nodes, COLUMNS), held, "ref")
 
 
+def with_class(df):
+    """Observations with a class of four from their price."""
+    return df.withColumn("label", F.least(F.floor(F.col("price") / 20000), F.lit(3)).cast("int"))
+
+
+def class_oob(spark, d):
+    m = with_class(members(spark, d))
+    nodes = trees.train_sets(m, "label", ["discount", "ref", "tax"], classes=True)
+    held = m.where("NOT in_bag")
+    return rounded(trees.oob_class_metrics(trees.predict(held, nodes, ["discount", "ref", "tax"]), held, "label"), 4)
+
+
 def importance(spark, d):
     nodes = trees.train_sets(members(spark, d), "ref", COLUMNS)
     return rounded(trees.importance(nodes), 4)
 
 
+def class_importance(spark, d):
+    m = with_class(members(spark, d))
+    columns = ["discount", "ref", "tax"]
+    nodes = cut(trees.train_sets(m, "label", columns, classes=True))
+    return trees.class_importance(m, nodes, "label", columns)
+
+
 def zero_inflated(spark, d):
     m = members(spark, d).withColumn("target", F.when(F.col("discount") < 0.03, 0.0).otherwise(F.floor(F.col("price") / 1000)))
-    models = trees.zero_inflated(m, "target", ["tax", "price"])
+    models = tuple(map(cut, trees.zero_inflated(m, "target", ["tax", "price"])))
     return rounded(trees.predict_zero_inflated(m, models, ["tax", "price"]).groupBy("id").agg(F.avg("prediction").alias("prediction")), 4)
 
 
+TREES = 50
+
+
 def forest(how):
     def build(spark, d):
-        rows = trees.forest_rows(observations(spark, d), 5)
-        nodes = trees.train_sets(rows, "ref", COLUMNS, max_depth=3, max_features=2)
-        p = trees.predict(rows, nodes, COLUMNS, max_depth=3)
-        stat = half_even(F.avg("prediction")) if how == "mean" else F.mode(F.bround("prediction", 0).cast("int"), True)
+        rows = trees.forest_rows(with_class(observations(spark, d)), TREES)
+        target, columns = ("label", ["discount", "ref", "tax"]) if how == "mode" else ("ref", COLUMNS)
+        nodes = trees.grow_forest(rows, target, columns, max_depth=3, max_features=2, classes=how == "mode")
+        p = trees.predict(rows.select("id", "set_id", *columns), nodes, columns, max_depth=3)
+        stat = half_even(F.avg("prediction")) if how == "mean" else F.mode(F.col("prediction").cast("int"), True)
         return p.groupBy("id").agg(stat.alias("prediction"))
 
     return build
 
 
 def tree_count_sweep(spark, d):
-    rows = trees.forest_rows(observations(spark, d), 6)
-    nodes = trees.train_sets(rows, "ref", COLUMNS, max_depth=3, max_features=2)
-    p = trees.predict(rows.where("NOT in_bag"), nodes, COLUMNS, max_depth=3).join(observations(spark, d).select("id", "ref"), "id")
-    each = p.select("id", "ref", "prediction", F.explode(F.sequence(F.col("set_id") + 1, F.lit(6).cast("bigint"))).alias("n_trees"))
+    n = 6
+    rows = trees.forest_rows(observations(spark, d), n)
+    nodes = trees.grow_forest(rows, "ref", COLUMNS, max_depth=3, max_features=2)
+    p = trees.predict(rows.where("NOT in_bag").select("id", "set_id", "ref", *COLUMNS), nodes, COLUMNS, max_depth=3).join(src.pairs(spark, d).select("id", "ref"), "id")
+    each = p.select("id", "ref", "prediction", F.explode(F.sequence(F.col("set_id") + 1, F.lit(n).cast("bigint"))).alias("n_trees"))
     mean = each.groupBy("n_trees", "id").agg(F.first("ref").alias("ref"), F.avg("prediction").alias("p"))
     return rounded(mean.groupBy("n_trees").agg(F.sqrt(F.avg(F.pow(F.col("p") - F.col("ref"), F.lit(2)))).alias("rmse"), F.count("*").alias("n")), 4)
 
 
+def support_size_sweep(spark, d):
+    """Fit out of bag by the size of the support rectangles: half, whole and twice as wide and high."""
+    sides = F.array(*[F.lit(k) for k in (0.5, 1.0, 2.0)])
+    r = src.rectangles(spark, d).select("*", F.posexplode(sides).alias("k", "times"))
+    grown = r.select((F.col("set_id") * 4 + F.col("k")).alias("set_id"), "ul_x", "ul_y", (F.col("ul_x") + F.col("times") * (F.col("lr_x") - F.col("ul_x"))).alias("lr_x"), (F.col("ul_y") - F.col("times") * (F.col("ul_y") - F.col("lr_y"))).alias("lr_y"))
+    m = members(spark, d, grown)
+    nodes = cut(trees.train_sets(m, "ref", COLUMNS))
+    held = m.where("NOT in_bag")
+    found = trees.oob_metrics(trees.predict(held, nodes, COLUMNS), held, "ref")
+    of = F.col("set_id") % 4
+    return rounded(found.groupBy(F.get(sides, of.cast("int")).alias("times")).agg(F.count("*").alias("n_sets"), F.avg("oob_rate").alias("oob_rate"), F.avg("oob_rmse").alias("oob_rmse")), 4)
+
+
+def hundredths(spark, d):
+    return src.pixels(spark, d).select("row", "col", (F.col("value") / 1000).alias("value"))
+
+
 def terrain(spark, d):
-    p = src.pixels(spark, d)
-    return rounded(focal.slope_aspect(p.select("row", "col", (F.col("value") / 1000).alias("value")), 30), 4)
+    return rounded(focal.slope_aspect(hundredths(spark, d), 30), 4)
+
+
+def curvature(spark, d):
+    return rounded(focal.curvature(hundredths(spark, d), 30), 6)
 
 
 def strata_clamp(spark, d):
-    sizes = [float(r.n) for r in src.pairs(spark, d).groupBy(F.floor(F.col("pred") / 10).alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()]  # one row a bin
-    return spark.createDataFrame([(k, round(s, 4)) for k, s in enumerate(sampling.clamped(sizes, 50, 2000))], "bin int, size double")
+    sizes = src.pairs(spark, d).groupBy(F.floor(F.col("pred") / 10).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return rounded(sampling.clamped_sizes(sizes, "n", 50, 2000).select("bin", "size"), 4)
+
 
+ROUND = "r{k} AS (SELECT bin, m * sum(s) OVER () / sum(m) OVER () AS s FROM (SELECT bin, s, CASE WHEN s < 50 THEN s + (50 - s) / 2.05 WHEN s > 2000 THEN s - (s - 2000) / 1.95 ELSE s END AS m FROM r{j}))"
+CLAMP = ", r0 AS (SELECT CAST(pred // 10 AS INTEGER) AS bin, CAST(count(*) AS DOUBLE) AS s FROM pair GROUP BY 1), " + ", ".join(ROUND.format(k=k, j=k - 1) for k in range(1, 11)) + " SELECT bin, round(s, 4) AS size FROM r10"
+KERNEL = """, r AS (SELECT "row", col, value / 1000 AS v FROM px), z AS (SELECT a."row", a.col, """ + ", ".join(f"max(b.v) FILTER (WHERE b.\"row\" - a.\"row\" = {i} AND b.col - a.col = {j}) AS z{(i + 1) * 3 + j + 2}" for i in (-1, 0, 1) for j in (-1, 0, 1)) + """, count(b.v) AS n
+  FROM r a JOIN r b ON b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL),
+  g AS (SELECT *, (z3 + 2 * z6 + z9 - z1 - 2 * z4 - z7) / 240 AS dx, (z7 + 2 * z8 + z9 - z1 - 2 * z2 - z3) / 240 AS dy FROM z WHERE n = 9)"""
 
 ALL = {
     "tree_train_sets": (train_sets, None),
     "tree_predict_pixels": (predict_pixels, None),
+    "tree_predict_per_set": (predict_per_set, None),
     "tree_oob_metrics": (oob, None),
+    "tree_class_oob": (class_oob, None),
     "tree_importance": (importance, None),
+    "tree_class_importance": (class_importance, None),
     "zero_inflated_predict": (zero_inflated, None),
     "forest_predict_mean": (forest("mean"), None),
     "forest_predict_mode": (forest("mode"), None),
     "tree_count_sweep": (tree_count_sweep, None),
-    "terrain_slope_aspect": (terrain, None),
-    "strata_clamp": (strata_clamp, None),
-}
+    "support_size_sweep": (support_size_sweep, None),
+    "terrain_slope_aspect": (terrain, src.sql("px", body=KERNEL + ' SELECT "row", col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 4) AS slope, round(((450 - degrees(atan2(dy, -dx))) % 360 + 360) % 360, 4) AS aspect FROM g')),
+    "terrain_curvature": (curvature, src.sql("px", body=KERNEL + ' SELECT "row", col, round(-200 * (((z4 + z6) / 2 - z5) / 900 + ((z2 + z8) / 2 - z5) / 900), 6) AS curvature FROM g')),
+    "strata_clamp": (strata_clamp, src.sql("pair", body=CLAMP)),
+}

@@ -1,8 +1,10 @@
-"""A local session for tests and benchmarks; on a cluster use the session that the cluster gives."""
+"""A local session for tests and benchmarks (on a cluster use the session that the cluster gives), and cuts of lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int, folder: str, memory: str = "4g") -> SparkSession:
@@ -21,3 +23,22 @@ def local_session(cpus: int, folder: str, memory: str = "4g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it. Where it is unset a local session gets a temporary one, and a cluster an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="parcelwise-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept in the shared folder: its lineage ends there and survives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

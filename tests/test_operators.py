@@ -48,7 +48,7 @@ def test_rectangles_that_share_an_edge_touch_but_do_not_overlap(spark):
 def test_nearest_takes_the_smaller_on_a_tie(spark):
     v = spark.createDataFrame([(0.0,), (5.0,), (6.0,), (-40.0,), (99.0,)], "x double")
     c = spark.createDataFrame([(0.0,), (10.0,), (10.0,)], "c double")
-    assert rows(spatial.nearest(v, c, "x", "c", 3).select("x", "nearest"), "x") == [(-40.0, 0.0), (0.0, 0.0), (5.0, 0.0), (6.0, 10.0), (99.0, 10.0)]
+    assert rows(spatial.nearest(v, c, "x", "c").select("x", "nearest"), "x") == [(-40.0, 0.0), (0.0, 0.0), (5.0, 0.0), (6.0, 10.0), (99.0, 10.0)]
 
 
 def test_a_tied_vote_goes_to_the_smallest(spark):
@@ -63,10 +63,28 @@ def test_the_last_bin_is_closed(spark):
 
 def test_focal_edges_repeat_the_edge_pixel(spark):
     raster = spark.createDataFrame([(r, c, 3 * r + c if (r, c) != (1, 1) else None) for r in range(3) for c in range(3)], "row int, col int, value int")
-    mean = {(r.row, r.col): r.value for r in focal.focal(raster, focal.square(3), "mean", 3, 3).collect()}
+    mean = {(r.row, r.col): r.value for r in focal.focal(raster, focal.square(3), "mean").collect()}
     assert (1, 1) not in mean and mean[0, 0] == pytest.approx((4 * 0 + 2 * 1 + 2 * 3) / 8)
 
 
+@pytest.mark.parametrize("name", ["mean", "mode", "pct_nonzero", "uniform"])
+def test_focal_squares_are_those_of_the_whole_raster(spark, name):
+    rng = np.random.default_rng(3)
+    whole = rng.integers(0, 4, (21, 13)).astype(float)
+    whole[rng.random(whole.shape) < 0.1] = np.nan
+    raster = spark.createDataFrame([(r, c, None if np.isnan(v) else int(v)) for (r, c), v in np.ndenumerate(whole)], "row long, col long, value int")
+    footprint = focal.circle(5)
+    padded = np.pad(whole, 2, mode="symmetric")
+    near = np.stack([padded[2 + i : 2 + i + 21, 2 + j : 2 + j + 13] for i, j in footprint])
+    want = {}
+    for (r, c), own in np.ndenumerate(whole):
+        v = near[:, r, c][~np.isnan(near[:, r, c])]
+        values, n = np.unique(v, return_counts=True)
+        want[r, c] = {"mean": v.mean() if len(v) else 0, "mode": values[np.argmax(n)] if len(v) else None, "pct_nonzero": 100 * (v != 0).mean() if len(v) else 0, "uniform": bool((v == own).all())}[name]
+    got = {(r.row, r.col): r.value for r in focal.focal(raster, footprint, name, side=4).collect()}
+    assert set(got) == {k for k, v in np.ndenumerate(whole) if not np.isnan(v)} and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_best_match_is_first_row_by_row_on_a_tie(spark):
     raster = spark.createDataFrame([(0, 0, 4), (0, 1, 6), (1, 0, None), (1, 1, 100)], "row int, col int, value int")
     s = spark.createDataFrame([(0, 0, 5), (9, 9, 1)], "row int, col int, pred int")
@@ -121,11 +139,26 @@ def test_samples_follow_the_key_alone(spark):
     assert chosen.exceptAll(again).isEmpty()
 
 
-def test_clamped_sizes_keep_their_sum():
-    got = sampling.clamped([1.0, 100.0, 1000.0], 50, 600)
+def test_clamped_sizes_keep_their_sum(spark):
+    got = [r["size"] for r in sampling.clamped_sizes(spark.createDataFrame([(1.0,), (100.0,), (1000.0,)], "n double"), "n", 50, 600).collect()]
     assert sum(got) == pytest.approx(1101) and max(got) < 700
 
 
+def test_picked_places_keep_apart(spark):
+    rng = np.random.default_rng(6)
+    places = [(k, "abc"[k % 3], float(x), float(y)) for k, (x, y) in enumerate(rng.random((300, 2)) * 100)]
+    df = spark.createDataFrame(places, "id long, s string, x double, y double")
+    quota = spark.createDataFrame([("a", 8), ("b", 8), ("c", 200)], "s string, quota int")
+    got = sampling.apart(df, quota, "s", "id", 9.0, 3).collect()
+    spots = np.array([(r.x, r.y) for r in got])
+    gaps = np.hypot(*(spots[:, None] - spots[None]).transpose(2, 0, 1)) + 1000 * np.eye(len(got))
+    n = {s: sum(r.s == s for r in got) for s in "abc"}
+    assert gaps.min() > 9 and n["a"] == 8 and n["b"] == 8 and 8 < n["c"] < 200
+    # no place of an unfilled stratum is left that lies apart from all picked ones
+    free = [p for p in places if p[1] == "c" and np.hypot(*(spots - np.array(p[2:])).T).min() > 9]
+    assert not free
+
+
 def test_a_tree_predicts_what_it_was_fitted_to(spark):
     rng = np.random.default_rng(0)
     x = rng.random((400, 2))
@@ -140,6 +173,51 @@ def test_a_tree_predicts_what_it_was_fitted_to(spark):
     assert few.isEmpty()
 
 
+def test_a_classifier_and_its_measures(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((500, 2))
+    y = np.where(x[:, 0] > 0.6, 3, np.where(x[:, 1] > 0.5, 2, 1))
+    df = spark.createDataFrame(pd.DataFrame({"id": range(500), "set_id": 1, "in_bag": rng.random(500) < 0.63, "a": x[:, 0], "b": x[:, 1], "y": y}))
+    nodes = trees.train_sets(df, "y", ["a", "b"], max_depth=3, classes=True)
+    got = trees.predict(df, nodes, ["a", "b"], max_depth=3)
+    held = df.where("NOT in_bag")
+    m = trees.oob_class_metrics(got, held, "y").first()
+    truth = {r.id: r.y for r in held.collect()}
+    said = {r.id: r.prediction for r in got.collect()}
+    n, hits = len(truth), sum(said[k] == v for k, v in truth.items())
+    chance = sum(sum(v == c for v in truth.values()) * sum(said[k] == c for k in truth) for c in (1, 2, 3)) / n**2
+    assert m.n == n and m.oob_rate == round(100 * hits / n) > 90 and m.oob_kappa == pytest.approx((hits / n - chance) / (1 - chance))
+    assert {(r.label, r.feature) for r in trees.class_importance(df, nodes, "y", ["a", "b"], 3).collect() if r.label == 3} == {(3, "a")}
+
+
+@pytest.mark.parametrize("classes", [False, True])
+def test_a_forest_is_that_of_plain_trees_on_its_bins(spark, classes):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((300, 3)) * 6)
+    y = np.where(x[:, 0] > 3, 2, 0) + (x[:, 1] > 2) + (0 if classes else rng.random(300))
+    pdf = pd.DataFrame({"id": range(300), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})
+    rows = trees.forest_rows(spark.createDataFrame(pdf), 3)
+    nodes = trees.grow_forest(rows, "y", ["a", "b", "c"], max_depth=3, classes=classes)
+    bag = {(r.set_id, r.id) for r in rows.where("in_bag").collect()}
+    got = {(r.set_id, r.id): r.prediction for r in trees.predict(rows, nodes, ["a", "b", "c"], max_depth=3).collect()}
+    for tree in range(3):
+        own = np.array([(tree, k) in bag for k in range(300)])
+        plain = {n[0]: n for n in trees.fit_tree(x[own], y[own], ["a", "b", "c"], 3, classes=classes)}
+        for k in range(300):
+            at = plain[0]
+            while at[1] is not None:
+                at = plain[at[3] if x[k, "abc".index(at[1])] <= at[2] else at[4]]
+            assert got[tree, k] == pytest.approx(at[5])
+
+
+def test_models_are_kept(spark, tmp_path):
+    df = spark.createDataFrame([(k, k % 3, True, float(k), float(k > 40)) for k in range(90)] + [(900, 7, True, None, 1.0)], "id long, set_id long, in_bag boolean, a double, y double")
+    nodes = trees.train_sets(df, "y", ["a"])
+    trees.write_model(nodes, str(tmp_path / "m"))
+    assert trees.read_model(spark, str(tmp_path / "m")).exceptAll(nodes).isEmpty() and nodes.exceptAll(trees.read_model(spark, str(tmp_path / "m"))).isEmpty()
+    assert rows(trees.refused(df, nodes, "y", ["a"]), "set_id") == [(7, 1, 0, "too few rows")]
+
+
 def test_features_and_parameters(spark, tmp_path):
     (tmp_path / "t.geojson").write_text('{"features": [{"properties": {"id": 7, "xmin": 1.5}}, {"properties": {"id": 12, "xmin": 2.5}}]}')
     (tmp_path / "p.txt").write_text("a; 1\nnothing\nb ;two\nx;y;z\n")
