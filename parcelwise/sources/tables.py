@@ -45,6 +45,116 @@ def find_files(spark: SparkSession, folder: str, pattern: str, excluded: str | N
     return found.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
+def first_match(files: DataFrame, tiles: DataFrame, name: str = "name", tile: str = "tile") -> DataFrame:
+    """For each tile id, padded to four digits, the first file by name that holds it."""
+    from ..operators.spatial import names_holding
+
+    padded = tiles.select(F.lpad(F.col(tile).cast("string"), 4, "0").alias("_tile"), F.col(tile)).distinct()
+    found = names_holding(files, padded, name, "_tile", 4)
+    return found.groupBy(tile).agg(F.min(name).alias(name))
+
+
+def read_support_sets(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
+    """Support sets from ``sets.parquet`` of a folder if it is there, else from its ``sets.txt``."""
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select("path").limit(1).isEmpty()
+    return read_tsv(spark, f"{folder}/sets.txt", schema) if there else spark.read.schema(schema).parquet(f"{folder}/sets.parquet")
+
+
+def samples_of(membership: DataFrame, set_id: int, in_bag: bool) -> DataFrame:
+    """The sample ids of one set that are, or aren't, in its bag."""
+    return membership.where((F.col("set_id") == set_id) & (F.col("in_bag") == in_bag)).select("id")
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of ``int:text`` lines."""
+    parts = F.split("value", ":", 2)
+    return spark.read.text(path).where(F.size(parts) == 2).select(F.trim(parts[0]).cast("int").alias("key"), F.trim(parts[1]).alias("value"))
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of the top level of a JSON file, values as text."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    return whole.select(F.explode("m").alias("key", "value"))
+
+
+def unzipped(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
+    """(archive, name, content) of the files in the archives below a folder, one archive at a time in a task."""
+    held = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def opened(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for b in batches:
+            for archive, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in z.namelist():
+                        if not name.endswith("/"):
+                            yield pa.record_batch({"archive": [archive], "name": [name], "content": pa.array([z.read(name)], pa.binary())})
+
+    return held.mapInArrow(opened, "archive string, name string, content binary")
+
+
+def with_attributes(layer: DataFrame, attributes: DataFrame, fid: str) -> DataFrame:
+    """The geometry of one layer with the attributes of a table, by feature id."""
+    return layer.join(attributes, fid)
+
+
+def well_known(ring: str):
+    """A ring as text; whole coordinates without decimals."""
+    number = lambda v: F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string"))
+    return F.concat(F.lit("POLYGON(("), F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", number(p["x"]), number(p["y"]))), ", "), F.lit("))"))
+
+
+def write_layer(rects: DataFrame, path: str) -> None:
+    """Rectangles as a layer of GeoJSON features, one a line; all other columns become properties of their own type."""
+    corners = ("ul_x", "ul_y", "lr_x", "lr_y")
+    point = lambda x, y: F.array(F.col(x).cast("double"), F.col(y).cast("double"))
+    ring = F.array(point("ul_x", "ul_y"), point("lr_x", "ul_y"), point("lr_x", "lr_y"), point("ul_x", "lr_y"), point("ul_x", "ul_y"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct(*[c for c in rects.columns if c not in corners]).alias("properties"))
+    rects.select(F.to_json(feature).alias("value")).write.text(path)
+
+
+def as_series(pixels: DataFrame) -> DataFrame:
+    """(time, y, x, value): years since 1970, rows counted from the last one up."""
+    last = F.broadcast(pixels.agg(F.max("row").alias("_last")))  # one row
+    return pixels.crossJoin(last).select((F.col("year") - 1970).cast("int").alias("time"), (F.col("_last") - F.col("row")).cast("int").alias("y"), F.col("col").alias("x"), "value")
+
+
+def write_series(pixels: DataFrame, path: str, attributes: dict) -> None:
+    """A series by year, and its attributes (units, scale, nodata) beside it."""
+    as_series(pixels).write.partitionBy("time").parquet(path)
+    pixels.sparkSession.createDataFrame([(str(k), str(v)) for k, v in attributes.items()], "key string, value string").coalesce(1).write.json(f"{path}.attributes")
+
+
+def write_manifest(spark: SparkSession, path: str, parameters: dict, outputs: list[str], revision: str = "") -> None:
+    """What made some outputs: one row for each, with the parameters and the code's revision, appended."""
+    import json
+
+    rows = [(o, json.dumps(parameters, sort_keys=True), revision) for o in outputs]
+    made = spark.createDataFrame(rows, "output string, parameters string, revision string").withColumn("made_at", F.current_timestamp())
+    made.coalesce(1).write.mode("append").json(path)
+
+
+def still_to_do(wanted: DataFrame, made: DataFrame, keys: list[str]) -> DataFrame:
+    return wanted.join(made, keys, "left_anti")
+
+
+def filled(template, values: dict):
+    """A text with each ``{name}`` replaced by its value."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value.cast("string"))
+    return template
+
+
+def rendered(rows: DataFrame, options: DataFrame, template: str) -> DataFrame:
+    """Each row with each option (a short table) and ``script``, the template filled with both."""
+    both = rows.crossJoin(F.broadcast(options))
+    return both.withColumn("script", filled(F.lit(template), {c: F.col(c) for c in both.columns}))
+
+
 def stacked(bands: dict[int, DataFrame], first_year: int) -> DataFrame:
     """Rasters by year as one table with ``year`` and ``band``."""
     out = None
@@ -55,8 +165,11 @@ def stacked(bands: dict[int, DataFrame], first_year: int) -> DataFrame:
 
 
 def write_raster(pixels: DataFrame, path: str, affine=AFFINE) -> None:
-    """Pixels by tile, and the affine beside them."""
-    pixels.write.partitionBy("tile_id").parquet(path)
+    """Pixels by tile, whole values in the narrowest type that holds them, and the affine beside them."""
+    from ..operators.grid import narrowest
+
+    whole = dict(pixels.dtypes)["value"] not in ("double", "float", "string")
+    (narrowest(pixels, "value") if whole else pixels).write.partitionBy("tile_id").parquet(path)
     pixels.sparkSession.createDataFrame([tuple(map(float, affine))], "ul_x double, x_res double, x_rot double, ul_y double, y_rot double, y_res double").write.json(str(PurePosixPath(path)) + ".affine")
 
 
