@@ -69,7 +69,7 @@ def clip_window(spark, d):
 
 def year_stack(spark, d):
     o = src.table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), (F.col("o_orderkey") / 100).cast("int").alias("row"), (F.col("o_orderkey") % 100).cast("int").alias("col"), F.col("o_totalprice").alias("value"))
-    return src.stacked({y: o.where(F.col("y") == y).drop("y") for y in (1995, 1996, 1997)}, 1990)
+    return src.stacked(o, "y", 1990)
 
 
 def mosaic_tiles(spark, d):
@@ -80,7 +80,7 @@ def mosaic_tiles(spark, d):
 
 
 RESAMPLED = {
-    "average": "round(avg(v), 4)", "mode": "CAST(min(v) FILTER (WHERE n = most) AS INTEGER)", "med": "round(median(v), 4)", "q1": "round(quantile_cont(v, 0.25), 4)", "q3": "round(quantile_cont(v, 0.75), 4)",
+    "min": "min(v)", "max": "max(v)", "average": "round(avg(v), 4)", "mode": "CAST(min(v) FILTER (WHERE n = most) AS INTEGER)", "med": "round(median(v), 4)", "q1": "round(quantile_cont(v, 0.25), 4)", "q3": "round(quantile_cont(v, 0.75), 4)",
 }
 
 
@@ -111,12 +111,14 @@ ALL = {
     "common_extent": (common_extent, sql("rect", body="SELECT max(ul_x) AS ul_x, min(ul_y) AS ul_y, min(lr_x) AS lr_x, max(lr_y) AS lr_y FROM rect")),
     "raster_bounds": (raster_bounds, sql("px", body="SELECT min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, count(*) AS n FROM px")),
     "resample_mean": (resampler("average"), resampled_sql("average")),
+    "resample_min": (resampler("min"), resampled_sql("min")),
+    "resample_max": (resampler("max"), resampled_sql("max")),
     "resample_mode": (resampler("mode"), resampled_sql("mode")),
     "resample_median": (resampler("med"), resampled_sql("med")),
     "resample_q1": (resampler("q1"), resampled_sql("q1")),
     "resample_q3": (resampler("q3"), resampled_sql("q3")),
     "clip_window": (clip_window, sql("px", body="""SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, coalesce(CASE WHEN p.status <> 'P' THEN p.value END, -9999.0) AS value
       FROM range(5, 30) a(r) CROSS JOIN range(90, 110) b(c) LEFT JOIN px p ON p."row" = r AND p.col = c""")),
-    "year_stack": (year_stack, """SELECT CAST(o_orderkey // 100 AS INTEGER) AS "row", CAST(o_orderkey % 100 AS INTEGER) AS col, o_totalprice AS value, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(year(o_orderdate) - 1989 AS INTEGER) AS band FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997"""),
+    "year_stack": (year_stack, """SELECT CAST(o_orderkey // 100 AS INTEGER) AS "row", CAST(o_orderkey % 100 AS INTEGER) AS col, o_totalprice AS value, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(year(o_orderdate) - 1989 AS INTEGER) AS band FROM orders"""),
     "mosaic_tiles": (mosaic_tiles, sql("px", body=', t AS (SELECT tile_id, "row" % 10 AS r, col % 10 AS c, max(value) AS data FROM px GROUP BY ALL) SELECT p.id, t.data FROM px p JOIN t ON p.tile_id = t.tile_id AND p."row" % 10 = t.r AND p.col % 10 = t.c')),
 }

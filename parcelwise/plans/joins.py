@@ -55,15 +55,13 @@ def assign_processing_tile(spark, d):
     return pairs.groupBy(F.col("left_id").alias("set_id")).agg(F.max("right_id").alias("tile_id"))
 
 
-def nation_squares(spark, d):
-    n = src.table(spark, d, "nation").where("n_nationkey NOT IN (2, 7, 12, 17, 22, 10, 11, 13)")
-    k = F.col("n_nationkey").cast("bigint")
-    x, y = (k % 5) * 100, F.floor(k / 5) * -100
-    return n.select(k.alias("id"), x.alias("ul_x"), y.alias("ul_y"), (x + 100).alias("lr_x"), (y - 100).alias("lr_y"))
+def halved_tiles(spark, d):
+    """Tiles without every third one, so that those left touch in several regions."""
+    return tiles(spark, d).where("id % 3 <> 1")
 
 
 def touching_components(spark, d):
-    return spatial.touching_components(nation_squares(spark, d), 100)
+    return spatial.touching_components(halved_tiles(spark, d))
 
 
 def point_in_ring(spark, d):
@@ -134,9 +132,9 @@ ALL = {
     "empty_tiles_anti": (empty_tiles, sql("px", "rect", body=f", {TILES} SELECT a.id FROM tiles a WHERE NOT EXISTS (SELECT 1 FROM rect b WHERE {SHARED})")),
     "proportional_area": (proportional_area, sql("px", "rect", body=f", {TILES} SELECT a.id AS tile_id, b.set_id, round({AREA} / 90000, 6) AS share FROM tiles a JOIN rect b ON {SHARED}")),
     "assign_processing_tile": (assign_processing_tile, sql("px", "rect", body=f", {TILES} SELECT b.set_id, max(a.id) AS tile_id FROM tiles a JOIN rect b ON {SHARED} GROUP BY b.set_id")),
-    "touching_components": (touching_components, """WITH RECURSIVE s AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey % 5 AS x, n_nationkey // 5 AS y FROM nation WHERE n_nationkey NOT IN (2, 7, 12, 17, 22, 10, 11, 13)),
-      r AS (SELECT id, id AS reached FROM s UNION SELECT r.id, b.id FROM r JOIN s a ON a.id = r.reached JOIN s b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)
-      SELECT id, min(reached) AS region_id FROM r GROUP BY id"""),
+    "touching_components": (touching_components, sql("px", body=f""", {TILES}, s AS (SELECT * FROM tiles WHERE id % 3 <> 1),
+      e AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.id <> b.id AND {TOUCH} AND NOT ({SHARED})),
+      r AS (SELECT id, id AS reached FROM s UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached) SELECT id, min(reached) AS region_id FROM r GROUP BY id""").replace("WITH px", "WITH RECURSIVE px")),
     "point_in_ring": (point_in_ring, sql("px", body="SELECT id FROM px WHERE (" + " + ".join(f"CASE WHEN (({b} > y) <> ({e} > y)) AND x < ({c} - {a}) * (y - ({b})) / CAST({e} - ({b}) AS DOUBLE) + {a} THEN 1 ELSE 0 END" for a, b, c, e in RING) + ") % 2 = 1")),
     "nearest_edge_snap": (nearest_edge_snap, sql("px", "rect", body=""", e AS (SELECT ul_x AS edge FROM rect UNION SELECT lr_x FROM rect), v AS (SELECT DISTINCT CAST(x AS BIGINT) AS x FROM px),
       n AS (SELECT x, arg_min(edge, (abs(edge - x), edge)) AS edge FROM v CROSS JOIN e GROUP BY x) SELECT p.id, CAST(p.x AS BIGINT) AS x, n.edge FROM px p JOIN n ON n.x = p.x""")),

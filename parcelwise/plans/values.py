@@ -9,8 +9,8 @@ from ..sources import tables as src
 from .common import rounded
 
 sql = src.sql
-#: An example recoding table: classes of one legend to those of another.
-LEGEND = {11: 1, 12: 2, 21: 3, 22: 4, 23: 5, 24: 6, 31: 7, 41: 8, 42: 9, 43: 10}
+#: Land-cover classes of an older legend and those of the present one.
+LEGEND = {0: 0, 11: 7, 12: 9, 22: 18, 23: 16, 31: 27, 41: 36, 42: 38, 43: 46, 51: 48, 52: 56, 71: 67, 72: 78, 90: 87, 95: 92}
 
 
 def reclassify(spark, d):
@@ -23,14 +23,14 @@ def reclassify_inverse(spark, d):
 
 def epoch_year_recode(spark, d):
     e = src.table(spark, d, "events")
-    day = F.dayofmonth("ts")
-    return e.select("event_id", (F.lit(1990) + 5 * F.floor(day / 5)).cast("int").alias("year"))
+    epoch = F.floor(F.dayofmonth("ts") / 5).cast("int")
+    return e.select("event_id", scalars.epoch_year(epoch, 5, 1985).cast("int").alias("year"))
 
 
 def cosine_aspect(spark, d):
     p = src.pixels(spark, d)
-    aspect = (F.col("id") % 360).cast("double")
-    return p.select("id", F.round(100 * (F.cos(F.radians(aspect - 225)) + 1), 4).alias("ne_sw"), F.round(100 * (F.cos(F.radians(aspect - 135)) + 1), 4).alias("nw_se"))
+    aspect = (F.col("id") % 360) + 0.5
+    return p.select("id", scalars.cosine_aspect(aspect, 225).alias("ne_sw"), scalars.cosine_aspect(aspect, 135).alias("nw_se"))
 
 
 def aspect_intensity(spark, d):
@@ -88,9 +88,8 @@ def parse_bins(spark, d):
 
 def oob_drop_rule(spark, d):
     """Sets that a rule ``<metric> <op> <int>`` drops."""
-    metric, op, bound = "rate < 26".split()
     sets = src.votes(spark, d).groupBy("set_id").agg(F.avg("vote").cast("int").alias("rate"))
-    return sets.where(~F.expr(f"{metric} {op} {int(bound)}"))
+    return sets.where(~scalars.dropped(scalars.drop_rule("rate < 26", ["rate"])))
 
 
 def dropped_rows(spark, d):
@@ -118,7 +117,7 @@ def valid_pixels(spark, d):
 
 def union_samples(spark, d):
     p = src.pixels(spark, d)
-    a, b = p.where("tile_id < 20").select("id", F.lit("a").alias("part"), "value"), p.where("tile_id >= 40").select("id", F.lit("b").alias("part"))
+    a, b = p.where("tile_id < 20").select("id", F.lit("a").alias("part"), "value"), p.where("tile_id >= 20").select("id", F.lit("b").alias("part"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -129,7 +128,7 @@ def label_union(spark, d):
 
 def unmatched_labels(spark, d):
     p = src.pairs(spark, d)
-    return p.select(F.col("ref").alias("label")).distinct().join(p.select(F.col("pred").alias("label")).distinct(), "label", "left_anti")
+    return p.select(F.col("ref").alias("label")).distinct().join(p.select((F.floor(F.col("pred") / 2) * 2).cast("int").alias("label")).distinct(), "label", "left_anti")
 
 
 def matched_labels(spark, d):
@@ -155,8 +154,8 @@ M = "[CASE WHEN l_quantity > 5 THEN l_quantity END, l_discount * 100, l_tax * 10
 ALL = {
     "reclassify": (reclassify, sql("votes", body=f"SELECT DISTINCT vote, CAST(CASE vote {CASES} ELSE vote END AS INTEGER) AS class FROM votes")),
     "reclassify_inverse": (reclassify_inverse, sql("votes", body=f"SELECT DISTINCT vote, CAST(CASE vote {INVERSE} ELSE vote END AS INTEGER) AS class FROM votes")),
-    "epoch_year_recode": (epoch_year_recode, "SELECT event_id, CAST(1990 + 5 * (day(ts) // 5) AS INTEGER) AS year FROM events"),
-    "cosine_aspect": (cosine_aspect, sql("px", body="SELECT id, round(100 * (cos(radians(id % 360 - 225.0)) + 1), 4) AS ne_sw, round(100 * (cos(radians(id % 360 - 135.0)) + 1), 4) AS nw_se FROM px")),
+    "epoch_year_recode": (epoch_year_recode, "SELECT event_id, CAST(CASE WHEN day(ts) // 5 <= 3 THEN 1988 + 5 * (day(ts) // 5) ELSE day(ts) // 5 END AS INTEGER) AS year FROM events"),
+    "cosine_aspect": (cosine_aspect, sql("px", body="SELECT id, CAST(trunc(100 * (cos(radians(id % 360 - 225.0 + 0.5)) + 1)) AS SMALLINT) AS ne_sw, CAST(trunc(100 * (cos(radians(id % 360 - 135.0 + 0.5)) + 1)) AS SMALLINT) AS nw_se FROM px")),
     "aspect_intensity": (aspect_intensity, sql("px", body="SELECT id, round(sin((id % 45) / 57.29578) * cos((id % 360) / 57.29578), 6) AS north, round(sin((id % 45) / 57.29578) * cos((id % 360) / 57.29578 - 180), 6) AS south FROM px")),
     "scale_values": (scale_values, sql("votes", body="SELECT id, CAST(vote * 10 AS SMALLINT) AS scaled FROM votes WHERE vote <> 50")),
     "diff_map": (diff_map, sql("pair", body="SELECT id, CASE WHEN status <> 'P' THEN pred END - ref AS difference FROM pair")),
@@ -174,9 +173,9 @@ ALL = {
     "excluded_tiles": (excluded_tiles, sql("px", body="SELECT tile_id, count(*) AS n FROM px WHERE tile_id NOT IN (3, 16, 17, 18) GROUP BY tile_id")),
     "min_samples": (min_samples, sql("votes", body="SELECT set_id, count(*) AS n, bool_or(isnan(price)) AS has_nan FROM votes GROUP BY set_id HAVING count(*) >= 25 AND NOT bool_or(isnan(price))")),
     "valid_pixels": (valid_pixels, sql("votes", body="SELECT id, count(*) AS n FROM votes WHERE vote <> 50 AND tax > 0 GROUP BY id")),
-    "union_samples": (union_samples, sql("px", body="SELECT id, 'a' AS part, value FROM px WHERE tile_id < 20 UNION ALL SELECT id, 'b', NULL FROM px WHERE tile_id >= 40")),
+    "union_samples": (union_samples, sql("px", body="SELECT id, 'a' AS part, value FROM px WHERE tile_id < 20 UNION ALL SELECT id, 'b', NULL FROM px WHERE tile_id >= 20")),
     "label_union": (label_union, sql("pair", body="SELECT ref AS label FROM pair UNION SELECT pred FROM pair")),
-    "unmatched_labels": (unmatched_labels, sql("pair", body="SELECT ref AS label FROM pair EXCEPT SELECT pred FROM pair")),
+    "unmatched_labels": (unmatched_labels, sql("pair", body="SELECT ref AS label FROM pair EXCEPT SELECT CAST(pred // 2 * 2 AS INTEGER) FROM pair")),
     "matched_labels": (matched_labels, sql("pair", body="SELECT ref AS label FROM pair INTERSECT SELECT pred FROM pair")),
     "half_even": (half_even, sql("votes", body="SELECT CAST(round_even(vote / 2.0, 0) AS INTEGER) AS half, count(*) AS n FROM votes GROUP BY 1")),
     "feature_ring": (feature_ring, sql("rect", body="SELECT set_id, CAST(k AS INTEGER) AS k, CAST(CASE WHEN k IN (1, 2) THEN lr_x ELSE ul_x END AS DOUBLE) AS x, CAST(CASE WHEN k IN (2, 3) THEN lr_y ELSE ul_y END AS DOUBLE) AS y FROM rect, range(5) t(k)")),

@@ -164,6 +164,12 @@ def stacked(bands: dict[int, DataFrame], first_year: int) -> DataFrame:
     return out
 
 
+def stacked(pixels: DataFrame, year: str, first_year: int) -> DataFrame:
+    """Rasters of several years in one table, with ``year`` and its ``band``, counted from 1."""
+    kept = [c for c in pixels.columns if c != year]
+    return pixels.select(*kept, F.col(year).alias("year"), (F.col(year) - first_year + 1).alias("band"))
+
+
 def write_raster(pixels: DataFrame, path: str, affine=AFFINE) -> None:
     """Pixels by tile, whole values in the narrowest type that holds them, and the affine beside them."""
     from ..operators.grid import narrowest

@@ -226,3 +226,44 @@ def test_features_and_parameters(spark, tmp_path):
     src.write_tsv(spark.range(3), str(tmp_path / "out"))
     assert rows(src.read_tsv(spark, str(tmp_path / "out"), "id long"), "id") == [(0,), (1,), (2,)]
     assert rows(src.find_files(spark, str(tmp_path), "*.txt").select("name"), "name") == [("p.txt",)]
+
+
+def test_files_of_other_kinds(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/one.txt", "1")
+        z.writestr("two.txt", "22")
+    assert rows(src.unzipped(spark, str(tmp_path)).select("name", "content"), "name") == [("two.txt", b"22"), ("x/one.txt", b"1")]
+    (tmp_path / "d.txt").write_text("3: three\nno\n4:four: 4\n")
+    assert rows(src.read_dictionary(spark, str(tmp_path / "d.txt")), "key") == [(3, "three"), (4, "four: 4")]
+    (tmp_path / "s.json").write_text('{"n": 3, "name": "a"}')
+    assert rows(src.read_settings(spark, str(tmp_path / "s.json")), "key") == [("n", "3"), ("name", "a")]
+    src.write_manifest(spark, str(tmp_path / "m"), {"b": 1}, ["x", "y"], "abc")
+    src.write_manifest(spark, str(tmp_path / "m"), {"b": 2}, ["z"])
+    assert rows(spark.read.json(str(tmp_path / "m")).select("output", "parameters"), "output") == [("x", '{"b": 1}'), ("y", '{"b": 1}'), ("z", '{"b": 2}')]
+    files = spark.createDataFrame([("dem_0007_b.img",), ("dem_0007_a.img",), ("dem_0008.img",)], "name string")
+    assert rows(src.first_match(files, spark.createDataFrame([(7,), (8,), (9,)], "tile int")), "tile") == [(7, "dem_0007_a.img"), (8, "dem_0008.img")]
+
+
+def test_layers_rasters_and_sets(spark, tmp_path):
+    rects = spark.createDataFrame([(1, 0, 10, 20, 0, "a")], "id int, ul_x int, ul_y int, lr_x int, lr_y int, name string")
+    src.write_layer(rects, str(tmp_path / "layer"))
+    got = spark.read.json(str(tmp_path / "layer")).first()
+    assert got.geometry.coordinates[0][2] == [20.0, 0.0] and (got.properties.id, got.properties.name) == (1, "a")
+    pixels = spark.createDataFrame([(0, 0, 1, 120, 1990), (1, 0, 1, -3, 1991)], "row int, col int, tile_id int, value int, year int")
+    src.write_raster(pixels, str(tmp_path / "raster"))
+    assert dict(spark.read.parquet(str(tmp_path / "raster")).dtypes)["value"] == "tinyint"
+    assert dict(grid.narrowest(spark.createDataFrame([(300.4,), (2.5,)], "value double"), "value").dtypes)["value"] == "smallint"
+    src.write_series(pixels, str(tmp_path / "series"), {"units": "m"})
+    assert rows(spark.read.parquet(str(tmp_path / "series")).select("time", "y", "value"), "time") == [(20, 1, 120), (21, 0, -3)]
+    src.write_tsv(spark.createDataFrame([(5, 1)], "set_id long, ul_x int"), str(tmp_path / "tsv" / "sets.txt"))
+    assert rows(src.read_support_sets(spark, str(tmp_path / "tsv"), "set_id long, ul_x int"), "set_id") == [(5, 1)]
+    spark.createDataFrame([(6, 2)], "set_id long, ul_x int").write.parquet(str(tmp_path / "tsv" / "sets.parquet"))
+    assert rows(src.read_support_sets(spark, str(tmp_path / "tsv"), "set_id long, ul_x int"), "set_id") == [(6, 2)]
+
+
+def test_rules_that_make_no_sense_fall_back():
+    assert scalars.drop_rule("oob_rmse <= 70", ["oob_rate", "oob_rmse"]) == ("oob_rmse", "<=", 70, True)
+    for text in ("", "rate 3", "rate < 3 > 2", "rate < x", "other < 3", "< 3"):
+        assert scalars.drop_rule(text, ["rate"], 5) == ("rate", "<", 5, False)
