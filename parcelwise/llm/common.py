@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,24 +11,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="parcelwise-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+
+#: Folders of the tables written in this process, in order.
+_written: list[str] = []
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Delete the tables written inside, once what depends on them has been written itself; all but those in the list it gives."""
+    before, kept = len(_written), []
+    yield kept
+    for path in _written[before:]:
+        if path not in kept:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written[before:] = kept
+
+
+def last_written() -> str:
+    """The folder of the table that ``written`` gave last."""
+    return _written[-1]
+
+
 def small_side(df: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """``df``, best a written table, to be broadcast in a join if it takes less than ``broadcast_bytes`` as text."""
     size = F.octet_length(F.to_json(F.struct(*df.columns))) + 48
