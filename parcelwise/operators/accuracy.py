@@ -19,15 +19,17 @@ def correlation(x: str, y: str) -> Column:
 
 
 def errors(rows: DataFrame, ref: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    by = list(by)
     d = F.col(pred) - F.col(ref)
-    return rows.groupBy(*by).agg(
+    means = rows.groupBy(*by).agg(
         F.sqrt(F.avg(d * d)).alias("rmse"),
         (100 * F.sqrt(F.avg(F.pow(d / F.when(F.col(ref) != 0, F.col(ref)), F.lit(2))))).alias("rmspe"),
         F.avg(F.abs(d)).alias("mae"),
-        F.median(F.abs(d)).alias("mae_median"),
         F.avg(d).alias("bias"),
         F.count("*").alias("n"),
     )
+    middle = quantiles(rows.select(*by, F.abs(d).alias("_d")), by, "_d", {"mae_median": 0.5})
+    return means.join(middle, by) if by else means.crossJoin(F.broadcast(middle))  # one row each
 
 
 def agreement(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -184,8 +186,12 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str,
     """
     by = list(by)
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumns({"last": F.sum("n").over(upto) - 1, "total": F.sum("n").over(Window.partitionBy(*by))}).withColumn("first", F.col("last") - F.col("n") + 1)
+    if by:
+        upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = counts.withColumns({"last": F.sum("n").over(upto) - 1, "total": F.sum("n").over(Window.partitionBy(*by))}).withColumn("first", F.col("last") - F.col("n") + 1)
+    else:
+        ranged = sums_before(counts, "v", ["n"])
+        placed = ranged.crossJoin(F.broadcast(ranged.agg(F.sum("n").alias("total")))).withColumns({"first": F.col("before_n"), "last": F.col("before_n") + F.col("n") - 1})  # one row
     out = []
     for name, share in shares.items():
         at = F.col("total") * share - share

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gaussian_weight, half_even
-from ..operators import ensemble, focal
+from ..operators import accuracy, ensemble, focal
 from ..sources import tables as src
 from .common import rounded
 
@@ -59,8 +59,9 @@ def distinct_set_combos(spark, d):
 
 
 def zonal_stats(spark, d):
-    named = {"mean": F.avg("value"), "least": F.min("value"), "most": F.max("value"), "median": F.median("value"), "stdv": F.stddev_pop("value"), "n": F.count("*")}
-    return rounded(ensemble.zonal(src.pixels(spark, d), "priority", named), 4)
+    p = src.pixels(spark, d)
+    named = {"mean": F.avg("value"), "least": F.min("value"), "most": F.max("value"), "stdv": F.stddev_pop("value"), "n": F.count("*")}
+    return rounded(ensemble.zonal(p, "priority", named).join(accuracy.quantiles(p, ["priority"], "value", {"median": 0.5}), "priority"), 4)
 
 
 def histogram_1d(spark, d):
