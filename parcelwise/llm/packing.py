@@ -78,7 +78,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def cut(documents: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int | None = 0, with_ids: bool = True) -> DataFrame:
-    """Pieces (key, start, length, doc_tokens, ids_crc32[, ids]): each document's ids and ``end_id``, cut into full windows and one rest."""
+    """Pieces (key, start, length, doc_tokens, ids_crc32[, ids]): each document's ids and ``end_id``, cut into full windows and one rest.
+
+    Null texts count as empty; an empty text is one piece with ``end_id`` alone, or none if that is None. Rows are kept
+    one for one, repeated ones and null keys too; further columns are ignored; an empty table gives no pieces.
+    """
     key_type = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
@@ -125,5 +129,6 @@ def pack(documents: DataFrame, vocab_path: str, key: str = "doc_id", text: str =
         return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(window + (shard << 36))).append_column("offset", pa.array(offset))
 
     out = schema.add("sequence_id", "long").add("offset", "long")
-    dealt = cuts.withColumnRenamed(key, "key").withColumn("shard", F.pmod(F.xxhash64("key", "start", "ids_crc32"), F.lit(shards)))
+    # by their place in the written table, so that repeated rows part as others do
+    dealt = cuts.withColumnRenamed(key, "key").withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(lambda table: place(table), out).withColumnRenamed("key", key)
