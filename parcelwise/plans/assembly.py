@@ -129,7 +129,7 @@ def region_mask(spark, d):
 
 
 def resample_cubic(spark, d):
-    return rounded(grid.halved_cubic(src.pixels(spark, d)), 3)
+    return rounded(grid.halved_cubic(src.pixels(spark, d).withColumn("value", F.col("value").cast("int"))))
 
 
 def ring_envelopes(spark, d):
@@ -390,8 +390,8 @@ ALL = {
     "zone_windows": (zone_windows, sql("px", "rect", body=f", {ZONE} SELECT set_id, rf AS row_from, rt AS row_to, rf - r0 AS zone_row_from, rt - r0 AS zone_row_to, cf AS col_from, ct AS col_to, cf - c0 AS zone_col_from, ct - c0 AS zone_col_to FROM e WHERE rf < rt AND cf < ct")),
     "align_raster": (align_raster, sql("px", body="""SELECT p."row", p.col, coalesce(CASE WHEN trunc(p.value / 5000) <> 7 AND m.status <> 'P' THEN m.value END, -1.0) AS value FROM px p LEFT JOIN px m ON p."row" = m."row" + 3 AND p.col = m.col - 7""")),
     "region_mask": (region_mask, sql("px", body='SELECT "row", col, CASE WHEN x > 600 AND x < 2100 AND y < -300 AND y > -1200 THEN CAST(trunc(value / 5000) AS INTEGER) ELSE 255 END AS value FROM px')),
-    "resample_cubic": (resample_cubic, sql("px", body=""", w AS (SELECT * FROM (VALUES (-1, -0.0625::DOUBLE), (0, 0.5625), (1, 0.5625), (2, -0.0625)) t(k, w)), s AS (SELECT p."row" - a.k AS r, p.col - b.k AS c, p.value * a.w * b.w AS part FROM px p, w a, w b)
-      SELECT CAST(r // 2 AS INTEGER) AS "row", CAST(c // 2 AS INTEGER) AS col, round(sum(part), 3) AS value FROM s WHERE r % 2 = 0 AND c % 2 = 0 GROUP BY r, c HAVING count(*) = 16""")),
+    "resample_cubic": (resample_cubic, sql("px", body=""", w AS (SELECT * FROM (VALUES (-1, -0.0625::DOUBLE), (0, 0.5625), (1, 0.5625), (2, -0.0625)) t(k, w)), s AS (SELECT p."row" - a.k AS r, p.col - b.k AS c, trunc(p.value) * a.w * b.w AS part FROM px p, w a, w b)
+      SELECT CAST(r // 2 AS INTEGER) AS "row", CAST(c // 2 AS INTEGER) AS col, round(sum(part), 6) AS value FROM s WHERE r % 2 = 0 AND c % 2 = 0 GROUP BY r, c HAVING count(*) = 16""")),
     "ring_envelopes": (ring_envelopes, sql("rect", body="SELECT set_id, CAST(ul_x AS DOUBLE) AS min_x, CAST(lr_x AS DOUBLE) AS max_x, CAST(lr_y AS DOUBLE) AS min_y, CAST(ul_y AS DOUBLE) AS max_y, CAST((lr_x - ul_x) * (ul_y - lr_y) AS DOUBLE) AS area FROM rect WHERE (lr_x - ul_x) * (ul_y - lr_y) > 1")),
     "points_in_polygons": (points_in_polygons, sql("px", "rect", body="SELECT set_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS sum_id FROM px p JOIN rect r ON p.x > r.ul_x AND p.y < r.ul_y AND p.y > r.lr_y AND p.x < r.lr_x AND (p.x - r.ul_x) / CAST(r.lr_x - r.ul_x AS DOUBLE) + (r.ul_y - p.y) / CAST(r.ul_y - r.lr_y AS DOUBLE) < 1 GROUP BY set_id")),
     "tile_of_point": (tile_of_point, sql("px", body='SELECT id, tile_id FROM px WHERE "row" > 0 AND col > 0')),
