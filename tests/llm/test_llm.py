@@ -68,6 +68,17 @@ def test_bpe_round_trip(stored, texts, tokenizer):
     assert all(decoded[k] == (t or "") for k, t in enumerate(texts))
 
 
+def test_bpe_of_every_code_point_and_of_white_space(spark, tokenizer, tmp_path):
+    rng = random.Random(12)
+    blocks = ["".join(chr(c) for c in range(a, min(a + 4096, 0x110000)) if not 0xD800 <= c < 0xE000) for a in range(0, 0x110000, 4096)]
+    pieces = [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "a", "B1", "'s", "'LL", "é", "日本", "9", "!?", "<|endoftext|>", "\0"]
+    texts = [*blocks, *("".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(400))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    got = {r.doc_id: r.ids for r in bpe.encode(spark.read.parquet(str(tmp_path / "t")), VOCAB).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == tokenizer.encode(t, add_special_tokens=False).ids, repr(t[:80])
+
+
 def test_a_second_pass_that_differs_is_noticed(spark):
     import os
 
@@ -126,7 +137,9 @@ def test_windows_that_start_earlier_are_removed(stored, texts):
 
 def test_a_crowded_sketch_loses_nothing(stored):
     wide = substrings.remove_repeats(stored, size=5, sketch_bits=22)
-    assert wide.exceptAll(substrings.remove_repeats(stored, size=5, sketch_bits=16)).isEmpty()
+    # with 256 cells every window looks repeated
+    for bits in (16, 8):
+        assert wide.exceptAll(substrings.remove_repeats(stored, size=5, sketch_bits=bits)).isEmpty()
 
 
 def prints_of(text):
@@ -422,8 +435,8 @@ def test_a_toxic_passage_of_a_long_text_is_found(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("aeiou" if k % 2 else "bcdfglmnprst") for k in range(rng.randint(3, 9)))
     rows = []
-    for k in range(500):
-        words = [word() for _ in range(rng.choice([60, 200, 3000]))]
+    for k in range(400):
+        words = [word() for _ in range(rng.choice([60, 200, 1500]))]
         if k % 3 == 0:
             at = rng.randrange(len(words) - 40)
             words[at : at + 40] = ["zkwx" + word()[:3] for _ in range(40)]
