@@ -39,10 +39,10 @@ NOT_TEXT = frozenset("head script style noscript template svg math iframe object
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside "
     "cookie cookies consent gdpr notice notices notification popup modal overlay comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription "
-    "signup login search form widget pagination pager toolbar skip tags copyright legal".split()
+    "signup login search form widget pagination pager toolbar skip tags copyright legal side menubar topnav topbar dropdown crumbs alert discussion feedback".split()
 )
 #: Words that may stand beside those without changing what a name says.
-PLAIN_WORDS = frozenset("site page top bottom left right main global primary secondary list box block wrap wrapper container section area item items inner outer links link posts post bar media buttons icons text content unit slot row col column head body".split())
+PLAIN_WORDS = frozenset("site page top bottom left right main global primary secondary list box block wrap wrapper container section area item items inner outer links link posts post bar media buttons icons text content unit slot row col column head body reader readers user users visitor new latest recent more all count js is has active open sticky fixed small large full half desktop mobile sm md lg xl xs".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Levels that keep elements of their own; what is nested deeper belongs to the element at this level, as in browsers.
 LEVELS = 200
@@ -72,7 +72,7 @@ def words_of(name: str) -> list[str]:
 def names_aside(name: str) -> bool:
     """Whether a class or id says that a part isn't main text: every word of it must be one of those known."""
     words = words_of(name)
-    return not ASIDE_WORDS.isdisjoint(words) and all(w in ASIDE_WORDS or w in PLAIN_WORDS for w in words)
+    return not ASIDE_WORDS.isdisjoint(words) and all(len(w) == 1 or w in ASIDE_WORDS or w in PLAIN_WORDS for w in words)
 
 
 def opened(tag: str, attributes: str) -> Node:
@@ -84,7 +84,7 @@ def opened(tag: str, attributes: str) -> Node:
             if key in ("class", "id"):
                 words = words_of(value)
                 name = name or (f"{'.' if key == 'class' else '#'}{'-'.join(words[:3])}" if words else "")
-                if tag not in ("html", "body", "article", "main") and any(map(names_aside, value.split())):
+                if tag not in ("html", "body", "main") and any(map(names_aside, value.split())):
                     aside |= BY_NAME
             elif key == "role":
                 aside |= BY_KIND * (value.lower() in ASIDE_ROLES)

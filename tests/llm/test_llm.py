@@ -386,7 +386,7 @@ def test_what_a_host_always_says_is_not_main_text(spark):
 
 
 def test_names_of_parts_count_only_as_a_whole():
-    page = "<body><article><p>a <span class='share'>x <b>y</b></span> b<div class='form-of-life'>kept</div><div class='comment-list'>no<div>no</div></div><p>c</article></body>"
+    page = "<body><article><p>a <span class='share'>x <b>y</b></span> b<div class='form-of-life'>kept</div><div class='comment-list'>no<div>no</div></div><div class='ad-300x250'>no</div><p>c</article><div id=talk><article class='reader-comment'>much longer than the article itself is</article></div></body>"
     tree = html.parsed(page)
     assert html.extracted(tree, html.rule(html.wrapper(tree))) == "a b kept c"
 
