@@ -55,6 +55,12 @@ FOCAL: dict[str, tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], str | Non
 SIDE, STRIP = 256, 16
 
 
+def in_squares(pixels: DataFrame, reach: int, side: int) -> DataFrame:
+    """Pixels with ``tile_row`` and ``tile_col`` of each square that they lie in or within ``reach`` of."""
+    squares = lambda c: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - reach, F.lit(0)) / side), F.floor((F.col(c) + reach) / side)))
+    return pixels.select("*", squares("row").alias("tile_row")).select("*", squares("col").alias("tile_col"))
+
+
 def focal(raster: DataFrame, footprint: list[tuple[int, int]], name: str, side: int = SIDE) -> DataFrame:
     """(row, col, value) of one focal statistic, edges mirrored; null pixels stay null and don't count.
 
@@ -67,8 +73,7 @@ def focal(raster: DataFrame, footprint: list[tuple[int, int]], name: str, side:
         raise ValueError(f"a footprint may reach {side} pixels")
     function, kind = FOCAL[name]
     size = F.broadcast(raster.agg((F.max("row") + 1).alias("y_size"), (F.max("col") + 1).alias("x_size")))  # one row
-    squares = lambda c: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - reach, F.lit(0)) / side), F.floor((F.col(c) + reach) / side)))
-    dealt = raster.select("row", "col", F.col("value").cast("double").alias("value"), squares("row").alias("tile_row")).select("*", squares("col").alias("tile_col")).crossJoin(size)
+    dealt = in_squares(raster.select("row", "col", F.col("value").cast("double").alias("value")), reach, side).crossJoin(size)
     schema = raster.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.lit(0.0).alias("value")).schema
 
     def shifted(table: pa.Table) -> pa.Table:
@@ -148,6 +153,36 @@ def best_match(samples: DataFrame, reference: DataFrame, predicted: str = "pred"
     return joined.groupBy("row", "col").agg(F.first(predicted).alias(predicted), F.min_by("value", F.struct(F.abs(F.col("value") - F.col(predicted)), "k")).alias("matched"))
 
 
+def match_raster(predicted: DataFrame, reference: DataFrame, side: int = SIDE) -> DataFrame:
+    """(row, col, pred, matched): for each pixel of a raster the reference value of the three by three around it nearest to its own, the first row by row on a tie.
+
+    Whole values; both rasters are dealt to squares with a rim, as in ``focal``. Pixels without a reference value around
+    them are left out, as are null ones.
+    """
+    one = predicted.where(F.col("value").isNotNull()).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value"), F.lit(True).alias("own"))
+    other = reference.where(F.col("value").isNotNull()).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value"), F.lit(False).alias("own"))
+    dealt = in_squares(one.unionByName(other), 1, side)
+
+    def nearest(table: pa.Table) -> pa.Table:
+        top, left = table["tile_row"][0].as_py() * side, table["tile_col"][0].as_py() * side
+        row, col, value, own = (table[c].to_numpy(zero_copy_only=False) for c in ("row", "col", "value", "own"))
+        layers = np.full((2, side + 2, side + 2), np.nan)
+        layers[np.where(own, 0, 1), row - top + 1, col - left + 1] = value
+        pred = layers[0, 1:-1, 1:-1]
+        best, least = np.full(pred.shape, np.nan), np.full(pred.shape, np.inf)
+        for i, j in square(3):
+            near = layers[1, 1 + i : 1 + i + side, 1 + j : 1 + j + side]
+            apart = np.abs(near - pred)
+            closer = apart < least
+            best, least = np.where(closer, near, best), np.where(closer, apart, least)
+        r, c = np.nonzero(~np.isnan(best))
+        return pa.table({"row": pa.array(r + top, pa.int64()), "col": pa.array(c + left, pa.int64()), "pred": pa.array(pred[r, c].astype(np.int64)), "matched": pa.array(best[r, c].astype(np.int64))})
+
+    found = dealt.groupBy("tile_row", "tile_col").applyInArrow(lambda table: nearest(table), "row long, col long, pred long, matched long")
+    kind = dict(predicted.dtypes)
+    return found.select(F.col("row").cast(kind["row"]).alias("row"), F.col("col").cast(kind["col"]).alias("col"), F.col("pred").cast(kind["value"]).alias("pred"), F.col("matched").cast(dict(reference.dtypes)["value"]).alias("matched"))
+
+
 def curvature(raster: DataFrame, resolution: float) -> DataFrame:
     """(row, col, curvature): -200 (D + E) of the quadratic surface through a pixel and its four neighbours."""
     z = kernel_columns(raster, raster, "z").dropna()

@@ -91,6 +91,14 @@ def test_best_match_is_first_row_by_row_on_a_tie(spark):
     assert [(r.row, r.matched) for r in focal.best_match(s, raster).collect()] == [(0, 4)]
 
 
+def test_a_raster_is_matched_as_its_samples_are(spark):
+    rng = np.random.default_rng(8)
+    make = lambda holes: spark.createDataFrame([(r, c, None if rng.random() < holes else int(rng.integers(0, 9))) for r in range(9) for c in range(7)], "row int, col int, value int")
+    pred, ref = make(0.2), make(0.5)
+    want = {(r.row, r.col): r.matched for r in focal.best_match(pred.where("value IS NOT NULL").withColumnRenamed("value", "pred"), ref).collect()}
+    assert {(r.row, r.col): r.matched for r in focal.match_raster(pred, ref, side=4).collect()} == want
+
+
 def test_a_class_without_predicted_samples_leaves_both_axes(spark):
     # class 3 is mapped on two pixels and seen in one sample, but no sample predicts it
     pixels = [(1, 1, True), (1, 2, True), (1, 3, True), (2, 2, True), (2, 2, False), (3, 3, False), (3, 1, False)] + [(1, 1, False)] * 3
