@@ -88,11 +88,12 @@ def prefixed(zones: DataFrame, zone: str, source: str) -> DataFrame:
 def numbered_combinations(members: DataFrame, pixel: str, set_id: str) -> tuple[DataFrame, DataFrame]:
     """(combo, sets, n_pixels) of the distinct combinations of covering sets, and (pixel, combo) that leads each pixel to its own.
 
-    A combination's number is a hash of its sets, so both tables come without a window over all of them.
+    A combination's number is its least pixel, so both tables come without a window over all of them.
     """
     each = members.groupBy(pixel).agg(F.array_sort(F.collect_set(set_id)).alias("s"))
-    each = each.select(pixel, F.concat_ws("_", F.transform("s", lambda x: x.cast("string"))).alias("sets")).withColumn("combo", F.crc32(F.col("sets").cast("binary")))
-    return each.groupBy("combo", "sets").agg(F.count("*").alias("n_pixels")), each.select(pixel, "combo")
+    each = each.select(pixel, F.concat_ws("_", F.transform("s", lambda x: x.cast("string"))).alias("sets"))
+    combos = each.groupBy("sets").agg(F.min(pixel).alias("combo"), F.count("*").alias("n_pixels"))
+    return combos, each.join(combos.select("sets", "combo"), "sets").select(pixel, "combo")
 
 
 def hexagons(rows: DataFrame, x: str, y: str, size: float) -> DataFrame:

@@ -200,6 +200,12 @@ def zonal_by_source(spark, d):
     return rounded(of("ref").join(of("pred"), "priority"), 4)
 
 
+def aggregate_sets(spark, d):
+    """Statistics over the rasters that each set has made by itself."""
+    by_set = src.votes(spark, d).groupBy("set_id", "id").agg(F.max("vote").alias("vote"))
+    return ensemble.statistics(by_set, ["id"], "vote", ["mean", "stdv", "vote", "count"])
+
+
 def hexagon_histogram(spark, d):
     return rounded(ensemble.hexagons(src.pairs(spark, d), "ref", "pred", 10.0), 4)
 
@@ -408,7 +414,10 @@ ALL = {
       c AS (SELECT s."row", s.col, CAST(trunc(avg(trunc(b.value / 5000))) AS INTEGER) AS ref FROM s JOIN px b ON abs(b."row" - s."row") <= 1 AND abs(b.col - s.col) <= 1 GROUP BY ALL) SELECT a."row", a.col, a.pred, c.ref FROM a JOIN c ON a."row" = c."row" AND a.col = c.col""")),
     "zonal_by_source": (zonal_by_source, sql("pair", body="SELECT priority, round(avg(ref), 4) AS ref_mean, count(ref) AS ref_count, round(avg(pred), 4) AS pred_mean, count(pred) AS pred_count FROM pair GROUP BY priority")),
     "hexagon_histogram": (hexagon_histogram, sql("pair", body=f", {HEX} SELECT round(CASE WHEN first THEN a ELSE c + 0.5 END * 10.0::DOUBLE, 4) AS hx, round(CASE WHEN first THEN b ELSE d + 0.5 END * (10.0::DOUBLE * sqrt(3.0::DOUBLE)), 4) AS hy, count(*) AS n FROM k GROUP BY 1, 2")),
-    "combination_index": (combination_index, None),
+    "combination_index": (combination_index, sql("votes", body=""", c AS (SELECT id, string_agg(CAST(set_id AS VARCHAR), '_' ORDER BY set_id) AS sets FROM (SELECT DISTINCT id, set_id FROM votes) GROUP BY id), g AS (SELECT sets, min(id) AS combo, count(*) AS n_pixels FROM c GROUP BY sets)
+      SELECT c.id, g.combo, g.n_pixels, g.sets FROM c JOIN g USING (sets)""")),
+    "aggregate_sets": (aggregate_sets, sql("votes", body=f""", s AS (SELECT set_id, id, max(vote) AS vote FROM votes GROUP BY ALL), n AS (SELECT id, vote, count(*) AS n FROM s GROUP BY ALL), m AS (SELECT id, arg_max(vote, (n, -vote)) AS vote FROM n GROUP BY id)
+      SELECT id, CAST(round_even(avg(s.vote), 0) AS INTEGER) AS mean, CAST(round_even(round(stddev_pop(s.vote), 6), 0) AS INTEGER) AS stdv, any_value(m.vote) AS vote, count(*) AS count FROM s JOIN m USING (id) GROUP BY id""")),
     "runs_inventory": (runs_inventory, sql("votes", body=""", v AS (SELECT CAST(round(discount * 100) AS INTEGER) AS run, CASE WHEN tax = 0 THEN -1 ELSE vote END AS value FROM votes), e AS (SELECT run, CASE WHEN min(value) < 0 THEN min(value) ELSE max(value) END AS nodata FROM v GROUP BY run)
       SELECT run, count(*) AS n, count(*) FILTER (WHERE value = nodata) AS n_nodata, any_value(nodata) AS nodata, round(avg(value) FILTER (WHERE value <> nodata), 4) AS mean FROM v JOIN e USING (run) GROUP BY run""")),
     "trial_averages": (trial_averages, sql("pair", body=f""", t AS (SELECT p.*, k AS trial, row_number() OVER (PARTITION BY k, tile_id ORDER BY {H('id * 50 + k', 12)}, id * 50 + k) AS rn FROM pair p, range(50) r(k)), e AS (SELECT trial, sqrt(avg((pred - ref) * CAST(pred - ref AS DOUBLE))) AS rmse, count(*) AS n FROM t WHERE rn <= 2 GROUP BY trial)
