@@ -12,7 +12,6 @@ each. The logistic fit rests on the greatest logit among all windows of each sam
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ WINDOW, STRIDE = 64, 48
 #: Width of a state in one direction, of a word's vector, of an n-gram's vector, and of the attention.
 STATE, WORD, CHARS, ATTEND = 8, 8, 16, 8
 CHUNK_CHARS, BATCH, CACHED_WORDS = 1_500_000, 2048, 120_000
+WORDS_AT_ONCE = 20_000
 #: N-grams are told apart by this many bits of a hash.
 BUCKET_BITS, FACTOR = 20, np.uint64(0x9E3779B97F4A7C15)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -169,25 +169,36 @@ class Network:
         return g, d_gates[1:]
 
 
-def prepared(texts: list[set[str]], vocabulary: list[str]) -> tuple[list[str], np.ndarray]:
-    """The words and n-grams that a network knows: words of at least three texts, n-grams of at least three words."""
-    seen = Counter(w for t in texts for w in t)
-    counts = np.bincount(gram_buckets(vocabulary)[0], minlength=1 << BUCKET_BITS)
-    return sorted(w for w, n in seen.items() if n >= 3), np.flatnonzero(counts >= 3)
+class Bags:
+    """The windows of labelled texts as numbers of words: ``texts`` has a list of arrays for each text, ``words`` each word once."""
 
+    def __init__(self, bags, labels):
+        number: dict[str, int] = {}
+        self.texts = [[np.fromiter((number.setdefault(w, len(number)) for w in window.split()), np.int32) for window in bag] for bag in bags]
+        self.words, self.labels = list(number), np.array(labels)
 
-def train(bags: list[list[list[str]]], labels: np.ndarray, net: Network | None = None, epochs: int = 2, least_steps: int = 120, rate: float = 0.01, seed: int = 5) -> Network:
-    """A network fitted to bags of windows, each a list of words, or ``net`` fitted further."""
-    texts = [{w for x in bag for w in x} for bag in bags]
-    vocabulary = list(dict.fromkeys(w for bag in bags for x in bag for w in x))
-    number = {w: k for k, w in enumerate(vocabulary)}
+    def known(self) -> tuple[list[str], np.ndarray]:
+        """The words and n-grams that a network should know: words of at least three texts, n-grams of at least three words."""
+        n = np.zeros(len(self.words), np.int32)
+        for text in self.texts:
+            n[np.unique(np.concatenate([np.zeros(0, np.int32), *text]))] += 1
+        grams = np.zeros(1 << BUCKET_BITS, np.int32)
+        for at in range(0, len(self.words), WORDS_AT_ONCE):
+            grams += np.bincount(gram_buckets(self.words[at : at + WORDS_AT_ONCE])[0], minlength=1 << BUCKET_BITS).astype(np.int32)
+        return sorted(self.words[k] for k in np.flatnonzero(n >= 3).tolist()), np.flatnonzero(grams >= 3)
+
+
+def train(bags: Bags, net: Network | None = None, epochs: int = 2, least_steps: int = 120, rate: float = 0.01, seed: int = 5) -> Network:
+    """A network fitted to bags of windows, or ``net`` fitted further."""
     if net is None:
-        net = Network(*prepared(texts, vocabulary))
+        net = Network(*bags.known())
     else:
-        net.grow(*prepared(texts, vocabulary))
-    every = net.features(vocabulary)
+        net.grow(*bags.known())
+    parts = [net.features(bags.words[at : at + WORDS_AT_ONCE]) for at in range(0, len(bags.words), WORDS_AT_ONCE)]
+    every = tuple(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]).astype(np.int32) for k in range(3))
+    del parts
     begin = np.cumsum(every[2]) - every[2]
-    rows = [[np.array([number[w] for w in x], np.int32) for x in bag] for bag in bags]
+    rows, labels = bags.texts, bags.labels
     rng = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -313,18 +324,18 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, key: str = "doc
                     bags.append([" ".join(words[i : i + WINDOW]) for i in first[order[a : a + min(k, most)]].tolist()])
                 yield pa.record_batch({"h": table["h"].combine_chunks(), "y": table["y"].combine_chunks(), "best": pa.array(logit[order[begin]], pa.float64()), "n": pa.array(n), "bag": pa.array(bags, pa.list_(pa.string()))})
 
-        return sorted(sample.mapInArrow(run, "h long, y int, best double, n long, bag array<string>").collect())
-
-    def bags_of(got):
-        return [[x.split() for x in r.bag] for r in got], np.array([r.y for r in got])
+        out = sorted(sample.mapInArrow(run, "h long, y int, best double, n long, bag array<string>").collect())
+        shared.destroy()
+        return out
 
     got = sorted(sample.mapInArrow(spread, "h long, y int, bag array<string>").collect())
     if {r.y for r in got} != {0, 1}:
         return None
-    net = train(*bags_of(got))
-    net = train(*bags_of(scored(net, windows)), net=net, rate=0.005, seed=6)
-    last = scored(net, 0)
-    net.fit = calibrated(np.array([r.best for r in last]), np.array([r.n for r in last]), np.array([r.y for r in last]), counts[1] / (counts[0] + counts[1]))
+    net = train(Bags((r.bag for r in got), [r.y for r in got]))
+    got = scored(net, windows)
+    net = train(Bags((r.bag for r in got), [r.y for r in got]), net=net, rate=0.005, seed=6)
+    got = scored(net, 0)
+    net.fit = calibrated(np.array([r.best for r in got]), np.array([r.n for r in got]), np.array([r.y for r in got]), counts[1] / (counts[0] + counts[1]))
     return net
 
 
