@@ -82,7 +82,8 @@ def zero_inflated(spark, d):
     return rounded(trees.predict_zero_inflated(m, models, ["tax", "price"]).groupBy("id").agg(F.avg("prediction").alias("prediction")), 4)
 
 
-TREES = 50
+#: Trees of the forest queries; a level costs an aggregation of all rows for each tree.
+TREES = 12
 
 
 def forest(how):
