@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import AUDIT_SQL
 from .lines import DROP_BOILERPLATE_SQL
 from .topk import EXACT_TOP_K_SQL
 
 VOCAB = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def vocab_path(name: str = VOCAB) -> str:
@@ -96,6 +98,25 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pqdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import audit
+
+    return audit.audit(audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import transducer
+
+    path = vocab_path(RANKS)
+    return transducer.digest(transducer.encode(table(spark, sf_dir, "documents"), path), path)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
@@ -107,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html_main_text": op9_html_main_text,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_transducer_bpe": op12_transducer_bpe,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": EXACT_TOP_K_SQL, "op5_line_dedup": DROP_BOILERPLATE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": EXACT_TOP_K_SQL, "op5_line_dedup": DROP_BOILERPLATE_SQL, "op11_filter_audit": AUDIT_SQL}
