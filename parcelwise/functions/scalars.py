@@ -42,9 +42,21 @@ def bin_number(value: Column, edges: Sequence[tuple[float, float]]) -> Column:
     return out.cast("int")
 
 
+def low_product(key: Column, factor: int) -> Column:
+    """The low 32 bits of a number's low 32 bits times a factor below 2 ** 32, by halves so that nothing overflows."""
+    low = key.bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.pmod(F.pmod(F.floor(low / 65536) * factor, F.lit(65536)) * 65536 + low % 65536 * factor, F.lit(4294967296))
+
+
 def portable_hash(key: Column, seed: int) -> Column:
-    """Two rounds of multiplication modulo 2 ** 32, the same in any engine with 64-bit integers; for keys from 0 to 2 ** 31."""
-    once = F.pmod(key * 2654435761 + seed * 40503, F.lit(4294967296))
+    """Two rounds of multiplication modulo 2 ** 32, the same in any engine with 64-bit integers; for all whole keys of 64 bits.
+
+    The upper 32 bits enter by a factor of their own, so keys below 2 ** 32 hash as by (key * 2654435761 + seed * 40503)
+    alone. Null keys give null.
+    """
+    key = key.cast("bigint")
+    upper = F.shiftrightunsigned(key, 32)
+    once = F.pmod(low_product(key, 2654435761) + low_product(upper, 2246822519) + seed * 40503, F.lit(4294967296))
     return F.pmod(once * 1597334677 + 12345, F.lit(4294967296))
 
 

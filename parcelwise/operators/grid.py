@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,3 +158,54 @@ def halved_cubic(raster: DataFrame) -> DataFrame:
     at = placed.select((F.col("row") - F.col("o.i")).alias("r"), (F.col("col") - F.col("o.j")).alias("c"), (F.col("value") * F.col("o.w")).alias("part"))
     cells = at.where("r % 2 = 0 AND c % 2 = 0").groupBy(F.floor(F.col("r") / 2).cast("int").alias("row"), F.floor(F.col("c") / 2).cast("int").alias("col")).agg(F.sum("part").alias("value"), F.count("*").alias("n"))
     return cells.where("n = 16").drop("n")
+
+
+def _cubic(d: Column) -> Column:
+    """The weight of cubic convolution at a distance of up to two pixels."""
+    t = F.abs(d)
+    return F.when(t <= 1, (1.5 * t - 2.5) * t * t + 1).otherwise(((-0.5 * t + 2.5) * t - 4) * t + 2)
+
+
+#: For each way to resample: pixels that a target takes along an axis, how far the first lies before its position, and their weights.
+KERNELS = {
+    "nearest": (1, 0.5, lambda d: F.lit(1.0)),
+    "bilinear": (2, 1.0, lambda d: 1 - F.abs(d)),
+    "cubic": (4, 2.0, _cubic),
+}
+
+
+def _along(raster: DataFrame, axis: str, keep: str, origin: tuple[float, float], step: tuple[float, float], n: int, how: str) -> DataFrame:
+    """One axis of a raster on other lines: every line is sent to the targets whose kernel holds it, which a division finds, with its weight; a target is whole if it has all lines of its kernel."""
+    taps, reach, weight = KERNELS[how]
+    ratio = step[1] / step[0]
+    start = (origin[1] + step[1] / 2 - origin[0]) / step[0] - 0.5  # where the first target's centre lies, in lines of the source
+    position = lambda k: start + k * ratio
+    near = [F.floor((F.col(axis) - start + side * (reach + 1)) / ratio) for side in (-1, 1)]
+    first, last = F.greatest(F.least(*near), F.lit(0)), F.least(F.greatest(*near) + 1, F.lit(n - 1))
+    sent = raster.withColumns({"_a": first.cast("bigint"), "_b": last.cast("bigint")}).where("_a <= _b").withColumn("_to", F.explode(F.sequence("_a", "_b")))
+    # the kernel begins at the first line at or after its reach, so there are always as many lines as taps
+    begin = F.floor(position(F.col("_to")) - reach) + 1
+    away = F.col(axis) - position(F.col("_to"))
+    held = sent.where((F.col(axis) >= begin) & (F.col(axis) < begin + taps))
+    out = held.groupBy(F.col("_to").cast("int").alias(axis), keep).agg(F.sum(F.col("value") * weight(away)).alias("value"), F.count("value").alias("_n"))
+    return out.where(F.col("_n") == taps).drop("_n")
+
+
+def resampled(raster: DataFrame, source: Sequence[float], target: Sequence[float], n_rows: int, n_cols: int, how: str = "cubic") -> DataFrame:
+    """(row, col, value) of a raster (row, col, value) on the pixels of another affine, by any factor and offset.
+
+    ``source`` and ``target``: (ul_x, x_res, 0, ul_y, 0, y_res). Kernels are separable, so rows are resampled first and
+    then columns, each by one aggregation that is combined before it is shuffled; the weights follow from where each
+    target centre lies in the source. Targets whose kernel leaves the source or meets a null are left out. ``how``:
+    nearest (the greater of equally near pixels), bilinear or cubic.
+    """
+    held = raster.where(F.col("value").isNotNull()).select("row", "col", F.col("value").cast("double").alias("value"))
+    down = _along(held, "row", "col", (source[3], target[3]), (source[5], target[5]), n_rows, how)
+    return _along(down, "col", "row", (source[0], target[0]), (source[1], target[1]), n_cols, how).select("row", "col", "value")
+
+
+def shift_between(source: Sequence[float], like: Sequence[float]) -> tuple[int, int]:
+    """(down, right): the whole pixels that lie between the corners of two rasters of one resolution, as ``aligned`` moves them; the nearest, where they are off by parts of a pixel."""
+    if abs(source[1] - like[1]) > 1e-9 or abs(source[5] - like[5]) > 1e-9:
+        raise ValueError("rasters of unlike resolution are resampled, not moved")
+    return round((source[3] - like[3]) / like[5]), round((source[0] - like[0]) / like[1])

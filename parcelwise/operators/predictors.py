@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 Rasters = Mapping[str, tuple[DataFrame, float | None]]
 
 
-def of_tile(pixels: DataFrame, rasters: Rasters, nodata: int, bands: tuple[str, ...] = ()) -> DataFrame:
-    """Pixels (row, col and what else they have) with one SMALLINT column for each raster (row, col, value), in order of name.
+def of_tile(pixels: DataFrame, rasters: Rasters, nodata: int, kind: str = "smallint") -> DataFrame:
+    """Pixels (row, col and what else they have) with one column of type ``kind`` for each raster (row, col, value), in order of name.
 
-    Each raster comes with its own nodata value; that, and pixels it lacks, become ``nodata``. All rasters are joined on
+    Each raster comes with its own nodata value; that, pixels it lacks and values that ``kind`` can't hold become
+    ``nodata``. Name a wider type for rasters beyond it. All rasters are joined on
     the same keys, so one shuffle of each is all that it takes.
     """
     out = pixels
     for name in sorted(rasters):
         raster, own = rasters[name]
         value = F.col("value") if own is None else F.when(F.col("value") != own, F.col("value"))
-        out = out.join(raster.select("row", "col", value.cast("smallint").alias(name)), ["row", "col"], "left")
-    return out.withColumns({n: F.coalesce(n, F.lit(nodata)).cast("smallint") for n in sorted(rasters)})
+        out = out.join(raster.select("row", "col", value.try_cast(kind).alias(name)), ["row", "col"], "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(nodata)).cast(kind) for n in sorted(rasters)})
 
 
 def with_constants(rows: DataFrame, constants: Mapping[str, int]) -> DataFrame:

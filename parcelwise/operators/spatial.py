@@ -144,7 +144,7 @@ def clipped(rects: DataFrame, ul_x: float, ul_y: float, lr_x: float, lr_y: float
     return out.where("ul_x < lr_x AND lr_y < ul_y")
 
 
-def dissolved(rects: DataFrame, by: str) -> DataFrame:
+def extents(rects: DataFrame, by: str) -> DataFrame:
     """(by, n, ul_x, ul_y, lr_x, lr_y): the extent of all rectangles of a value."""
     return rects.groupBy(by).agg(F.count("*").alias("n"), F.min("ul_x").alias("ul_x"), F.max("ul_y").alias("ul_y"), F.max("lr_x").alias("lr_x"), F.min("lr_y").alias("lr_y"))
 

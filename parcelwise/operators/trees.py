@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -186,6 +187,54 @@ def predict(members: DataFrame, nodes: DataFrame, columns: Sequence[str], key: s
     return rows.withColumn("leaf", leaf).select(key, "set_id", F.get("nodes", "leaf")["value"].alias("prediction"))
 
 
+#: Pixels of one combination of sets that a task holds with the combination's models.
+COMBINATION_PIXELS = 100_000
+
+
+def _evaluated(pixels: pa.Table, models: pa.Table, columns: Sequence[str]) -> pa.Table:
+    """The predictions of all models of a combination for all of its pixels, sets in order."""
+    x = np.column_stack([pixels[f"x{k}"].to_numpy() for k in range(len(columns))]) if pixels.num_rows else np.zeros((0, len(columns)))
+    place = {c: k for k, c in enumerate(columns)}
+    sets = models["set_id"].to_numpy()
+    out = []
+    for of in np.unique(sets):
+        nodes = models.filter(pa.array(sets == of)).sort_by("node")  # nodes number from 0
+        feature = np.array([-1 if f is None else place[f] for f in nodes["feature"].to_pylist()])
+        threshold, left, right = (np.nan_to_num(nodes[c].to_numpy()).astype(kind) for c, kind in (("threshold", float), ("left", int), ("right", int)))
+        at = np.zeros(len(x), int)
+        while (split := feature[at] >= 0).any():
+            where = np.flatnonzero(split)
+            own = at[where]
+            at[where] = np.where(x[where, feature[own]] <= threshold[own], left[own], right[own])
+        out.append(nodes["value"].to_numpy()[at])
+    values = np.column_stack(out) if out else np.zeros((len(x), 0))
+    ends = np.arange(len(x) + 1, dtype=np.int32) * values.shape[1]
+    return pa.table({"key": pixels["key"], "predictions": pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))})
+
+
+def predict_by_combination(pixels: DataFrame, members: DataFrame, nodes: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
+    """(key, predictions ARRAY<DOUBLE>): what each set with a model that covers a pixel predicts for it, in order of set.
+
+    ``pixels`` has a row for each key with the predictors, ``members`` the pairs (key, set_id). Pixels are gathered by
+    their distinct combination of sets, so that a combination's models are shipped once to where its pixels are and all
+    of them are led down each tree at once; combinations of very many pixels go to several tasks, the models with
+    them. Pixels that no model covers are left out; a null or NaN predictor goes right, as in ``predict``.
+    """
+    columns = sorted(columns)
+    modelled = nodes.select("set_id").distinct()
+    covering = members.select(key, F.col("set_id").cast("long").alias("set_id")).join(modelled, "set_id", "left_semi")
+    each = cut(covering.groupBy(key).agg(F.array_sort(F.collect_set("set_id")).alias("sets")))
+    combos = cut(each.groupBy("sets").agg(F.min(key).alias("combo"), F.ceil(F.count("*") / COMBINATION_PIXELS).alias("parts")))
+    placed = each.join(combos, "sets").select(key, "combo", F.pmod(F.xxhash64(key), F.col("parts")).alias("part"))
+    x = pixels.select(key, *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)])
+    left = placed.join(x, key).withColumnRenamed(key, "key")
+    right = combos.select("combo", "parts", F.explode("sets").alias("set_id")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    models = right.join(nodes.select("set_id", "node", "feature", "threshold", "left", "right", "value"), "set_id")
+    kind = pixels.schema[key].dataType.simpleString()
+    done = left.groupBy("combo", "part").cogroup(models.groupBy("combo", "part")).applyInArrow(lambda a, b: _evaluated(a, b, columns), f"key {kind}, predictions array<double>")
+    return done.withColumnRenamed("key", key)
+
+
 def zero_inflated(members: DataFrame, target: str, columns: Sequence[str], **options) -> tuple[DataFrame, DataFrame]:
     """Node tables of a classifier of whether the target is other than zero, and of a tree for its value where it is."""
     present = members.withColumn("_present", (F.col(target) != 0).cast("double"))

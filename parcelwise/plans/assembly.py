@@ -164,7 +164,7 @@ def attribute_merges(spark, d):
 def clip_and_dissolve(spark, d):
     """Rectangles clipped to a window, and what their groups of one tenth cover."""
     c = spatial.clipped(src.rectangles(spark, d).withColumn("part", (F.col("set_id") % 10).cast("int")), 300, -200, 2400, -900)
-    return spatial.dissolved(c, "part")
+    return spatial.extents(c, "part")
 
 
 def oob_map_average(spark, d):

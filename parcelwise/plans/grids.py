@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import projection, scalars
 from ..operators import grid
 from ..sources import tables as src
 from .common import rounded
@@ -95,8 +95,64 @@ TILES = """SELECT i AS tile_id, (i % 3) * 333 AS ul_r, CASE WHEN i = 11 THEN 100
 FISHNET = "SELECT i AS cell_id, (i // 4) * 400 AS x_min, -(i % 4) * 300 AS y_max, (i // 4 + 1) * 400 AS x_max, -(i % 4 + 1) * 300 AS y_min FROM range(32) t(i)"
 HASH = "((({k} * 2654435761 + {s} * 40503) % 4294967296) * 1597334677 + 12345) % 4294967296"
 SNAP = "({v} - (({v} % 30) + 30) % 30)"
+#: Pixels of 45 units, off by a few units from the raster's own of 30; rows and columns of it.
+OTHER, OTHER_SIZE = (7, 45, 0, -11, 0, -45), (98, 64)
+
+
+def on_other(how):
+    """The raster on the pixels of another affine, at a factor of one and a half and a shift of parts of a pixel."""
+
+    def build(spark, d):
+        raster = src.pixels(spark, d).select("row", "col", "value")
+        return rounded(grid.resampled(raster, src.AFFINE, OTHER, *OTHER_SIZE, how), 7)
+
+    return build
+
+
+def on_other_sql(taps: int, begin: str, weight: str) -> str:
+    """Each target with its kernel's pixels."""
+    return sql("px", body=f""", p AS (SELECT r, c, (-11 - 45 * (r + 0.5)) / -30 - 0.5 AS v, (7 + 45 * (c + 0.5)) / 30 - 0.5 AS u FROM range({OTHER_SIZE[0]}) a(r), range({OTHER_SIZE[1]}) b(c)),
+      k AS (SELECT r, c, v, u, CAST({begin.format("v")} AS INTEGER) + i AS "row", CAST({begin.format("u")} AS INTEGER) + j AS col FROM p, range({taps}) x(i), range({taps}) y(j)),
+      w AS (SELECT k.r, k.c, value, abs(px."row" - v) AS dv, abs(px.col - u) AS du FROM k JOIN px ON px."row" = k."row" AND px.col = k.col)
+      SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(sum(value * ({weight.format("dv")}) * ({weight.format("du")})), 7) AS value FROM w GROUP BY r, c HAVING count(*) = {taps * taps}""")
+
+
+#: Degrees for the raster's pixels, and a cone to project them by.
+LONGITUDE, LATITUDE, CONE = "(-125 + x / 100.0)", "(50 + y / 200.0)", projection.Albers()
+
+
+def albers_forward(spark, d):
+    x, y = CONE.forward(F.lit(-125) + F.col("x") / 100, F.lit(50) + F.col("y") / 200)
+    return src.pixels(spark, d).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+def albers_inverse(spark, d):
+    """Degrees back from metres."""
+    x, y = CONE.forward(F.lit(-125) + F.col("x") / 100, F.lit(50) + F.col("y") / 200)
+    metres = src.pixels(spark, d).select("id", x.alias("x"), y.alias("y"))
+    longitude, latitude = CONE.inverse(F.col("x"), F.col("y"))
+    return metres.select("id", F.round(longitude, 6).alias("longitude"), F.round(latitude, 6).alias("latitude"))
+
+
+def albers_sql() -> str:
+    """The same by the formula of equal area on the ellipsoid, its constants computed in SQL."""
+    e = CONE.eccentricity
+    q = f"((1 - {e}::DOUBLE * {e}) * (sin(p) / (1 - {e}::DOUBLE * {e} * sin(p) * sin(p)) - ln((1 - {e} * sin(p)) / (1 + {e} * sin(p))) / (2 * {e}::DOUBLE)))"
+    m2 = f"(cos(p) * cos(p) / (1 - {e}::DOUBLE * {e} * sin(p) * sin(p)))"
+    return sql("px", body=f""", k AS (SELECT name, {q} AS q, {m2} AS m2 FROM (VALUES ('a', radians({CONE.first})), ('b', radians({CONE.second})), ('o', radians({CONE.latitude}))) v(name, p)),
+      n AS (SELECT (a.m2 - b.m2) / (b.q - a.q) AS n, a.m2 AS m2, a.q AS qa, o.q AS qo FROM k a, k b, k o WHERE a.name = 'a' AND b.name = 'b' AND o.name = 'o'),
+      c AS (SELECT n, m2 + n * qa AS c, {CONE.axis} * sqrt(m2 + n * qa - n * qo) / n AS rho0 FROM n),
+      z AS (SELECT id, {LONGITUDE} AS lon, radians({LATITUDE}) AS p FROM px),
+      t AS (SELECT id, {CONE.axis} * sqrt(c - n * {q}) / n AS rho, n * radians(lon - ({CONE.longitude})) AS theta, rho0 FROM z, c)
+      SELECT id, round(rho * sin(theta), 3) AS x, round(rho0 - rho * cos(theta), 3) AS y FROM t""")
+
 
 ALL = {
+    "resample_other_cubic": (on_other("cubic"), on_other_sql(4, "floor({0} - 2) + 1", "CASE WHEN {0} <= 1 THEN 1.5 * {0} * {0} * {0} - 2.5 * {0} * {0} + 1 ELSE -0.5 * {0} * {0} * {0} + 2.5 * {0} * {0} - 4 * {0} + 2 END")),
+    "resample_other_bilinear": (on_other("bilinear"), on_other_sql(2, "floor({0} - 1) + 1", "1 - {0}")),
+    "resample_other_nearest": (on_other("nearest"), on_other_sql(1, "floor({0} - 0.5) + 1", "1")),
+    "albers_forward": (albers_forward, albers_sql()),
+    "albers_inverse": (albers_inverse, sql("px", body=f"SELECT id, round({LONGITUDE}, 6) AS longitude, round({LATITUDE}, 6) AS latitude FROM px")),
     "tile_grid": (tile_grid, TILES),
     "fishnet": (fishnet, FISHNET),
     "support_rects": (support_rects, f"""WITH f AS ({FISHNET}), k AS (SELECT f.*, cell_id * 3 + k AS set_id FROM f, range(3) r(k)),

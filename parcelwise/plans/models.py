@@ -37,6 +37,17 @@ def predict_pixels(spark, d):
     return p.groupBy("id").agg(half_even(F.avg("prediction")).alias("mean"), half_even(F.stddev_pop("prediction")).alias("stdv"), F.count("*").alias("n"))
 
 
+def predict_combinations(spark, d):
+    """As tree_predict_pixels, with the models of each distinct combination of sets shipped once."""
+    m = members(spark, d)
+    nodes = cut(trees.train_sets(m, "price", COLUMNS))
+    whole = m.dropna(subset=COLUMNS)
+    p = trees.predict_by_combination(whole.select("id", *COLUMNS).dropDuplicates(["id"]), whole.select("id", "set_id"), nodes, COLUMNS)
+    mean = F.aggregate("predictions", F.lit(0.0), lambda s, v: s + v) / F.size("predictions")
+    spread = F.sqrt(F.aggregate("predictions", F.lit(0.0), lambda s, v: s + (v - F.col("mean")) * (v - F.col("mean"))) / F.size("predictions"))
+    return p.withColumn("mean", mean).select("id", half_even(F.col("mean")).alias("mean"), half_even(spread).alias("stdv"), F.size("predictions").cast("bigint").alias("n"))
+
+
 def predict_per_set(spark, d):
     """What each set predicts by itself; a set without a model has one row that says why."""
     m = members(spark, d)
@@ -147,6 +158,7 @@ KERNEL = """, r AS (SELECT "row", col, value / 1000 AS v FROM px), z AS (SELECT
 ALL = {
     "tree_train_sets": (train_sets, None),
     "tree_predict_pixels": (predict_pixels, None),
+    "tree_predict_combinations": (predict_combinations, None),
     "tree_predict_per_set": (predict_per_set, None),
     "tree_oob_metrics": (oob, None),
     "tree_class_oob": (class_oob, None),

@@ -54,10 +54,16 @@ def first_match(files: DataFrame, tiles: DataFrame, name: str = "name", tile: st
     return found.groupBy(tile).agg(F.min(name).alias(name))
 
 
-def read_support_sets(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
-    """Support sets from ``sets.parquet`` of a folder if it is there, else from its ``sets.txt``."""
-    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select("path").limit(1).isEmpty()
-    return read_tsv(spark, f"{folder}/sets.txt", schema) if there else spark.read.schema(schema).parquet(f"{folder}/sets.parquet")
+def read_support_sets(spark: SparkSession, folder: str, schema: StructType | str, table: str = "support_sets") -> DataFrame:
+    """Support sets from the SQLite file ``sets.db`` of a folder if it is there, else from its ``sets.parquet``, else from its ``sets.txt``."""
+    from .sqlite import read_sqlite
+
+    there = lambda pattern: not spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path").limit(1).isEmpty()
+    if there("sets.db"):
+        held = read_sqlite(spark, f"{folder}/sets.db", table)
+        wanted = spark.createDataFrame([], schema).schema
+        return held.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+    return spark.read.schema(schema).parquet(f"{folder}/sets.parquet") if there("*.parquet") else read_tsv(spark, f"{folder}/sets.txt", schema)
 
 
 def samples_of(membership: DataFrame, set_id: int, in_bag: bool) -> DataFrame:
@@ -155,15 +161,6 @@ def rendered(rows: DataFrame, options: DataFrame, template: str) -> DataFrame:
     return both.withColumn("script", filled(F.lit(template), {c: F.col(c) for c in both.columns}))
 
 
-def stacked(bands: dict[int, DataFrame], first_year: int) -> DataFrame:
-    """Rasters by year as one table with ``year`` and ``band``."""
-    out = None
-    for year, band in sorted(bands.items()):
-        own = band.withColumns({"year": F.lit(year), "band": F.lit(year - first_year + 1)})
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
 def stacked(pixels: DataFrame, year: str, first_year: int) -> DataFrame:
     """Rasters of several years in one table, with ``year`` and its ``band``, counted from 1."""
     kept = [c for c in pixels.columns if c != year]
