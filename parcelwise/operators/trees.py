@@ -1,8 +1,7 @@
 """Decision trees kept as a table of nodes, and their use on pixels.
 
 Trees of support sets are fitted one in a task from the rows of one set (a rectangle's sample, of bounded size by
-design); sets are dealt out by Spark. Forests over a whole table grow level by level from counts by node, feature and
-bin, so no tree's rows ever meet in one place. A model is rows (set_id, node, feature, threshold, left, right, value):
+design); sets are dealt out by Spark; forests over a whole table are in ``forests``. A model is rows (set_id, node, feature, threshold, left, right, value):
 feature is null in a leaf. Classes are whole numbers; a classifier's value is the most frequent class, the smallest on
 a tie.
 """
@@ -104,74 +103,6 @@ def read_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NODES).parquet(path)
 
 
-def bin_edges(rows: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
-    """For each column the values that part its bins: at most ``bins`` - 1 approximate quantiles."""
-    shares = [k / bins for k in range(1, bins)]
-    found = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10_000).alias(c) for c in columns]).first()  # one row
-    return {c: sorted(set(found[c] or [])) for c in columns}
-
-
-def grow_forest(rows: DataFrame, target: str, columns: Sequence[str], max_depth: int = 4, bins: int = 32, max_features: int | None = None, classes: bool = False, seed: int = 1) -> DataFrame:
-    """The node tables of a tree for each ``set_id`` of ``rows`` (with ``in_bag``), grown level by level.
-
-    Each level is one aggregation of all rows into sums by tree, node, feature, bin and class, combined before they are
-    shuffled; what comes out has (trees x nodes x features x bins x classes) rows at most, whatever the table. Splits
-    lie between bins; ``max_features`` draws that many columns for each node by a hash.
-    """
-    ordered = sorted(columns)
-    edges = bin_edges(rows, ordered, bins)
-    held = rows.where("in_bag").select(F.col("set_id").cast("long").alias("set_id"), *[F.col(c).cast("double").alias(c) for c in ordered], F.col(target).cast("double").alias("_y")).dropna()
-    number = lambda c: sum((F.when(F.col(c) > e, 1).otherwise(0) for e in edges[c]), F.lit(0))
-    label, weight = (F.col("_y"), F.lit(1.0)) if classes else (F.lit(0.0), F.col("_y"))
-    rows = held.select("set_id", label.alias("label"), weight.alias("weight"), *ordered, F.array(*[F.struct(F.lit(k).alias("feature"), number(c).alias("bin")) for k, c in enumerate(ordered)]).alias("bins"), F.lit(1).cast("long").alias("node"))
-    done: DataFrame | None = None
-    n_set = None
-    for depth in range(max_depth + 1):
-        sums = rows.groupBy("set_id", "node", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("s"))
-        best_label = F.max_by("label", F.struct("n", -F.col("label")))
-        stats = sums.groupBy("set_id", "node").agg(F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("squares"), (best_label if classes else F.sum("s") / F.sum("n")).alias("value"))
-        stats = cut(stats)
-        if n_set is None:
-            n_set = stats.select("set_id", F.greatest(F.lit(1), F.ceil(F.col("n") * LEAST_LEAF)).alias("least"))
-        if depth == max_depth:
-            nodes = stats.select("set_id", "node", F.lit(None).cast("int").alias("feature"), F.lit(None).cast("int").alias("bin"), "value", F.lit(0.0).alias("gain"))
-            done = nodes if done is None else done.unionByName(nodes)
-            break
-        each = rows.select("set_id", "node", "label", "weight", F.explode("bins").alias("b")).select("set_id", "node", "label", "weight", "b.feature", "b.bin")
-        cells = each.groupBy("set_id", "node", "feature", "bin", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("s"))
-        if max_features is not None and max_features < len(ordered):
-            drawn = stats.select("set_id", "node", F.explode(F.sequence(F.lit(0), F.lit(len(ordered) - 1))).alias("feature"))
-            draw = Window.partitionBy("set_id", "node").orderBy(portable_hash((F.col("set_id") * 4096 + F.col("node")) % 2147483647 * 64 % 2147483647 + F.col("feature"), seed), "feature")
-            drawn = drawn.withColumn("rn", F.row_number().over(draw)).where(F.col("rn") <= max_features).drop("rn")
-            cells = cells.join(F.broadcast(drawn), ["set_id", "node", "feature"], "left_semi")
-        # all labels at all bins, so that running sums exist at each
-        cells = cut(cells)
-        at = cells.select("set_id", "node", "feature", "bin").distinct().join(cells.select("set_id", "node", "feature", "label").distinct(), ["set_id", "node", "feature"])
-        cells = at.join(cells, ["set_id", "node", "feature", "bin", "label"], "left").na.fill(0, ["n", "s"])
-        upto = Window.partitionBy("set_id", "node", "feature", "label").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        every = Window.partitionBy("set_id", "node", "feature", "label")
-        sides = cells.withColumns({"left_n": F.sum("n").over(upto), "left_s": F.sum("s").over(upto), "all_n": F.sum("n").over(every), "all_s": F.sum("s").over(every)})
-        splits = sides.groupBy("set_id", "node", "feature", "bin").agg(F.sum("left_n").alias("left_n"), F.sum("all_n").alias("all_n"), F.sum(F.col("left_s") * F.col("left_s")).alias("left"), F.sum((F.col("all_s") - F.col("left_s")) * (F.col("all_s") - F.col("left_s"))).alias("right"), F.sum(F.col("all_s") * F.col("all_s")).alias("whole"))
-        splits = splits.join(F.broadcast(n_set), "set_id").where("left_n >= least AND all_n - left_n >= least")
-        splits = splits.withColumn("gain", F.try_divide("left", "left_n") + F.try_divide("right", F.col("all_n") - F.col("left_n")) - F.try_divide("whole", "all_n")).where("gain > 1e-9")
-        best = splits.groupBy("set_id", "node").agg(F.max(F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))).alias("best"))
-        nodes = stats.join(best, ["set_id", "node"], "left").select("set_id", "node", (-F.col("best.f")).alias("feature"), (-F.col("best.b")).alias("bin"), "value", F.coalesce("best.gain", F.lit(0.0)).alias("gain"))
-        nodes = cut(nodes)
-        done = nodes if done is None else done.unionByName(nodes)
-        # a level has few nodes, whatever the rows
-        rows = rows.join(F.broadcast(nodes.where("feature IS NOT NULL").select("set_id", "node", "feature", F.col("bin").alias("split"))), ["set_id", "node"])
-        goes = F.get("bins", F.col("feature"))["bin"] <= F.col("split")
-        rows = rows.withColumn("node", F.when(goes, 2 * F.col("node")).otherwise(2 * F.col("node") + 1)).drop("feature", "split")
-    # places in each tree from 0, and thresholds for bins
-    place = Window.partitionBy("set_id").orderBy("node")
-    placed = done.withColumn("place", F.row_number().over(place) - 1)
-    child = lambda side: placed.select("set_id", (F.col("node") - side).alias("twice"), F.col("place").alias(f"at_{side}")).where("twice % 2 = 0").select("set_id", (F.col("twice") / 2).cast("long").alias("node"), f"at_{side}")
-    names = F.array(*map(F.lit, ordered))
-    parts = F.array(*[F.array(*map(F.lit, edges[c])) if edges[c] else F.array().cast("array<double>") for c in ordered])
-    out = placed.join(child(0), ["set_id", "node"], "left").join(child(1), ["set_id", "node"], "left")
-    return out.select("set_id", F.col("place").cast("int").alias("node"), F.get(names, F.col("feature")).alias("feature"), F.get(F.get(parts, F.col("feature")), F.col("bin")).alias("threshold"), F.when(F.col("feature").isNotNull(), F.col("at_0")).cast("int").alias("left"), F.when(F.col("feature").isNotNull(), F.col("at_1")).cast("int").alias("right"), F.col("value").cast("double").alias("value"), "gain")
-
-
 def predict(members: DataFrame, nodes: DataFrame, columns: Sequence[str], key: str = "id", max_depth: int = 4) -> DataFrame:
     """(key, set_id, prediction): every member row beside its set's nodes by one join, and led down the tree in place."""
     each = F.struct("node", "feature", "threshold", "left", "right", "value")
@@ -290,9 +221,3 @@ def oob_class_metrics(predictions: DataFrame, truth: DataFrame, target: str, key
     chance = sides[0].join(sides[1], ["set_id", "label"]).groupBy("set_id").agg(F.sum(F.col("n_y") * F.col("n_p")).alias("chance"))
     out = total.join(chance, "set_id", "left").withColumns({"agreed": F.col("hits") / F.col("total"), "expected": F.coalesce("chance", F.lit(0)) / (F.col("total") * F.col("total"))})
     return out.select("set_id", F.col("total").alias("n"), F.round(100 * F.col("agreed")).cast("int").alias("oob_rate"), F.try_divide(F.col("agreed") - F.col("expected"), 1 - F.col("expected")).alias("oob_kappa"))
-
-
-def forest_rows(rows: DataFrame, trees: int, fraction: float = 0.63, key: str = "id") -> DataFrame:
-    """Rows repeated for each of ``trees`` sets, in bag by a hash of key and tree."""
-    each = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))).alias("set_id"))
-    return each.withColumn("in_bag", portable_hash(F.col(key) + F.col("set_id") * 1000003, 17) < int(fraction * 4294967296))

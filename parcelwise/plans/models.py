@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even
-from ..operators import focal, sampling, spatial, trees
+from ..operators import focal, forests, sampling, spatial, trees
 from ..session import cut
 from ..sources import tables as src
 from .common import rounded
@@ -93,30 +93,41 @@ def zero_inflated(spark, d):
     return rounded(trees.predict_zero_inflated(m, models, ["tax", "price"]).groupBy("id").agg(F.avg("prediction").alias("prediction")), 4)
 
 
-#: Trees of the forest queries; a level costs an aggregation of all rows for each tree.
-TREES = 12
+#: Trees of the forest queries.
+TREES = 50
 
 
 def forest(how):
     def build(spark, d):
-        rows = trees.forest_rows(with_class(observations(spark, d)), TREES)
+        rows = with_class(observations(spark, d))
         target, columns = ("label", ["discount", "ref", "tax"]) if how == "mode" else ("ref", COLUMNS)
-        nodes = trees.grow_forest(rows, target, columns, max_depth=3, max_features=2, classes=how == "mode")
-        p = trees.predict(rows.select("id", "set_id", *columns), nodes, columns, max_depth=3)
-        stat = half_even(F.avg("prediction")) if how == "mean" else F.mode(F.col("prediction").cast("int"), True)
-        return p.groupBy("id").agg(stat.alias("prediction"))
+        rows = cut(rows.select("id", target, *columns))
+        nodes = forests.grow_forest(rows, target, columns, TREES, max_depth=4, max_features=2, classes=how == "mode")
+        p = forests.predict_forest(rows.select("id", *columns), nodes, columns)
+        if how == "mean":
+            return p.select("id", half_even(F.aggregate("predictions", F.lit(0.0), lambda s, v: s + v) / F.size("predictions")).alias("prediction"))
+        votes = F.transform(F.array_distinct("predictions"), lambda v: F.struct(F.size(F.filter("predictions", lambda w: w == v)).alias("n"), (-v).alias("least")))
+        return p.select("id", (-F.array_max(votes)["least"]).cast("int").alias("prediction"))
 
     return build
 
 
+def zero_inflated_forest(spark, d):
+    """Means over pairs of trees, of which one says whether there is a value and the other what."""
+    rows = cut(observations(spark, d).withColumn("target", F.when(F.col("discount") < 0.03, 0.0).otherwise(F.floor(F.col("price") / 1000))).select("id", "target", "tax", "price"))
+    models = forests.grow_zero_inflated(rows, "target", ["tax", "price"], TREES)
+    p = forests.predict_zero_inflated(rows, models, ["tax", "price"])
+    return p.select("id", F.round(F.aggregate("predictions", F.lit(0.0), lambda s, v: s + v) / F.size("predictions"), 4).alias("prediction"))
+
+
 def tree_count_sweep(spark, d):
-    n = 6
-    rows = trees.forest_rows(observations(spark, d), n)
-    nodes = trees.grow_forest(rows, "ref", COLUMNS, max_depth=3, max_features=2)
-    p = trees.predict(rows.where("NOT in_bag").select("id", "set_id", "ref", *COLUMNS), nodes, COLUMNS, max_depth=3).join(src.pairs(spark, d).select("id", "ref"), "id")
-    each = p.select("id", "ref", "prediction", F.explode(F.sequence(F.col("set_id") + 1, F.lit(n).cast("bigint"))).alias("n_trees"))
-    mean = each.groupBy("n_trees", "id").agg(F.first("ref").alias("ref"), F.avg("prediction").alias("p"))
-    return rounded(mean.groupBy("n_trees").agg(F.sqrt(F.avg(F.pow(F.col("p") - F.col("ref"), F.lit(2)))).alias("rmse"), F.count("*").alias("n")), 4)
+    """Error out of bag by the number of trees."""
+    rows = cut(observations(spark, d).select("id", "ref", *COLUMNS))
+    nodes = forests.grow_forest(rows, "ref", COLUMNS, TREES, max_depth=4, max_features=2)
+    p = forests.predict_forest(rows, nodes, COLUMNS, out_of_bag=0.63)
+    each = p.select("ref", "predictions", F.explode(F.sequence(F.lit(1), F.lit(TREES))).alias("n_trees")).select("ref", "n_trees", F.filter(F.slice("predictions", 1, F.col("n_trees")), lambda v: v.isNotNull()).alias("p")).where(F.size("p") > 0)
+    mean = F.aggregate("p", F.lit(0.0), lambda s, v: s + v) / F.size("p")
+    return rounded(each.groupBy("n_trees").agg(F.sqrt(F.avg(F.pow(mean - F.col("ref"), F.lit(2)))).alias("rmse"), F.count("*").alias("n")), 4)
 
 
 def support_size_sweep(spark, d):
@@ -167,6 +178,7 @@ ALL = {
     "zero_inflated_predict": (zero_inflated, None),
     "forest_predict_mean": (forest("mean"), None),
     "forest_predict_mode": (forest("mode"), None),
+    "zero_inflated_forest": (zero_inflated_forest, None),
     "tree_count_sweep": (tree_count_sweep, None),
     "support_size_sweep": (support_size_sweep, None),
     "terrain_slope_aspect": (terrain, src.sql("px", body=KERNEL + ' SELECT "row", col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 4) AS slope, round(((450 - degrees(atan2(dy, -dx))) % 360 + 360) % 360, 4) AS aspect FROM g')),

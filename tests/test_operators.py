@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.functions import scalars
-from parcelwise.operators import accuracy, ensemble, focal, grid, sampling, spatial, trees
+from parcelwise.operators import accuracy, ensemble, focal, forests, grid, sampling, spatial, trees
 from parcelwise.sources import tables as src
 
 
@@ -198,24 +198,65 @@ def test_a_classifier_and_its_measures(spark):
     assert {(r.label, r.feature) for r in trees.class_importance(df, nodes, "y", ["a", "b"], 3).collect() if r.label == 3} == {(3, "a")}
 
 
+def led(tree, x, columns):
+    nodes = {n[0]: n for n in tree}
+    at = nodes[0]
+    while at[1] is not None:
+        at = nodes[at[3] if x[columns.index(at[1])] <= at[2] else at[4]]
+    return at[5]
+
+
 @pytest.mark.parametrize("classes", [False, True])
-def test_a_forest_is_that_of_plain_trees_on_its_bins(spark, classes):
+@pytest.mark.parametrize("cells", [4_000_000, 500])
+def test_a_forest_is_that_of_plain_trees_on_its_bins(spark, classes, cells, monkeypatch):
+    monkeypatch.setattr(forests, "MOST_CELLS", cells)
     rng = np.random.default_rng(4)
     x = np.round(rng.random((300, 3)) * 6)
     y = np.where(x[:, 0] > 3, 2, 0) + (x[:, 1] > 2) + (0 if classes else rng.random(300))
-    pdf = pd.DataFrame({"id": range(300), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})
-    rows = trees.forest_rows(spark.createDataFrame(pdf), 3)
-    nodes = trees.grow_forest(rows, "y", ["a", "b", "c"], max_depth=3, classes=classes)
-    bag = {(r.set_id, r.id) for r in rows.where("in_bag").collect()}
-    got = {(r.set_id, r.id): r.prediction for r in trees.predict(rows, nodes, ["a", "b", "c"], max_depth=3).collect()}
+    pdf = pd.DataFrame({"id": np.arange(300) * 10**9, "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})
+    df = spark.createDataFrame(pdf)
+    nodes = forests.grow_forest(df, "y", ["a", "b", "c"], 3, max_depth=3, classes=classes)
+    bag = [{r.id for r in df.where(forests.bag_of(F.col("id"), F.lit(t))).collect()} for t in range(3)]
+    got = {r.id: r.predictions for r in forests.predict_forest(df, nodes, ["a", "b", "c"]).collect()}
+    held = {r.id: r.predictions for r in forests.predict_forest(df, nodes, ["a", "b", "c"], out_of_bag=0.63).collect()}
     for tree in range(3):
-        own = np.array([(tree, k) in bag for k in range(300)])
-        plain = {n[0]: n for n in trees.fit_tree(x[own], y[own], ["a", "b", "c"], 3, classes=classes)}
+        own = np.array([k * 10**9 in bag[tree] for k in range(300)])
+        assert 0.5 < own.mean() < 0.75
+        plain = trees.fit_tree(x[own], y[own], ["a", "b", "c"], 3, classes=classes)
         for k in range(300):
-            at = plain[0]
-            while at[1] is not None:
-                at = plain[at[3] if x[k, "abc".index(at[1])] <= at[2] else at[4]]
-            assert got[tree, k] == pytest.approx(at[5])
+            assert got[k * 10**9][tree] == pytest.approx(led(plain, x[k], ["a", "b", "c"]))
+            assert held[k * 10**9][tree] == (None if own[k] else got[k * 10**9][tree])
+
+
+def test_a_zero_inflated_forest_is_two_forests_of_plain_trees(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.random((400, 2)) * 5)
+    y = np.where((x[:, 0] > 2) & (rng.random(400) < 0.9), 5 + x[:, 1] + rng.random(400), 0.0)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(400), "a": x[:, 0], "b": x[:, 1], "y": y}))
+    models = forests.grow_zero_inflated(df, "y", ["a", "b"], 2, max_depth=2)
+    got = {r.id: r.predictions for r in forests.predict_zero_inflated(df, models, ["a", "b"]).collect()}
+    for tree in range(2):
+        own = np.isin(np.arange(400), [r.id for r in df.where(forests.bag_of(F.col("id"), F.lit(tree))).collect()])
+        share, value = (trees.fit_tree(x[m], t[m], ["a", "b"], 2) for t, m in (((y != 0).astype(float), own), (y, own & (y != 0))))
+        for k in range(400):
+            assert got[k][tree] == pytest.approx(led(value, x[k], ["a", "b"]) if led(share, x[k], ["a", "b"]) > 0.5 else 0.0)
+    none = forests.grow_forest(df.where("id < 0"), "y", ["a", "b"], 2)
+    assert none.isEmpty() and forests.predict_forest(df.limit(1), none, ["a", "b"]).first().predictions == []
+
+
+def test_numbers_of_single_trees_by_set(spark):
+    rng = np.random.default_rng(11)
+    x = rng.random((240, 2))
+    y = np.where(x[:, 0] > 0.4, np.round(10 * x[:, 1]) + 1, 0.0)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(240), "set_id": np.arange(240) % 2, "in_bag": rng.random(240) < 0.7, "a": x[:, 0], "b": x[:, 1], "y": y}))
+    bag = np.isin(np.arange(240), [r.id for r in df.where("in_bag").collect()])
+    got = {r.id: r.prediction for r in trees.predict_zero_inflated(df, trees.zero_inflated(df, "y", ["a", "b"], max_depth=3), ["a", "b"], max_depth=3).collect()}
+    for s in range(2):
+        own = bag & (np.arange(240) % 2 == s)
+        present = trees.fit_tree(x[own], (y[own] != 0).astype(float), ["a", "b"], 3, classes=True)
+        value = trees.fit_tree(x[own & (y != 0)], y[own & (y != 0)], ["a", "b"], 3)
+        for k in range(s, 240, 2):
+            assert got[k] == pytest.approx(led(present, x[k], ["a", "b"]) * led(value, x[k], ["a", "b"]))
 
 
 def test_models_are_kept(spark, tmp_path):

@@ -225,9 +225,9 @@ def test_prediction_by_combination_equals_prediction_by_set(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.random((400, 2))
     pixels = spark.createDataFrame([(k, float(a), None if k % 50 == 0 else float(b), float(10 * a + b)) for k, (a, b) in enumerate(x)], "id long, a double, b double, y double")
-    pairs = spark.createDataFrame([(k, s) for k in range(400) for s in range(5) if (k // 40 + s) % 3 or k < 150], "id long, set_id long")
+    pairs = spark.createDataFrame([(k, s) for k in range(400) for s in range(5) if (k // 40 + s) % 3 or k < 30 * s], "id long, set_id long")
     members = pairs.join(pixels, "id").withColumn("in_bag", F.col("id") % 3 > 0)
-    nodes = trees.train_sets(members, "y", ["a", "b"], least_rows=175)
+    nodes = trees.train_sets(members, "y", ["a", "b"], least_rows=185)
     assert 0 < nodes.select("set_id").distinct().count() < 5
     monkeypatch.setattr(trees, "COMBINATION_PIXELS", 30)
     want = {r.id: r.p for r in trees.predict(members, nodes, ["a", "b"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("set_id", "prediction"))).alias("p")).collect()}
