@@ -107,8 +107,7 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import transducer
 
-    path = vocab_path(RANKS)
-    return transducer.digest(transducer.encode(table(spark, sf_dir, "documents"), path), path)
+    return transducer.round_trip(table(spark, sf_dir, "documents"), vocab_path(RANKS))
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,9 @@ from .bpe import id_counts, lists, text_sizes
 from .common import chunks, quiet_threads
 
 #: States, pairs and words that a worker keeps before it forgets some; results don't depend on it.
-MOST_STATES, MOST_PAIRS, MOST_WORDS = 100_000, 1_000_000, 200_000
+MOST_STATES, MOST_PAIRS, MOST_WORDS = 60_000, 200_000, 200_000
+#: States that the table of moves has room for at first, and by how many it grows.
+MORE_STATES = 8192
 #: Characters of text and ids that one task holds at a time.
 CHUNK_CHARS, IDS_AT_ONCE = 2_000_000, 500_000
 #: White space next to a space: such runs are the rule's to split.
@@ -83,7 +85,7 @@ class Merges:
             raise ValueError("a token ranks before one that it is merged from")
         #: Tokens in the order of their bytes: those that go on from a prefix are neighbours.
         self.sorted = sorted(ranks)
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[list[bytes]] | None:
         """The states on the way of merging ``data`` down to one token; None if it doesn't get there."""
@@ -102,11 +104,12 @@ class Merges:
         """Whether the two tokens stay apart side by side; at the start of a word, whether merging gives the token."""
         if left == START:
             return self.pieces[right] not in self.whole
-        known = self._fits.get((left, right))
+        key = left << 32 | right
+        known = self._fits.get(key)
         if known is None:
             if len(self._fits) >= MOST_PAIRS:
                 self._fits.clear()
-            known = self._fits[left, right] = self.pieces[right] not in self.whole and self.apart(left, right)
+            known = self._fits[key] = self.pieces[right] not in self.whole and self.apart(left, right)
         return known
 
     def apart(self, left: int, right: int) -> bool:
@@ -140,8 +143,8 @@ class Transducer:
     def clear(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.table = np.full((1024, 256), -1, np.int32)
-        self.last = np.zeros(1024, np.int32)
+        self.table = np.full((MORE_STATES, 256), -1, np.int32)
+        self.last = np.zeros(MORE_STATES, np.int32)
         self.likes: dict[tuple[int, bytes], int | None] = {}
         self.firsts: dict[tuple[bytes, tuple[int, ...]], int] = {}
         self.number((b"", ((0, START),)))
@@ -152,8 +155,8 @@ class Transducer:
             n = self.numbers[state] = len(self.states)
             self.states.append(state)
             if n == len(self.table):
-                self.table = np.vstack([self.table, np.full_like(self.table, -1)])
-                self.last = np.concatenate([self.last, np.zeros_like(self.last)])
+                self.table = np.vstack([self.table, np.full((MORE_STATES, 256), -1, np.int32)])
+                self.last = np.concatenate([self.last, np.zeros(MORE_STATES, np.int32)])
             self.last[n] = state[1][-1][1]
         return n
 
@@ -165,7 +168,8 @@ class Transducer:
             lo, hi = bisect_right(order, read), bisect_left(order, read + b"\xff" * 8)
             if hi - lo > MOST_COMPARED:
                 return token
-            fitting = tuple(k for k in range(lo, hi) if merges.fits(token, merges.ranks[order[k]]))
+            after = [merges.ranks[piece] for piece in order[lo:hi]]
+            fitting = tuple(t for t in after if merges.pieces[t] not in merges.whole and (token == START or merges.apart(token, t)))
             self.likes[key] = self.firsts.setdefault((read, fitting), token) if fitting else None
         return self.likes[key]
 
@@ -186,8 +190,8 @@ class Transducer:
         self.table[at, byte] = move
         return move
 
-    def each(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of words, none of them empty: all take their next byte at once."""
+    def each(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, none of them empty, four bytes an id: all take their next byte at once."""
         if len(self.states) > MOST_STATES:
             self.clear()
         n = np.fromiter(map(len, words), np.int64, len(words))
@@ -214,10 +218,10 @@ class Transducer:
             rows = rows[end[rows] > 0]
         row, token = (np.concatenate([b[k] for b in back]) if back else np.zeros(0, np.int64) for k in (0, 1))
         place = np.lexsort((-np.arange(len(row)), row))
-        flat, ends = token[place].tolist(), np.cumsum(np.bincount(row, minlength=len(words))).tolist()
-        out: list[tuple[int, ...]] = [()] * len(words)
+        flat, ends = token[place].astype(np.int32).tobytes(), (4 * np.cumsum(np.bincount(row, minlength=len(words)))).tolist()
+        out = [b""] * len(words)
         for k, a, b in zip(order.tolist(), [0, *ends], ends, strict=False):
-            out[k] = tuple(flat[a:b])
+            out[k] = flat[a:b]
         return out
 
     def ids(self, word: bytes) -> list[int]:
@@ -312,22 +316,36 @@ class Utf8Machine:
         return "".join(out) + ("�" if held else "")
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
+
+
+class Decoder:
+    """What decoding needs of a file of ranks."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        pieces = [b""] * (1 + max(ranks.values()))
+        for piece, i in ranks.items():
+            pieces[i] = piece
+        self.utf8 = Utf8Machine(pieces)
+        self.decimals = pa.array([str(i) for i in range(len(pieces))], pa.string())
+
+
 class Encoder:
     """A file of ranks with the rule that splits texts into words."""
 
     def __init__(self, path: str, pattern: str):
         quiet_threads()
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
+        ranks = read_ranks(path)
         self.words = regex.compile(pattern)
         self.newer = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in (map(lambda x: int(x, 16), run.split("-")) for run in NEWER.split())) + "]")
         self.merges = Merges(ranks)
         self.machine = Transducer(self.merges)
-        self.utf8 = Utf8Machine(self.merges.pieces)
-        self.decimals = pa.array([str(i) for i in range(len(self.merges.pieces))], pa.string())
         #: The ids of parts met lately and before; those met again are kept.
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.before: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """Parts that encode alone as they do in the text: cut before each space, or by the rule itself where a space has white space beside it."""
@@ -345,6 +363,15 @@ class Encoder:
             return [text[m.start() : m.end()] for m in self.words.finditer(plain)]
         return self.words.findall(text)
 
+    def simple(self, part: str) -> str | list[str]:
+        """A part's matches; for letters alone, or with one sign after them, without the rule."""
+        letters = part[1:] if part[0] == " " else part
+        if letters.isalpha():
+            return part
+        if letters and letters[-1] in ".,;:!?" and letters[:-1].isalpha():
+            return [part[:-1], part[-1]]
+        return self.matches(part)
+
     def learn(self, parts: set[str]) -> None:
         """Encode the parts that aren't known yet, each distinct match of the rule once."""
         new = []
@@ -354,24 +381,24 @@ class Encoder:
                 new.append(p)
             else:
                 self.known[p] = ids
-        matches = [p if (p[1:] if p[0] == " " else p).isalpha() else self.matches(p) for p in new]
+        matches = list(map(self.simple, new))
         words = {w for m in matches for w in ([m] if isinstance(m, str) else m)}
         raw = {w: w.encode() for w in words}
         whole = self.merges.whole
         # a token that merging can't give stands for itself
-        ids = {w: (whole[b],) if b in whole else tuple(self.machine.ids(b)) for w, b in raw.items() if b in whole or len(b) > LONG_WORD}
+        ids = {w: np.array([whole[b]] if b in whole else self.machine.ids(b), np.int32).tobytes() for w, b in raw.items() if b in whole or len(b) > LONG_WORD}
         short = [w for w in words if w not in ids]
         ids.update(zip(short, self.machine.each([raw[w] for w in short]), strict=True))
-        self.known.update((p, ids[m] if isinstance(m, str) else tuple(chain.from_iterable(map(ids.__getitem__, m)))) for p, m in zip(new, matches, strict=True))
+        self.known.update((p, ids[m] if isinstance(m, str) else b"".join(map(ids.__getitem__, m))) for p, m in zip(new, matches, strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of texts, none for null and empty ones."""
         if len(self.known) > MOST_WORDS:
             self.known, self.before = {}, self.known
         parts = [self.split(t) if t else [] for t in texts]
         self.learn(set(chain.from_iterable(parts)))
         known = self.known.__getitem__
-        return [list(chain.from_iterable(map(known, own))) for own in parts]
+        return [np.frombuffer(b"".join(map(known, own)), np.int32) for own in parts]
 
 
 def split_pattern() -> str:
@@ -380,38 +407,43 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+@functools.lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def encoded_batches(batches, ranks_path: str, pattern: str):
+    """Batches (key, ids) of batches (key, text)."""
+    own = encoder(ranks_path, pattern)
+    for table in chunks(batches, text_sizes, CHUNK_CHARS):
+        ids = own.encode(table["text"].to_pylist())
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        yield pa.RecordBatch.from_arrays([table["key"].combine_chunks(), lists(np.concatenate([np.zeros(0, np.int32), *ids]), counts)], ["key", "ids"])
+
+
 def encode(documents: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", pattern: str | None = None) -> DataFrame:
     """Rows (``key``, ids ARRAY<INT>), one for each input row, by the file of ranks; ``pattern`` splits texts into words that are encoded each for itself."""
     pattern = pattern or split_pattern()
-
-    def encoded(batches):
-        own = encoder(ranks_path, pattern)
-        for table in chunks(batches, text_sizes, CHUNK_CHARS):
-            ids = [np.array(x, np.int32) for x in own.encode(table["text"].to_pylist())]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            yield pa.RecordBatch.from_arrays([table["key"].combine_chunks(), lists(np.concatenate([np.zeros(0, np.int32), *ids]), counts)], ["key", "ids"])
-
     key_type = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(encoded, f"key {key_type}, ids array<int>").withColumnRenamed("key", key)
+    return rows.mapInArrow(lambda batches: encoded_batches(batches, ranks_path, pattern), f"key {key_type}, ids array<int>").withColumnRenamed("key", key)
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded", pattern: str | None = None) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of ``encoded`` and the decoded text as ``out`` (replaces a column of that name).
 
     Bytes that are no UTF-8 decode to U+FFFD; ids outside the ranks and null ids are passed over; null lists decode to an empty text.
     """
-    pattern = pattern or split_pattern()
     kept = [c for c in encoded.columns if c != out]
     rows = encoded.select(*[F.col(f"`{c}`") for c in kept])
 
     def decoded(batches):
-        utf8 = encoder(ranks_path, pattern).utf8
+        utf8 = decoder(ranks_path).utf8
         for batch in batches:
             texts = [utf8.text(x or ()) for x in batch.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, out])
@@ -419,19 +451,39 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "de
     return rows.mapInArrow(decoded, rows.withColumn(out, F.lit("")).schema)
 
 
-def digest(encoded: DataFrame, ranks_path: str, key: str = "doc_id", pattern: str | None = None) -> DataFrame:
+def digested(own: Decoder, table: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
+    """(key, n_tokens, joined, decoded) of rows (key, ids)."""
+    ids = table["ids"].combine_chunks() if isinstance(table, pa.Table) else table["ids"]
+    key = table["key"].combine_chunks() if isinstance(table, pa.Table) else table["key"]
+    counts = ids.value_lengths().to_numpy(zero_copy_only=False)
+    strings = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pc.take(own.decimals, ids.flatten()))
+    texts = pa.array([own.utf8.text(x) for x in ids.to_pylist()], pa.string())
+    return pa.RecordBatch.from_arrays([key, pa.array(counts, pa.int64()), pc.binary_join(strings, ","), texts], ["key", "n_tokens", "joined", "decoded"])
+
+
+def hashed(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(F.col("key").alias(key), "n_tokens", F.sha2("joined", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def digest(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:
     """(``key``, n_tokens, ids_sha256, decoded_sha256) of rows (``key``, ids), decoded as ``decode`` does."""
-    pattern = pattern or split_pattern()
 
     def joined(batches):
-        own = encoder(ranks_path, pattern)
         for batch in chunks(batches, id_counts, IDS_AT_ONCE):
-            ids = batch["ids"].combine_chunks()
-            counts = ids.value_lengths().to_numpy(zero_copy_only=False)
-            strings = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pc.take(own.decimals, ids.flatten()))
-            texts = pa.array([own.utf8.text(x) for x in ids.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch["key"].combine_chunks(), pa.array(counts, pa.int64()), pc.binary_join(strings, ","), texts], ["key", "n_tokens", "joined", "decoded"])
+            yield digested(decoder(ranks_path), batch)
 
     key_type = encoded.schema[key].dataType.simpleString()
-    rows = encoded.select(F.col(key).alias("key"), "ids").mapInArrow(joined, f"key {key_type}, n_tokens long, joined string, decoded string")
-    return rows.select(F.col("key").alias(key), "n_tokens", F.sha2("joined", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return hashed(encoded.select(F.col(key).alias("key"), "ids").mapInArrow(joined, f"key {key_type}, n_tokens long, joined string, decoded string"), key)
+
+
+def round_trip(documents: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", pattern: str | None = None) -> DataFrame:
+    """``digest`` of what ``encode`` gives, in one pass, so that the ids needn't leave the worker that made them."""
+    pattern = pattern or split_pattern()
+
+    def joined(batches):
+        for batch in encoded_batches(batches, ranks_path, pattern):
+            yield digested(decoder(ranks_path), batch)
+
+    key_type = documents.schema[key].dataType.simpleString()
+    rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return hashed(rows.mapInArrow(joined, f"key {key_type}, n_tokens long, joined string, decoded string"), key)
