@@ -70,7 +70,11 @@ def by_area(rows: DataFrame, pred: str, ref: str, sampled: str, by: Sequence[str
     both the map and the sample; what follows has a row for each pair of classes, few whatever the map.
     """
     by = list(by)
-    each = rows.groupBy(*by, F.col(pred).alias("pred"), F.col(ref).alias("ref")).agg(F.count("*").alias("every"), F.count_if(sampled).alias("n"))
+    return _adjusted(rows.groupBy(*by, F.col(pred).alias("pred"), F.col(ref).alias("ref")).agg(F.count("*").alias("every"), F.count_if(sampled).alias("n")), by)
+
+
+def _adjusted(each: DataFrame, by: list[str]) -> DataFrame:
+    """The matrix of counts (by, pred, ref, every, n) of the map's pixels and of samples."""
     area = each.groupBy(*by, "pred").agg(F.sum("every").alias("total_pxl"), F.sum("n").alias("held"))
     area = area.withColumn("pct_area", F.col("total_pxl") / F.sum("total_pxl").over(Window.partitionBy(*by)))
     area = area.where("held > 0 AND pred IS NOT NULL").drop("held")
@@ -81,6 +85,40 @@ def by_area(rows: DataFrame, pred: str, ref: str, sampled: str, by: Sequence[str
     return cells.select(*by, "pred", "ref", "n", "total_pxl", "pct_area", "n_pred", (F.try_divide("n", "n_pred") * F.col("pct_area")).alias("adj"))
 
 
+def equal_edges(rows: DataFrame, ref: str, bins: int) -> list[tuple[int, int]]:
+    """The bins (low, high] of a matrix that is asked for by a number of classes alone: one for zero and below, then steps from 0 on as wide as the reference's range over ``bins``, whole numbers, up to that range."""
+    low, high = rows.agg(F.min(ref), F.max(ref)).first()  # one row
+    if low is None or (step := int(high - low) // bins) < 1:
+        raise ValueError(f"{ref} spans too little for {bins} bins")
+    return [(-1, 0)] + [(k, k + step) for k in range(0, int(high - low), step)]
+
+
+def with_matches(rows: DataFrame, pred: str, ref: str, sampled: str, best: bool = True) -> DataFrame:
+    """``rows`` (row, col, ...) with the sample's values matched to their surroundings, three by three, before they are binned.
+
+    ``best``: a sampled reference becomes the one around it nearest to the prediction, the first row by row on a tie.
+    Otherwise both become the mean around them, cut to whole numbers. The map's own pixels stay as they are, so the areas
+    do; the matched values are in ``sample_pred`` and ``sample_ref``, null for pixels that aren't in the sample.
+    """
+    from .focal import best_match, neighbours_of
+
+    samples = rows.where(F.col(sampled)).select("row", "col", F.col(pred).alias("pred")).distinct()
+    of = lambda c: rows.where(F.col(c).isNotNull()).select("row", "col", F.col(c).alias("value"))
+    if best:
+        matched = best_match(samples, of(ref)).select("row", "col", F.col("pred").alias("sample_pred"), F.col("matched").alias("sample_ref"))
+    else:
+        mean = lambda c, name: neighbours_of(samples, of(c)).groupBy("row", "col").agg(F.avg("value").cast("int").alias(name))
+        matched = mean(pred, "sample_pred").join(mean(ref, "sample_ref"), ["row", "col"])
+    return rows.join(matched, ["row", "col"], "left")
+
+
+def by_area_of(rows: DataFrame, samples: DataFrame, pred: str, ref: str) -> DataFrame:
+    """``by_area`` of a map (pred) and of samples (pred, ref) that need not be its pixels."""
+    both = rows.select(F.col(pred).alias("pred"), F.lit(None).cast("int").alias("ref"), F.lit(True).alias("of_map")).unionByName(samples.select(F.col(pred).alias("pred"), F.col(ref).alias("ref"), F.lit(False).alias("of_map")))
+    cells = both.groupBy("pred", "ref").agg(F.count_if("of_map").alias("every"), F.count_if(~F.col("of_map")).alias("n"))
+    return _adjusted(cells, [])
+
+
 def with_empty_classes(matrix: DataFrame, classes: DataFrame) -> DataFrame:
     """A matrix with a row for each pair of ``classes`` (class), null where ``by_area`` left a class out."""
     every = classes.select(F.col("class").alias("pred")).crossJoin(F.broadcast(classes.select(F.col("class").alias("ref"))))  # one row a class

@@ -161,3 +161,39 @@ def apart(candidates: DataFrame, quota: DataFrame, stratum: str, key: str, dista
         told = state.join(picked, key, "left").join(closed, key, "left").join(F.broadcast(full), stratum, "left")
         now = F.when(F.col("state") != "open", F.col("state")).when(F.col("is_picked"), F.lit("picked")).when(F.col("is_closed") | F.col("is_full"), F.lit("closed")).otherwise(F.lit("open"))
         state = cut(told.withColumn("state", now).select(*state.columns))
+
+
+def picked_by_strata(places: DataFrame, serves: DataFrame, quota: DataFrame, stratum: str, key: str, distance: float, seed: int) -> DataFrame:
+    """(key, stratum, x, y): places picked for strata that share them, as if strata took their turn one after another.
+
+    ``places`` (key, x, y); ``serves`` the pairs (key, stratum) of a place and a stratum that it may be picked for, any
+    number for each place; ``quota`` (stratum, quota). Strata come in an order drawn by a hash, and within each its places in
+    the order of a hash; a place is picked if its stratum isn't full and no place picked before it, for whatever
+    stratum, lies within ``distance``. The result is that of the plain loop over strata and places. It is found in
+    rounds: a pair that precedes all open pairs within its reach, and that its stratum has room for whatever becomes of
+    the pairs before it, is picked, and closes what lies within reach. Rounds follow the longest run of neighbours in the
+    order. Neighbours meet on cells as wide as the distance; the links are between places, not pairs.
+    """
+    cell = lambda c: F.floor(F.col(c) / distance)
+    placed = places.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumns({"cx": cell("x"), "cy": cell("y")})
+    beside = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    around = placed.select(F.col(key).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("cx").alias("bx"), F.col("cy").alias("by"), beside.alias("o"))
+    around = around.select("other", "ox", "oy", (F.col("bx") + F.col("o.i")).alias("cx"), (F.col("by") + F.col("o.j")).alias("cy"))
+    apart = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
+    links = cut(placed.join(around, ["cx", "cy"]).where(apart <= distance).select(key, "other"))  # each with itself too
+    turn = F.struct(portable_hash(F.crc32(F.col(stratum).cast("string").cast("binary")), seed).alias("drawn"), F.col(stratum).alias("name"), portable_hash(F.col(key), seed).alias("place"), F.col(key).alias("of"))
+    state = cut(serves.select(key, stratum).distinct().join(placed.select(key), key, "left_semi").withColumns({"turn": turn, "state": F.lit("open")}))
+    while True:
+        taken = state.where("state = 'picked'").groupBy(stratum).agg(F.count("*").alias("n"))
+        left = quota.join(taken, stratum, "left").select(stratum, (F.col("quota") - F.coalesce("n", F.lit(0))).alias("left"))
+        waiting = cut(state.where("state = 'open'").join(left.where("left > 0"), stratum))
+        if waiting.isEmpty():
+            return state.where("state = 'picked'").select(key, stratum).join(places.select(key, "x", "y"), key)
+        first = waiting.groupBy(F.col(key).alias("other")).agg(F.min("turn").alias("turn"))
+        least = links.join(first, "other").groupBy(key).agg(F.min("turn").alias("least"))
+        ranked = waiting.withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy("turn")))
+        picked = cut(ranked.where("rn <= left").join(least, key).where("turn = least").select(key, stratum))
+        closed = links.join(picked.select(F.col(key).alias("other")), "other").select(key).distinct().withColumn("closed", F.lit(True))
+        told = state.join(picked.withColumn("picked", F.lit(True)), [key, stratum], "left").join(closed, key, "left")
+        now = F.when(F.col("state") != "open", F.col("state")).when(F.col("picked"), F.lit("picked")).when(F.col("closed"), F.lit("closed")).otherwise(F.lit("open"))
+        state = cut(told.select(key, stratum, "turn", now.alias("state")))

@@ -27,6 +27,26 @@ def area_adjusted(spark, d):
     return rounded(accuracy.with_empty_classes(matrix(spark, d), classes))
 
 
+def int_bins(spark, d):
+    """The matrix over as many bins as a number says, from the reference's range."""
+    p = src.pairs(spark, d)
+    edges = accuracy.equal_edges(p, "ref", 7)
+    b = p.withColumns({"p": bin_number(F.col("pred"), edges), "r": bin_number(F.col("ref"), edges)})
+    return rounded(accuracy.by_area(b, "p", "r", "sampled"))
+
+
+def matched(best):
+    """The matrix of samples that are matched with what lies around them, over the areas of the map itself."""
+
+    def build(spark, d):
+        rows = accuracy.with_matches(src.pairs(spark, d), "pred", "ref", "sampled", best)
+        number = lambda c: bin_number(F.col(c), EDGES)
+        samples = rows.where("sampled").select(number("sample_pred").alias("p"), number("sample_ref").alias("r"))
+        return rounded(accuracy.by_area_of(rows.select(number("pred").alias("p")), samples, "p", "r"))
+
+    return build
+
+
 def class_accuracy(spark, d):
     m = accuracy.by_class(matrix(spark, d))
     return rounded(m.drop("user_ci", "producer_ci").withColumns({"user_pct": accuracy.in_percent(F.col("user")), "producer_pct": accuracy.in_percent(F.col("producer"))}))
@@ -155,6 +175,21 @@ REGIONS = """cnt AS (SELECT {by} p, r, count(*) AS every, count(*) FILTER (WHERE
   m AS (SELECT {by} pred, ref, n, total_pxl, pct_area, CAST(sum(n) OVER ({parts} pred) AS BIGINT) AS n_pred, n / CAST(nullif(sum(n) OVER ({parts} pred), 0) AS DOUBLE) * pct_area AS adj FROM cells)"""
 MATRIX = f"{BINNED}, " + REGIONS.format(by="", part="", a="", same="", here="", parts="PARTITION BY")
 BY_REGION = f"{BINNED}, " + REGIONS.format(by="priority,", part="PARTITION BY priority", a="s.priority,", same="AND s.priority = q.priority", here="AND g.priority = s.priority", parts="PARTITION BY priority,")
+#: The same for bins that may leave values out, and for samples apart from the map.
+KNOWN = "AND s.pred IS NOT NULL AND q.pred IS NOT NULL"
+INT_BIN = "CAST(CASE WHEN {c} = 0 THEN 0 WHEN {c} > 0 AND ceil({c} / CAST(s AS DOUBLE)) <= ceil(w / CAST(s AS DOUBLE)) THEN ceil({c} / CAST(s AS DOUBLE)) END AS INTEGER)"
+INT_MATRIX = f"e AS (SELECT max(ref) - min(ref) AS w, (max(ref) - min(ref)) // 7 AS s FROM pair), b AS (SELECT pair.*, {INT_BIN.format(c='pred')} AS p, {INT_BIN.format(c='ref')} AS r FROM pair, e), " + REGIONS.format(by="", part="", a="", same=KNOWN, here="", parts="PARTITION BY")
+AROUND = """near AS (SELECT a.id, a.pred, b.pred AS near_pred, b.ref AS near_ref, (i + 1) * 3 + j + 1 AS k FROM pair a, range(-1, 2) x(i), range(-1, 2) y(j), pair b WHERE a.sampled AND b."row" = a."row" + i AND b.col = a.col + j),
+  smp AS (SELECT id, any_value(pred) AS pred, arg_min(near_ref, (abs(near_ref - pred), k)) AS best, CAST(trunc(avg(near_pred)) AS INTEGER) AS mean_pred, CAST(trunc(avg(near_ref)) AS INTEGER) AS mean_ref FROM near GROUP BY id)"""
+
+
+def matched_sql(pred: str, ref: str) -> str:
+    cells = REGIONS.format(by="", part="", a="", same=KNOWN, here="", parts="PARTITION BY").replace("count(*) AS every, count(*) FILTER (WHERE sampled) AS n", "count(*) FILTER (WHERE of_map) AS every, count(*) FILTER (WHERE NOT of_map) AS n")
+    both = f"b AS (SELECT {BIN.format(c='pred')} AS p, NULL AS r, true AS of_map FROM pair UNION ALL SELECT {BIN.format(c=pred)}, {BIN.format(c=ref)}, false FROM smp)"
+    return sql("pair", body=f", {AROUND}, {both}, {cells} {LONG}")
+
+
+LONG = "SELECT pred, ref, n, total_pxl, round(pct_area, 6) AS pct_area, n_pred, round(adj, 6) AS adj FROM m"
 CLASSES = """u AS (SELECT pred AS class, any_value(n_pred) AS n, any_value(total_pxl) AS total_pxl, any_value(pct_area) AS pct_area, sum(n) FILTER (WHERE pred = ref) / CAST(nullif(any_value(n_pred), 0) AS DOUBLE) AS usr FROM m GROUP BY pred),
   c AS (SELECT ref AS class, sum(adj) AS col, coalesce(sum(adj) FILTER (WHERE pred = ref), 0) AS diag, sum(total_pxl * n / CAST(n_pred AS DOUBLE)) AS est,
     coalesce(sum(CAST(total_pxl AS DOUBLE) * total_pxl * (n / CAST(n_pred AS DOUBLE)) * (1 - n / CAST(n_pred AS DOUBLE)) / (n_pred - 1)) FILTER (WHERE pred <> ref AND n_pred > 1), 0) AS others FROM m GROUP BY ref),
@@ -203,6 +238,9 @@ FIT = """, h AS (SELECT priority, x.side, CAST(ref AS DOUBLE) AS t, CAST(pred AS
 ALL = {
     "confusion_area_adjusted": (area_adjusted, sql("pair", body=f""", {MATRIX} SELECT CAST(x.k AS INTEGER) AS pred, CAST(y.k AS INTEGER) AS ref, n, total_pxl, round(pct_area, 6) AS pct_area, n_pred, round(adj, 6) AS adj
       FROM range(11) x(k) CROSS JOIN range(11) y(k) LEFT JOIN m ON m.pred = x.k AND m.ref = y.k""")),
+    "confusion_int_bins": (int_bins, sql("pair", body=f", {INT_MATRIX} {LONG}")),
+    "confusion_best_match": (matched(True), matched_sql("pred", "best")),
+    "confusion_mean_match": (matched(False), matched_sql("mean_pred", "mean_ref")),
     "confusion_class_accuracy": (class_accuracy, sql("pair", body=f', {MATRIX}, {CLASSES} SELECT class, n, total_pxl, round(pct_area, 6) AS pct_area, round(usr, 6) AS "user", round(prod, 6) AS producer, round(round(usr, 3) * 100, 1) AS user_pct, round(round(prod, 3) * 100, 1) AS producer_pct FROM k')),
     "confusion_ci": (confidence, sql("pair", body=f""", {MATRIX}, {CLASSES}, w AS (SELECT class, CASE WHEN n > 1 THEN 1.96 * sqrt(usr * (1 - usr) / (n - 1)) END AS u,
       CASE WHEN n > 1 THEN 1.96 * sqrt((CAST(total_pxl AS DOUBLE) * total_pxl * (1 - prod) * (1 - prod) * usr * (1 - usr) / (n - 1) + prod * prod * others) / (est * est)) END AS p FROM k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import polygons
+from ..operators import polygons, sampling, spatial
 from ..sources import tables as src
 from .common import rounded
 from .joins import TILES, tiles
@@ -58,6 +58,18 @@ def united_area(spark, d):
     return sides.join(area, "nation")
 
 
+def picked_for_regions(spark, d):
+    """Tiles picked for regions by the share of the area that their rectangles cover; a tile serves every region it meets, and none is nearer to another than 400 units."""
+    s = src.table(spark, d, "supplier").join(F.broadcast(src.table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # nations are few
+    r = src.rectangles(spark, d).join(s.select(F.col("s_suppkey").alias("set_id"), F.col("n_regionkey").alias("region")), "set_id")
+    area = polygons.united(r, "region").groupBy("region").agg(F.sum((F.col("lr_x") - F.col("ul_x")) * (F.col("ul_y") - F.col("lr_y"))).alias("area"))
+    quota = sampling.strata_quota(area, "area", 30).select("region", "quota")
+    t = tiles(spark, d)
+    serves = spatial.rect_pairs(t, r.withColumnRenamed("set_id", "id"), True).join(r.select(F.col("set_id").alias("right_id"), "region"), "right_id").select(F.col("left_id").alias("tile_id"), "region")
+    places = t.select(F.col("id").alias("tile_id"), ((F.col("ul_x") + F.col("lr_x")) / 2).alias("x"), ((F.col("ul_y") + F.col("lr_y")) / 2).alias("y"))
+    return sampling.picked_by_strata(places, serves, quota, "region", "tile_id", 400.0, 21).select("tile_id", "region")
+
+
 def _edges(corners) -> str:
     """Edges of a ring of the rectangle ``r`` as a list of (ax, ay, bx, by)."""
     at = lambda c: f"r.ul_x + (r.lr_x - r.ul_x) * {c[0]} / 8.0::DOUBLE, r.ul_y - (r.lr_x - r.ul_x) * {c[1]} / 8.0::DOUBLE"
@@ -83,6 +95,7 @@ _CLAMPED = """c AS (SELECT o.zone, t.id AS tile_id, t.lr_y, t.ul_y, greatest(lea
         + (least(greatest(ay + m * ((q + x1) / 2 - ax), lr_y), ul_y) - lr_y) * (x1 - q)) AS part FROM g)"""
 
 ALL = {
+    "picked_for_regions": (picked_for_regions, None),
     "zone_polygons": (zone_polygons, sql("px", "rect", body=f""", {EDGES}, {_held('p.x', 'p.y')}
       SELECT zone, count(*) AS n, CAST(sum(id) AS BIGINT) AS sum_id, round(min(value), 4) AS least, round(max(value), 4) AS most, round(avg(value), 4) AS mean FROM held JOIN px USING (id) GROUP BY zone""")),
     "zone_runs": (zone_runs, sql("rect", body=f""", {EDGES}, box AS (SELECT zone, CAST(floor(min(ax) / 30) AS BIGINT) AS c0, CAST(ceil(max(ax) / 30) AS BIGINT) AS c1, CAST(floor(-max(ay) / 30) AS BIGINT) AS r0, CAST(ceil(-min(ay) / 30) AS BIGINT) AS r1 FROM e GROUP BY zone),

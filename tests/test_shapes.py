@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.functions import projection, scalars
-from parcelwise.operators import grid, polygons, predictors, trees
+from parcelwise.operators import accuracy, grid, polygons, predictors, sampling, trees
 from parcelwise.sources import rasters
 from parcelwise.sources import tables as src
 from parcelwise.sources.sqlite import read_sqlite
@@ -233,3 +233,34 @@ def test_prediction_by_combination_equals_prediction_by_set(spark, monkeypatch):
     want = {r.id: r.p for r in trees.predict(members, nodes, ["a", "b"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("set_id", "prediction"))).alias("p")).collect()}
     got = {r.id: r.predictions for r in trees.predict_by_combination(pixels, pairs, nodes, ["a", "b"]).collect()}
     assert got == {k: [x.prediction for x in p] for k, p in want.items()}
+
+
+@pytest.mark.parametrize("distance", [4.0, 15.0])
+def test_picks_for_shared_places_are_those_of_the_plain_loop(spark, distance):
+    rng = random.Random(14)
+    places = [(k, float(rng.randint(0, 60)), float(rng.randint(0, 60))) for k in range(250)]
+    serves = [(k, s) for k, _, _ in places for s in "abcde" if rng.random() < 0.4] + [(999, "a"), (3, "a"), (3, "a")]
+    quota = {"a": 5, "b": 12, "c": 1, "d": 200, "e": 0, "nowhere": 3}
+    df = spark.createDataFrame(places, "id long, x double, y double")
+    got = sampling.picked_by_strata(df, spark.createDataFrame(serves, "id long, s string"), spark.createDataFrame(list(quota.items()), "s string, quota int"), "s", "id", distance, 9)
+    order = spark.createDataFrame(sorted(set(serves)), "id long, s string").select("id", "s", scalars.portable_hash(F.crc32(F.col("s").cast("binary")), 9).alias("a"), scalars.portable_hash(F.col("id"), 9).alias("b"))
+    at, n, want = {k: (x, y) for k, x, y in places}, dict.fromkeys(quota, 0), []
+    for r in sorted(order.collect(), key=lambda r: (r.a, r.s, r.b, r.id)):
+        if r.id in at and n[r.s] < quota[r.s] and all(math.dist(at[r.id], at[k]) > distance for k, _ in want):
+            want.append((r.id, r.s))
+            n[r.s] += 1
+    assert sorted((r.id, r.s) for r in got.collect()) == sorted(want) and n["b"] > 0
+
+
+def test_bins_by_number_and_samples_matched_with_their_surroundings(spark):
+    rows = spark.createDataFrame([(r, c, (r * 7 + c * 3) % 20, (r * 5 + c) % 23, (r + c) % 2 == 0) for r in range(6) for c in range(6) if (r, c) != (2, 2)], "row int, col int, pred int, ref int, sampled boolean")
+    assert accuracy.equal_edges(rows, "ref", 4) == [(-1, 0), (0, 5), (5, 10), (10, 15), (15, 20), (20, 25)]
+    with pytest.raises(ValueError):
+        accuracy.equal_edges(rows, "ref", 50)
+    held = {(r.row, r.col): r for r in rows.collect()}
+    around = lambda k: [held[k[0] + i, k[1] + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if (k[0] + i, k[1] + j) in held]
+    for best in (True, False):
+        for r in accuracy.with_matches(rows, "pred", "ref", "sampled", best).collect():
+            near = around((r.row, r.col))
+            want = (None, None) if not r.sampled else (r.pred, min(near, key=lambda n: abs(n.ref - r.pred)).ref) if best else (sum(n.pred for n in near) // len(near), sum(n.ref for n in near) // len(near))
+            assert (r.sample_pred, r.sample_ref) == want
