@@ -9,10 +9,11 @@ from ..operators import ensemble, focal, grid, predictors, sampling, spatial
 from ..session import cut
 from ..sources import tables as src
 from .common import rounded
+from .grids import GRID, size
 
 sql = src.sql
 NODATA = -9999
-EXTENT, CELL, SEED = (0, -1000, 3000, 0), (300, 400), (1234, -321)
+CELL, SEED = (300, 400), (1234, -321)
 
 
 def rasters(spark, d):
@@ -92,7 +93,9 @@ def feature_transforms(spark, d):
 
 
 def seeded_cells(spark, d):
-    return grid.seeded_cells(spark, CELL, EXTENT, SEED).select(*[F.col(c).cast("bigint") for c in ("ul_x", "ul_y", "lr_x", "lr_y")])
+    """Cells around a seed point that cover the raster."""
+    n_rows, n_cols = size(spark, d)
+    return grid.seeded_cells(spark, CELL, (0, -30 * n_rows, 30 * n_cols, 0), SEED).select(*[F.col(c).cast("bigint") for c in ("ul_x", "ul_y", "lr_x", "lr_y")])
 
 
 def snapped_tiles(spark, d):
@@ -107,8 +110,9 @@ def snapped_tiles(spark, d):
 
 
 def tiles_by_aspect(spark, d):
-    rows, cols = grid.tiles_by_aspect(F.col("id"), 1500, 100)
-    return spark.range(15, 400).select(F.col("id").alias("n"), rows.alias("n_rows"), cols.alias("n_cols"))
+    """Rows and columns of as many tiles as each supplier's number says, in the raster's shape."""
+    rows, cols = grid.tiles_by_aspect(F.col("n"), *size(spark, d))
+    return src.table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("n")).select("n", rows.alias("n_rows"), cols.alias("n_cols"))
 
 
 def zone_windows(spark, d):
@@ -389,10 +393,11 @@ ALL = {
     "time_series": (time_series, """SELECT CAST(year(o_orderdate) - 1970 AS INTEGER) AS time, CAST((SELECT max(o_orderkey) // 100 FROM orders) - o_orderkey // 100 AS INTEGER) AS y, CAST(o_orderkey % 100 AS INTEGER) AS x, o_totalprice AS value FROM orders"""),
     "render_scripts": (render_scripts, "SELECT r_name AS name, segment, 'run --region ' || r_name || ' --key ' || r_regionkey || ' --segment ' || segment AS script FROM region, (SELECT DISTINCT c_mktsegment AS segment FROM customer)"),
     "feature_transforms": (feature_transforms, sql("rect", body="SELECT set_id, ul_x + 7 - ((ul_x % 45) + 45) % 45 AS tx_x, CAST(ul_y + (11 - 45) + (((-ul_y) % 45) + 45) % 45 AS BIGINT) AS tx_y, CAST(ceil((ul_y - lr_y) / 45.0) AS BIGINT) AS n_rows, CAST(ceil((lr_x - ul_x) / 45.0) AS BIGINT) AS n_cols FROM rect")),
-    "seeded_cells": (seeded_cells, "SELECT 1234 + i * 400 AS ul_x, -321 + j * 300 AS ul_y, 1234 + i * 400 + 400 AS lr_x, -321 + j * 300 - 300 AS lr_y FROM range(-4, 5) a(i), range(-2, 3) b(j)"),
+    "seeded_cells": (seeded_cells, sql("px", body=f""", {GRID}, i AS (SELECT h, unnest(range(-4, CAST(trunc((30 * w - 1234) / 400.0) AS BIGINT) + 1)) AS i FROM z), j AS (SELECT i, unnest(range(-CAST(trunc((30 * h - 321) / 300.0) AS BIGINT), 3)) AS j FROM i)
+      SELECT 1234 + i * 400 AS ul_x, -321 + j * 300 AS ul_y, 1234 + i * 400 + 400 AS lr_x, -321 + j * 300 - 300 AS lr_y FROM j""")),
     "snapped_tiles": (snapped_tiles, sql("px", "rect", body=f""", t AS (SELECT tile_id, min(x - 15) AS ul_x, max(y + 15) AS ul_y, max(x + 15) AS lr_x, min(y - 15) AS lr_y FROM px GROUP BY tile_id), ex AS (SELECT ul_x AS edge FROM rect UNION SELECT lr_x FROM rect), ey AS (SELECT ul_y AS edge FROM rect UNION SELECT lr_y FROM rect)
       SELECT tile_id, """ + ", ".join(f"(SELECT {NEAREST.format(c='t.' + c)} FROM {e}) AS {c}" for c, e in (("ul_x", "ex"), ("ul_y", "ey"), ("lr_x", "ex"), ("lr_y", "ey"))) + " FROM t")),
-    "tiles_by_aspect": (tiles_by_aspect, "SELECT n, r AS n_rows, CAST(n // r AS INTEGER) AS n_cols FROM (SELECT n, greatest(CAST(trunc(sqrt(n / (100 / CAST(1500 AS DOUBLE)))) AS INTEGER), 1) AS r FROM range(15, 400) t(n))"),
+    "tiles_by_aspect": (tiles_by_aspect, sql("px", body=f", {GRID} SELECT n, r AS n_rows, CAST(n // r AS INTEGER) AS n_cols FROM (SELECT CAST(s_suppkey AS BIGINT) AS n, greatest(CAST(trunc(sqrt(s_suppkey / (w / CAST(h AS DOUBLE)))) AS INTEGER), 1) AS r FROM supplier, z)")),
     "zone_windows": (zone_windows, sql("px", "rect", body=f", {ZONE} SELECT set_id, rf AS row_from, rt AS row_to, rf - r0 AS zone_row_from, rt - r0 AS zone_row_to, cf AS col_from, ct AS col_to, cf - c0 AS zone_col_from, ct - c0 AS zone_col_to FROM e WHERE rf < rt AND cf < ct")),
     "align_raster": (align_raster, sql("px", body="""SELECT p."row", p.col, coalesce(CASE WHEN trunc(p.value / 5000) <> 7 AND m.status <> 'P' THEN m.value END, -1.0) AS value FROM px p LEFT JOIN px m ON p."row" = m."row" + 3 AND p.col = m.col - 7""")),
     "region_mask": (region_mask, sql("px", body='SELECT "row", col, CASE WHEN x > 600 AND x < 2100 AND y < -300 AND y > -1200 THEN CAST(trunc(value / 5000) AS INTEGER) ELSE 255 END AS value FROM px')),

@@ -12,17 +12,32 @@ from .common import rounded
 sql = src.sql
 
 
+def size(spark, d) -> tuple[int, int]:
+    """Rows and columns of the raster."""
+    return tuple(src.pixels(spark, d).agg(F.max("row") + 1, F.max("col") + 1).first())  # one row
+
+
+def tiles_of(spark, n_rows: int, n_cols: int):
+    """Tiles of about forty rows and thirty columns."""
+    return grid.tile_grid(spark, max(n_rows // 40, 1), max(n_cols // 30, 1), n_rows, n_cols)
+
+
 def tile_grid(spark, d):
-    return grid.tile_grid(spark, 3, 4, 1000, 103)
+    return tiles_of(spark, *size(spark, d)).select("tile_id", *[F.col(c).cast("bigint") for c in ("ul_r", "lr_r", "ul_c", "lr_c")])
+
+
+def cells_of(spark, d):
+    """Cells that cover the raster."""
+    n_rows, n_cols = size(spark, d)
+    return grid.fishnet(spark, 0, 30 * n_cols, -30 * n_rows, 0, 400, 300)
 
 
 def fishnet(spark, d):
-    return grid.fishnet(spark, 0, 3000, -1000, 0, 400, 300).select(*[F.col(c).cast("bigint") for c in ("cell_id", "x_min", "y_max", "x_max", "y_min")])
+    return cells_of(spark, d).select(*[F.col(c).cast("bigint") for c in ("cell_id", "x_min", "y_max", "x_max", "y_min")])
 
 
 def support_rects(spark, d):
-    cells = grid.fishnet(spark, 0, 3000, -1000, 0, 400, 300)
-    return grid.support_rectangles(cells, 3, 900, 600, 30, 7).select("set_id", *[F.col(c).cast("bigint") for c in ("ul_x", "ul_y", "lr_x", "lr_y", "ctr_x", "ctr_y")])
+    return grid.support_rectangles(cells_of(spark, d), 3, 900, 600, 30, 7).select("set_id", *[F.col(c).cast("bigint") for c in ("ul_x", "ul_y", "lr_x", "lr_y", "ctr_x", "ctr_y")])
 
 
 def snap_coords(spark, d):
@@ -41,7 +56,8 @@ def rowcol_to_xy(spark, d):
 
 
 def halo_windows(spark, d):
-    return grid.with_halo(grid.tile_grid(spark, 3, 4, 1000, 103), 5, 1000, 103).select("tile_id", *[F.col(c).cast("bigint") for c in ("ul_r", "lr_r", "ul_c", "lr_c")])
+    n_rows, n_cols = size(spark, d)
+    return grid.with_halo(tiles_of(spark, n_rows, n_cols), 5, n_rows, n_cols).select("tile_id", *[F.col(c).cast("bigint") for c in ("ul_r", "lr_r", "ul_c", "lr_c")])
 
 
 def interval_overlap(spark, d):
@@ -91,8 +107,12 @@ def resampled_sql(how: str) -> str:
     return sql("px", body=f', {cells} SELECT r AS "row", c AS col, {RESAMPLED[how]} AS value FROM cells GROUP BY r, c')
 
 
-TILES = """SELECT i AS tile_id, (i % 3) * 333 AS ul_r, CASE WHEN i = 11 THEN 1000 ELSE (i % 3 + 1) * 333 END AS lr_r, (i // 3) * 25 AS ul_c, CASE WHEN i = 11 THEN 103 ELSE (i // 3 + 1) * 25 END AS lr_c FROM range(12) t(i)"""
-FISHNET = "SELECT i AS cell_id, (i // 4) * 400 AS x_min, -(i % 4) * 300 AS y_max, (i // 4 + 1) * 400 AS x_max, -(i % 4 + 1) * 300 AS y_min FROM range(32) t(i)"
+GRID = 'z AS (SELECT max("row") + 1 AS h, max(col) + 1 AS w FROM px)'
+TILES = f"""{GRID}, g AS (SELECT h, w, greatest(h // 40, 1) AS nr, greatest(w // 30, 1) AS nc FROM z), i AS (SELECT *, unnest(range(nr * nc)) AS i FROM g),
+  t AS (SELECT h, w, i AS tile_id, CAST((i % nr) * (h // nr) AS BIGINT) AS ul_r, CAST(CASE WHEN i = nr * nc - 1 THEN h ELSE (i % nr + 1) * (h // nr) END AS BIGINT) AS lr_r,
+    CAST((i // nr) * (w // nc) AS BIGINT) AS ul_c, CAST(CASE WHEN i = nr * nc - 1 THEN w ELSE (i // nr + 1) * (w // nc) END AS BIGINT) AS lr_c FROM i)"""
+FISHNET = f"""{GRID}, g AS (SELECT CAST(ceil(30 * h / 300.0) AS BIGINT) AS nr, CAST(ceil(30 * w / 400.0) AS BIGINT) AS nc FROM z), i AS (SELECT nr, unnest(range(nr * nc)) AS i FROM g),
+  f AS (SELECT i AS cell_id, (i // nr) * 400 AS x_min, -(i % nr) * 300 AS y_max, (i // nr + 1) * 400 AS x_max, -(i % nr + 1) * 300 AS y_min FROM i)"""
 HASH = "((({k} * 2654435761 + {s} * 40503) % 4294967296) * 1597334677 + 12345) % 4294967296"
 SNAP = "({v} - (({v} % 30) + 30) % 30)"
 #: Pixels of 45 units, off by a few units from the raster's own of 30; rows and columns of it.
@@ -153,16 +173,16 @@ ALL = {
     "resample_other_nearest": (on_other("nearest"), on_other_sql(1, "floor({0} - 0.5) + 1", "1")),
     "albers_forward": (albers_forward, albers_sql()),
     "albers_inverse": (albers_inverse, sql("px", body=f"SELECT id, round({LONGITUDE}, 6) AS longitude, round({LATITUDE}, 6) AS latitude FROM px")),
-    "tile_grid": (tile_grid, TILES),
-    "fishnet": (fishnet, FISHNET),
-    "support_rects": (support_rects, f"""WITH f AS ({FISHNET}), k AS (SELECT f.*, cell_id * 3 + k AS set_id FROM f, range(3) r(k)),
+    "tile_grid": (tile_grid, sql("px", body=f", {TILES} SELECT tile_id, ul_r, lr_r, ul_c, lr_c FROM t")),
+    "fishnet": (fishnet, sql("px", body=f", {FISHNET} SELECT * FROM f")),
+    "support_rects": (support_rects, sql("px", body=f""", {FISHNET}, k AS (SELECT f.*, cell_id * 3 + k AS set_id FROM f, range(3) r(k)),
       c AS (SELECT set_id, CAST(x_min + floor((x_max - x_min) * ({HASH.format(k="set_id", s=7)}) / 4294967296) AS BIGINT) AS cx, CAST(y_min + floor((y_max - y_min) * ({HASH.format(k="set_id", s=8)}) / 4294967296) AS BIGINT) AS cy FROM k),
       s AS (SELECT set_id, {SNAP.format(v="cx")} AS ctr_x, {SNAP.format(v="cy")} AS ctr_y FROM c)
-      SELECT set_id, ctr_x - 450 AS ul_x, ctr_y + 300 AS ul_y, ctr_x + 450 AS lr_x, ctr_y - 300 AS lr_y, ctr_x, ctr_y FROM s"""),
+      SELECT set_id, ctr_x - 450 AS ul_x, ctr_y + 300 AS ul_y, ctr_x + 450 AS lr_x, ctr_y - 300 AS lr_y, ctr_x, ctr_y FROM s""")),
     "snap_coords": (snap_coords, sql("px", body="SELECT id, CAST(x + id % 7 + 15 - (((x + id % 7) % 30) + 30) % 30 AS BIGINT) AS x, CAST(y - id % 11 + 15 - (((y - id % 11) % 30) + 30) % 30 AS BIGINT) AS y FROM px")),
     "xy_to_rowcol": (xy_to_rowcol, sql("px", body='SELECT id, CAST(trunc(y / -30.0) AS INTEGER) AS "row", CAST(trunc(x / 30.0) AS INTEGER) AS col FROM px')),
     "rowcol_to_xy": (rowcol_to_xy, sql("px", body='SELECT id, 30 * col AS x, -30 * "row" AS y FROM px')),
-    "halo_windows": (halo_windows, f"SELECT tile_id, greatest(ul_r - 5, 0) AS ul_r, least(lr_r + 5, 1000) AS lr_r, greatest(ul_c - 5, 0) AS ul_c, least(lr_c + 5, 103) AS lr_c FROM ({TILES})"),
+    "halo_windows": (halo_windows, sql("px", body=f", {TILES} SELECT tile_id, greatest(ul_r - 5, 0) AS ul_r, least(lr_r + 5, h) AS lr_r, greatest(ul_c - 5, 0) AS ul_c, least(lr_c + 5, w) AS lr_c FROM t")),
     "interval_overlap": (interval_overlap, sql("rect", body="SELECT set_id, CASE WHEN greatest(ul_x, 900) < least(lr_x, 1500) THEN greatest(ul_x, 900) END AS start, CASE WHEN greatest(ul_x, 900) < least(lr_x, 1500) THEN least(lr_x, 1500) END AS end_at FROM rect")),
     "common_extent": (common_extent, sql("rect", body="SELECT max(ul_x) AS ul_x, min(ul_y) AS ul_y, min(lr_x) AS lr_x, max(lr_y) AS lr_y FROM rect")),
     "raster_bounds": (raster_bounds, sql("px", body="SELECT min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, count(*) AS n FROM px")),
