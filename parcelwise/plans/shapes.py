@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as evaluate
 from ..operators import polygons, sampling, spatial
 from ..sources import tables as src
 from .common import rounded
+from .evaluation import EDGES as EDGES_OF_BINS
+from .evaluation import MATRIX, agreement_sql, covers
 from .joins import TILES, tiles
 
 sql = src.sql
@@ -70,6 +73,20 @@ def picked_for_regions(spark, d):
     return sampling.picked_by_strata(places, serves, quota, "region", "tile_id", 400.0, 21).select("tile_id", "region")
 
 
+#: What names a row of each part of an evaluation.
+KEYS = {"histogram": ["bin_x", "bin_y"], "classes": ["cover"], "bins": ["bin"], "matrix": ["pred", "ref"], "zones_small": ["zone"], "zones_large": ["zone"]}
+
+
+def evaluation_report(spark, d):
+    """The whole evaluation of a map: two-dimensional histogram, classes, bins, matrix, and zones at two scales, as one long table."""
+    small = zones(spark, d)
+    s = src.table(spark, d, "supplier").select(F.col("s_suppkey").alias("set_id"), F.col("s_nationkey").alias("nation"))
+    united = polygons.united(src.rectangles(spark, d).join(s, "set_id"), "nation")
+    large = united.select(F.col("nation").alias("zone"), F.array(spatial.ring_of(*map(F.col, ("ul_x", "ul_y", "lr_x", "lr_y")))).alias("rings"))
+    tables = evaluate.evaluate(covers(spark, d), EDGES_OF_BINS, {"small": small, "large": large.groupBy("zone").agg(F.flatten(F.collect_list("rings")).alias("rings"))}, src.AFFINE)
+    return rounded(evaluate.melted(tables, KEYS), 3)
+
+
 def _edges(corners) -> str:
     """Edges of a ring of the rectangle ``r`` as a list of (ax, ay, bx, by)."""
     at = lambda c: f"r.ul_x + (r.lr_x - r.ul_x) * {c[0]} / 8.0::DOUBLE, r.ul_y - (r.lr_x - r.ul_x) * {c[1]} / 8.0::DOUBLE"
@@ -94,7 +111,32 @@ _CLAMPED = """c AS (SELECT o.zone, t.id AS tile_id, t.lr_y, t.ul_y, greatest(lea
       h AS (SELECT zone, tile_id, s * ((least(greatest(ay + m * ((x0 + p) / 2 - ax), lr_y), ul_y) - lr_y) * (p - x0) + (least(greatest(ay + m * ((p + q) / 2 - ax), lr_y), ul_y) - lr_y) * (q - p)
         + (least(greatest(ay + m * ((q + x1) / 2 - ax), lr_y), ul_y) - lr_y) * (x1 - q)) AS part FROM g)"""
 
+
+def _melted(part: str, key: str, measures: list[str], query: str) -> str:
+    """One part of the report from a query."""
+    values = ", ".join(f"CAST({m} AS DOUBLE)" for m in measures)
+    return f"SELECT '{part}' AS part, CAST({key} AS VARCHAR) AS key, unnest({measures}) AS measure, round(unnest([{values}]), 3) AS value FROM ({query})"
+
+
+_OVER = "count(*) AS n, avg(pred) AS pred_mean, avg(ref) AS ref_mean, avg(pred - ref) AS difference_mean, stddev_pop(pred - ref) AS difference_stdv"
+_AC = ["ac", "ac_sys", "ac_unsys", "n"]
+_CLASSES = agreement_sql("CAST(id % 5 AS INTEGER)", "WHERE id % 5 <> 0", 12, "cover").replace("SELECT cover, round", "SELECT cover, (SELECT 100 * sqrt(avg(pow((pred - ref) / CAST(nullif(ref, 0) AS DOUBLE), 2))) FROM pair z WHERE z.id % 5 = s.cover) AS rmspe, round")
+_HISTOGRAM = sql("pair", body=""", e AS (SELECT min(ref) AS a, max(ref) AS b, min(pred) AS c, max(pred) AS d FROM pair),
+  k AS (SELECT CAST(least(floor((ref - a) * 50 / CAST(b - a AS DOUBLE)), 49) AS INTEGER) AS bx, CAST(least(floor((pred - c) * 50 / CAST(d - c AS DOUBLE)), 49) AS INTEGER) AS b2 FROM pair, e) SELECT bx || '_' || b2 AS k, count(*) AS n FROM k GROUP BY ALL""")
+_SMALL = sql("pair", "rect", body=f", {EDGES}, {_held('p.x', 'p.y')} SELECT zone, {_OVER} FROM held JOIN pair USING (id) GROUP BY zone")
+_LARGE = sql("pair", "rect", body=f", held AS (SELECT DISTINCT s_nationkey AS zone, p.id FROM px p JOIN rect r ON p.x > r.ul_x AND p.x < r.lr_x AND p.y < r.ul_y AND p.y > r.lr_y JOIN supplier ON set_id = s_suppkey) SELECT zone, {_OVER} FROM held JOIN pair USING (id) GROUP BY zone")
+_REPORT = " UNION ALL ".join(
+    [
+        _melted("histogram", "k", ["n"], _HISTOGRAM),
+        _melted("classes", "cover", [*_AC, "rmspe"], _CLASSES),
+        _melted("bins", "p", _AC, agreement_sql("p", "WHERE p = r", 12)),
+        _melted("matrix", "pred || '_' || ref", ["n", "total_pxl", "pct_area", "n_pred", "adj"], sql("pair", body=f", {MATRIX} SELECT pred, ref, n, total_pxl, pct_area, n_pred, adj FROM m")),
+        *[_melted(f"zones_{scale}", "zone", ["n", "pred_mean", "ref_mean", "difference_mean", "difference_stdv"], query) for scale, query in (("small", _SMALL), ("large", _LARGE))],
+    ]
+)
+
 ALL = {
+    "evaluation_report": (evaluation_report, _REPORT),
     "picked_for_regions": (picked_for_regions, None),
     "zone_polygons": (zone_polygons, sql("px", "rect", body=f""", {EDGES}, {_held('p.x', 'p.y')}
       SELECT zone, count(*) AS n, CAST(sum(id) AS BIGINT) AS sum_id, round(min(value), 4) AS least, round(max(value), 4) AS most, round(avg(value), 4) AS mean FROM held JOIN px USING (id) GROUP BY zone""")),

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.functions import projection, scalars
-from parcelwise.operators import accuracy, grid, polygons, predictors, sampling, trees
+from parcelwise.operators import accuracy, evaluation, grid, polygons, predictors, sampling, trees
 from parcelwise.sources import rasters
 from parcelwise.sources import tables as src
 from parcelwise.sources.sqlite import read_sqlite
@@ -264,3 +264,18 @@ def test_bins_by_number_and_samples_matched_with_their_surroundings(spark):
             near = around((r.row, r.col))
             want = (None, None) if not r.sampled else (r.pred, min(near, key=lambda n: abs(n.ref - r.pred)).ref) if best else (sum(n.pred for n in near) // len(near), sum(n.ref for n in near) // len(near))
             assert (r.sample_pred, r.sample_ref) == want
+
+
+def test_a_whole_evaluation_leaves_out_what_has_no_data(spark, tmp_path):
+    rows = [(r, c, (r * 3 + c) % 11 if (r, c) != (1, 1) else -1, (r * 2 + c) % 11 if (r, c) != (2, 2) else None, (r + c) % 3, c % 2 == 0) for r in range(8) for c in range(8)]
+    pixels = spark.createDataFrame(rows, "row int, col int, pred int, ref int, cover int, sampled boolean")
+    zone = spark.createDataFrame([(4, [closed((0.0, 0.0), (90.0, 0.0), (90.0, -90.0), (0.0, -90.0))])], RINGS).withColumnRenamed("id", "zone")
+    found = evaluation.evaluate(pixels, [(-1, 5), (5, 11)], {"near": zone}, src.AFFINE, masked=F.col("row") == 7, nodata=(-1, None), bins=5)
+    held = [r for r in rows if r[:2] not in ((1, 1), (2, 2)) and r[0] < 7]
+    assert sorted((r.row, r.col, r.difference) for r in found["difference"].collect()) == sorted((r[0], r[1], r[2] - r[3]) for r in held)
+    assert found["histogram"].agg(F.sum("n")).first()[0] == len(held) and {r.cover for r in found["classes"].collect()} == {1, 2}
+    inner = [r for r in held if r[0] < 3 and r[1] < 3]
+    (z,) = found["zones_near"].collect()
+    assert (z.zone, z.n) == (4, len(inner)) and z.difference_mean == pytest.approx(sum(r[2] - r[3] for r in inner) / len(inner))
+    evaluation.write_evaluation(found, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "difference")).count() == len(held) and spark.read.csv(str(tmp_path / "out" / "zones_near"), sep="\t", header=True).count() == 1
