@@ -33,11 +33,11 @@ from .bpe import id_counts, lists, text_sizes
 from .common import chunks, quiet_threads
 
 #: States, pairs and words that a worker keeps before it forgets some; results don't depend on it.
-MOST_STATES, MOST_PAIRS, MOST_WORDS = 60_000, 200_000, 200_000
+MOST_STATES, MOST_PAIRS, MOST_WORDS = 60_000, 200_000, 400_000
 #: States that the table of moves has room for at first, and by how many it grows.
 MORE_STATES = 8192
 #: Characters of text and ids that one task holds at a time.
-CHUNK_CHARS, IDS_AT_ONCE = 2_000_000, 500_000
+CHUNK_CHARS, IDS_AT_ONCE = 4_000_000, 500_000
 #: White space next to a space: such runs are the rule's to split.
 SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
 BESIDE_SPACE = re.compile(r"\s | \s|^ | $")
