@@ -173,20 +173,31 @@ def plain(rows: DataFrame, pred: str, ref: str, by: Sequence[str] = ()) -> DataF
     return out.withColumns({"commission": 1 - F.col("user"), "omission": 1 - F.col("producer"), "f1": F.try_divide(2 * F.col("hits"), F.col("n_pred") + F.col("n_ref"))})
 
 
-def sums_before(rows: DataFrame, order: str, values: Sequence[str], descending: bool = False) -> DataFrame:
-    """``rows`` (one for each value of ``order``) with before_<value>: the sum of each value over all rows that come earlier.
+def same(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Equality of keys of two aliased tables, nulls too."""
+    out = F.lit(True)
+    for k in keys:
+        out &= F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return out
 
-    Rows are dealt to partitions by ranges of ``order``; a window runs within a partition, and the totals of the
-    partitions, one row each, are added to it. So no window holds all rows, however many.
+
+def sums_before(rows: DataFrame, order: str, values: Sequence[str], descending: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` (one for each value of ``order``, within each ``by``) with before_<value>: the sum of each value over all rows of the group that come earlier.
+
+    Rows are dealt to partitions by ranges of ``by`` and ``order``; a window runs within a partition, and the group's
+    totals in earlier partitions, one row each, are added to it. So no window holds all rows of a group, however many.
     """
+    by = list(by)
     direction = F.desc(order) if descending else F.asc(order)
-    ranged = cut(rows.repartitionByRange(direction).withColumn("_part", F.spark_partition_id()))
-    totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}") for v in values])
-    within = Window.partitionBy("_part").orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(totals), "_part")
-    return out.withColumns({f"before_{v}": F.col(f"_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).drop("_part", *[f"_{v}" for v in values])
+    ranged = cut(rows.repartitionByRange(*by, direction).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part", *by).agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    totals = totals.select("_part", *by, *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}") for v in values])
+    within = Window.partitionBy("_part", *by).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+    running = ranged.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
+    # a row a partition is few; groups may be many
+    out = running.alias("a").join((totals if by else F.broadcast(totals)).alias("b"), same("a", "b", ["_part", *by]))
+    return out.select(*[F.col(f"a.{c}").alias(c) for c in rows.columns], *[(F.col(f"b._{v}") + F.col(f"a.before_{v}")).alias(f"before_{v}") for v in values])
 
 
 def auc(rows: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -219,17 +230,18 @@ def brier(rows: DataFrame, truth: str, score: str) -> DataFrame:
 def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(by, a column for each of ``shares``): exact quantiles by linear interpolation.
 
-    Values are counted first; a running count over a group's distinct values, sorted and spilled where it must be, then
-    shows which values the positions fall on. No group is held in a buffer.
+    Values are counted first; running counts over distinct values, by ranges of them, then show which values the
+    positions fall on. No group is held in a buffer or in one task.
     """
     by = list(by)
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ranged = sums_before(counts, "v", ["n"], by=by)
+    totals = ranged.groupBy(*by).agg(F.sum("n").alias("total"))
     if by:
-        upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        placed = counts.withColumns({"last": F.sum("n").over(upto) - 1, "total": F.sum("n").over(Window.partitionBy(*by))}).withColumn("first", F.col("last") - F.col("n") + 1)
+        both = ranged.alias("a").join(totals.alias("b"), same("a", "b", by)).select("a.*", "b.total")
     else:
-        ranged = sums_before(counts, "v", ["n"])
-        placed = ranged.crossJoin(F.broadcast(ranged.agg(F.sum("n").alias("total")))).withColumns({"first": F.col("before_n"), "last": F.col("before_n") + F.col("n") - 1})  # one row
+        both = ranged.crossJoin(F.broadcast(totals))  # one row
+    placed = both.withColumns({"first": F.col("before_n"), "last": F.col("before_n") + F.col("n") - 1})
     out = []
     for name, share in shares.items():
         at = F.col("total") * share - share
@@ -255,12 +267,15 @@ def zone_fit(rows: DataFrame, zone: str, ref: str, pred: str) -> DataFrame:
     empty = zones.join(shown.where("any_t AND any_p"), ["zone", "side"], "left_anti")
     stand_in = empty.withColumn("t", F.explode(F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0))))).withColumn("p", F.col("t"))
     long = long.join(empty, ["zone", "side"], "left_anti").select("zone", "side", "t", "p").unionByName(stand_in.select("zone", "side", "t", "p"))
-    long = long.withColumn("d", F.abs(F.col("p") - F.col("t")))
+    long = cut(long.withColumn("d", F.abs(F.col("p") - F.col("t"))))
     stats = long.groupBy("zone", "side").agg(F.round(correlation("t", "p"), 2).alias("r"), F.round(F.sqrt(F.avg(F.col("d") * F.col("d"))), 1).alias("rmseU"), F.round(F.avg("d"), 1).alias("maeU"))
-    middle = quantiles(long, ["zone", "side"], "d", {"m": 0.5})
-    stats = stats.join(middle, ["zone", "side"]).withColumns({"maeM": F.round("m", 1), "rmseM": F.round("m", 1)}).drop("m")
-    for name in ("t", "p"):
-        stats = stats.join(quantiles(long, ["zone", "side"], name, {f"{name}{k}": q for k, q in QUARTILES.items()}), ["zone", "side"])
+    # the quartiles of all series at once
+    each = long.select("zone", "side", F.inline(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("v")) for c in ("d", "t", "p")])))
+    found = quantiles(each, ["zone", "side", "series"], "v", QUARTILES)
+    of_series = lambda name, k: F.max(F.when(F.col("series") == name, F.col(k)))
+    wide = found.groupBy("zone", "side").agg(of_series("d", "2q").alias("m"), *[of_series(name, k).alias(f"{name}{k}") for name in ("t", "p") for k in QUARTILES])
+    stats = stats.alias("a").join(wide.alias("b"), same("a", "b", ["zone", "side"])).select("a.*", *[f"b.{c}" for c in wide.columns if c not in ("zone", "side")])
+    stats = stats.withColumns({"maeM": F.round("m", 1), "rmseM": F.round("m", 1)}).drop("m")
     stats = stats.withColumn("r", F.when((F.col("maeM") == 0) & (F.col("r") == 1), 0.0).otherwise(F.col("r")))
     names = ["r", "rmseM", "rmseU", "maeM", "maeU", *[f"{n}{k}" for n in ("t", "p") for k in QUARTILES]]
     kept = lambda c: F.col(c).cast("int") if c[-1] == "q" else F.col(c)

@@ -119,5 +119,5 @@ def cdf_at(counts: DataFrame, edge: str, n: str, edges: Sequence[int]) -> DataFr
 def without_extreme(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, n, n_nodata, nodata, mean): statistics that leave out a run's nodata, taken to be its least value if that is negative, else its greatest."""
     ends = rows.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high")).select(by, F.when(F.col("low") < 0, F.col("low")).otherwise(F.col("high")).alias("nodata"))
-    held = rows.join(F.broadcast(ends), by)  # one row a run
+    held = rows.join(ends, by)
     return held.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col(value) == F.col("nodata")).alias("n_nodata"), F.first("nodata").alias("nodata"), F.avg(F.when(F.col(value) != F.col("nodata"), F.col(value))).alias("mean"))

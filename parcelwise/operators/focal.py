@@ -183,9 +183,28 @@ def match_raster(predicted: DataFrame, reference: DataFrame, side: int = SIDE) -
     return found.select(F.col("row").cast(kind["row"]).alias("row"), F.col("col").cast(kind["col"]).alias("col"), F.col("pred").cast(kind["value"]).alias("pred"), F.col("matched").cast(dict(reference.dtypes)["value"]).alias("matched"))
 
 
+def surroundings(raster: DataFrame, side: int = SIDE) -> DataFrame:
+    """(row, col, z_1 to z_9): the values of the three by three around each pixel that has all nine, row by row, as doubles; pixels are dealt to squares with a rim, as in ``focal``."""
+    dealt = in_squares(raster.where(F.col("value").isNotNull()).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value")), 1, side)
+    names = [f"z_{k}" for k in range(1, 10)]
+
+    def around(table: pa.Table) -> pa.Table:
+        top, left = table["tile_row"][0].as_py() * side, table["tile_col"][0].as_py() * side
+        row, col, value = (table[c].to_numpy(zero_copy_only=False) for c in ("row", "col", "value"))
+        held = np.full((side + 2, side + 2), np.nan)
+        held[row - top + 1, col - left + 1] = value
+        near = np.stack([held[1 + i : 1 + i + side, 1 + j : 1 + j + side] for i, j in square(3)])
+        r, c = np.nonzero(~np.isnan(near).any(axis=0))
+        return pa.table({"row": pa.array(r + top, pa.int64()), "col": pa.array(c + left, pa.int64()), **{n: pa.array(near[k, r, c]) for k, n in enumerate(names)}})
+
+    kinds = dict(raster.dtypes)
+    found = dealt.groupBy("tile_row", "tile_col").applyInArrow(lambda table: around(table), "row long, col long, " + ", ".join(f"{n} double" for n in names))
+    return found.withColumns({c: F.col(c).cast(kinds[c]) for c in ("row", "col")})
+
+
 def curvature(raster: DataFrame, resolution: float) -> DataFrame:
     """(row, col, curvature): -200 (D + E) of the quadratic surface through a pixel and its four neighbours."""
-    z = kernel_columns(raster, raster, "z").dropna()
+    z = surroundings(raster)
     c = {k: F.col(f"z_{k}") for k in range(1, 10)}
     area = resolution * resolution
     d, e = ((c[4] + c[6]) / 2 - c[5]) / area, ((c[2] + c[8]) / 2 - c[5]) / area
@@ -194,7 +213,7 @@ def curvature(raster: DataFrame, resolution: float) -> DataFrame:
 
 def slope_aspect(raster: DataFrame, resolution: float) -> DataFrame:
     """(row, col, slope, aspect) in degrees by Horn's method for pixels with all nine values."""
-    z = kernel_columns(raster, raster, "z").dropna()
+    z = surroundings(raster)
     c = {k: F.col(f"z_{k}") for k in range(1, 10)}
     dx = (c[3] + 2 * c[6] + c[9] - c[1] - 2 * c[4] - c[7]) / (8 * resolution)
     dy = (c[7] + 2 * c[8] + c[9] - c[1] - 2 * c[2] - c[3]) / (8 * resolution)

@@ -26,10 +26,21 @@ def below(key: str, fraction: float, seed: int) -> Column:
     return portable_hash(F.col(key), seed) < int(fraction * 4294967296)
 
 
+#: Parts that a group's rows are ranked in before the first of each part are ranked together.
+PARTS = 64
+
+
+def first_of_groups(rows: DataFrame, by: Sequence[str], key: str, quota: Column, seed: int) -> DataFrame:
+    """The first ``quota`` rows of each group in hash order with their number ``rn``; a group is cut to at most ``PARTS`` times its quota before its rows meet."""
+    order = hash_order(key, seed)
+    spread = F.pmod(F.xxhash64(key), F.lit(PARTS))
+    some = rows.withColumn("_part", spread).withColumn("rn", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))).where(F.col("rn") <= quota).drop("rn", "_part")
+    return some.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= quota)
+
+
 def quota_sample(rows: DataFrame, by: Sequence[str], key: str, quota: Column, seed: int) -> DataFrame:
     """The first ``quota`` rows of each group in hash order, all where there are fewer."""
-    numbered = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*hash_order(key, seed))))
-    return numbered.where(F.col("rn") <= quota).drop("rn")
+    return first_of_groups(rows, by, key, quota, seed).drop("rn")
 
 
 def proportional_sizes(counts: DataFrame, by: str, n: str, sample_size: int, scale: float) -> DataFrame:
@@ -98,10 +109,8 @@ def first_by(rows: DataFrame, order: str, n: int) -> DataFrame:
 
 def quota_split(rows: DataFrame, by: Sequence[str], key: str, quota: Column, fraction: float, seed: int) -> DataFrame:
     """The rows of ``quota_sample`` with ``train``: whether a row is among the first int(fraction n) taken of its group."""
-    group = Window.partitionBy(*by)
-    numbered = rows.withColumns({"rn": F.row_number().over(group.orderBy(*hash_order(key, seed))), "_n": F.count("*").over(group)})
-    taken = numbered.where(F.col("rn") <= quota)
-    return taken.withColumn("train", F.col("rn") <= F.floor(F.least(F.col("_n"), quota) * fraction)).drop("rn", "_n")
+    taken = first_of_groups(rows, by, key, quota, seed).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    return taken.withColumn("train", F.col("rn") <= F.floor(F.col("_n") * fraction)).drop("rn", "_n")
 
 
 def presence_absence(rows: DataFrame, zone: str, key: str, absent: Column, n: int, zone_fraction: float, sample_fraction: float, seed: int) -> DataFrame:
@@ -158,7 +167,7 @@ def apart(candidates: DataFrame, quota: DataFrame, stratum: str, key: str, dista
         picked = first.join(waiting, key, "left").where(F.col("least").isNull() | (F.struct(F.col("place").alias("other_place"), F.col(key).alias("other")) < F.col("least"))).select(key).withColumn("is_picked", F.lit(True))
         closed = links.join(picked.select(F.col(key).alias("other")), "other").select(key).distinct().withColumn("is_closed", F.lit(True))
         full = left.where("left <= 0").select(stratum).withColumn("is_full", F.lit(True))
-        told = state.join(picked, key, "left").join(closed, key, "left").join(F.broadcast(full), stratum, "left")
+        told = state.join(picked, key, "left").join(closed, key, "left").join(full, stratum, "left")
         now = F.when(F.col("state") != "open", F.col("state")).when(F.col("is_picked"), F.lit("picked")).when(F.col("is_closed") | F.col("is_full"), F.lit("closed")).otherwise(F.lit("open"))
         state = cut(told.withColumn("state", now).select(*state.columns))
 

@@ -23,18 +23,53 @@ def by_cell(rects: DataFrame, size: float) -> DataFrame:
     return out.select("*", cells_of(F.col("lr_y"), F.col("ul_y"), size).alias("cell_y"))
 
 
-#: Cells a rectangle of middling size touches along a side, about.
-ACROSS = 2
+#: Cells a rectangle of middling size touches along a side, about; how much wider the cells of a level are than those of the one before, and levels.
+ACROSS, WIDER, LEVELS = 2, 16, 4
+
+
+def longer_side() -> Column:
+    return F.greatest(F.col("lr_x") - F.col("ul_x"), F.col("ul_y") - F.col("lr_y"))
 
 
 def cell_size(*rects: DataFrame) -> float:
     """A width of cells that suits the extents of rectangles: half the mean of their longer sides, so one touches a few cells whatever the map's units."""
-    sides = [r.agg(F.avg(F.greatest(F.col("lr_x") - F.col("ul_x"), F.col("ul_y") - F.col("lr_y"))), F.max(F.greatest(F.col("lr_x") - F.col("ul_x"), F.col("ul_y") - F.col("lr_y")))).first() for r in rects]  # one row each
+    sides = [r.agg(F.avg(longer_side()), F.max(longer_side())).first() for r in rects]  # one row each
     held = [(float(mean), float(most)) for mean, most in sides if mean]
     # the mean alone would cut a few huge ones among many small ones into too many cells
     return max([1e-9, *(max(mean / ACROSS, most / 64) for mean, most in held)])
 
 
+def cell_sizes(*rects: DataFrame) -> list[float]:
+    """Widths of cells by level, for rectangles of mixed extents: the first suits those of middling size, each next one is ``WIDER``, and the last the largest; one level where all are much alike."""
+    sides = [r.where(longer_side() > 0).agg(F.percentile_approx(longer_side().cast("double"), 0.5, 1000), F.max(longer_side())).first() for r in rects]  # one row each
+    held = [(float(middle), float(most)) for middle, most in sides if middle]
+    if not held:
+        return [1.0]
+    sizes, most = [min(middle for middle, _ in held) / ACROSS], max(most for _, most in held)
+    while len(sizes) < LEVELS and most > WIDER * ACROSS * sizes[-1]:
+        sizes.append(sizes[-1] * WIDER)
+    sizes[-1] = max(sizes[-1], most / 64)
+    return sizes
+
+
+def level_of(sizes: list[float]) -> Column:
+    """The level whose cells suit a rectangle: the first of which it touches a few, the last for the largest."""
+    out = F.lit(len(sizes) - 1)
+    for k in range(len(sizes) - 2, -1, -1):
+        out = F.when(longer_side() <= WIDER * ACROSS * sizes[k], k).otherwise(out)
+    return out
+
+
+def on_levels(rects: DataFrame, sizes: list[float], coarser: bool = False) -> DataFrame:
+    """Rectangles with ``level``, ``size``, ``cell_x`` and ``cell_y`` of each cell they touch at their own level, or at it and all ``coarser`` ones."""
+    last = F.lit(len(sizes) - 1)
+    own = rects.withColumn("_own", level_of(sizes))
+    each = own.withColumn("level", F.explode(F.sequence("_own", last)) if coarser else F.col("_own"))
+    sized = each.withColumn("size", F.get(F.array(*map(F.lit, sizes)), F.col("level")))
+    wide = sized.select("*", F.explode(F.sequence(F.floor(F.col("ul_x") / F.col("size")), F.floor(F.col("lr_x") / F.col("size")))).alias("cell_x"))
+    return wide.select("*", F.explode(F.sequence(F.floor(F.col("lr_y") / F.col("size")), F.floor(F.col("ul_y") / F.col("size")))).alias("cell_y"))
+
+
 #: Tests of a point in a rectangle: strict on all sides; half-open (left and upper edge belong).
 WITHIN = {
     "strict": lambda x, y: (x > F.col("ul_x")) & (x < F.col("lr_x")) & (y > F.col("lr_y")) & (y < F.col("ul_y")),
@@ -43,23 +78,33 @@ WITHIN = {
 
 
 def points_in_rects(points: DataFrame, rects: DataFrame, rule: str, size: float | None = None) -> DataFrame:
-    """All pairs of a point (x, y) and a rectangle that holds it by a rule of ``WITHIN``."""
-    size = size or cell_size(rects)
-    placed = points.withColumns({"cell_x": F.floor(F.col("x") / size), "cell_y": F.floor(F.col("y") / size)})
-    return placed.join(by_cell(rects, size), ["cell_x", "cell_y"]).where(WITHIN[rule](F.col("x"), F.col("y"))).drop("cell_x", "cell_y")
+    """All pairs of a point (x, y) and a rectangle that holds it by a rule of ``WITHIN``.
+
+    Rectangles lie on cells that suit their extent, small ones and huge ones on levels of their own; a point lies in one
+    cell of each level.
+    """
+    sizes = [size] if size else cell_sizes(rects)
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("x") / s).alias("cell_x"), F.floor(F.col("y") / s).alias("cell_y")) for k, s in enumerate(sizes)]))
+    placed = points.select("*", at.alias("_at")).select(*points.columns, "_at.*")
+    cells = on_levels(rects, sizes).drop("_own", "size")
+    return placed.join(cells, ["level", "cell_x", "cell_y"]).where(WITHIN[rule](F.col("x"), F.col("y"))).drop("level", "cell_x", "cell_y")
 
 
 def rect_pairs(left: DataFrame, right: DataFrame, touching: bool, size: float | None = None) -> DataFrame:
-    """(left_id, right_id, area) of rectangles (id and corners) that share an area, or with ``touching`` a point at least."""
+    """(left_id, right_id, area) of rectangles (id and corners) that share an area, or with ``touching`` a point at least.
+
+    A rectangle lies on the cells of the level that suits its extent and of all coarser ones; a pair meets at the coarser
+    level of its two, in the cell that holds the lower left corner of what they share.
+    """
     names = ("ul_x", "ul_y", "lr_x", "lr_y")
-    size = size or max(cell_size(left), cell_size(right))
-    a = by_cell(left, size).select("cell_x", "cell_y", F.col("id").alias("left_id"), *[F.col(n).alias(f"a_{n}") for n in names])
-    b = by_cell(right, size).select("cell_x", "cell_y", F.col("id").alias("right_id"), *[F.col(n).alias(f"b_{n}") for n in names])
+    sizes = [size] if size else cell_sizes(left, right)
+    side = lambda r, name, short: on_levels(r, sizes, True).select("level", "size", "cell_x", "cell_y", F.col("_own").alias(f"{short}_own"), F.col("id").alias(name), *[F.col(n).alias(f"{short}_{n}") for n in names])
+    a, b = side(left, "left_id", "a"), side(right, "right_id", "b").drop("size")
     x, y = F.greatest("a_ul_x", "b_ul_x"), F.greatest("a_lr_y", "b_lr_y")
     width, height = F.least("a_lr_x", "b_lr_x") - x, F.least("a_ul_y", "b_ul_y") - y
     near = (width >= 0) & (height >= 0) if touching else (width > 0) & (height > 0)
-    once = (F.floor(x / size) == F.col("cell_x")) & (F.floor(y / size) == F.col("cell_y"))
-    return a.join(b, ["cell_x", "cell_y"]).where(near & once).select("left_id", "right_id", (width * height).alias("area"))
+    once = (F.floor(x / F.col("size")) == F.col("cell_x")) & (F.floor(y / F.col("size")) == F.col("cell_y")) & (F.greatest("a_own", "b_own") == F.col("level"))
+    return a.join(b, ["level", "cell_x", "cell_y"]).where(near & once).select("left_id", "right_id", (width * height).alias("area"))
 
 
 def touching_components(rects: DataFrame, size: float | None = None) -> DataFrame:

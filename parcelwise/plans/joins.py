@@ -87,7 +87,7 @@ def sample_rasters(spark, d):
 
 def zone_of_pixel(spark, d):
     c, n = src.table(spark, d, "customer"), src.table(spark, d, "nation")
-    zones = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("custkey"), F.col("n_regionkey").alias("zone"))
+    zones = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("custkey"), F.col("n_regionkey").alias("zone"))
     return src.pixels(spark, d).join(zones, "custkey").groupBy("zone").agg(F.count("*").alias("n"), F.sum("id").alias("sum_id"))
 
 

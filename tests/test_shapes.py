@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.functions import projection, scalars
-from parcelwise.operators import accuracy, evaluation, grid, polygons, predictors, sampling, trees
+from parcelwise.operators import accuracy, evaluation, grid, polygons, predictors, sampling, spatial, trees
 from parcelwise.sources import rasters
 from parcelwise.sources import tables as src
 from parcelwise.sources.sqlite import read_sqlite
@@ -279,3 +279,18 @@ def test_a_whole_evaluation_leaves_out_what_has_no_data(spark, tmp_path):
     assert (z.zone, z.n) == (4, len(inner)) and z.difference_mean == pytest.approx(sum(r[2] - r[3] for r in inner) / len(inner))
     evaluation.write_evaluation(found, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "difference")).count() == len(held) and spark.read.csv(str(tmp_path / "out" / "zones_near"), sep="\t", header=True).count() == 1
+
+
+def test_rectangles_of_very_mixed_extents_meet_on_levels_of_cells(spark):
+    rng = random.Random(15)
+    rects = [(k, x, y + h, x + w, y) for k in range(160) for s in [rng.choice([1, 1, 1, 30, 900, 20_000])] for x, y, w, h in [(rng.randint(-20_000, 20_000), rng.randint(-20_000, 20_000), rng.randint(0, 2 * s), rng.randint(0, 2 * s))]]
+    rects += [(200 + k, 3 * k, 3, 3 * k + 3, 0) for k in range(20)]
+    df = spark.createDataFrame(rects, "id int, ul_x int, ul_y int, lr_x int, lr_y int")
+    assert len(spatial.cell_sizes(df)) > 2
+    shared = lambda a, b: (min(a[3], b[3]) - max(a[1], b[1]), min(a[2], b[2]) - max(a[4], b[4]))
+    for touching in (True, False):
+        want = sorted((a[0], b[0], w * h) for a in rects for b in rects for w, h in [shared(a, b)] if (min(w, h) >= 0 if touching else min(w, h) > 0))
+        assert sorted(map(tuple, spatial.rect_pairs(df, df, touching).collect())) == want
+    points = [(rng.choice([r[1] for r in rects]) + rng.randint(-2, 2), rng.choice([r[2] for r in rects]) + rng.randint(-2, 2)) for _ in range(400)] + [(r[1], r[2]) for r in rects]
+    held = spatial.points_in_rects(spark.createDataFrame(points, "x int, y int"), df, "half_open")
+    assert sorted((r.x, r.y, r.id) for r in held.collect()) == sorted((x, y, r[0]) for x, y in points for r in rects if r[1] <= x < r[3] and r[4] < y <= r[2])
