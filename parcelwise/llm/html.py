@@ -6,10 +6,13 @@ another; what doesn't match becomes optional, what recurs side by side becomes r
 a slot. Tasks align the pages they scan into one partial wrapper for each host, and partial wrappers of a host are
 aligned with each other in the same way, in a fixed order, so no host's pages meet in one place.
 
+Literals are found before neighbouring texts become one slot: blocks of text that at least ``OFTEN`` of a host's
+different pages have, ``FIRM`` of them or more, counted over all of its pages.
+
 Each page is then matched with its host's wrapper, child by child: optional parts may be missing, repeated ones take as
 many children as fit. The place in the wrapper decides what a text is: slots inside the part that holds the host's
-articles are main text, texts that stay the same on ``FIRM`` different pages and parts whose names say what they are
-(menus, adverts, comments and the like) aren't.
+articles are main text; literals, texts that stay the same wherever their place is filled, and parts whose names say
+what they are (menus, adverts, comments and the like) aren't.
 """
 
 from __future__ import annotations
@@ -42,12 +45,14 @@ ASIDE_WORDS = frozenset(
     "signup login search form widget pagination pager toolbar skip tags copyright legal side menubar topnav topbar dropdown crumbs alert discussion feedback".split()
 )
 #: Words that may stand beside those without changing what a name says.
-PLAIN_WORDS = frozenset("site page top bottom left right main global primary secondary list box block wrap wrapper container section area item items inner outer links link posts post bar media buttons icons text content unit slot row col column head body reader readers user users visitor new latest recent more all count js is has active open sticky fixed small large full half desktop mobile sm md lg xl xs".split())
+PLAIN_WORDS = frozenset("article articles story stories site page top bottom left right main global primary secondary list box block wrap wrapper container section area item items inner outer links link posts post bar media buttons icons text content unit slot row col column head body reader readers user users visitor new latest recent more all count js is has active open sticky fixed small large full half desktop mobile sm md lg xl xs".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Levels that keep elements of their own; what is nested deeper belongs to the element at this level, as in browsers.
 LEVELS = 200
 #: Different pages on which a text must be the same to count as fixed, children that a wrapper keeps in order, and kinds of them that it tells apart by name.
 FIRM, IN_ORDER, NAMED = 5, 40, 200
+#: The share of a host's different pages that have a literal.
+OFTEN = 0.9
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*+)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.IGNORECASE)
@@ -232,7 +237,12 @@ def parts(node: Node, aside: int) -> list[tuple[str, object]]:
 
 
 def wrapper(page: Node) -> list:
-    """A page as a wrapper of its own. The page counts by the texts outside its asides, so copies of an article under one frame count once."""
+    """A page as a wrapper of its own, see ``built_from``."""
+    return built_from(page)[0]
+
+
+def built_from(page: Node) -> tuple[list, str, set[str]]:
+    """A page as a wrapper of its own, its mark, and its blocks of text outside its asides as digest:length. The page counts by the texts outside its asides, so copies of an article under one frame count once."""
     said: list[str] = []
 
     def built(node: Node, aside: int) -> list:
@@ -253,7 +263,7 @@ def wrapper(page: Node) -> list:
         x = todo.pop()
         x[PAGES] = [mark]
         todo += x[CHILDREN]
-    return whole
+    return whole, mark, {f"{digest(x)}:{len(x)}" for x in said}
 
 
 def repeats(children: list[list]) -> list[list]:
@@ -426,7 +436,7 @@ class Expression:
         return self.below[k]
 
 
-def matched(node: Node, expression: Expression, where: dict, out: list[str]) -> None:
+def matched(node: Node, expression: Expression, where: dict, literals: frozenset[str], out: list[str]) -> None:
     """Add an element's main text to ``out``, its children matched with those of the wrapper one after another."""
     at = -1
     for label, x in parts(node, where["aside"]):
@@ -435,18 +445,19 @@ def matched(node: Node, expression: Expression, where: dict, out: list[str]) ->
         if place is not None:
             at, said = place, expression.nodes[place]
         if label == TEXT:
-            if not (said and said[3] and where["fixed"] and said[3] == digest(x)):
+            mark = digest(x) if literals or (said and said[3]) else ""
+            if mark not in literals and not (said and said[3] and where["fixed"] and said[3] == mark):
                 out.append(x)
         elif said is not None and not x.aside & BY_KIND:
             if not said[2]:
-                matched(x, expression.child(place), where, out)
+                matched(x, expression.child(place), where, literals, out)
         elif not x.aside & where["aside"]:
             if value := content(x, where["aside"]):
                 out.append(value)
 
 
-def extracted(tree: Node, where: dict) -> str | None:
-    """The main text of a page by a rule; None if the page has no such place."""
+def extracted(tree: Node, where: dict, literals: frozenset[str] = frozenset()) -> str | None:
+    """The main text of a page by a rule and its host's literals; None if the page has no such place. A page of literals alone is one that its host shows again and again: its text stays."""
     level = [tree]
     for label in where["path"]:
         inner = [c for x in level for c in x.children if isinstance(c, Node) and not c.aside & where["aside"]]
@@ -457,8 +468,8 @@ def extracted(tree: Node, where: dict) -> str | None:
         where["matcher"] = Expression(where["expression"][4])
     out: list[str] = []
     for x in level:
-        matched(x, where["matcher"], where, out)
-    return " ".join(out)
+        matched(x, where["matcher"], where, literals, out)
+    return extracted(tree, where) if literals and not out else " ".join(out)
 
 
 def host_of(url):
@@ -472,23 +483,30 @@ HELD_HOSTS = 2000
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper, rule): for each host its wrapper and what follows from it, as JSON."""
+    """(host, wrapper, rule, literals): for each host its wrapper and what follows from it, as JSON, and the digests of its literals."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
+    schema = "host string, wrapper string, mark string, block string"
 
     def passed_on(held: dict[str, list]):
         for host, own in held.items():
-            yield pa.record_batch({"host": [host], "wrapper": [json.dumps(own)]})
+            yield pa.record_batch({"host": [host], "wrapper": [json.dumps(own)], "mark": pa.array([None], pa.string()), "block": pa.array([None], pa.string())})
 
     def scan(batches):
-        """Partial wrappers; a task passes on what it holds after so many hosts, whose parts then meet with the others."""
+        """Partial wrappers, and a row for each page and block; a task passes on the wrappers it holds after so many hosts, whose parts then meet with the others."""
         held: dict[str, list] = {}
         for b in batches:
+            hosts, marks, blocks = [], [], []
             for host, page in zip(b["host"].to_pylist(), b["html"].to_pylist(), strict=True):
-                own = wrapper(parsed(page))
+                own, mark, said = built_from(parsed(page))
                 held[host] = merged(held[host], own) if host in held else own
+                for block in ("", *said):  # the page itself as a block without text
+                    hosts.append(host)
+                    marks.append(mark)
+                    blocks.append(block)
                 if len(held) >= HELD_HOSTS:
                     yield from passed_on(held)
                     held = {}
+            yield pa.record_batch({"host": hosts, "wrapper": pa.array([None] * len(hosts), pa.string()), "mark": marks, "block": blocks}) if hosts else pa.RecordBatch.from_pylist([], pa.schema([(c, pa.string()) for c in ("host", "wrapper", "mark", "block")]))
         yield from passed_on(held)
 
     def meet(batches):
@@ -508,8 +526,17 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     def finished(host: str, own: list):
         return pa.record_batch({"host": [host], "wrapper": [json.dumps(own)], "rule": [json.dumps(rule(own))]})
 
-    partial = rows.mapInArrow(scan, "host string, wrapper string")
-    return partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(meet, "host string, wrapper string, rule string")
+    found = written(rows.mapInArrow(scan, schema), "partial-wrappers")
+    # different pages with each block; copies of a page are one
+    counts = found.where("wrapper IS NULL").select("host", "block", "mark").distinct().groupBy("host", "block").agg(F.count("*").alias("n"))
+    size = F.substring_index("block", ":", -1).cast("long") * F.col("n")
+    hosts = counts.groupBy("host").agg(F.max(F.when(F.col("block") == "", F.col("n"))).alias("pages"), F.sum(F.when(F.col("block") != "", size)).alias("said"))
+    often = counts.where((F.col("n") >= FIRM) & (F.col("block") != "")).join(hosts, "host").where(F.col("n") >= OFTEN * F.col("pages"))
+    literals = often.groupBy("host").agg(F.collect_list(F.substring_index("block", ":", 1)).alias("literals"), F.sum(size).alias("fixed"), F.first("said").alias("said"))  # at most blocks a page / OFTEN
+    # where most of what a host says is literal, its pages are versions of one text
+    literals = literals.where("fixed < 0.5 * said").select("host", "literals")
+    whole = found.where("wrapper IS NOT NULL").select("host", "wrapper").repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(meet, "host string, wrapper string, rule string")
+    return whole.join(literals, "host", "left")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -521,16 +548,17 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     ``broadcast_bytes``; else pages are joined with them by host, where Spark splits the pages of a hot host.
     """
     key_type = pages.schema[key].dataType.simpleString()
-    rules = written(wrappers(pages, url, html).select("host", "rule"), "rules")
-    held = rules.agg(F.sum(F.octet_length("rule") + F.octet_length("host"))).first()[0] or 0
+    rules = written(wrappers(pages, url, html).select("host", "rule", F.coalesce(F.array_join("literals", " "), F.lit("")).alias("literals")), "rules")
+    held = rules.agg(F.sum(F.octet_length("rule") + F.octet_length("host") + F.octet_length("literals"))).first()[0] or 0
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"), host_of(F.col(url)).alias("host"))
-    joined_rows = rows.join(F.broadcast(rules) if held < broadcast_bytes else rules, "host", "left").select("key", "url", "html", "rule")
+    joined_rows = rows.join(F.broadcast(rules) if held < broadcast_bytes else rules, "host", "left").select("key", "url", "html", "rule", "literals")
 
     def run(batches):
         known: dict[str, dict] = {}
+        fixed_of: dict[str, frozenset[str]] = {}
         for b in batches:
             out = []
-            for page, said in zip(b["html"].to_pylist(), b["rule"].to_pylist(), strict=True):
+            for page, said, fixed_texts in zip(b["html"].to_pylist(), b["rule"].to_pylist(), b["literals"].to_pylist(), strict=True):
                 if not page:
                     out.append("")
                     continue
@@ -538,9 +566,13 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                     if len(known) >= HELD_HOSTS:
                         known.clear()
                     known[said] = json.loads(said)
-                tree = parsed(page)
-                value = extracted(tree, known[said])
-                out.append(extracted(tree, rule(wrapper(tree))) or "" if value is None else value)
+                if fixed_texts not in fixed_of:
+                    if len(fixed_of) >= HELD_HOSTS:
+                        fixed_of.clear()
+                    fixed_of[fixed_texts] = frozenset(fixed_texts.split())
+                tree, literals = parsed(page), fixed_of[fixed_texts]
+                value = extracted(tree, known[said], literals)
+                out.append(extracted(tree, rule(wrapper(tree)), literals) or "" if value is None else value)
             yield pa.record_batch({"key": b["key"], "url": b["url"], "text": pa.array(out, pa.string()), "n_chars": pa.array([len(x) for x in out], pa.int64())})
 
     return joined_rows.mapInArrow(run, f"key {key_type}, url string, text string, n_chars long").select(F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars")
