@@ -173,6 +173,21 @@ def plain(rows: DataFrame, pred: str, ref: str, by: Sequence[str] = ()) -> DataF
     return out.withColumns({"commission": 1 - F.col("user"), "omission": 1 - F.col("producer"), "f1": F.try_divide(2 * F.col("hits"), F.col("n_pred") + F.col("n_ref"))})
 
 
+def plain_without(rows: DataFrame, pred: str, ref: str, nodata, by: Sequence[str] = ()) -> DataFrame:
+    """(by, class, n_pred, n_ref, hits, commission, omission, accuracy): counts in which pairs with ``nodata`` on either side are zero, while its class stays on the axis.
+
+    Rates have four digits, null where a class has no pixels left; ``accuracy`` is the group's. Classes are those met on
+    either side before ``nodata`` is taken out.
+    """
+    by = list(by)
+    axis = rows.select(*by, F.explode(F.array(pred, ref)).alias("class")).where(F.col("class").isNotNull()).distinct()
+    held = plain(rows.where((F.col(pred) != F.lit(nodata)) & (F.col(ref) != F.lit(nodata))), pred, ref, by).select(*by, "class", "n_pred", "n_ref", "hits")
+    both = axis.alias("a").join(held.alias("b"), same("a", "b", [*by, "class"]), "left").select("a.*", *[F.coalesce(F.col(f"b.{c}"), F.lit(0)).cast("bigint").alias(c) for c in ("n_pred", "n_ref", "hits")])
+    group = Window.partitionBy(*by)  # one row a class
+    rate = lambda n: F.bround(F.try_divide(F.col(n) - F.col("hits"), n), 4)
+    return both.select(*by, "class", "n_pred", "n_ref", "hits", rate("n_pred").alias("commission"), rate("n_ref").alias("omission"), F.bround(F.try_divide(F.sum("hits").over(group), F.sum("n_ref").over(group)), 4).alias("accuracy"))
+
+
 def same(left: str, right: str, keys: Sequence[str]) -> Column:
     """Equality of keys of two aliased tables, nulls too."""
     out = F.lit(True)
@@ -200,6 +215,16 @@ def sums_before(rows: DataFrame, order: str, values: Sequence[str], descending:
     return out.select(*[F.col(f"a.{c}").alias(c) for c in rows.columns], *[(F.col(f"b._{v}") + F.col(f"a.before_{v}")).alias(f"before_{v}") for v in values])
 
 
+def numbered(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
+    """``rows`` with their place from 0 in the order of a column whose values are all different; by ranges, so no window holds all rows."""
+    return sums_before(rows.withColumn("_one", F.lit(1)), order, ["_one"]).withColumn(name, F.col("before__one").cast("bigint")).drop("_one", "before__one")
+
+
+def side_by_side(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Two tables put together row by row, the first of one beside the first of the other, nulls where one is longer; columns of equal names aren't allowed."""
+    return numbered(left, left_order).join(numbered(right, right_order), "place", "full")
+
+
 def auc(rows: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by rank sums with average ranks, null where one class is missing.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import ensemble, focal, grid, predictors, sampling, spatial
+from ..operators import accuracy, ensemble, focal, grid, predictors, sampling, spatial
 from ..session import cut
 from ..sources import tables as src
 from .common import rounded
@@ -310,10 +310,16 @@ def path_templates(spark, d):
 
 
 def chunked_list(spark, d):
-    """Tile ids in lists of seven."""
-    t = src.pixels(spark, d).select("tile_id").distinct()
-    numbered = t.withColumn("chunk", F.floor(F.col("tile_id") / 7).cast("int"))
-    return numbered.groupBy("chunk").agg(F.concat_ws("_", F.transform(F.array_sort(F.collect_list("tile_id")), lambda x: x.cast("string"))).alias("tiles"))
+    """Tile ids in order, in lists of seven."""
+    t = accuracy.numbered(src.pixels(spark, d).select("tile_id").distinct(), "tile_id")
+    chunks = t.withColumn("chunk", F.floor(F.col("place") / 7).cast("int"))
+    return chunks.groupBy("chunk").agg(F.concat_ws("_", F.transform(F.array_sort(F.collect_list("tile_id")), lambda x: x.cast("string"))).alias("tiles"))
+
+
+def positional_merge(spark, d):
+    """Rectangles in order beside the tiles in order, row by row."""
+    tiles = src.pixels(spark, d).groupBy("tile_id").agg(F.count("*").alias("n"))
+    return accuracy.side_by_side(src.rectangles(spark, d).select("set_id", "ul_x"), tiles, "set_id", "tile_id")
 
 
 def epoch_tables(spark, d):
@@ -440,7 +446,8 @@ ALL = {
       CAST(len(list_filter(h, lambda x: x = 4.0)) AS INTEGER) AS num_pix_equal, CAST(len(list_filter(h, lambda x: x >= 2 AND x < 8)) AS INTEGER) AS num_pix_between FROM (SELECT l_orderkey, m, list_filter(m, lambda x: x IS NOT NULL) AS h FROM (SELECT l_orderkey, {M} AS m FROM lineitem))"""),
     "kernel_sum": (kernel_sum, sql("px", body="SELECT id, " + ", ".join(f"2 * (id * {k} % 7) AS sum_old_new_{k}" for k in (1, 2, 3)) + " FROM px")),
     "path_templates": (path_templates, sql("px", body="SELECT DISTINCT tile_id, '/maps/' || right('0000' || tile_id, 4) || '/band_2001.tif' AS path FROM px")),
-    "chunked_list": (chunked_list, sql("px", body="SELECT CAST(tile_id // 7 AS INTEGER) AS chunk, string_agg(CAST(tile_id AS VARCHAR), '_' ORDER BY tile_id) AS tiles FROM (SELECT DISTINCT tile_id FROM px) GROUP BY 1")),
+    "chunked_list": (chunked_list, sql("px", body="SELECT CAST(k // 7 AS INTEGER) AS chunk, string_agg(CAST(tile_id AS VARCHAR), '_' ORDER BY tile_id) AS tiles FROM (SELECT tile_id, row_number() OVER (ORDER BY tile_id) - 1 AS k FROM (SELECT DISTINCT tile_id FROM px)) GROUP BY 1")),
+    "positional_merge": (positional_merge, sql("px", "rect", body=", a AS (SELECT row_number() OVER (ORDER BY set_id) - 1 AS place, set_id, ul_x FROM rect), b AS (SELECT row_number() OVER (ORDER BY tile_id) - 1 AS place, tile_id, n FROM (SELECT tile_id, count(*) AS n FROM px GROUP BY 1)) SELECT * FROM a FULL JOIN b USING (place)")),
     "epoch_tables": (epoch_tables, f"SELECT CAST(epoch AS INTEGER) AS epoch, length, start, CAST(CASE {EPOCHS} ELSE epoch END AS INTEGER) AS year FROM (SELECT DISTINCT day(ts) % 8 AS epoch FROM events), (VALUES {KINDS}) t(length, start)"),
     "pair_split": (pair_split, sql("px", "votes", body=f""", {PAIRS} SELECT 'pairs' AS kind, a."row" IS NOT NULL AS train, count(*) AS n, CAST(sum(id) AS BIGINT) AS sum_id FROM q LEFT JOIN a ON q."row" = a."row" AND q.col = a.col GROUP BY 2
       UNION ALL SELECT 'separately', "row" IN (SELECT "row" FROM s) AND col IN (SELECT col FROM s), count(*), CAST(sum(id) AS BIGINT) FROM q GROUP BY 2""")),

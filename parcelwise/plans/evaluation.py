@@ -27,6 +27,11 @@ def area_adjusted(spark, d):
     return rounded(accuracy.with_empty_classes(matrix(spark, d), classes))
 
 
+def nodata_zeroed(spark, d):
+    """Errors of each region's classes with class 0 as nodata."""
+    return accuracy.plain_without(binned(spark, d), "p", "r", 0, ["priority"])
+
+
 def int_bins(spark, d):
     """The matrix over as many bins as a number says, from the reference's range."""
     p = src.pairs(spark, d)
@@ -238,6 +243,9 @@ FIT = """, h AS (SELECT priority, x.side, CAST(ref AS DOUBLE) AS t, CAST(pred AS
 ALL = {
     "confusion_area_adjusted": (area_adjusted, sql("pair", body=f""", {MATRIX} SELECT CAST(x.k AS INTEGER) AS pred, CAST(y.k AS INTEGER) AS ref, n, total_pxl, round(pct_area, 6) AS pct_area, n_pred, round(adj, 6) AS adj
       FROM range(11) x(k) CROSS JOIN range(11) y(k) LEFT JOIN m ON m.pred = x.k AND m.ref = y.k""")),
+    "confusion_nodata_zeroed": (nodata_zeroed, sql("pair", body=f""", {BINNED}, a AS (SELECT DISTINCT priority, unnest([p, r]) AS class FROM b), h AS (SELECT * FROM b WHERE p <> 0 AND r <> 0),
+      c AS (SELECT a.*, (SELECT count(*) FROM h WHERE h.priority = a.priority AND h.p = a.class) AS n_pred, (SELECT count(*) FROM h WHERE h.priority = a.priority AND h.r = a.class) AS n_ref, (SELECT count(*) FROM h WHERE h.priority = a.priority AND h.r = a.class AND h.p = a.class) AS hits FROM a WHERE class IS NOT NULL)
+      SELECT *, round_even((n_pred - hits) / CAST(nullif(n_pred, 0) AS DOUBLE), 4) AS commission, round_even((n_ref - hits) / CAST(nullif(n_ref, 0) AS DOUBLE), 4) AS omission, round_even(sum(hits) OVER (PARTITION BY priority) / CAST(sum(n_ref) OVER (PARTITION BY priority) AS DOUBLE), 4) AS accuracy FROM c""")),
     "confusion_int_bins": (int_bins, sql("pair", body=f", {INT_MATRIX} {LONG}")),
     "confusion_best_match": (matched(True), matched_sql("pred", "best")),
     "confusion_mean_match": (matched(False), matched_sql("mean_pred", "mean_ref")),

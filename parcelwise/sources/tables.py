@@ -135,10 +135,22 @@ def write_series(pixels: DataFrame, path: str, attributes: dict) -> None:
     pixels.sparkSession.createDataFrame([(str(k), str(v)) for k, v in attributes.items()], "key string, value string").coalesce(1).write.json(f"{path}.attributes")
 
 
-def write_manifest(spark: SparkSession, path: str, parameters: dict, outputs: list[str], revision: str = "") -> None:
-    """What made some outputs: one row for each, with the parameters and the code's revision, appended."""
+def last_commit(folder: str) -> str:
+    """The last commit of the git repository that a folder of the driver lies in; empty where there is none."""
+    import subprocess
+
+    try:
+        return subprocess.run(["git", "-C", folder, "log", "-1", "--format=%H"], capture_output=True, text=True, check=True).stdout.strip()
+    except (OSError, subprocess.CalledProcessError):
+        return ""
+
+
+def write_manifest(spark: SparkSession, path: str, parameters: dict, outputs: list[str], revision: str | None = None) -> None:
+    """What made some outputs: one row for each, with the parameters and the code's revision, that of the working folder unless given, appended."""
     import json
 
+    revision = last_commit(".") if revision is None else revision
+
     rows = [(o, json.dumps(parameters, sort_keys=True), revision) for o in outputs]
     made = spark.createDataFrame(rows, "output string, parameters string, revision string").withColumn("made_at", F.current_timestamp())
     made.coalesce(1).write.mode("append").json(path)

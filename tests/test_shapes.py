@@ -294,3 +294,27 @@ def test_rectangles_of_very_mixed_extents_meet_on_levels_of_cells(spark):
     points = [(rng.choice([r[1] for r in rects]) + rng.randint(-2, 2), rng.choice([r[2] for r in rects]) + rng.randint(-2, 2)) for _ in range(400)] + [(r[1], r[2]) for r in rects]
     held = spatial.points_in_rects(spark.createDataFrame(points, "x int, y int"), df, "half_open")
     assert sorted((r.x, r.y, r.id) for r in held.collect()) == sorted((x, y, r[0]) for x, y in points for r in rects if r[1] <= x < r[3] and r[4] < y <= r[2])
+
+
+def test_manifests_name_the_commit_that_made_an_output(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@e", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init")
+    (tmp_path / "a").write_text("1")
+    git("add", "a")
+    git("commit", "-m", "first")
+    assert src.last_commit(str(tmp_path)) == git("rev-parse", "HEAD") and src.last_commit(str(tmp_path / "nowhere")) == ""
+
+
+def test_nodata_counts_nowhere_but_keeps_its_class(spark):
+    pairs = [("a", 1, 1)] * 3 + [("a", 1, 2), ("a", 0, 1), ("a", 2, 0), ("a", 2, 2), ("b", 0, 5), ("b", 5, 0), (None, 3, 3), (None, 3, 4)]
+    df = spark.createDataFrame(pairs, "g string, p int, r int")
+    got = {(r.g, r["class"]): tuple(r)[2:] for r in accuracy.plain_without(df, "p", "r", 0, ["g"]).collect()}
+    assert got["a", 1] == (4, 3, 3, 0.25, 0.0, 0.8) and got["a", 2] == (1, 2, 1, 0.0, 0.5, 0.8) and got["a", 0] == (0, 0, 0, None, None, 0.8)
+    assert got["b", 5] == (0, 0, 0, None, None, None) and got[None, 4] == (0, 1, 0, None, 1.0, 0.5) and len(got) == 7
+
+
+def test_rows_side_by_side(spark):
+    left, right = spark.createDataFrame([(9,), (4,), (7,)], "a int"), spark.createDataFrame([("x",), ("b",)], "s string")
+    assert [tuple(r) for r in accuracy.side_by_side(left, right, "a", "s").orderBy("place").collect()] == [(0, 4, "b"), (1, 7, "x"), (2, 9, None)]
