@@ -1,7 +1,7 @@
 """Polygons of several rings: filled into runs of pixels, asked for the points they hold, clipped, and rectangles united.
 
-A polygon is rows with ``rings`` ARRAY<ARRAY<STRUCT<x, y>>>, each ring closed; what an odd number of rings surrounds is
-inside, so a ring within a ring is a hole. All follow one rule: a point is inside if a ray to the right crosses an odd
+A polygon is rows with ``rings`` ARRAY<ARRAY<STRUCT<x, y>>>, each ring closed or taken to be; what an odd number of rings
+surrounds is inside, so a ring within a ring is a hole. All follow one rule: a point is inside if a ray to the right crosses an odd
 number of edges, so that left and lower edges belong and polygons that share an edge share no point. Null and empty
 rings hold nothing.
 """
@@ -21,11 +21,16 @@ BLOCK = 64
 ACROSS = 16
 
 
+def sides(ring: Column, of) -> Column:
+    """``of`` each two neighbouring corners of a ring, the last and the first too."""
+    return F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), of)
+
+
 def edges(polygons: DataFrame, keys: Sequence[str], rings: str = "rings") -> DataFrame:
     """(keys, ax, ay, bx, by): the edges of all rings that have a length."""
     ring = polygons.select(*keys, F.explode(rings).alias("_ring")).where(F.size("_ring") > 1)
-    sides = F.zip_with(F.slice("_ring", 1, F.size("_ring") - 1), F.slice("_ring", 2, F.size("_ring") - 1), lambda a, b: F.struct(a["x"].cast("double").alias("ax"), a["y"].cast("double").alias("ay"), b["x"].cast("double").alias("bx"), b["y"].cast("double").alias("by")))
-    return ring.select(*keys, F.inline(sides)).where("ax <> bx OR ay <> by")
+    each = sides(F.col("_ring"), lambda a, b: F.struct(a["x"].cast("double").alias("ax"), a["y"].cast("double").alias("ay"), b["x"].cast("double").alias("bx"), b["y"].cast("double").alias("by")))
+    return ring.select(*keys, F.inline(each)).where("ax <> bx OR ay <> by")
 
 
 def crossing(y: Column) -> Column:
@@ -80,9 +85,9 @@ def pixels_in(pixels: DataFrame, polygons: DataFrame, keys: Sequence[str], affin
 
 def inside(x: Column, y: Column, rings: Column) -> Column:
     """The ray rule over all rings."""
-    sides = F.flatten(F.transform(rings, lambda r: F.when(F.size(r) > 1, F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array())))
+    each = F.flatten(F.transform(rings, lambda r: F.when(F.size(r) > 1, sides(r, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array())))
     at = lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.when(e["b"]["y"] != e["a"]["y"], e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]
-    return F.size(F.filter(sides, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < at(e)))) % 2 == 1
+    return F.size(F.filter(each, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < at(e)))) % 2 == 1
 
 
 def covering_cells(polygons: DataFrame, key: str, size: float, rings: str = "rings") -> DataFrame:
@@ -124,9 +129,8 @@ def points_in(points: DataFrame, polygons: DataFrame, key: str, rings: str = "ri
 
 def ring_area(ring: Column) -> Column:
     """The area that a closed ring surrounds, positive if its corners run against the clock; 0 of null and empty rings."""
-    n = F.size(ring)
-    sides = F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.when(n > 2, F.aggregate(sides, F.lit(0.0), lambda s, v: s + v) / 2).otherwise(0.0)
+    each = sides(ring, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    return F.when(F.size(ring) > 2, F.aggregate(each, F.lit(0.0), lambda s, v: s + v) / 2).otherwise(0.0)
 
 
 def half_plane(ring: Column, axis: str, bound: Column, above: bool) -> Column:
@@ -143,9 +147,8 @@ def half_plane(ring: Column, axis: str, bound: Column, above: bool) -> Column:
         crossing = F.when(holds(a) != holds(b), F.array(cut(a, b))).otherwise(F.array())
         return F.concat(crossing, F.when(holds(b), F.array(b)).otherwise(F.array()))
 
-    n = F.size(ring)
-    out = F.flatten(F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), kept))
-    return F.when(n > 1, F.when(F.size(out) > 0, F.concat(out, F.slice(out, 1, 1))).otherwise(out)).otherwise(ring)
+    out = F.flatten(sides(ring, kept))
+    return F.when(F.size(ring) > 1, F.when(F.size(out) > 0, F.concat(out, F.slice(out, 1, 1))).otherwise(out)).otherwise(ring)
 
 
 def clipped_rings(df: DataFrame, rings: str, ul_x: str, ul_y: str, lr_x: str, lr_y: str) -> DataFrame:

@@ -44,6 +44,14 @@ def shapes():
     return [[square, hole], [star], two, thin, [], None, [[]], [closed((1.0, 1.0))], [square, square], *random_ones]
 
 
+def test_rings_that_are_not_closed_are_taken_to_be(spark, shapes):
+    points = spark.range(400).select((F.col("id") % 20 - 5).cast("double").alias("x"), (F.floor(F.col("id") / 20) - 5).cast("double").alias("y"))
+    told = lambda rings: sorted(map(tuple, polygons.points_in(points, spark.createDataFrame([(1, rings)], RINGS), "id").collect()))
+    assert told([r[:-1] for r in shapes[0]]) == told(shapes[0]) != []
+    area = spark.createDataFrame([(1, [shapes[0][0][:-1]])], RINGS).select(polygons.ring_area(F.col("rings")[0])).first()[0]
+    assert area == 100.0
+
+
 def table(spark, shapes):
     return spark.createDataFrame([(k, s) for k, s in enumerate(shapes)], RINGS)
 
