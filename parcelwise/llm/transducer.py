@@ -255,6 +255,14 @@ class Transducer:
         return lasts[sum(len(pieces[t]) for t in paths[0][:agreed]) :]
 
 
+def next_open(parts: list, at: int) -> int:
+    """The place of the next None from ``at`` on, the end if there is none."""
+    try:
+        return parts.index(None, at)
+    except ValueError:
+        return len(parts)
+
+
 class Utf8Machine:
     """Bytes of tokens to text, token by token: a state is the bytes of a character that isn't whole yet, three at most.
 
@@ -306,14 +314,20 @@ class Utf8Machine:
 
     def text(self, ids: list[int | None]) -> str:
         try:
-            return "".join(map(self.closed.__getitem__, ids))  # every token leaves the machine where it began
+            parts = list(map(self.closed.__getitem__, ids))  # tokens that leave the machine where it began
+            if ids and min(ids) < 0:
+                raise IndexError
         except (TypeError, IndexError):
-            held, out, moves = b"", [], self.moves
-        for i in ids:
-            if i is not None:
-                held, text = moves.get((held, i)) or self.move(held, i)
-                out.append(text)
-        return "".join(out) + ("�" if held else "")
+            ids = [i for i in ids if i is not None and 0 <= i < len(self.pieces)]
+            parts = list(map(self.closed.__getitem__, ids))
+        held, at = b"", 0
+        while (at := next_open(parts, at)) < len(parts):
+            while True:
+                held, parts[at] = self.moves.get((held, ids[at])) or self.move(held, ids[at])
+                at += 1
+                if not held or at == len(parts):
+                    break
+        return "".join(parts) + ("\ufffd" if held else "")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -456,8 +470,14 @@ def digested(own: Decoder, table: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
     ids = table["ids"].combine_chunks() if isinstance(table, pa.Table) else table["ids"]
     key = table["key"].combine_chunks() if isinstance(table, pa.Table) else table["key"]
     counts = ids.value_lengths().to_numpy(zero_copy_only=False)
-    strings = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pc.take(own.decimals, ids.flatten()))
-    texts = pa.array([own.utf8.text(x) for x in ids.to_pylist()], pa.string())
+    flat = ids.flatten()
+    strings = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pc.take(own.decimals, flat))
+    if ids.null_count or flat.null_count:
+        each = [x or [] for x in ids.to_pylist()]
+    else:
+        values, ends = flat.to_numpy().tolist(), np.cumsum(counts).tolist()
+        each = [values[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    texts = pa.array(map(own.utf8.text, each), pa.string(), size=len(each))
     return pa.RecordBatch.from_arrays([key, pa.array(counts, pa.int64()), pc.binary_join(strings, ","), texts], ["key", "n_tokens", "joined", "decoded"])
 
 
