@@ -468,7 +468,7 @@ def test_gradients_match_differences():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(spark, name):
     data, c = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     ours = queries.QUERIES[name](spark, data)
     assert sorted(map(tuple, ours.collect()), key=str) == sorted(c.sql(f"SELECT {', '.join(ours.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall(), key=str)
