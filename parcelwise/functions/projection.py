@@ -9,6 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def half_turns(latitude: Column) -> Column:
+    """How often a latitude has passed a pole, southward less than 0: 0 from -90 to below 90."""
+    return F.floor((latitude + 90) / 180)
+
+
+def unfolded(latitude: Column, turns: Column) -> Column:
+    """A latitude on the globe as the one that has passed poles so often; a projection sees the sine only and tells them apart no more."""
+    return 180 * turns + F.when(turns % 2 == 0, latitude).otherwise(-latitude)
+
+
 @dataclass(frozen=True)
 class Albers:
     """A projection by its standard parallels, origin and offsets in degrees and metres; the ellipsoid by its greater half-axis and flattening (a sphere: 0)."""
