@@ -103,7 +103,7 @@ def covering_cells(polygons: DataFrame, key: str, size: float, rings: str = "rin
     hair = F.lit(size * 1e-9)
     border = rows.select(key, "cell_y", cells_of(F.least(*ends) - hair, F.greatest(*ends) + hair, size).alias("cell_x")).distinct()
     runs = filled_runs(polygons, [key], (0, size, 0, 0, 0, size), rings).select(key, F.col("row").alias("cell_y"), F.explode(F.sequence("first", "last")).alias("cell_x"))
-    whole = runs.join(border, [key, "cell_x", "cell_y"], "left_anti").withColumn("border", F.lit(False))
+    whole = runs.join(border.hint("merge"), [key, "cell_x", "cell_y"], "left_anti").withColumn("border", F.lit(False))
     return border.withColumn("border", F.lit(True)).unionByName(whole)
 
 
@@ -120,9 +120,10 @@ def points_in(points: DataFrame, polygons: DataFrame, key: str, rings: str = "ri
         size = cell_size(boxes) * 2 / ACROSS
     cells = covering_cells(polygons, key, size, rings)
     placed = points.withColumns({"cell_x": F.floor(F.col("x") / size), "cell_y": F.floor(F.col("y") / size)})
-    met = placed.join(cells, ["cell_x", "cell_y"]).drop("cell_x", "cell_y")
+    # Spark takes what is exploded to be no larger than what it comes from, and would send it whole through the driver
+    met = placed.join(cells.hint("merge"), ["cell_x", "cell_y"]).drop("cell_x", "cell_y")
     whole = met.where(~F.col("border")).drop("border")
-    cast = met.where("border").join(polygons.select(key, F.col(rings).alias("_rings")), key)
+    cast = met.where("border").join(polygons.select(key, F.col(rings).alias("_rings")).hint("merge"), key)
     cast = cast.where(inside(F.col("x").cast("double"), F.col("y").cast("double"), F.col("_rings")))
     return whole.unionByName(cast.drop("border", "_rings"))
 
