@@ -273,7 +273,7 @@ def first_file(spark, d):
     """For each tile the first file, by name, whose name holds its padded id."""
     files = src.table(spark, d, "customer").select(F.concat(F.lit("dem_"), scalars.four_digits(F.col("c_custkey")), F.lit("_"), F.col("c_nationkey"), F.lit(".img")).alias("file"))
     ids = src.table(spark, d, "supplier").select("s_suppkey", scalars.four_digits(F.col("s_suppkey")).alias("tile"))
-    return spatial.names_holding(files, ids, "file", "tile", 4).groupBy("s_suppkey").agg(F.min("file").alias("file"))
+    return spatial.first_name_holding(files, ids, "file", "tile", 4).groupBy("s_suppkey").agg(F.min("file").alias("file"))
 
 
 def rules(spark, d):
