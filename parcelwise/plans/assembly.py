@@ -229,8 +229,7 @@ def runs_inventory(spark, d):
 def trial_averages(spark, d):
     """Error of repeated trials of sampled locations, and its average and median over them."""
     n = 50
-    p = src.pairs(spark, d).select("id", "tile_id", "ref", "pred", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("trial")).withColumn("key", F.col("id") * n + F.col("trial"))
-    drawn = sampling.quota_sample(p, ["trial", "tile_id"], "key", F.lit(2), 12)
+    drawn = sampling.repeated_quota(src.pairs(spark, d).select("id", "tile_id", "ref", "pred"), "tile_id", "id", 2, n, 12)
     diff = F.col("pred") - F.col("ref")
     each = drawn.groupBy("trial").agg(F.sqrt(F.avg(diff * diff)).alias("rmse"), F.count("*").alias("n"))
     return rounded(each.agg(F.avg("rmse").alias("rmse"), F.median("rmse").alias("rmse_median"), F.sum("n").alias("n")), 4)
