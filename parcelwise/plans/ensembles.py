@@ -42,9 +42,9 @@ def importance_rank(spark, d):
 
 
 def importance_map(spark, d):
-    long = ensemble.unpivoted(importance_table(spark, d), ["set_id"], COLUMNS)
-    whole = long.select("set_id", "variable", F.floor(100 * F.col("value")).cast("int").alias("pct"))
-    return src.votes(spark, d).select("id", "set_id").distinct().join(whole, "set_id").groupBy("id", "variable").agg(half_even(F.avg("pct")).alias("importance"))
+    whole = importance_table(spark, d).select("set_id", *[F.floor(100 * F.col(c)).cast("int").alias(c) for c in COLUMNS])
+    each = src.votes(spark, d).select("id", "set_id").distinct().join(whole, "set_id").groupBy("id").agg(*[half_even(F.avg(c)).alias(c) for c in COLUMNS])
+    return each.unpivot(["id"], COLUMNS, "variable", "importance")
 
 
 def oob_map(spark, d):
