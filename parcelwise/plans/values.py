@@ -122,8 +122,7 @@ def union_samples(spark, d):
 
 
 def label_union(spark, d):
-    p = src.pairs(spark, d)
-    return p.select(F.col("ref").alias("label")).union(p.select(F.col("pred").alias("label"))).distinct()
+    return src.pairs(spark, d).select(F.explode(F.array("ref", "pred")).alias("label")).distinct()
 
 
 def unmatched_labels(spark, d):
