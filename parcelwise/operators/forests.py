@@ -245,6 +245,20 @@ def predict_forest(rows: DataFrame, nodes: DataFrame, columns: Sequence[str], ke
     return asked.mapInArrow(led, rows.withColumn("predictions", F.lit(None).cast("array<double>")).schema)
 
 
+def error_by_trees(rows: DataFrame, target: str, trees: int) -> DataFrame:
+    """(n_trees, rmse, n): the error of the mean over the first n_trees of ``predictions``, nulls apart, of the rows that have any; running sums over each batch, of which a row for each number of trees is handed on."""
+
+    def added(batches):
+        for b in batches:
+            said = b["predictions"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, trees)
+            held = (~np.isnan(said)).cumsum(axis=1)
+            apart = np.nan_to_num(said).cumsum(axis=1) / np.maximum(held, 1) - b[target].to_numpy(zero_copy_only=False).astype(float)[:, None]
+            yield pa.record_batch({"n_trees": pa.array(np.arange(1, trees + 1, dtype=np.int32)), "ss": pa.array((apart**2 * (held > 0)).sum(axis=0)), "n": pa.array((held > 0).sum(axis=0))})
+
+    sums = rows.select(target, "predictions").mapInArrow(added, "n_trees int, ss double, n long").groupBy("n_trees").agg(F.sum("ss").alias("ss"), F.sum("n").alias("n"))
+    return sums.where("n > 0").select("n_trees", F.sqrt(F.col("ss") / F.col("n")).alias("rmse"), "n")
+
+
 def predict_zero_inflated(rows: DataFrame, models: tuple[DataFrame, DataFrame], columns: Sequence[str], key: str = "id") -> DataFrame:
     """(key, predictions): for each pair of trees the value where the share is over one half, else 0."""
     present, value = models
