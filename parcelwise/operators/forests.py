@@ -4,11 +4,13 @@ Rows are held once: their bins, their target and a key whose hash says which tre
 repeated for a tree. A level is one pass. Each task leads its rows down the trees as far as they are grown, adds them up
 by (tree, node, feature, bin, class) and hands on its sums; what meets in the shuffle has that many rows at most,
 whatever the table, and what comes to the driver is one split for each node. Levels with very many cells take several
-passes over some of the nodes each. Node tables are those of ``trees``.
+passes over some of the nodes each. Where the combinations of bins are few, all levels follow from sums by tree and
+combination, and the rows are passed once. Node tables are those of ``trees``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -24,6 +26,8 @@ from .trees import LEAST_LEAF, NODES
 
 #: Sums that a task holds in a pass.
 MOST_CELLS = 4_000_000
+#: Sums by tree, combination of bins and class up to which a forest is grown from one pass.
+FEW_CELLS = 1 << 18
 #: Which trees have a row in bag follows from its key and these.
 STRIDE, BAG_SEED = 1_000_003, 17
 
@@ -79,13 +83,19 @@ def _grow(rows: DataFrame, key: str, columns: list[str], stages: list[tuple[Colu
     target = [c for k, (y, keep) in enumerate(stages) for c in (y.cast("double").alias(f"y{k}"), keep.cast("boolean").alias(f"keep{k}"))]
     edges = bin_edges(rows, columns, bins)
     number = lambda c, of: F.size(F.filter(F.array(*map(F.lit, of)), lambda e: e < F.col(c).cast("double"))).cast("smallint") if of else F.lit(0).cast("smallint")
-    held = cut(rows.dropna(subset=columns).select(F.col(key).cast("bigint").alias("key"), *[number(c, of).alias(f"b{k}") for k, (c, of) in enumerate(zip(columns, edges, strict=True))], *target))
+    held = rows.dropna(subset=columns).select(F.col(key).cast("bigint").alias("key"), *[number(c, of).alias(f"b{k}") for k, (c, of) in enumerate(zip(columns, edges, strict=True))], *target)
     n_features, n_bins, n_stages, total = len(columns), bins, len(stages), trees * len(stages)
     grown = Growth(total, trees, fraction, np.full((total, 2 ** (max_depth + 1)), -1, np.int64), np.zeros((total, 2 ** (max_depth + 1)), np.int64))
     found: list[dict[int, tuple]] = [{} for _ in range(total)]
     wide = n_features * n_bins * n_classes
     sizes: dict[int, float] = {}
-    for level in range(max_depth + 1):
+    widths = [len(of) + 1 for of in edges]
+    few = math.prod(widths) * n_classes * total <= FEW_CELLS
+    if few:
+        found = _from_cells(held, widths, n_bins, n_stages, n_classes, trees, max_depth, max_features, fraction, seed)
+    else:
+        held = cut(held)
+    for level in range(max_depth + 1) if not few else ():
         open_nodes = [(t, node) for t in range(total) for node in range(2**level, 2 ** (level + 1)) if level == 0 or grown.feature[t, node // 2] >= 0]
         step = max(1, MOST_CELLS // wide)
         for at in range(0, len(open_nodes), step):
@@ -98,10 +108,7 @@ def _grow(rows: DataFrame, key: str, columns: list[str], stages: list[tuple[Colu
                 n, s = np.zeros(n_slots * wide), np.zeros(n_slots * wide)
                 some = [t for t in range(total) if (slot_of[t] >= 0).any()]
                 for b in batches:
-                    own = b["key"].to_numpy(zero_copy_only=False)
-                    at_bin = np.column_stack([b[f"b{k}"].to_numpy(zero_copy_only=False) for k in range(n_features)]).astype(np.int64)
-                    ys = [b[f"y{k}"].to_numpy(zero_copy_only=False) for k in range(n_stages)]
-                    keeps = [np.nan_to_num(b[f"keep{k}"].to_numpy(zero_copy_only=False).astype(float)).astype(bool) & ~np.isnan(ys[k]) for k in range(n_stages)]
+                    own, at_bin, ys, keeps = _arrays(b, n_features, n_stages)
                     for t in some:
                         y = ys[t // trees]
                         picked, node = grown.rows_of(t, own, at_bin, keeps[t // trees], level)
@@ -149,6 +156,66 @@ def _grow(rows: DataFrame, key: str, columns: list[str], stages: list[tuple[Colu
     return out
 
 
+def _arrays(b: pa.RecordBatch, n_features: int, n_stages: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Keys, bins by column, and for each stage the target and the rows that it is fitted to."""
+    at_bin = np.column_stack([b[f"b{k}"].to_numpy(zero_copy_only=False) for k in range(n_features)]).astype(np.int64)
+    ys = [b[f"y{k}"].to_numpy(zero_copy_only=False) for k in range(n_stages)]
+    keeps = [np.nan_to_num(b[f"keep{k}"].to_numpy(zero_copy_only=False).astype(float)).astype(bool) & ~np.isnan(ys[k]) for k in range(n_stages)]
+    return b["key"].to_numpy(zero_copy_only=False), at_bin, ys, keeps
+
+
+def _from_cells(rows: DataFrame, widths: list[int], n_bins: int, n_stages: int, n_classes: int, trees: int, max_depth: int, max_features: int | None, fraction: float, seed: int) -> list[dict[int, tuple]]:
+    """(feature, bin, gain, value) of each node of each tree by heap number: one pass adds rows up by tree, combination of bins and class; each tree grows from its sums in one task."""
+    n_features, total = len(widths), trees * n_stages
+    n_cells = math.prod(widths) * n_classes
+
+    def counted(batches):
+        n, s = np.zeros((total, n_cells)), np.zeros((total, n_cells))
+        for b in batches:
+            own, at_bin, ys, keeps = _arrays(b, n_features, n_stages)
+            cell = np.ravel_multi_index(at_bin.T, widths) * n_classes
+            for t in range(trees):
+                bag = in_bag(own, t, fraction)  # the same in each stage
+                for k in range(n_stages):
+                    picked = np.flatnonzero(bag & keeps[k])
+                    at = cell[picked] + (ys[k][picked].astype(np.int64) if n_classes > 1 else 0)
+                    n[k * trees + t] += np.bincount(at, minlength=n_cells)
+                    if n_classes == 1:
+                        s[k * trees + t] += np.bincount(at, ys[k][picked], minlength=n_cells)
+        tree, there = np.nonzero(n)
+        yield pa.record_batch({"tree": pa.array(tree.astype(np.int32)), "cell": pa.array(there), "n": pa.array(n[tree, there]), "s": pa.array((n if n_classes > 1 else s)[tree, there])})
+
+    def grown(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("cell")
+        tree, out = int(cells["tree"].iloc[0]), []
+        combo, label = np.divmod(cells["cell"].to_numpy(), n_classes)
+        at = np.stack(np.unravel_index(combo, widths))
+        sums = [cells[c].to_numpy() for c in ("n", "s")]
+        least = max(1, int(np.ceil(LEAST_LEAF * sums[0].sum())))
+
+        def grow(some: np.ndarray, node: int, level: int) -> None:
+            own = [np.zeros((n_features, n_bins, n_classes)) for _ in sums]
+            for held, value in zip(own, sums, strict=True):
+                for f in range(n_features):
+                    np.add.at(held[f], (at[f, some], label[some]), value[some])
+            drawn = _drawn(tree, node, n_features, max_features, seed) if max_features is not None and max_features < n_features else None
+            f, edge, gain, _, value = _best(*own, least, drawn, level == max_depth)
+            out.append((tree, node, f, edge, gain, value))
+            if f >= 0:
+                low = at[f, some] <= edge
+                grow(some[low], 2 * node, level + 1)
+                grow(some[~low], 2 * node + 1, level + 1)
+
+        grow(np.arange(len(cells)), 1, 0)
+        return pd.DataFrame(out, columns=["tree", "node", "feature", "bin", "gain", "value"])
+
+    cells = rows.mapInArrow(counted, "tree int, cell long, n double, s double").groupBy("tree", "cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    found: list[dict[int, tuple]] = [{} for _ in range(total)]
+    for r in cells.groupBy("tree").applyInPandas(grown, "tree int, node int, feature int, bin int, gain double, value double").collect():  # a row for each node
+        found[r.tree][r.node] = (r.feature, r.bin, r.gain, r.value)
+    return found
+
+
 def _drawn(tree: int, node: int, n_features: int, most: int, seed: int) -> list[int]:
     """The features that a node may be split by."""
     return np.argsort(hashed(np.arange(n_features) + (tree * 4096 + node) * 64, seed), kind="stable")[:most].tolist()
@@ -259,8 +326,36 @@ def error_by_trees(rows: DataFrame, target: str, trees: int) -> DataFrame:
     return sums.where("n > 0").select("n_trees", F.sqrt(F.col("ss") / F.col("n")).alias("rmse"), "n")
 
 
-def predict_zero_inflated(rows: DataFrame, models: tuple[DataFrame, DataFrame], columns: Sequence[str], key: str = "id") -> DataFrame:
-    """(key, predictions): for each pair of trees the value where the share is over one half, else 0."""
-    present, value = models
-    both = predict_forest(predict_forest(rows.select(key, *columns), present, columns, key).withColumnRenamed("predictions", "_present"), value, columns, key)
-    return both.select(key, F.zip_with("_present", "predictions", lambda p, v: F.when(p > 0.5, F.coalesce(v, F.lit(0.0))).otherwise(0.0)).alias("predictions"))
+def predict_zero_inflated(rows: DataFrame, models: tuple[DataFrame, DataFrame], columns: Sequence[str], key: str = "id", mean: bool = False) -> DataFrame:
+    """(key, predictions): for each pair of trees the value where the share is over one half, else 0; with ``mean`` (key, prediction), their mean, null without trees.
+
+    Trees part rows by their thresholds alone, so in each batch the rows between the same thresholds are led once.
+    """
+    columns = sorted(columns)
+    forest: list[dict[int, list]] = []
+    for nodes in models:
+        forest.append({})
+        for r in nodes.orderBy("set_id", "node").collect():  # trees x nodes, whatever the rows
+            forest[-1].setdefault(r.set_id, []).append(r)
+    present, value = forest
+    edges = [np.unique([r.threshold for trees in forest for own in trees.values() for r in own if r.feature == c]) for c in columns]
+    kind = rows.schema[key].dataType.simpleString()
+
+    def led(batches):
+        for b in batches:
+            x = np.column_stack([b[f"_x{k}"].to_numpy(zero_copy_only=False).astype(float) for k in range(len(columns))])
+            # a null lies above all thresholds
+            between = np.ravel_multi_index([np.searchsorted(e, x[:, k]) for k, e in enumerate(edges)], [len(e) + 1 for e in edges])
+            _, first, of = np.unique(between, return_index=True, return_inverse=True)
+            some = x[first]
+            said = [np.where(_led(own, some, columns) > 0.5, _led(value[t], some, columns) if t in value else 0.0, 0.0) for t, own in present.items()]
+            values = np.column_stack(said) if said else np.zeros((len(some), 0))
+            if mean:
+                # from left to right, as a fold adds
+                out = pa.array(values.cumsum(axis=1)[:, -1] / len(said)).take(pa.array(of)) if said else pa.nulls(len(x), pa.float64())
+            else:
+                out = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(said)), pa.array(values[of].ravel()))
+            yield pa.RecordBatch.from_arrays([b["_key"], out], [key, "prediction" if mean else "predictions"])
+
+    asked = rows.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)])
+    return asked.mapInArrow(led, f"`{key}` {kind}, " + ("prediction double" if mean else "predictions array<double>"))
