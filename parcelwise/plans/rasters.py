@@ -14,6 +14,8 @@ from .common import rounded
 sql = src.sql
 #: Pixels along a tile's side.
 SIDE = 20
+#: Tiles of ten by ten pixels in a folder.
+TILES = 1000
 
 
 def place(spark, label: str) -> str:
@@ -42,8 +44,8 @@ def resumed_tiles(spark, d):
     path = place(spark, "resumed")
     pixels = src.pixels(spark, d).select("tile_id", "id", "row", "col", F.col("value").alias("value"))
     wanted = pixels.select("tile_id").distinct()
-    rasters.write_resumably(pixels, wanted.where("tile_id % 3 <> 0"), path)
-    rasters.write_resumably(pixels, wanted, path)
+    rasters.write_resumably(pixels, wanted.where("tile_id % 3 <> 0"), path, TILES)
+    rasters.write_resumably(pixels, wanted, path, TILES)
     there = spark.read.parquet(path)
     return rounded(there.groupBy(F.col("tile_id").cast("int").alias("tile_id")).agg(F.count("*").alias("n"), F.sum("id").alias("sum_id"), F.avg("value").alias("mean")), 4)
 

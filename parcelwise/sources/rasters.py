@@ -64,7 +64,7 @@ def written_tiles(spark: SparkSession, path: str) -> DataFrame | None:
         there = spark.read.parquet(path)
     except AnalysisException:
         return None
-    return there.groupBy("tile_id").agg(F.count("*").alias("n"), _sum_of(sorted(set(there.columns) - {"tile_id"})).alias("mark"))
+    return there.groupBy("tile_id").agg(F.count("*").alias("n"), _sum_of(sorted(set(there.columns) - {"tile_id", "tile_block"})).alias("mark"))
 
 
 def unfinished(spark: SparkSession, wanted: DataFrame, path: str) -> DataFrame:
@@ -89,12 +89,16 @@ def unfinished(spark: SparkSession, wanted: DataFrame, path: str) -> DataFrame:
     return wanted.select("tile_id").distinct().join(whole.select("tile_id").unionByName(empty.select("tile_id")), "tile_id", "left_anti")
 
 
-def write_resumably(pixels: DataFrame, wanted: DataFrame, path: str) -> int:
+def write_resumably(pixels: DataFrame, wanted: DataFrame, path: str, per_folder: int = 1) -> int:
     """Write the tiles of ``wanted`` (tile_id) that aren't there whole yet, and their lines of the manifest; how many those were.
 
     ``pixels`` (tile_id, ...) is computed for these tiles only. Each replaces what its own folder held, so a run that
     was cut short is taken up by the next, and a second run changes nothing. The manifest is appended to after the tiles
     are in place: what it names was there.
+
+    ``per_folder``: for small tiles, so many neighbouring ones share a folder ``tile_block`` and a file of it, sorted by
+    tile; the number of files then follows from the pixels. Folders with tiles to do are replaced, with the other tiles
+    that they held. An output keeps the ``per_folder`` that it was begun with.
     """
     from ..session import cut
 
@@ -104,7 +108,16 @@ def write_resumably(pixels: DataFrame, wanted: DataFrame, path: str) -> int:
     if not n:
         return 0
     rows = pixels.withColumn("tile_id", F.col("tile_id").cast("int")).join(todo, "tile_id", "left_semi")
-    rows.repartition("tile_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile_id").parquet(path)
+    folder = "tile_id"
+    if per_folder > 1:
+        folder, block = "tile_block", F.floor(F.col("tile_id") / per_folder).cast("int")
+        rows = rows.withColumn("tile_block", block)
+        if written_tiles(spark, path) is not None:
+            there = spark.read.parquet(path)
+            others = there.join(todo.select(block.alias("tile_block")).distinct(), "tile_block", "left_semi").join(todo, "tile_id", "left_anti")
+            rows = rows.unionByName(cut(others))
+    placed = rows.repartition(folder).sortWithinPartitions(*dict.fromkeys([folder, "tile_id"]))
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(folder).parquet(path)
     made = written_tiles(spark, path)
     lines = todo if made is None else todo.join(made, "tile_id", "left")
     lines = lines.withColumns({"n": F.lit(0).cast("bigint"), "mark": F.lit(0).cast("bigint")}) if made is None else lines.fillna(0, ["n", "mark"])
