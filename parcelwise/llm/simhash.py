@@ -94,11 +94,17 @@ class Tree:
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64)
+    """Differing bits of fingerprints, each one word or a row of words."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.sum(axis=-1, dtype=np.int64) if a.ndim > 1 else bits.astype(np.int64)
 
 
 def near_pairs(points: np.ndarray, queries: np.ndarray, reach: int, found, at_point=None, at_query=None) -> None:
-    """Call ``found(point numbers, query numbers)`` with all pairs within ``reach``, descending a vantage-point tree and pruning by the triangle inequality."""
+    """Call ``found(point numbers, query numbers)`` with all pairs within ``reach``, descending a vantage-point tree and pruning by the triangle inequality.
+
+    Fingerprints are single words or rows of words; ``at_point`` and ``at_query`` say which of them take part.
+    """
+    wide = points.ndim > 1
     at_point = np.arange(len(points)) if at_point is None else at_point
     at_query = np.arange(len(queries)) if at_query is None else at_query
     while True:
@@ -115,9 +121,10 @@ def near_pairs(points: np.ndarray, queries: np.ndarray, reach: int, found, at_po
                     split = own[try_at], edge, inside
                     break
         if split is None:
-            step = max(1, 4_000_000 // len(own))
+            step = max(1, 4_000_000 // own.size)
             for k in range(0, len(at_query), step):
-                p, q = np.nonzero(np.bitwise_count(own[:, None] ^ queries[at_query[k : k + step]][None, :]) <= reach)
+                apart = np.bitwise_count(own[:, None] ^ queries[at_query[k : k + step]][None, :])
+                p, q = np.nonzero((apart.sum(axis=2, dtype=np.int64) if wide else apart) <= reach)
                 found(at_point[p], at_query[k : k + step][q])
             return
         vantage, edge, inside = split
@@ -129,6 +136,11 @@ def near_pairs(points: np.ndarray, queries: np.ndarray, reach: int, found, at_po
 def linked(points: np.ndarray, visitors: np.ndarray, reach: int) -> np.ndarray:
     """For home points and then visitors: the smallest number among those joined by links of which one end at least is a home point."""
     every = np.r_[points, visitors]
+    return joined(every, np.arange(len(every)), np.arange(len(points)), reach)
+
+
+def joined(prints: np.ndarray, asking: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
+    """For fingerprints: the smallest number joined with each by links of at most ``reach`` differing bits between one of ``asking`` and one of ``home``, found in a vantage-point tree of the latter."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -138,13 +150,13 @@ def linked(points: np.ndarray, visitors: np.ndarray, reach: int) -> np.ndarray:
         held.append((p[apart], q[apart]))
         size += int(apart.sum())
         if size > 2_000_000:
-            label = local_components(len(every), *map(np.concatenate, zip(*held, strict=True)))
-            some = np.flatnonzero(label != np.arange(len(every)))
+            label = local_components(len(prints), *map(np.concatenate, zip(*held, strict=True)))
+            some = np.flatnonzero(label != np.arange(len(prints)))
             held[:] = [(some, label[some])]
             size = len(some)
 
-    near_pairs(points, every, reach, found)
-    return local_components(len(every), *map(np.concatenate, zip(*held, strict=True))) if held else np.arange(len(every))
+    near_pairs(prints, prints, reach, found, home, asking)
+    return local_components(len(prints), *map(np.concatenate, zip(*held, strict=True))) if held else np.arange(len(prints))
 
 
 def groups(prints: DataFrame, reach: int = 2) -> DataFrame:
@@ -265,20 +277,6 @@ def linked_sets(sets: list[np.ndarray], similarity: float, label: np.ndarray, as
     return label
 
 
-def linked_wide(prints: np.ndarray, asking: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
-    """For fingerprints: the smallest number joined with each by links of at most ``reach`` differing bits between one of ``asking`` and one of ``home``."""
-    label = np.arange(len(prints))
-    step = max(1, 2_000_000 // max(1, len(home)))
-    for at in range(0, len(asking), step):
-        some = asking[at : at + step]
-        a, b = np.nonzero(np.bitwise_count(prints[some, None, 0] ^ prints[None, home, 0]) <= reach)
-        a, b = some[a], home[b]
-        near = (np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= reach) & (a != b)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        label = local_components(len(label), np.r_[a[near], moved], np.r_[b[near], label[moved]])
-    return label
-
-
 def met(rows: DataFrame, member: str) -> DataFrame:
     """Rows dealt to the tasks (i, j) of their block: as one of the block's home part i, met by every part j of the rows that ask, and, if it asks, as one of part j at every home part.
 
@@ -298,7 +296,8 @@ def candidate_links(nodes: DataFrame, reach: int) -> DataFrame:
     """(a, b) that join the fingerprints (node, p0 ..., least) of at most ``reach`` differing bits that share a least hash.
 
     A block of more than ``MEET`` fingerprints is first held against its smallest one. What lies near that is joined
-    by it; only the others go on to ask all parts of the block, so groups of copies take one step, however large.
+    by it; only the others go on to ask all parts of the block, so groups of copies take one step, however large. In each
+    block or part the search descends a vantage-point tree of its fingerprints.
     """
 
     def deal(batches):
@@ -336,7 +335,7 @@ def candidate_links(nodes: DataFrame, reach: int) -> DataFrame:
         left, right = [], []
         for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
             every = np.arange(b - a)
-            label = linked_wide(fps[a:b], every if whole[a] else every[~home[a:b]], every[home[a:b]], reach)
+            label = joined(fps[a:b], every if whole[a] else every[~home[a:b]], every[home[a:b]], reach)
             some = np.flatnonzero(label != every)
             left.append(node[a:b][some])
             right.append(node[a:b][label[some]])
@@ -393,10 +392,11 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", size
 
     Texts link where the Jaccard similarity of their sets of shingles of ``size`` words is at least ``similarity``.
     Candidates are found by fingerprints of ``64 * WIDE`` bits over the sets, of which texts of similarity 0.8 differ in
-    39 bits and, but for a few in a million, in at most ``candidate_reach``. At that radius all distances to a vantage
-    point overlap, so a vantage-point tree prunes nothing; fingerprints meet by ``MEETINGS`` least shingle hashes
-    instead, where texts of similarity 0.8 miss each other less than twice in a thousand. The sets of each group of
-    candidates are then compared themselves. Equal sets count once.
+    39 bits and, but for a few in a million, in at most ``candidate_reach``. At that radius a vantage-point tree over the
+    whole table sends each fingerprint into nearly all shards; shards are the fingerprints that share one of
+    ``MEETINGS`` least shingle hashes instead, where texts of similarity 0.8 miss each other less than twice in a
+    thousand, and within a shard a vantage-point tree finds those in reach. The sets of each group of candidates are then
+    compared themselves. Equal sets count once.
 
     The row of the smallest key stays (null first, then the smaller hash of the text); of rows equal in both, any one.
     Texts without words, null ones too, are copies of each other. Columns of any name stay; an empty table stays empty.
