@@ -35,9 +35,24 @@ def percent_vote(rows: DataFrame, by: str, value: str) -> DataFrame:
     return out.select(by, "vote", half_even(100 * F.col("most") / F.col("total")).alias("pct_vote"))
 
 
-def weighted_mean(rows: DataFrame, by: str, value: str, weight: Column) -> DataFrame:
+def added_in_order(rows: DataFrame, by: str, order: Sequence[str], named: dict[str, Column]) -> DataFrame:
+    """Any named statistics of each group, whose rows are added one after another in a given order.
+
+    Sums of doubles follow it, which decides where one that should lie on a half or a whole number is rounded to. So a
+    group's rows are sorted in one task, where they spill if they are many.
+    """
+    w = Window.partitionBy(by).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.select(by, *[c.over(so_far).alias(n) for n, c in named.items()], F.lead(F.lit(True)).over(w).alias("_more"))
+    return running.where("_more IS NULL").drop("_more")
+
+
+def weighted_mean(rows: DataFrame, by: str, value: str, weight: Column, order: Sequence[str] = ()) -> DataFrame:
+    """(by, weighted_mean), half to even; the rows of a group are added in ``order`` if one is given."""
     held = rows.where(F.col(value).isNotNull())
-    return held.groupBy(by).agg(half_even(F.sum(weight * F.col(value)) / F.sum(weight)).alias("weighted_mean"))
+    sums = {"_sum": F.sum(weight * F.col(value)), "_weight": F.sum(weight)}
+    found = added_in_order(held, by, order, sums) if order else zonal(held, by, sums)
+    return found.select(by, half_even(F.col("_sum") / F.col("_weight")).alias("weighted_mean"))
 
 
 def unpivoted(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -22,7 +22,7 @@ def pct_vote(spark, d):
 
 
 def gaussian_mean(spark, d):
-    return ensemble.weighted_mean(src.votes(spark, d), "id", "vote", gaussian_weight(F.col("vote"), 25, 5, 2.0))
+    return ensemble.weighted_mean(src.votes(spark, d, placed=True), "id", "vote", gaussian_weight(F.col("vote"), 25, 5, 2.0), src.ORDER)
 
 
 def importance_table(spark, d):
