@@ -193,13 +193,13 @@ def kernel_modes(spark, d):
 
 def paired_kernel_means(spark, d):
     """Whole means of prediction and reference windows at samples, where no best match is sought."""
-    p = src.pairs(spark, d)
+    p = src.pairs_in_order(spark, d)
     pred, ref = p.select("row", "col", F.col("pred").alias("value")), src.pixels(spark, d).select("row", "col", (F.col("value") / 5000).cast("int").alias("value"))
     return focal.paired_means(p.where("sampled").select("row", "col"), pred, ref)
 
 
 def zonal_by_source(spark, d):
-    p = src.pairs(spark, d)
+    p = src.pairs_in_order(spark, d)
     of = lambda c: ensemble.prefixed(ensemble.zonal(p, "priority", {"mean": F.avg(c), "count": F.count(c)}), "priority", c)
     return rounded(of("ref").join(of("pred"), "priority"), 4)
 
@@ -211,7 +211,7 @@ def aggregate_sets(spark, d):
 
 
 def hexagon_histogram(spark, d):
-    return rounded(ensemble.hexagons(src.pairs(spark, d), "ref", "pred", 10.0), 4)
+    return rounded(ensemble.hexagons(src.pairs_in_order(spark, d), "ref", "pred", 10.0), 4)
 
 
 def combination_index(spark, d):
@@ -229,14 +229,14 @@ def runs_inventory(spark, d):
 def trial_averages(spark, d):
     """Error of repeated trials of sampled locations, and its average and median over them."""
     n = 50
-    drawn = sampling.repeated_quota(src.pairs(spark, d).select("id", "tile_id", "ref", "pred"), "tile_id", "id", 2, n, 12)
+    drawn = sampling.repeated_quota(src.pairs_in_order(spark, d).select("id", "tile_id", "ref", "pred"), "tile_id", "id", 2, n, 12)
     diff = F.col("pred") - F.col("ref")
     each = drawn.groupBy("trial").agg(F.sqrt(F.avg(diff * diff)).alias("rmse"), F.count("*").alias("n"))
     return rounded(each.agg(F.avg("rmse").alias("rmse"), F.median("rmse").alias("rmse_median"), F.sum("n").alias("n")), 4)
 
 
 def cdf_edges(spark, d):
-    counts = src.pairs(spark, d).groupBy("pred").agg(F.count("*").alias("n"))
+    counts = src.pairs_in_order(spark, d).groupBy("pred").agg(F.count("*").alias("n"))
     return rounded(ensemble.cdf_at(counts, "pred", "n", range(0, 101, 5)))
 
 
@@ -344,7 +344,7 @@ def pair_split(spark, d):
 
 
 def tile_bin_sample(spark, d):
-    p = src.pairs(spark, d).withColumn("bin", F.floor(F.col("pred") / 10).cast("int"))
+    p = src.pairs_in_order(spark, d).withColumn("bin", F.floor(F.col("pred") / 10).cast("int"))
     return sampling.quota_split(p, ["tile_id", "bin"], "id", F.lit(5), 0.8, 8).select("tile_id", "bin", "id", "train")
 
 

@@ -65,7 +65,7 @@ def zonal_stats(spark, d):
 
 
 def histogram_1d(spark, d):
-    return ensemble.histogram(src.pairs(spark, d), "pred", 0, 100, 20)
+    return ensemble.histogram(src.pairs_in_order(spark, d), "pred", 0, 100, 20)
 
 
 def histogram_by_class(spark, d):
@@ -73,11 +73,11 @@ def histogram_by_class(spark, d):
 
 
 def histogram_2d(spark, d):
-    return src.pairs(spark, d).groupBy(F.floor(F.col("ref") / 10).cast("int").alias("bx"), F.floor(F.col("pred") / 10).cast("int").alias("by")).agg(F.count("*").alias("n"))
+    return src.pairs_in_order(spark, d).groupBy(F.floor(F.col("ref") / 10).cast("int").alias("bx"), F.floor(F.col("pred") / 10).cast("int").alias("by")).agg(F.count("*").alias("n"))
 
 
 def cdf_running(spark, d):
-    return rounded(ensemble.running_share(ensemble.histogram(src.pairs(spark, d), "pred", 0, 100, 50), "bin", "n"))
+    return rounded(ensemble.running_share(ensemble.histogram(src.pairs_in_order(spark, d), "pred", 0, 100, 50), "bin", "n"))
 
 
 def class_counts(spark, d):
@@ -85,7 +85,7 @@ def class_counts(spark, d):
 
 
 def global_minmax(spark, d):
-    return src.pairs(spark, d).agg(F.least(F.lit(50), F.min("pred")).alias("least"), F.greatest(F.lit(50), F.max("pred")).alias("most"))
+    return src.pairs_in_order(spark, d).agg(F.least(F.lit(50), F.min("pred")).alias("least"), F.greatest(F.lit(50), F.max("pred")).alias("most"))
 
 
 def epoch_counts(spark, d):
@@ -129,7 +129,7 @@ def focal_named(name):
 
 
 def samples(spark, d):
-    return src.pairs(spark, d).where("sampled").select("row", "col", "pred")
+    return src.pairs_in_order(spark, d).where("sampled").select("row", "col", "pred")
 
 
 def kernel_stats(spark, d):

@@ -14,7 +14,7 @@ EDGES = [(-1, 0)] + [(k, k + 10) for k in range(0, 100, 10)]
 
 
 def binned(spark, d):
-    p = src.pairs(spark, d)
+    p = src.pairs_in_order(spark, d)
     return p.withColumns({"p": bin_number(F.col("pred"), EDGES), "r": bin_number(F.col("ref"), EDGES)})
 
 
@@ -34,7 +34,7 @@ def nodata_zeroed(spark, d):
 
 def int_bins(spark, d):
     """The matrix over as many bins as a number says, from the reference's range."""
-    p = src.pairs(spark, d)
+    p = src.pairs_in_order(spark, d)
     edges = accuracy.equal_edges(p, "ref", 7)
     b = p.withColumns({"p": bin_number(F.col("pred"), edges), "r": bin_number(F.col("ref"), edges)})
     return rounded(accuracy.by_area(b, "p", "r", "sampled"))
@@ -44,7 +44,7 @@ def matched(best):
     """The matrix of samples that are matched with what lies around them, over the areas of the map itself."""
 
     def build(spark, d):
-        rows = accuracy.with_matches(src.pairs(spark, d), "pred", "ref", "sampled", best)
+        rows = accuracy.with_matches(src.pairs_in_order(spark, d), "pred", "ref", "sampled", best)
         number = lambda c: bin_number(F.col(c), EDGES)
         samples = rows.where("sampled").select(number("sample_pred").alias("p"), number("sample_ref").alias("r"))
         return rounded(accuracy.by_area_of(rows.select(number("pred").alias("p")), samples, "p", "r"))
@@ -97,25 +97,25 @@ def report_by_region(spark, d):
 
 
 def rmse_family(spark, d):
-    return rounded(accuracy.errors(src.pairs(spark, d).where("sampled"), "ref", "pred"))
+    return rounded(accuracy.errors(src.pairs_in_order(spark, d).where("sampled"), "ref", "pred"))
 
 
 def errors_by_class(spark, d):
-    return rounded(accuracy.errors(src.pairs(spark, d), "ref", "pred", ["priority"]))
+    return rounded(accuracy.errors(src.pairs_in_order(spark, d), "ref", "pred", ["priority"]))
 
 
 def weighted_rmse(spark, d):
-    p = src.pairs(spark, d)
+    p = src.pairs_in_order(spark, d)
     return rounded(accuracy.area_weighted_rmse(p.where("sampled"), p, "ref", "pred", lambda c: bin_number(c, EDGES)))
 
 
 def agreement(spark, d):
-    return rounded(accuracy.agreement(src.pairs(spark, d), "ref", "pred"), 5)
+    return rounded(accuracy.agreement(src.pairs_in_order(spark, d), "ref", "pred"), 5)
 
 
 def covers(spark, d):
     """Pairs with a land-cover class from 0 to 4."""
-    return src.pairs(spark, d).withColumn("cover", (F.col("id") % 5).cast("int"))
+    return src.pairs_in_order(spark, d).withColumn("cover", (F.col("id") % 5).cast("int"))
 
 
 def agreement_by_class(spark, d):
@@ -160,14 +160,14 @@ def brier(spark, d):
 
 
 def zone_fit(spark, d):
-    return rounded(accuracy.zone_fit(src.pairs(spark, d), "priority", "ref", "pred"))
+    return rounded(accuracy.zone_fit(src.pairs_in_order(spark, d), "priority", "ref", "pred"))
 
 
 def oob_fit(spark, d):
     """Reference against prediction for each set over its rows out of bag."""
     from .samples import oob_rows
 
-    rows = oob_rows(spark, d).join(src.pairs(spark, d).select("id", "ref", "pred"), "id")
+    rows = oob_rows(spark, d).join(src.pairs_in_order(spark, d).select("id", "ref", "pred"), "id")
     r = rows.groupBy("set_id").agg(accuracy.correlation("ref", "pred").alias("r"))
     return rounded(accuracy.errors(rows, "ref", "pred", ["set_id"]).select("set_id", "rmse", "mae", "n").join(r, "set_id"))
 

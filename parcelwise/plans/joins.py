@@ -110,7 +110,7 @@ def name_like_join(spark, d):
 
 
 def mask_pair(spark, d):
-    p = src.pairs(spark, d)
+    p = src.pairs_in_order(spark, d)
     ok = F.col("status") != "P"
     return p.select("id", F.when(ok, F.col("ref")).alias("ref"), F.when(ok & (F.col("pred") > 20), F.col("pred")).alias("pred")).where("ref IS NOT NULL AND pred IS NOT NULL")
 

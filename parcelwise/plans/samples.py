@@ -26,7 +26,7 @@ def train_test(spark, d):
 
 
 def bins(spark, d):
-    return src.pairs(spark, d).withColumn("bin", F.floor(F.col("pred") / 10).cast("int"))
+    return src.pairs_in_order(spark, d).withColumn("bin", F.floor(F.col("pred") / 10).cast("int"))
 
 
 def stratified(spark, d):

@@ -44,12 +44,12 @@ def scale_values(spark, d):
 
 
 def diff_map(spark, d):
-    p = src.pairs(spark, d)
+    p = src.pairs_in_order(spark, d)
     return p.select("id", (F.when(F.col("status") != "P", F.col("pred")) - F.col("ref")).alias("difference"))
 
 
 def pct_error(spark, d):
-    return rounded(src.pairs(spark, d).select("id", scalars.percent_error(F.col("pred").cast("double"), F.col("ref").cast("double")).alias("pct")), 4)
+    return rounded(src.pairs_in_order(spark, d).select("id", scalars.percent_error(F.col("pred").cast("double"), F.col("ref").cast("double")).alias("pct")), 4)
 
 
 def pathrow_ids(spark, d):
@@ -77,7 +77,7 @@ def row_metrics(spark, d):
 
 def bins(spark, d):
     edges = [(-1, 0)] + [(k, k + 10) for k in range(0, 100, 10)]
-    return src.pairs(spark, d).select("id", scalars.bin_number(F.col("pred"), edges).alias("bin"))
+    return src.pairs_in_order(spark, d).select("id", scalars.bin_number(F.col("pred"), edges).alias("bin"))
 
 
 def parse_bins(spark, d):
@@ -98,7 +98,7 @@ def dropped_rows(spark, d):
 
 
 def finite_only(spark, d):
-    p = src.pairs(spark, d).select("id", F.try_divide(F.col("ref").cast("double"), F.col("pred").cast("double")).alias("ratio"))
+    p = src.pairs_in_order(spark, d).select("id", F.try_divide(F.col("ref").cast("double"), F.col("pred").cast("double")).alias("ratio"))
     return rounded(p.where(F.col("ratio").isNotNull() & ~F.isnan("ratio") & (F.abs("ratio") != float("inf"))))
 
 
@@ -122,16 +122,16 @@ def union_samples(spark, d):
 
 
 def label_union(spark, d):
-    return src.pairs(spark, d).select(F.explode(F.array("ref", "pred")).alias("label")).distinct()
+    return src.pairs_in_order(spark, d).select(F.explode(F.array("ref", "pred")).alias("label")).distinct()
 
 
 def unmatched_labels(spark, d):
-    p = src.pairs(spark, d)
+    p = src.pairs_in_order(spark, d)
     return p.select(F.col("ref").alias("label")).distinct().join(p.select((F.floor(F.col("pred") / 2) * 2).cast("int").alias("label")).distinct(), "label", "left_anti")
 
 
 def matched_labels(spark, d):
-    p = src.pairs(spark, d)
+    p = src.pairs_in_order(spark, d)
     return p.select(F.col("ref").alias("label")).intersect(p.select(F.col("pred").alias("label")))
 
 
