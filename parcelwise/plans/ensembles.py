@@ -148,7 +148,7 @@ def best_match(spark, d):
 
 def match_raster(spark, d):
     ref = src.pixels(spark, d).select("row", "col", (F.col("value") / 5000).cast("int").alias("value"))
-    return focal.match_raster(src.pairs(spark, d).select("row", "col", F.col("pred").alias("value")), ref)
+    return focal.match_raster(src.pairs_in_order(spark, d).select("row", "col", F.col("pred").alias("value")), ref)
 
 
 R = 'r AS (SELECT "row", col, CAST(trunc(value / 20000) AS INTEGER) AS value FROM px), z AS (SELECT max("row") + 1 AS h FROM px)'
